@@ -60,7 +60,7 @@ def micros(c: Column) -> Column:
     return (
         F.unix_date(c.cast("date")) * F.lit(86_400_000_000)
         + F.hour(c) * F.lit(3_600_000_000)
-        + F.minute(c) * F.lit(60_000_000)
+        + F.minute(c).cast("bigint") * F.lit(60_000_000)
         + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
     )
 

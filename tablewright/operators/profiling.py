@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tablewright.functions import ids, nulls, parse, words
 from tablewright.operators import ordering
 from tablewright.operators.aggregates import duplicate_count, weighted_quantiles
-from tablewright.staging import stage
+from tablewright.staging import side_by_side, small, stage
 
 TOP_VALUES = 5
 SAMPLE_VALUES = 3
@@ -141,13 +141,12 @@ def _summary(facts: DataFrame) -> DataFrame:
     )
 
 
-def _spread(facts: DataFrame, summary: DataFrame) -> DataFrame:
+def _spread(numbers: DataFrame, summary: DataFrame) -> DataFrame:
     """Sample standard deviation around the known mean, NULL for a single value."""
     mean = F.broadcast(summary.select("c", "num_mean", "numeric_rows"))  # one row per column
-    deviation = F.col("x") - F.col("num_mean")
+    deviation = F.col("value") - F.col("num_mean")
     return (
-        facts.filter(F.col("x").isNotNull())
-        .join(mean, "c")
+        numbers.join(mean, "c")
         .groupBy("c")
         .agg(F.sum(deviation * deviation * F.col("n")).alias("s"), F.max("numeric_rows").alias("k"))
         .select("c", F.sqrt(F.try_divide(F.col("s"), (F.col("k") - 1).cast("double"))).alias("num_std"))
@@ -179,7 +178,7 @@ def _top_values(df: DataFrame, counts: DataFrame, columns: _Columns) -> DataFram
         .select("c", "rank", "shown")
     )
     if columns.numbers.get("text"):
-        top = _with_long_texts(df, stage(top, "top"), columns)
+        top = _with_long_texts(df, small(top), columns)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "shown")))  # at most five per column
     return top.groupBy("c").agg(F.transform(ranked, lambda s: s.shown).alias("top_values"))
 
@@ -210,33 +209,40 @@ def profile_columns(
     strict_date_words: bool = False,
     rows_per_range: int = ordering.ROWS_PER_RANGE,
 ) -> DataFrame:
-    """One row per column: counts, inferred type, summaries, top values and likely roles."""
+    """One row per column: counts, inferred type, summaries, top values and likely roles.
+
+    Runs the jobs now; what comes back are as many rows as the table has columns.
+    """
     columns = _Columns(df.schema)
     counts = stage(value_counts(df), "values")
     facts = _with_facts(counts, columns)
-    summary = stage(_summary(facts), "summary")
-    numeric = F.broadcast(
-        summary.filter(
-            columns.are("integer", "float", "decimal")
-            | (columns.are("text") & (F.col("numeric_rows") >= F.col("present") * F.lit(words.TEXT_SHARE)))
-        ).select("c")
+    summary = small(_summary(facts))
+    numeric = summary.filter(
+        columns.are("integer", "float", "decimal")
+        | (columns.are("text") & (F.col("numeric_rows") >= F.col("present") * F.lit(words.TEXT_SHARE)))
+    ).select("c")
+    numbers = facts.filter(F.col("x").isNotNull()).join(F.broadcast(numeric), "c", "left_semi")
+    numbers = numbers.select("c", F.col("x").alias("value"), "n")
+    spread, quantiles, top = side_by_side(
+        lambda: small(_spread(numbers, summary)),
+        lambda: small(weighted_quantiles(numbers, ["c"], [0.25, 0.5, 0.75], rows_per_range)),
+        lambda: small(_top_values(df, counts, columns)),
+    )
+    quantiles = quantiles.select(
+        "c", F.col("q0").alias("num_q1"), F.col("q1").alias("num_median"), F.col("q2").alias("num_q3")
     )
-    numbers = facts.filter(F.col("x").isNotNull()).join(numeric, "c", "left_semi")
-    quantiles = weighted_quantiles(
-        numbers.select("c", F.col("x").alias("value"), "n"), ["c"], [0.25, 0.5, 0.75], rows_per_range
-    ).select("c", F.col("q0").alias("num_q1"), F.col("q1").alias("num_median"), F.col("q2").alias("num_q3"))
     meta = df.sparkSession.createDataFrame(
         [(no, f.name, *_kind(f.dataType)) for no, f in enumerate(df.schema)],
         "c int, column_name string, kind string, label string",
     )
     # Every side has one row per column of the table.
     joined = (
-        meta.join(summary, "c", "left")
-        .join(_spread(facts, summary), "c", "left")
-        .join(quantiles, "c", "left")
-        .join(_top_values(df, counts, columns), "c", "left")
+        meta.join(F.broadcast(summary), "c", "left")
+        .join(F.broadcast(spread), "c", "left")
+        .join(F.broadcast(quantiles), "c", "left")
+        .join(F.broadcast(top), "c", "left")
     )
-    return _labelled(joined, table_name, strict_date_words)
+    return small(_labelled(joined, table_name, strict_date_words))
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -400,16 +406,19 @@ def profile_table(
     strict_date_words: bool = False,
     rows_per_range: int = ordering.ROWS_PER_RANGE,
 ) -> Profile:
-    columns = profile_columns(df, table_name, strict_date_words, rows_per_range)
+    columns, copies = side_by_side(
+        lambda: profile_columns(df, table_name, strict_date_words, rows_per_range),
+        lambda: small(duplicate_issue(df, table_name)) if duplicates else None,
+    )
     issues = column_issues(columns)
-    if duplicates:
-        issues = duplicate_issue(df, table_name).unionByName(issues)
-    return Profile(columns, issues)
+    return Profile(columns, copies.unionByName(issues) if duplicates else issues)
 
 
 def profile_tables(tables: Mapping[str, DataFrame], **options) -> Profile:
     """Profile of every table of a version, as two tables."""
-    profiles = [profile_table(df, name, **options) for name, df in tables.items()]
+    profiles = side_by_side(
+        *[lambda name=name, df=df: profile_table(df, name, **options) for name, df in tables.items()]
+    )
     return Profile(
         reduce(DataFrame.unionByName, [p.columns for p in profiles]),
         reduce(DataFrame.unionByName, [p.issues for p in profiles]),

@@ -51,11 +51,9 @@ def read_table(
         raise ToolError(f"Unsupported format '{fmt}'. Allowed: {FORMATS}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
-        return reader.csv(
-            path, header=True, inferSchema=schema is None, multiLine=False, escape='"',
-            # Dates are recognised afterwards, by normalise_table, for all spellings alike.
-            prefersDate=False, timestampFormat="'none'",
-        ) if schema is None else reader.csv(path, header=True, escape='"')
+        # Dates stay text here: normalise_table recognises all spellings alike.
+        inferred = {"inferSchema": True, "preferDate": False, "timestampFormat": "'none'"}
+        return reader.options(header=True, escape='"', **(inferred if schema is None else {})).csv(path)
     if fmt == "json":
         return reader.json(path)
     return reader.parquet(path)
@@ -111,7 +109,8 @@ def import_directory(spark: SparkSession, path: str, fmt: str = "csv", normalise
     found = {}
     for name, is_folder in child_names(spark, path):
         stem, dot, suffix = name.rpartition(".")
-        if name.startswith(("_", ".")) or not (is_folder or suffix == fmt):
+        other = suffix in FORMATS and suffix != fmt
+        if name.startswith(("_", ".")) or (dot and other) or not (is_folder or suffix == fmt):
             continue
         found[stem if dot and suffix == fmt else name] = read_table(spark, f"{path}/{name}", fmt)
     if not found:

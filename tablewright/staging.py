@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/tablewright/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The rows of a table whose size the schema bounds (a few per column), held by the driver.
+
+    Only for metadata such as profile rows, which several later plans read again.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def side_by_side(*jobs):
+    """Run independent Spark actions at the same time; their results in order."""
+    with ThreadPoolExecutor(max_workers=min(len(jobs), 4) or 1) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]

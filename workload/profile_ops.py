@@ -33,7 +33,8 @@ def _comparable(profile: DataFrame) -> DataFrame:
         "top_values": F.concat_ws("|", "top_values"),
         "min_date": F.col("min_date").cast("string"),
         "max_date": F.col("max_date").cast("string"),
-        **{n: F.round(n, 3) for n in ("num_mean", "num_median", "num_std", "num_q1", "num_q3")},
+        **{n: F.round(n, 3) for n in ("num_mean", "num_std")},
+        **{n: F.round(n, 5) for n in ("num_median", "num_q1", "num_q3")},
     }
     return profile.select(*[shown.get(n, F.col(n)).alias(n) for n in _COLUMNS])
 
@@ -60,7 +61,8 @@ def _column_sql(table: str, c: str, kind: str) -> str:
     }[kind]
     number, time = kind in ("integer", "float"), kind == "time"
     shown = f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if time else f"CAST({c} AS VARCHAR)"
-    num = lambda e: f"CAST(round({e}, 3) AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
+    tie = "CASE WHEN length(v) <= 64 THEN v ELSE 'sha256:' || sha256(v) END"  # long texts rank by digest
+    num = lambda e, k=3: f"CAST(round({e}, {k}) AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
     raw = lambda e: f"CAST({e} AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
     day = lambda e: f"strftime({e}, '%Y-%m-%d')" if time else "CAST(NULL AS VARCHAR)"
     metric = f"{number} AND {_has(c, _METRIC)}"
@@ -70,12 +72,12 @@ def _column_sql(table: str, c: str, kind: str) -> str:
            round((count(*) - count({c})) / count(*) * 100, 2) AS null_percent,
            CAST(count(DISTINCT {c}) AS BIGINT) AS unique_count,
            round(count(DISTINCT {c}) / count(*) * 100, 2) AS unique_percent,
-           (SELECT string_agg(v, '|' ORDER BY n DESC, v) FROM (
+           (SELECT string_agg(v, '|' ORDER BY n DESC, {tie}) FROM (
                 SELECT {shown} AS v, count(*) AS n FROM {table} WHERE {c} IS NOT NULL
-                GROUP BY 1 ORDER BY n DESC, v LIMIT 5)) AS top_values,
+                GROUP BY 1 ORDER BY n DESC, {tie} LIMIT 5)) AS top_values,
            {raw(f"min({c})")} AS num_min, {raw(f"max({c})")} AS num_max, {num(f"avg({c})")} AS num_mean,
-           {num(f"median({c})")} AS num_median, {num(f"stddev_samp({c})")} AS num_std,
-           {num(f"quantile_cont({c}, 0.25)")} AS num_q1, {num(f"quantile_cont({c}, 0.75)")} AS num_q3,
+           {num(f"median({c})", 5)} AS num_median, {num(f"stddev_samp({c})")} AS num_std,
+           {num(f"quantile_cont({c}, 0.25)", 5)} AS num_q1, {num(f"quantile_cont({c}, 0.75)", 5)} AS num_q3,
            {day(f"min({c})")} AS min_date, {day(f"max({c})")} AS max_date,
            {f"CAST(count(DISTINCT {c}) AS BIGINT)" if time else "CAST(NULL AS BIGINT)"} AS unique_dates,
            contains('{c}', 'id') OR (round(count(DISTINCT {c}) / count(*) * 100, 2) >= 90 AND NOT ({metric})) AS is_likely_id,
