@@ -11,7 +11,7 @@ PREVIEW_CHARS = 500
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """`path` and whole `text` of the .txt and .md files of a folder."""
+    """`path` and whole `text` of the .txt and .md files of a folder; files without a byte give no row."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{txt,md}", recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
