@@ -17,14 +17,22 @@ DATE_FORMATS = (
     "yyyyMMdd",
 )
 
+# Every character that counts as white space, of any script.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# No date is longer; longer texts are not looked into.
+DATE_LENGTH = 64
+
 _ISO_START = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 # Java reads 1d, 2f and 0x1p3 as numbers; data files do not mean that.
 _JAVA_ONLY_NUMBER = r"[dDxXpP]|[^nN][fF]$"
 
 
 def trimmed(c: Column) -> Column:
-    """Without leading and trailing white space of any script."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without leading and trailing white space of any script; only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_padded(c: Column) -> Column:
@@ -40,6 +48,7 @@ def to_number(c: Column) -> Column:
 def to_time(c: Column, date_format: str) -> Column:
     """Wall-clock timestamp of a text in one format, else NULL."""
     text = trimmed(c)
+    text = F.when(F.length(text) <= DATE_LENGTH, text)
     if date_format == "iso":
         return F.when(text.rlike(_ISO_START), text.try_cast("timestamp_ntz"))
     if date_format == "yyyyMMdd":

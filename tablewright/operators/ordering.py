@@ -24,11 +24,9 @@ from pyspark.sql import types as T
 
 from tablewright.functions import nulls
 
-ROWS_PER_RANGE = 1_000_000
+ROWS_PER_RANGE = 500_000
 MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 32
-# Rows a broadcast of boundary rows may have; above it the same join runs as a shuffle.
-MAX_BROADCAST_ROWS = 200_000
 
 _RANGE, _KEY, _COPIES = "__range", "__key", "__copies"
 _JSON = {
@@ -69,9 +67,8 @@ def _nullable(dtype: T.DataType) -> T.DataType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in dtype.fields])
 
 
-def _tie_columns(df: DataFrame, used: set[str], tie: Sequence[str] | None) -> list[tuple[str, Column]]:
-    if tie is not None:
-        return [(t, nulls.col(t)) for t in tie if t not in used]
+def _hash_of_rest(df: DataFrame, used: set[str]) -> list[tuple[str, Column]]:
+    """One number from all other columns, so that only equal rows stay tied."""
     rest = [f.name for f in df.schema if f.name not in used and nulls.is_scalar(f.dataType)]
     if not rest:
         return []
@@ -96,16 +93,18 @@ def ranged(
     partition: Sequence[str] = (),
     tie: Sequence[str] | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
+    cut_by_hash: bool = False,
 ) -> tuple[Ranged, bool]:
-    """Cut the table into ranges of (partition, order, tie).
+    """Cut the table into ranges of (partition, order, tie), or also of a hash of the rest.
 
-    The second value tells whether one and the same key fills more than a range, which
-    only rows that are equal in all of these columns can do.
+    Cutting by few columns lets the sample and the sums read few columns. The second value
+    tells whether rows that are equal in the cutting columns would fill a range.
     """
-    used = {*partition, *order}
-    columns = [(n, nulls.col(n)) for n in [*partition, *order]] + _tie_columns(df, used, tie)
+    named = [(n, nulls.col(n)) for n in dict.fromkeys([*partition, *order, *(tie or ())])]
+    rest = _hash_of_rest(df, {n for n, _ in named}) if tie is None or cut_by_hash else []
+    columns = named + rest if cut_by_hash else named
     key = _key_struct(columns)
-    sort = tuple(c.asc_nulls_last() for _, c in columns[len(partition):])
+    sort = tuple(c.asc_nulls_last() for _, c in (named + rest)[len(partition):])
     rows = df.count()
     ranges = max(1, min(MAX_RANGES, math.ceil(rows / rows_per_range)))
     if ranges == 1:
@@ -197,9 +196,11 @@ def prefix_sums(
     partition is NULL come out with sums of their own range only; callers drop them.
     """
     r, heavy = ranged(df, order, partition, tie, rows_per_range)
-    if not heavy:
-        return _with_prefix(r, sums, totals)
-    return _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range)
+    if heavy:  # many rows share the order columns: cut between them as well
+        r, heavy = ranged(df, order, partition, tie, rows_per_range, cut_by_hash=True)
+    if heavy:  # many rows are equal altogether
+        return _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range)
+    return _with_prefix(r, sums, totals)
 
 
 def _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range) -> DataFrame:
@@ -211,7 +212,7 @@ def _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range) -
     columns = df.columns
     distinct = df.groupBy(*[nulls.col(c) for c in columns]).agg(F.count(F.lit(1)).alias(_COPIES))
     weighted = {n: c * nulls.col(_COPIES) for n, c in sums.items()}
-    r, _ = ranged(distinct, order, partition, tie, rows_per_range)
+    r, _ = ranged(distinct, order, partition, tie, rows_per_range, cut_by_hash=True)
     out = _with_prefix(r, weighted, totals)
 
     chunk = F.lit(ROWS_PER_RANGE)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tablewright.functions import ids, nulls, parse, words
 from tablewright.operators import ordering
 from tablewright.operators.aggregates import duplicate_count, weighted_quantiles
-from tablewright.staging import side_by_side, small, stage
+from tablewright.staging import side_by_side, small, staged
 
 TOP_VALUES = 5
 SAMPLE_VALUES = 3
@@ -75,16 +75,20 @@ def _lanes(field: T.StructField) -> tuple[Column, Column, Column]:
     if kind == "text":
         # A long text is counted by digest; what it parses to is noted beside it.
         long = F.length(c) > ids.LONG_TEXT
-        padded = F.when(long & c.rlike(r"(?U)^\s|\s$"), F.lit(1).cast("bigint"))
+        padded = F.when(long & parse.is_padded(c), F.lit(1).cast("bigint"))
         return padded, F.when(long, parse.to_number(c)), ids.text_key(c)
     return F.when(c.isNotNull(), F.lit(1).cast("bigint")), no_d, no_t
 
 
-def value_counts(df: DataFrame) -> DataFrame:
-    """(c, i, d, t, n): column number, value in its lane, number of rows with it."""
+def _cells(df: DataFrame) -> DataFrame:
+    """(c, i, d, t): one row per cell, column number and value in its lane."""
     lanes = [p for no, f in enumerate(df.schema) for p in (F.lit(no), *_lanes(f))]
-    cells = df.select(F.stack(F.lit(len(df.columns)), *lanes).alias("c", "i", "d", "t"))
-    return cells.groupBy("c", "i", "d", "t").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.stack(F.lit(len(df.columns)), *lanes).alias("c", "i", "d", "t"))
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """(c, i, d, t, n): a cell value and the number of rows that have it."""
+    return _cells(df).groupBy("c", "i", "d", "t").agg(F.count(F.lit(1)).alias("n"))
 
 
 class _Columns:
@@ -114,20 +118,21 @@ def _with_facts(counts: DataFrame, columns: _Columns) -> DataFrame:
         .when(columns.are("day"), F.col("i") * F.lit(_DAY))
         .when(columns.are("text") & ~token, parse.micros(parse.to_time_any(F.col("t"))))
     )
-    padded = columns.are("text") & F.when(token, F.col("i").isNotNull()).otherwise(F.col("t").rlike(r"(?U)^\s|\s$"))
+    padded = columns.are("text") & F.when(token, F.col("i").isNotNull()).otherwise(parse.is_padded(F.col("t")))
     known = F.coalesce(F.col("i").cast("string"), F.col("d").cast("string"), F.col("t")).isNotNull()
     return counts.select("c", "i", "d", "t", "n", known.alias("known"), number.alias("x"), time.alias("at"), padded.alias("padded"))
 
 
-def _summary(facts: DataFrame) -> DataFrame:
+def _summary_parts() -> list[Column]:
+    """Aggregates over (value, n) pairs that hold for counted and for single cells."""
+
     def rows(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
     number, time = F.col("x").isNotNull(), F.col("at").isNotNull()
-    return facts.groupBy("c").agg(
+    return [
         F.sum("n").alias("total"),
         rows(F.col("known")).alias("present"),
-        F.count_if("known").alias("unique"),
         rows(number).alias("numeric_rows"),
         rows(time).alias("date_rows"),
         rows(time & ~number).alias("date_only_rows"),
@@ -137,7 +142,12 @@ def _summary(facts: DataFrame) -> DataFrame:
         F.try_divide(F.sum(F.col("x") * F.col("n")), rows(number).cast("double")).alias("num_mean"),
         F.min("at").alias("first_at"),
         F.max("at").alias("last_at"),
-        F.count_distinct("at").alias("date_unique"),
+    ]
+
+
+def _summary(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("c").agg(
+        *_summary_parts(), F.count_if("known").alias("unique"), F.count_distinct("at").alias("date_unique")
     )
 
 
@@ -208,13 +218,29 @@ def profile_columns(
     table_name: str,
     strict_date_words: bool = False,
     rows_per_range: int = ordering.ROWS_PER_RANGE,
+    approx: bool = False,
 ) -> DataFrame:
     """One row per column: counts, inferred type, summaries, top values and likely roles.
 
-    Runs the jobs now; what comes back are as many rows as the table has columns.
+    Runs the jobs now; what comes back are as many rows as the table has columns. With
+    `approx` one pass without a shuffle of values estimates distinct counts, quantiles
+    and top values; everything else stays exact.
     """
     columns = _Columns(df.schema)
-    counts = stage(value_counts(df), "values")
+    if approx:
+        joined = small(_sketched(_cells(df), columns))
+    else:
+        with staged(value_counts(df), "values") as counts:
+            joined = _exact(df, counts, columns, rows_per_range)
+    meta = df.sparkSession.createDataFrame(
+        [(no, f.name, *_kind(f.dataType)) for no, f in enumerate(df.schema)],
+        "c int, column_name string, kind string, label string",
+    )
+    return small(_labelled(meta.join(F.broadcast(joined), "c", "left"), table_name, strict_date_words))
+
+
+def _exact(df: DataFrame, counts: DataFrame, columns: _Columns, rows_per_range: int) -> DataFrame:
+    """Statistics from value counts; every part has one row per column of the table."""
     facts = _with_facts(counts, columns)
     summary = small(_summary(facts))
     numeric = summary.filter(
@@ -231,18 +257,29 @@ def profile_columns(
     quantiles = quantiles.select(
         "c", F.col("q0").alias("num_q1"), F.col("q1").alias("num_median"), F.col("q2").alias("num_q3")
     )
-    meta = df.sparkSession.createDataFrame(
-        [(no, f.name, *_kind(f.dataType)) for no, f in enumerate(df.schema)],
-        "c int, column_name string, kind string, label string",
+    for part in (spread, quantiles, top):
+        summary = summary.join(F.broadcast(part), "c", "left")
+    return small(summary)
+
+
+def _sketched(cells: DataFrame, columns: _Columns) -> DataFrame:
+    """The same statistics from one aggregate per column, combined before the shuffle."""
+    facts = _with_facts(cells.withColumn("n", F.lit(1).cast("bigint")), columns)
+    facts = facts.withColumn("shown", _shown(columns))
+    quartiles = F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000)
+    row = facts.groupBy("c").agg(
+        *_summary_parts(),
+        F.approx_count_distinct("at").alias("date_unique"),
+        F.when(F.count("shown") > 0, F.approx_count_distinct("shown")).otherwise(0).alias("unique"),
+        F.stddev_samp("x").alias("num_std"),
+        quartiles.alias("q"),
+        F.expr(f"approx_top_k(shown, {TOP_VALUES})").alias("k"),
     )
-    # Every side has one row per column of the table.
-    joined = (
-        meta.join(F.broadcast(summary), "c", "left")
-        .join(F.broadcast(spread), "c", "left")
-        .join(F.broadcast(quantiles), "c", "left")
-        .join(F.broadcast(top), "c", "left")
-    )
-    return small(_labelled(joined, table_name, strict_date_words))
+    return row.select(
+        "*",
+        F.get("q", F.lit(0)).alias("num_q1"), F.get("q", F.lit(1)).alias("num_median"), F.get("q", F.lit(2)).alias("num_q3"),
+        F.transform("k", lambda e: e.item).alias("top_values"),
+    ).drop("q", "k")
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -405,9 +442,11 @@ def profile_table(
     duplicates: bool = True,
     strict_date_words: bool = False,
     rows_per_range: int = ordering.ROWS_PER_RANGE,
+    approx: bool = False,
 ) -> Profile:
+    """Profile and issues of one table; `duplicates=False` saves the shuffle of whole rows."""
     columns, copies = side_by_side(
-        lambda: profile_columns(df, table_name, strict_date_words, rows_per_range),
+        lambda: profile_columns(df, table_name, strict_date_words, rows_per_range, approx),
         lambda: small(duplicate_issue(df, table_name)) if duplicates else None,
     )
     issues = column_issues(columns)

@@ -64,10 +64,10 @@ class TableOutput:
 
 def table_output(df: DataFrame, folder: str | None = None, inline_rows: int = RESULT_ROWS) -> TableOutput:
     """Preview and count of a result; more than `inline_rows` rows are also written as CSV."""
-    small = df.limit(inline_rows + 1).count()
-    if small <= inline_rows or folder is None:
-        rows = small if small <= inline_rows else df.count()
-        return TableOutput(df.columns, df.limit(PREVIEW_ROWS), rows)
+    head = df.take(inline_rows + 1)
+    if len(head) <= inline_rows or folder is None:
+        shown = df.sparkSession.createDataFrame(head[:PREVIEW_ROWS], df.schema)
+        return TableOutput(df.columns, shown, len(head) if len(head) <= inline_rows else df.count())
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.csv"
     _writer(df, "csv", path)
     written = _reader(df.sparkSession, "csv", path, df.schema.toDDL())

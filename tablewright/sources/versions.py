@@ -19,6 +19,7 @@ from tablewright.operators.features import FeatureRun, apply_features
 from tablewright.sources import registry
 from tablewright.sources.tables import table_info
 from tablewright.specs import CleaningStep, Feature, VersionType
+from tablewright.staging import side_by_side
 
 _SCHEMA = (
     "version_number int, parent_version int, version_type string, path string, "
@@ -88,8 +89,10 @@ class Dataset:
             raise ToolError(f"Version {number} exists already")
         if registry.path_exists(self.spark, path) and not replace_unfinished:
             raise ToolError(f"Folder exists already: {path}")
-        for name, df in tables.items():
-            df.write.mode("overwrite" if replace_unfinished else "errorifexists").parquet(f"{path}/{name}")
+        mode = "overwrite" if replace_unfinished else "errorifexists"
+        side_by_side(*[
+            lambda name=name, df=df: df.write.mode(mode).parquet(f"{path}/{name}") for name, df in tables.items()
+        ])
         written = {n: self.spark.read.parquet(f"{path}/{n}") for n in tables}
         info = [(r["table_name"], r["row_count"], r["column_count"]) for r in table_info(written).collect()]
         registry.append(

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +32,34 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write the table once and return a scan of what was written."""
-    path = f"{shared_root(df.sparkSession)}/tablewright/{label}-{uuid.uuid4().hex}"
+def _new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_root(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write the table once and return a scan of what was written.
+
+    The result may be read at any later time, so its files stay until the folder is tidied.
+    """
+    return _written(df, _new_path(df.sparkSession, label))
+
+
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """The same for use inside a `with` block, whose end removes the files."""
+    spark, path = df.sparkSession, _new_path(df.sparkSession, label)
+    try:
+        yield _written(df, path)
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def small(df: DataFrame) -> DataFrame:
     """The rows of a table whose size the schema bounds (a few per column), held by the driver.
 

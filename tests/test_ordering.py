@@ -62,6 +62,24 @@ def test_copies_of_one_row(spark):
     assert got == sorted(expected)
 
 
+def test_one_value_of_the_order_column_for_most_rows(spark):
+    """The cut columns alone cannot split these rows; a hash of the rest can."""
+    df = spark.range(5000).select("id", F.when(F.col("id") < 4500, 1).otherwise(F.col("id")).alias("s"), F.lit(1).alias("v"))
+    assert ordering.ranged(df, ["s"], rows_per_range=400)[1]
+    r, heavy = ordering.ranged(df, ["s"], rows_per_range=400, cut_by_hash=True)
+    assert not heavy and r.frame.groupBy("__range").count().agg(F.max("count")).first()[0] < 1200
+    for tie in (None, []):
+        out = ordering.running_total(df, "v", "s", "t", tie=tie, rows_per_range=400)
+        assert [t for (t,) in rows(out, "t")] == list(range(1, 5001))
+        assert out.filter("s > 1").agg(F.min("t")).first()[0] == 4501
+
+
+def test_many_ranges(spark):
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("k"))
+    out = ordering.row_numbers(df, ["k"], "n", rows_per_range=40)
+    assert out.filter("n <> k + 1").count() == 0 and out.count() == 60_000
+
+
 def test_row_numbers_and_lag(skewed):
     out = ordering.row_numbers(skewed, ["day"], "n", ["id"], 300)
     assert [n for (n,) in rows(out, "n")] == list(range(1, 4001))

@@ -108,6 +108,14 @@ def test_other_types(spark):
     assert column(p, "price")["num_mean"] == 2.0
 
 
+def test_approximate_profile_of_small_data_is_exact(sales):
+    exact, approx = (profile_table(sales, "t", approx=a).columns.drop("top_values", "sample_values").orderBy("column_index").collect() for a in (False, True))
+    for e, a in zip(exact, approx):
+        for n in e.asDict():
+            same = pytest.approx(e[n]) if isinstance(e[n], float) and n not in ("num_q1", "num_q3") else e[n]
+            assert a[n] == same, n
+
+
 def test_empty_table(spark):
     p = profile_table(spark.createDataFrame([], "a int, b string"), "t")
     assert [(r["total_count"], r["null_percent"], r["unique_count"]) for r in p.columns.collect()] == [(0, 0.0, 0)] * 2

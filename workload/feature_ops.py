@@ -104,7 +104,7 @@ def _named():
         def query(spark, sf):
             place = F.struct("l_orderkey", "l_partkey", "l_linenumber")
             line = read(spark, sf, "lineitem").withColumn("place", place)
-            out = aggregates.aggregate_named(line, "l_quantity", "l_suppkey", name, "v", "place", rows_per_range=2000)
+            out = aggregates.aggregate_named(line, "l_quantity", "l_suppkey", name, "v", "place", rows_per_range=5000)
             return out.select("l_suppkey", rounded("v")) if name in ("mean", "std", "var") else out
         return query
 
@@ -151,7 +151,7 @@ def _gappy_orders(spark, sf):
     FROM (SELECT *, {_PRICE} AS p FROM orders)""")
 def running_total(spark, sf):
     out = ordering.running_total(
-        _gappy_orders(spark, sf), "o_totalprice", "o_orderdate", "running", tie=["o_orderkey"], rows_per_range=2000
+        _gappy_orders(spark, sf), "o_totalprice", "o_orderdate", "running", tie=["o_orderkey"], rows_per_range=5000
     )
     return out.select("o_orderkey", F.col("running").cast("double").alias("running"))
 
@@ -163,7 +163,7 @@ def running_total(spark, sf):
 def running_total_by(spark, sf):
     orders = _gappy_orders(spark, sf).withColumn("s", F.nullif("o_orderstatus", F.lit("P")))
     out = ordering.running_total(
-        orders, "o_totalprice", "o_orderdate", "running", "s", tie=["o_orderkey"], rows_per_range=2000
+        orders, "o_totalprice", "o_orderdate", "running", "s", tie=["o_orderkey"], rows_per_range=5000
     )
     return out.select("o_orderkey", F.col("running").cast("double").alias("running"))
 
@@ -185,7 +185,7 @@ def running_count_of_copies(spark, sf):
 @register("row_numbers", """
     SELECT event_id, CAST(row_number() OVER (ORDER BY value, event_id) AS BIGINT) AS n FROM events""")
 def row_numbers(spark, sf):
-    out = ordering.row_numbers(read(spark, sf, "events"), ["value"], "n", tie=["event_id"], rows_per_range=1500)
+    out = ordering.row_numbers(read(spark, sf, "events"), ["value"], "n", tie=["event_id"], rows_per_range=4000)
     return out.select("event_id", "n")
 
 
@@ -194,7 +194,7 @@ def row_numbers(spark, sf):
         SELECT *, lag(o_totalprice, 3) OVER (ORDER BY o_orderdate, o_orderkey) AS p FROM orders)""")
 def period_change(spark, sf):
     out = features.period_change(
-        read(spark, sf, "orders"), "o_totalprice", "o_orderdate", 3, "change", ["o_orderkey"], rows_per_range=2000
+        read(spark, sf, "orders"), "o_totalprice", "o_orderdate", 3, "change", ["o_orderkey"], rows_per_range=5000
     )
     return out.select("o_orderkey", rounded("change"))
 
@@ -206,7 +206,7 @@ def period_change(spark, sf):
     SELECT o_orderkey, round((w - p) / nullif(p, 0), 6) AS change FROM l""")
 def period_change_filled(spark, sf):
     gappy = read(spark, sf, "orders").withColumn("v", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")))
-    out = features.period_change(gappy, "v", "o_orderdate", 1, "change", ["o_orderkey"], True, rows_per_range=2000)
+    out = features.period_change(gappy, "v", "o_orderdate", 1, "change", ["o_orderkey"], True, rows_per_range=5000)
     return out.select("o_orderkey", rounded("change"))
 
 

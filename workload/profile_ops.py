@@ -98,8 +98,9 @@ _PROFILED = {
     "documents": {"doc_id": "integer", "text": "text", "lang": "text", "source": "text", "n_chars": "integer"},
     "events": {"event_id": "integer", "ts": "time", "user_id": "integer", "event_type": "text", "value": "float", "props": "text"},
     "lineitem": {
-        "l_orderkey": "integer", "l_partkey": "integer", "l_linenumber": "integer", "l_quantity": "float",
-        "l_extendedprice": "float", "l_discount": "float", "l_returnflag": "text", "l_shipdate": "time",
+        "l_orderkey": "integer", "l_partkey": "integer", "l_suppkey": "integer", "l_linenumber": "integer",
+        "l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_tax": "float",
+        "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time",
     },
 }
 
@@ -110,7 +111,7 @@ def _profiles():
             df = read(spark, sf, table)
             if table == "events":
                 df = df.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
-            return _comparable(profile_table(df.select(*columns), table, duplicates=False, rows_per_range=5000).columns)
+            return _comparable(profile_table(df.select(*columns), table, duplicates=False, rows_per_range=20_000).columns)
         return query
 
     for table, columns in _PROFILED.items():
@@ -121,6 +122,11 @@ def _profiles():
 _profiles()
 
 
+@register("profile_approx")
+def profile_approx(spark, sf):
+    return _comparable(profile_table(read(spark, sf, "lineitem"), "lineitem", duplicates=False, approx=True).columns)
+
+
 def _dirty(spark, sf):
     """Orders as they might come in: numbers and dates as text, gaps, padding, copies."""
     key = F.col("o_orderkey")
@@ -231,8 +237,7 @@ def table_sizes(spark, sf):
 
 @register("suggest_cleaning")
 def suggest_cleaning_all(spark, sf):
-    tables = {t: df for t, df in _all_tables(spark, sf).items() if t not in ("embeddings",)}
-    p = profile_tables(tables)
+    p = profile_tables(_all_tables(spark, sf))
     return suggest_cleaning(p.columns, p.issues).select(
         "step_id", "table_name", "sequence", "issue_type", "column_name", "operation", "requires_approval"
     )

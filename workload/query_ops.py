@@ -188,7 +188,7 @@ def agg_median_prices(spark, sf):
         [Metric("l_extendedprice", "median", "price"), Metric("l_discount", "median", "discount"),
          Metric("l_orderkey", "count", "n")], limit=None,
     )
-    return aggregate_table({"lineitem": read(spark, sf, "lineitem")}, spec, rows_per_range=5000)
+    return aggregate_table({"lineitem": read(spark, sf, "lineitem")}, spec, rows_per_range=20_000)
 
 
 @register("agg_median_global", "SELECT median(o_totalprice) AS median_price, max(o_totalprice) AS max_price FROM orders")
@@ -196,7 +196,7 @@ def agg_median_global(spark, sf):
     spec = AggregateTable(
         "orders", [], [Metric("o_totalprice", "median", "median_price"), Metric("o_totalprice", "max", "max_price")]
     )
-    return aggregate_table({"orders": read(spark, sf, "orders")}, spec, rows_per_range=2000)
+    return aggregate_table({"orders": read(spark, sf, "orders")}, spec, rows_per_range=5000)
 
 
 @register("agg_median_approx")
