@@ -203,8 +203,15 @@ def dataset_summary(profile: DataFrame, issues: DataFrame, views: DataFrame, vis
     )
     latest_views = _latest(views, version, "saved_views", "view_id", "name", "source_type", "row_count", "column_count")
     latest_visuals = _latest(visuals, version, "saved_visuals", "visual_id", "title", "chart_type")
-    keyed = tables.withColumn("version_number", F.lit(version))
-    return keyed.join(latest_views, "version_number", "left").join(latest_visuals, "version_number", "left")
+    # The lists belong to the version: one row each, spread over its tables by a window.
+    rows = (
+        tables.withColumn("version_number", F.lit(version))
+        .unionByName(latest_views, allowMissingColumns=True)
+        .unionByName(latest_visuals, allowMissingColumns=True)
+    )
+    whole = Window.partitionBy("version_number")
+    listed = {n: F.first(n, ignorenulls=True).over(whole) for n in ("saved_views", "saved_visuals")}
+    return rows.withColumns(listed).filter(F.col("table_name").isNotNull())
 
 
 def _latest(rows: DataFrame, version: int, output: str, *names: str) -> DataFrame:

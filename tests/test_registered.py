@@ -35,6 +35,7 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     text = plan(entry.queries()["filter_sort_limit"](spark, SF))
     assert "TakeOrderedAndProject" in text
     assert "EqualTo(o_orderstatus,F)" in text and "GreaterThanOrEqual(o_totalprice" in text

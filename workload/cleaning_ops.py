@@ -100,14 +100,15 @@ def clean_clip(spark, sf):
 
 
 def _dirty_orders(spark, sf):
-    """Orders as they might come in: padded, incomplete, every tenth twice."""
+    """Orders as they might come in: padded, incomplete, urgent ones twice."""
     orders = read(spark, sf, "orders").select(
         "o_orderkey",
         F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("o_custkey"),
         F.concat(F.lit(" "), "o_orderstatus").alias("o_orderstatus"),
         F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
     )
-    return orders.unionByName(orders.filter(F.col("o_orderkey") % 10 == 0))
+    return orders.unionByName(orders.filter(F.col("urgent"))).drop("urgent")
 
 
 _STEPS = [
@@ -130,7 +131,7 @@ def clean_batch(spark, sf):
 
 
 _COUNTS_SQL = """
-    n AS (SELECT count(*) AS once, count(*) FILTER (o_orderkey % 10 = 0) AS twice,
+    n AS (SELECT count(*) AS once, count(*) FILTER (o_orderpriority = '1-URGENT') AS twice,
                  count(*) FILTER (o_orderkey % 11 = 0) AS gone,
                  count(*) FILTER (o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0) AS filled FROM orders)"""
 

@@ -128,7 +128,7 @@ def profile_approx(spark, sf):
 
 
 def _dirty(spark, sf):
-    """Orders as they might come in: numbers and dates as text, gaps, padding, copies."""
+    """Orders as they might come in: numbers and dates as text, gaps, padding, urgent ones twice."""
     key = F.col("o_orderkey")
     orders = read(spark, sf, "orders").select(
         key.alias("order_id"),
@@ -138,17 +138,18 @@ def _dirty(spark, sf):
         F.concat(F.when(key % 3 == 0, F.lit(" ")).otherwise(F.lit("")), "o_orderstatus").alias("note"),
         F.when(key % 2 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(key.cast("string")).alias("memo"),
         F.concat(F.lit("c"), "o_custkey").alias("channel"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
     )
-    return orders.unionByName(orders.filter(key % 10 == 0))
+    return orders.unionByName(orders.filter(F.col("urgent"))).drop("urgent")
 
 
 _DIRTY_SQL = """
-    o AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0),
+    o AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'),
     d AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS amount,
                  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS segment,
                  o_orderkey % 3 = 0 AS padded, o_custkey FROM o),
     t AS (SELECT count(*) AS n, count(*) - count(amount) AS no_amount, count(*) - count(segment) AS no_segment,
-                 count(*) FILTER (padded) AS padded, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS twice FROM d)"""
+                 count(*) FILTER (padded) AS padded, (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS twice FROM d)"""
 
 
 @register("issues_orders", f"""

@@ -131,8 +131,9 @@ def import_stream(spark, sf):
     folder, root, checkpoint = (scratch(spark, n) for n in ("arriving", "dataset", "progress"))
     events = read(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     schema = "event_id bigint, user_id bigint, event_type string, value double"
-    for part in (0, 1):
-        events.filter(F.col("event_id") % 2 == part).write.mode("append").option("header", True).csv(folder)
+    clicks = F.col("event_type").isin("click", "view")
+    for arriving in (clicks, ~clicks):
+        events.filter(arriving).write.mode("append").option("header", True).csv(folder)
         import_arrivals(spark, folder, schema, root, "Events", checkpoint).awaitTermination()
     data = Dataset(spark, root)
     return data.tables(1)["events"].union(data.tables(2)["events"])
