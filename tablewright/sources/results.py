@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, is_dataclass
 from typing import Any
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.errors import ToolError
-from tablewright.operators.charts import series_label
+from tablewright.operators.charts import ChartResult, series_label
 from tablewright.sources import registry
 from tablewright.specs import PREVIEW_ROWS, RESULT_ROWS, Chart, ViewSource
 
@@ -47,7 +48,7 @@ def _writer(df: DataFrame, fmt: str, path: str) -> None:
 def _reader(spark: SparkSession, fmt: str, path: str, schema: str | None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt == "csv":
-        return reader.csv(path, header=True, escape='"', inferSchema=schema is None)
+        return reader.csv(path, header=True, escape='"', multiLine=True, inferSchema=schema is None)
     return reader.json(path) if fmt == "json" else reader.parquet(path)
 
 
@@ -152,6 +153,12 @@ class ResultStore:
         )
         return visual_id
 
+    def save_visual_result(self, results: Sequence[ChartResult], version: int, index: int = 0, title: str = "") -> str:
+        """Save one chart of a batch."""
+        if not 0 <= index < len(results) or results[index].data is None:
+            raise ToolError(f"There is no chart {index} in the batch")
+        return self.save_visual(results[index].chart, results[index].data, version, title)
+
     def visuals(self, version: int | None = None) -> DataFrame:
         return _listed(self.spark, f"{self.root}/_visuals", _VISUALS, "visual_id", version)
 

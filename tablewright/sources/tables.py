@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,11 @@ from tablewright.sources.registry import child_names
 from tablewright.specs import PREVIEW_ROWS
 
 MIN_DATE_SHARE = 0.5
+# Words that stand for a missing value in a CSV.
+MISSING_WORDS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 FORMATS = ("csv", "parquet", "json")
 
 
@@ -44,19 +49,29 @@ def unique_table_names(names: Iterable[str]) -> list[str]:
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "csv",
+    schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """One file or folder of files. Give a schema for large CSV or JSON: inferring it reads them."""
+    """One file or folder of files.
+
+    Without a schema the types of a CSV are found by a pass over all its values; give one
+    to save that pass. `multi_line=False` lets Spark split large CSV files, and is right
+    when no quoted value holds a line break.
+    """
+    df = _raw(spark, path, fmt, schema, multi_line)
+    return _recognised(df, numbers=True) if fmt == "csv" and schema is None else df
+
+
+def _raw(spark, path: str, fmt: str, schema=None, multi_line: bool = True) -> DataFrame:
     if fmt not in FORMATS:
         raise ToolError(f"Unsupported format '{fmt}'. Allowed: {FORMATS}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
-        # Dates stay text here: normalise_table recognises all spellings alike.
-        inferred = {"inferSchema": True, "preferDate": False, "timestampFormat": "'none'"}
-        return reader.options(header=True, escape='"', **(inferred if schema is None else {})).csv(path)
-    if fmt == "json":
-        return reader.json(path)
-    return reader.parquet(path)
+        return reader.csv(path, header=True, escape='"', multiLine=multi_line)
+    return reader.json(path) if fmt == "json" else reader.parquet(path)
 
 
 def normalise_table(df: DataFrame) -> DataFrame:
@@ -65,57 +80,88 @@ def normalise_table(df: DataFrame) -> DataFrame:
     One pass counts, for every text column, how many values each date format reads. The
     best format is used for the column when it reads at least half of the values.
     """
+    return _recognised(df, dates=True)
+
+
+def _recognised(df: DataFrame, numbers: bool = False, dates: bool = False) -> DataFrame:
+    """Text columns with the types their values have, decided by one aggregate over all of them.
+
+    A column becomes bigint, double or boolean only if every value does.
+    """
     df = nulls.without_nan(df)
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
+    if numbers:
+        df = df.withColumns({n: F.when(~nulls.col(n).isin(*MISSING_WORDS), nulls.col(n)) for n in texts})
     filled = {n: F.when(parse.trimmed(nulls.col(n)) != "", nulls.col(n)) for n in texts}
-    hits = df.agg(
-        *[F.count(filled[n]).alias(f"n{i}") for i, n in enumerate(texts)],
-        *[
-            F.count(parse.to_time(filled[n], fmt)).alias(f"h{i}_{j}")
-            for i, n in enumerate(texts)
-            for j, fmt in enumerate(parse.DATE_FORMATS)
-        ],
+
+    def readings(c: Column) -> dict[str, Column]:
+        found = {"filled": c}
+        if numbers:
+            found |= {"bigint": c.try_cast("bigint"), "double": parse.to_number(c), "boolean": _boolean(c)}
+        if dates:
+            found |= {f: parse.to_time(c, f) for f in parse.DATE_FORMATS}
+        return found
+
+    read = {n: readings(c) for n, c in filled.items()}
+    counts = df.agg(
+        *[F.count(c).alias(f"{i}.{kind}") for i, n in enumerate(texts) for kind, c in read[n].items()]
     ).first()
-    best: dict[str, str] = {}
+    out = {}
     for i, n in enumerate(texts):
-        per_format = [hits[f"h{i}_{j}"] for j in range(len(parse.DATE_FORMATS))]
-        most = max(per_format)
-        if hits[f"n{i}"] and most / hits[f"n{i}"] >= MIN_DATE_SHARE:
-            best[n] = parse.DATE_FORMATS[per_format.index(most)]
-    return df.select(
-        *[
-            (parse.to_time(filled[n], best[n]) if n in best else filled[n]).alias(n)
-            if n in filled else nulls.col(n)
-            for n in df.columns
-        ]
-    )
-
-
-def import_tables(
-    sources: Mapping[str, DataFrame], normalise: bool = True
-) -> dict[str, DataFrame]:
+        hits = {kind: counts[f"{i}.{kind}"] for kind in read[n]}
+        out[n] = read[n][_best_reading(hits)]
+    return df.select(*[(out[n] if n in out else nulls.col(n)).alias(n) for n in df.columns])
+
+
+def _best_reading(hits: Mapping[str, int]) -> str:
+    present = hits["filled"]
+    if present == 0:
+        return "filled"
+    for kind in ("bigint", "double", "boolean"):
+        if hits.get(kind) == present:
+            return kind
+    by_format = {f: hits[f] for f in parse.DATE_FORMATS if f in hits}
+    best = max(by_format, key=by_format.get, default=None)
+    return best if best and by_format[best] / present >= MIN_DATE_SHARE else "filled"
+
+
+def _boolean(c: Column) -> Column:
+    return F.when(c.isin("True", "TRUE", "true"), True).when(c.isin("False", "FALSE", "false"), False)
+
+
+def import_tables(sources: Mapping[str, DataFrame], normalise: bool = True) -> dict[str, DataFrame]:
     """Named tables under safe unique names, empty ones left out."""
+    kept = _not_empty(sources)
+    return {n: normalise_table(df) if normalise else df for n, df in kept.items()}
+
+
+def _not_empty(sources: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     kept = {n: df for n, df in sources.items() if not df.isEmpty()}
     if not kept:
         raise ToolError("There is no table with rows")
-    names = unique_table_names(kept)
-    return {n: normalise_table(df) if normalise else df for n, df in zip(names, kept.values())}
+    return dict(zip(unique_table_names(kept), kept.values()))
 
 
-def import_directory(spark: SparkSession, path: str, fmt: str = "csv", normalise: bool = True) -> dict[str, DataFrame]:
-    """Every file or sub-folder of a folder as one table."""
+def import_directory(
+    spark: SparkSession, path: str, fmt: str = "csv", normalise: bool = True, multi_line: bool = True
+) -> dict[str, DataFrame]:
+    """Every file or sub-folder of a folder as one table; numbers and dates of a CSV in one pass."""
     found = {}
     for name, is_folder in child_names(spark, path):
         stem, dot, suffix = name.rpartition(".")
         other = suffix in FORMATS and suffix != fmt
         if name.startswith(("_", ".")) or (dot and other) or not (is_folder or suffix == fmt):
             continue
-        found[stem if dot and suffix == fmt else name] = read_table(spark, f"{path}/{name}", fmt)
+        found[stem if dot and suffix == fmt else name] = _raw(spark, f"{path}/{name}", fmt, None, multi_line)
     if not found:
         raise ToolError(f"No {fmt} tables in {path}")
-    return import_tables(found, normalise)
+    is_csv = fmt == "csv"
+    return {
+        n: _recognised(df, numbers=is_csv, dates=normalise) if is_csv or normalise else df
+        for n, df in _not_empty(found).items()
+    }
 
 
 def preview(tables: Mapping[str, DataFrame], name: str, limit: int = PREVIEW_ROWS) -> DataFrame:

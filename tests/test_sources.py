@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from tablewright import Dataset, ResultStore, ToolError, import_directory, read_table
+from tablewright import Dataset, ResultStore, ToolError, chart_batch, import_directory, read_table
 from tablewright.sources.results import table_output
 from tablewright.sources.tables import import_tables, normalise_table, preview, table_info, table_name, unique_table_names
 from tablewright.sources.texts import read_texts, text_statistics
@@ -39,6 +39,18 @@ def test_csv_directory(spark, tmp_path):
     assert typed.schema["revenue"].dataType.simpleString() == "bigint"
 
 
+def test_csv_types(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(
+        'i,d,b,s,n,quoted,day\n1,1,True,x,NA,"two\nlines",2024-01-01\n007,NA,false,NA,,"a ""q""",x\n ,2.5,NULL,5,nan,z,2024-01-03\n')
+    typed = read_table(spark, str(tmp_path / "t.csv"))
+    assert [f.dataType.simpleString() for f in typed.schema] == ["bigint", "double", "boolean", "string", "string", "string", "string"]
+    assert [tuple(r) for r in typed.collect()] == [
+        (1, 1.0, True, "x", None, "two\nlines", "2024-01-01"), (7, None, False, None, None, 'a "q"', "x"),
+        (None, 2.5, None, "5", None, "z", "2024-01-03")]
+    whole = import_directory(spark, str(tmp_path))["t"]
+    assert [f.dataType.simpleString() for f in whole.schema][-1] == "timestamp_ntz" and whole.schema["i"].dataType.simpleString() == "bigint"
+
+
 def test_normalise_keeps_mostly_other_text(spark):
     df = spark.createDataFrame([("2024-01-01", float("nan")), ("x", 1.0), ("y", None)], "a string, b double")
     out = normalise_table(df)
@@ -88,7 +100,7 @@ def test_unfinished_version_is_not_seen(spark, tmp_path):
 @pytest.mark.parametrize("fmt", ["csv", "parquet", "json"])
 def test_views(spark, tmp_path, fmt):
     store = ResultStore(spark, str(tmp_path))
-    df = spark.createDataFrame([(1, 'a "q", b', None), (2, None, 2.5)], "a int, b string, c double")
+    df = spark.createDataFrame([(1, 'a "q",\n b', None), (2, None, 2.5)], "a int, b string, c double")
     view = store.save_view(df, "first", 1, {"k": 1}, fmt=fmt)
     other = store.save_view(df, "second", 2, fmt=fmt)
     assert rows(store.read_view(view)) == rows(df)
@@ -109,8 +121,12 @@ def test_visuals(spark, tmp_path):
     assert rows(store.visual_data(visual)) == rows(data)
     row = store.visuals(1).first()
     assert (row["title"], row["chart_type"], row["x_key"], row["y_key"], row["label"]) == ("Share", "pie", "status", "count", "Count")
+    batch = chart_batch({"t": data}, [Chart("t", "bar", "status", "count", "sum"), Chart("t", "bar", "nope")])
+    assert rows(store.visual_data(store.save_visual_result(batch, 2))) == rows(data)
+    with pytest.raises(ToolError):
+        store.save_visual_result(batch, 2, 1)
     store.delete_visual(visual)
-    assert store.visuals().count() == 0
+    assert store.visuals(1).count() == 0 and store.visuals().count() == 1
 
 
 def test_table_output(spark, tmp_path):
