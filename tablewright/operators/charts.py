@@ -82,8 +82,7 @@ def scatter(df: DataFrame, c: Chart) -> DataFrame:
     points = nulls.without_nan(df.select(nulls.col(c.x_column), nulls.col(c.y_column))).dropna()
     limit = c.limit or CHART_POINTS
     if c.sample_seed is not None:
-        by_hash = F.xxhash64(nulls.col(c.x_column), nulls.col(c.y_column), F.lit(c.sample_seed))
-        return points.orderBy(by_hash, *points.columns).limit(limit)
+        return points.orderBy(F.rand(c.sample_seed)).limit(limit)
     sort = [(c.x_column, c.sort == "desc"), (c.y_column, False)] if c.sort else []
     return sorted_and_limited(points, sort, limit)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.errors import ToolError
+from tablewright.functions import nulls
 from tablewright.operators.cleaning import CleaningRun, apply_cleaning
 from tablewright.operators.features import FeatureRun, apply_features
 from tablewright.sources import registry
@@ -28,6 +29,18 @@ _SCHEMA = (
 )
 
 
+_CLEANING_LOG, _FEATURE_LOG = "_cleaning_log", "_feature_log"
+_CLEANING_SCHEMA = (
+    "version_number int, sequence int, step_id string, table_name string, operation string, status string, "
+    "rows_before bigint, rows_after bigint, rows_removed bigint, rows_changed bigint, "
+    "columns_changed array<string>, error string"
+)
+_FEATURE_SCHEMA = (
+    "version_number int, sequence int, feature_id string, feature_name string, operation string, status string, "
+    "output_columns array<string>, output_table string, error string"
+)
+
+
 @dataclass(frozen=True)
 class Version:
     number: int
@@ -80,6 +93,7 @@ class Dataset:
         A folder that is there already is an error, unless `replace_unfinished` allows to
         overwrite what a failed attempt of the same version left behind. Row counts are
         read from the footers of the written files, so repeated tasks cannot distort them.
+        NaN is written as NULL.
         """
         if not tables:
             raise ToolError("A version needs at least one table")
@@ -91,7 +105,8 @@ class Dataset:
             raise ToolError(f"Folder exists already: {path}")
         mode = "overwrite" if replace_unfinished else "errorifexists"
         side_by_side(*[
-            lambda name=name, df=df: df.write.mode(mode).parquet(f"{path}/{name}") for name, df in tables.items()
+            lambda name=name, df=df: nulls.without_nan(df).write.mode(mode).parquet(f"{path}/{name}")
+            for name, df in tables.items()
         ])
         written = {n: self.spark.read.parquet(f"{path}/{n}") for n in tables}
         info = [(r["table_name"], r["row_count"], r["column_count"]) for r in table_info(written).collect()]
@@ -106,16 +121,38 @@ class Dataset:
         """A new version with the tables of an older one."""
         return self.write(self.tables(number), kind, parent=number)
 
-    def clean(self, steps: Iterable[CleaningStep], number: int | None = None) -> tuple[Version, CleaningRun]:
-        """Apply cleaning steps and write the result; a failed step leaves no version behind."""
+    def clean(
+        self, steps: Iterable[CleaningStep], number: int | None = None, log: bool = True
+    ) -> tuple[Version, CleaningRun]:
+        """Apply cleaning steps and write the result; a failed step leaves no version behind.
+
+        `log` also keeps the row counts of every step, for another scan of the touched columns.
+        """
         parent = self.get(number)
         run = apply_cleaning(self.tables(parent.number), steps, stage_deduplicated=True)
         if run.failed:
             raise ToolError("; ".join(f"step {n.sequence}: {n.error}" for n in run.failed))
-        return self.write(run.tables, VersionType.cleaned, parent.number), run
+        version = self.write(run.tables, VersionType.cleaned, parent.number)
+        if log:
+            self._log(_CLEANING_LOG, run.metrics(), version)
+        return version, run
 
     def enrich(self, features: Iterable[Feature], number: int | None = None) -> tuple[Version, FeatureRun]:
         """Apply features and write the result; failed features are left out."""
         parent = self.get(number)
         run = apply_features(self.tables(parent.number), features)
-        return self.write({**run.tables, **run.new_tables}, VersionType.enriched, parent.number), run
+        version = self.write({**run.tables, **run.new_tables}, VersionType.enriched, parent.number)
+        self._log(_FEATURE_LOG, run.log(self.spark), version)
+        return version, run
+
+    def _log(self, name: str, rows: DataFrame, version: Version) -> None:
+        numbered = rows.select(F.lit(version.number).alias("version_number"), "*")
+        numbered.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")  # one row per step
+
+    def cleaning_log(self) -> DataFrame:
+        """One row per cleaning step of every cleaned version."""
+        return registry.read(self.spark, f"{self.root}/{_CLEANING_LOG}", _CLEANING_SCHEMA)
+
+    def feature_log(self) -> DataFrame:
+        """One row per feature of every enriched version."""
+        return registry.read(self.spark, f"{self.root}/{_FEATURE_LOG}", _FEATURE_SCHEMA)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewright.errors import ToolError
 
 _local_roots: dict[str, str] = {}
+_kept: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,9 +45,24 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write the table once and return a scan of what was written.
 
-    The result may be read at any later time, so its files stay until the folder is tidied.
+    The result may be read at any later time, so its files stay until `tidy` is called.
     """
-    return _written(df, _new_path(df.sparkSession, label))
+    path = _new_path(df.sparkSession, label)
+    _kept.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return _written(df, path)
+
+
+def tidy(spark: SparkSession) -> int:
+    """Remove what `stage` wrote in this session, once no result built on it is needed any more."""
+    paths = _kept.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 @contextmanager
@@ -56,8 +72,7 @@ def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
     try:
         yield _written(df, path)
     finally:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _remove(spark, path)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@ import datetime as dt
 import pytest
 
 from tablewright import Dataset, ResultStore, ToolError, chart_batch, import_directory, read_table
+from tablewright.sources import registry
 from tablewright.sources.results import table_output
 from tablewright.sources.tables import import_tables, normalise_table, preview, table_info, table_name, unique_table_names
 from tablewright.sources.texts import read_texts, text_statistics
 from tablewright.specs import Chart, CleaningStep, Feature
+from tablewright.staging import stage, staged, tidy
 from tablewright.streaming.arrivals import import_arrivals
 from tests.conftest import rows
 
@@ -80,6 +82,9 @@ def test_versions(spark, tmp_path):
     assert data.get().number == 2
     enriched, steps = data.enrich([Feature("agg", "aggregate", "t", (), {"value_column": "revenue", "group_by": "product"}), Feature("bad", "custom_formula", "t")])
     assert enriched.tables == ("t", "product_revenue_agg") and len(steps.steps) == 2
+    assert [tuple(r) for r in data.cleaning_log().orderBy("sequence").select("version_number", "operation", "rows_after", "rows_changed").collect()] == [
+        (2, "strip_whitespace", 3, 1), (2, "drop_rows", 2, 0)]
+    assert rows(data.feature_log(), "version_number", "feature_name", "status") == [(3, "agg", "success"), (3, "bad", "failed")]
     with pytest.raises(ToolError, match="exists"):
         data.write({"t": df}, number=2)
     assert data.copy(1).number == 4
@@ -87,6 +92,23 @@ def test_versions(spark, tmp_path):
     assert [tuple(r) for r in got] == [("original", None, 3, 2), ("cleaned", 1, 2, 2), ("enriched", 2, 4, 2), ("enriched", 1, 3, 2)]
 
 
+def test_written_versions_hold_no_nan(spark, tmp_path):
+    data = Dataset(spark, str(tmp_path / "d"))
+    data.write({"t": spark.createDataFrame([(float("nan"),), (1.0,)], "v double")})
+    assert rows(data.tables()["t"]) == [(None,), (1.0,)]
+
+
+def test_staged_tables(spark):
+    df = stage(spark.range(5), "test")
+    (path,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    assert df.count() == 5 and registry.path_exists(spark, path)
+    with staged(spark.range(3), "test") as inner:
+        assert inner.count() == 3
+        (other,) = {f.rsplit("/", 1)[0] for f in inner.inputFiles()}
+    assert not registry.path_exists(spark, other)
+    assert tidy(spark) >= 1 and not registry.path_exists(spark, path)
+
+
 def test_unfinished_version_is_not_seen(spark, tmp_path):
     data = Dataset(spark, str(tmp_path / "d"))
     spark.range(3).write.parquet(str(tmp_path / "d/v1_original/t"))

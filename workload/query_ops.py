@@ -188,7 +188,7 @@ def agg_median_prices(spark, sf):
         [Metric("l_extendedprice", "median", "price"), Metric("l_discount", "median", "discount"),
          Metric("l_orderkey", "count", "n")], limit=None,
     )
-    return aggregate_table({"lineitem": read(spark, sf, "lineitem")}, spec, rows_per_range=20_000)
+    return aggregate_table({"lineitem": read(spark, sf, "lineitem")}, spec, rows_per_range=50_000)
 
 
 @register("agg_median_global", "SELECT median(o_totalprice) AS median_price, max(o_totalprice) AS max_price FROM orders")
