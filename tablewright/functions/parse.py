@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The date spellings that are recognised, tried in this order.
-# "iso" stands for the ISO date or timestamp, with or without a time of day.
-DATE_FORMATS = (
-    "iso",
-    "M-d-yyyy",
-    "M/d/yyyy",
-    "yyyy/M/d",
-    "MMM d, yyyy",
-    "d MMM yyyy",
-    "yyyyMMdd",
-)
+# The date spellings that are recognised, tried in this order, and the shape
+# each one has. "iso" stands for the ISO date or timestamp, with or without a time of day.
+_SHAPES = {
+    "iso": r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$",
+    "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
+DATE_FORMATS = tuple(_SHAPES)
+_ANY_SHAPE = r"^(\d{4}[-/]\d|\d{1,2}[-/ ][\dA-Za-z]|[A-Za-z]{3} \d|\d{8}$)"
+# What a number looks like. Java would also read 1d, 2f and 0x1p3; data files do not mean that.
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))$"
 
 # Every character that counts as white space, of any script.
 WHITE_SPACE = (
@@ -25,10 +29,6 @@ WHITE_SPACE = (
 # No date is longer; longer texts are not looked into.
 DATE_LENGTH = 64
 
-_ISO_START = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
-# Java reads 1d, 2f and 0x1p3 as numbers; data files do not mean that.
-_JAVA_ONLY_NUMBER = r"[dDxXpP]|[^nN][fF]$"
-
 
 def trimmed(c: Column) -> Column:
     """Without leading and trailing white space of any script; only the ends are looked at."""
@@ -39,29 +39,30 @@ def is_padded(c: Column) -> Column:
     return c != trimmed(c)
 
 
+# A value is parsed only if it has the right shape: a failed parse costs an exception inside
+# Spark, which for a column of ordinary words takes far longer than reading it.
+
+
 def to_number(c: Column) -> Column:
     """Double value of a text, NULL where it is no number or reads NaN."""
-    value = F.when(~F.trim(c).rlike(_JAVA_ONLY_NUMBER), c.try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    text = trimmed(c)
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def to_time(c: Column, date_format: str) -> Column:
     """Wall-clock timestamp of a text in one format, else NULL."""
     text = trimmed(c)
-    text = F.when(F.length(text) <= DATE_LENGTH, text)
+    fits = (F.length(text) <= DATE_LENGTH) & text.rlike(_SHAPES[date_format])
     if date_format == "iso":
-        return F.when(text.rlike(_ISO_START), text.try_cast("timestamp_ntz"))
-    if date_format == "yyyyMMdd":
-        # Longer digit runs would be read as a year of more than four digits.
-        parsed = F.when(F.length(text) == 8, F.try_to_date(text, date_format))
-    else:
-        parsed = F.try_to_date(text, date_format)
-    return parsed.cast("timestamp_ntz")
+        return F.when(fits, text.try_cast("timestamp_ntz"))
+    return F.when(fits, F.try_to_date(text, date_format)).cast("timestamp_ntz")
 
 
 def to_time_any(c: Column) -> Column:
     """Wall-clock timestamp of a text in any recognised format, value by value."""
-    return F.coalesce(*[to_time(c, f) for f in DATE_FORMATS])
+    text = trimmed(c)
+    shaped = (F.length(text) <= DATE_LENGTH) & text.rlike(_ANY_SHAPE)
+    return F.when(shaped, F.coalesce(*[to_time(c, f) for f in DATE_FORMATS]))
 
 
 def micros(c: Column) -> Column:

@@ -214,6 +214,7 @@ _NAMED = {
     "std": F.stddev_samp,
     "var": F.var_samp,
     "nunique": F.count_distinct,
+    "approx_nunique": F.approx_count_distinct,
 }
 
 

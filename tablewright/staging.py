@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.errors import ToolError
@@ -80,10 +81,11 @@ def small(df: DataFrame) -> DataFrame:
 
     Only for metadata such as profile rows, which several later plans read again.
     """
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.collect(), df.schema, verifySchema=False)
 
 
 def side_by_side(*jobs):
     """Run independent Spark actions at the same time; their results in order."""
     with ThreadPoolExecutor(max_workers=min(len(jobs), 4) or 1) as pool:
-        return [f.result() for f in [pool.submit(j) for j in jobs]]
+        # Job groups and scheduler pools of the caller apply to the jobs as well.
+        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]

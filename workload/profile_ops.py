@@ -193,6 +193,18 @@ def suggest_cleaning_orders(spark, sf):
     )
 
 
+@register("cleaning_plan_summary", f"""
+    WITH {_DIRTY_SQL}
+    SELECT 'orders' AS table_name, CAST(8 AS BIGINT) AS total_steps, CAST(6 AS BIGINT) AS steps_requiring_approval,
+           CAST(0 AS BIGINT) AS auto_approved_steps, CAST(2 AS BIGINT) AS auto_ignored_steps,
+           CAST(twice + no_amount AS BIGINT) AS estimated_row_count_change,
+           'amount,day_text,segment,note,memo,channel' AS estimated_columns_changed FROM t""")
+def cleaning_plan_summary(spark, sf):
+    p = profile_table(_dirty(spark, sf), "orders")
+    out = cleaning_plan.summarize_cleaning(suggest_cleaning(p.columns, p.issues))
+    return out.withColumn("estimated_columns_changed", F.concat_ws(",", "estimated_columns_changed"))
+
+
 @register("decisions_orders", """
     SELECT CAST(8 AS BIGINT) AS total_steps, CAST(2 AS BIGINT) AS approved_steps, CAST(1 AS BIGINT) AS rejected_steps,
            CAST(1 AS BIGINT) AS modified_steps, CAST(1 AS BIGINT) AS auto_approved_steps,

@@ -84,6 +84,17 @@ def version_clean_enrich(spark, sf):
     return data.versions().select("version_number", "parent_version", "version_type", "row_count")
 
 
+@register("cleaning_log", """
+    SELECT CAST(1 AS INTEGER) AS sequence, 'drop_rows' AS operation, CAST(count(*) AS BIGINT) AS rows_before,
+           CAST(count(*) FILTER (o_orderstatus <> 'P') AS BIGINT) AS rows_after FROM orders UNION ALL
+    SELECT CAST(2 AS INTEGER), 'strip_whitespace', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT) FROM orders WHERE o_orderstatus <> 'P'""")
+def cleaning_log(spark, sf):
+    data = Dataset(spark, scratch(spark, "dataset"))
+    data.write({"orders": read(spark, sf, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))})
+    data.clean([CleaningStep("orders", "drop_rows", "o_orderstatus"), CleaningStep("orders", "strip_whitespace", "o_orderpriority")])
+    return data.cleaning_log().select("sequence", "operation", "rows_before", "rows_after")
+
+
 @register("view_roundtrip", "SELECT o_custkey, max(o_totalprice) AS best FROM orders GROUP BY 1")
 def view_roundtrip(spark, sf):
     store = ResultStore(spark, scratch(spark, "results"))
