@@ -87,5 +87,6 @@ def small(df: DataFrame) -> DataFrame:
 def side_by_side(*jobs):
     """Run independent Spark actions at the same time; their results in order."""
     with ThreadPoolExecutor(max_workers=min(len(jobs), 4) or 1) as pool:
-        # Job groups and scheduler pools of the caller apply to the jobs as well.
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        # Job groups, tags and scheduler pools of the caller apply to the jobs as well.
+        own = inheritable_thread_target(SparkSession.active())
+        return [f.result() for f in [pool.submit(own(j)) for j in jobs]]
