@@ -137,20 +137,20 @@ def _accepted(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough."""
-    pairs = written(pairs.distinct(), "pairs")
+def _shingle_sets(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The whole set of every document that a pair names. The texts are shuffled once; the
+    join is the same at every size."""
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = written(
-        texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, shingles binary")
-        .dropDuplicates(["doc_id"]), "sets",
-    )
+    named = texts.hint("merge").join(ids, "doc_id", "left_semi")
+    return written(named.mapInArrow(_set_rows(k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
-    out = written(pairs.join(right, "v").join(left, "u").mapInArrow(_accepted(percent), "u long, v long"), "links")
-    drop_written(pairs)
-    drop_written(sets)
-    return out
+    joined = pairs.hint("merge").join(right, "v").hint("merge").join(left, "u")
+    return written(joined.mapInArrow(_accepted(percent), "u long, v long"), "links")
 
 
 def _likely_pairs(percent: int):
@@ -176,15 +176,58 @@ def _likely_pairs(percent: int):
                 j = j[(signatures[j] == signatures[i]).sum(axis=1) >= LEAST_ESTIMATE * PLACES]
             if len(j):
                 j = j[(keys[j] == keys[i]).all(axis=2).argmax(axis=1) == band]
-                us.append(np.minimum(rep[j], rep[i]))
-                vs.append(np.maximum(rep[j], rep[i]))
-        both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs)]
-        return pa.table({"u": both[0], "v": both[1]})
+                us.append(np.full(len(j), i))
+                vs.append(j)
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        named = np.union1d(u, v)
+        return pa.table({
+            "key": np.full(len(named), key), "i": np.full(len(named), tile[0], np.int32), "j": np.full(len(named), tile[1], np.int32),
+            "doc_id": rep[named], "partners": W.binary(rep[v], np.concatenate((np.searchsorted(u, named), [len(u)]))),
+        })
+    return run
+
+
+def _block_links(percent: int):
+    """Links of one block: listed pairs checked on whole sets, reduced to a spanning forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["doc_id"].to_numpy()
+        table = table.take(pa.array(np.argsort(ids, kind="stable")))
+        ids = np.sort(ids)
+        values, bounds = W.runs(table["shingles"], np.uint64)
+        partners, at = W.runs(table["partners"], np.int64)
+        distinct, coded = np.unique(values, return_inverse=True)
+        there, size = np.zeros(len(distinct), dtype=bool), np.diff(bounds)
+        root = list(range(len(ids)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for i in range(len(ids)):
+            others = np.searchsorted(ids, partners[at[i] : at[i + 1]])
+            if not len(others):
+                continue
+            there[coded[bounds[i] : bounds[i + 1]]] = True
+            ends = np.cumsum(size[others])
+            places = np.arange(ends[-1]) + np.repeat(bounds[others] - (ends - size[others]), size[others])
+            common = np.add.reduceat(there[coded[places]].astype(np.int64), ends - size[others])
+            there[coded[bounds[i] : bounds[i + 1]]] = False
+            for o in others[100 * common >= percent * (size[i] + size[others] - common)].tolist():
+                a, b = top(i), top(o)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    links.append((ids[i], ids[o]))
+        found = np.array(links, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"u": found[:, 0], "v": found[:, 1]})
     return run
 
 
-def _across(members: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across components in the buckets that hold several."""
+def _across(members: DataFrame, found: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components in the buckets that hold several. A document is sent to a block
+    once with its set and the list of those it may be linked with, never once per pair."""
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(
@@ -197,7 +240,9 @@ def _across(members: DataFrame, found: DataFrame, reps: DataFrame, percent: int)
         .select("key", "rep", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
         .join(reps.select("rep", "n_shingles", "signature"), "rep")
     )
-    return rows.groupBy("key", "i", "j").applyInArrow(_likely_pairs(percent), "u long, v long")
+    likely = rows.groupBy("key", "i", "j").applyInArrow(
+        _likely_pairs(percent), "key long, i int, j int, doc_id long, partners binary")
+    return likely.join(sets, "doc_id").groupBy("key", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
 
 
 def near_duplicates(
@@ -224,15 +269,18 @@ def near_duplicates(
     pivots = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot != last")
     members = written(bands.join(pivots.select("key", "pivot"), "key"), "members")
     stars = members.filter("rep != pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v"))
-    links = _verified(stars, texts, words, percent)
+    pairs = written(stars.distinct(), "pairs")
+    sets = _shingle_sets(pairs, texts, words)
+    links = _verified(pairs, sets, percent)
     found = written(components(links), "components")
-    more = _verified(_across(members.select("key", "rep"), found, reps, percent), texts, words, percent)
+    more = written(_across(members, found, reps, sets, percent), "links")
     if more.take(1):
         found = written(components(links.unionByName(more)), "components")
     whole = reps.select("d1", "d2", "n_shingles", "rep").join(
         found.withColumnRenamed("node", "rep"), "rep", "left",
     ).select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    drop_written(members)
+    for done in (members, pairs, sets):
+        drop_written(done)
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(whole, ["d1", "d2", "n_shingles"], "left")
     return out.select(
         "doc_id", "n_shingles",
