@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+from tablewright.llm import mixing
+from tablewright.llm.licenses import license_scan
+from tablewright.llm.near_dup import near_duplicates
+from tablewright.llm.quality_rules import quality_votes
 from workload.base import read, register
 
 
+@register("op2_quality_rules")
+def op2(spark, sf_dir):
+    return quality_votes(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good")
+
+
+@register("op5_mixing", mixing.ORACLE)
+def op5(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @register("op7_near_duplicates")
 def op7(spark, sf_dir):
-    from tablewright.llm.near_dup import near_duplicates
-
     return near_duplicates(read(spark, sf_dir, "documents"), words=4)
+
+
+@register("op8_licenses")
+def op8(spark, sf_dir):
+    return license_scan(read(spark, sf_dir, "documents"))
