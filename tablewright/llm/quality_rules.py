@@ -2,7 +2,7 @@
 
 Every rule says good (1), bad (-1) or nothing (0) about a text. Texts with the same votes are
 counted together (at most 3 to the number of rules patterns), and the model is fitted on
-these counts: a text is good with probability `prior`, a rule that votes is right with its own
+these counts: before any vote a text is as likely good as bad, a rule that votes is right with its own
 accuracy, and abstaining says nothing. Most rules only vote bad, since a text that keeps one
 rule is not good for that (bad texts often break a single one). The fit is one SQL expression over the patterns, so neither the rows nor the fit
 leave the engine, and no Python runs on executors.
@@ -20,8 +20,10 @@ from tablewright.llm.shared import ids_and_texts, written
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 30
-#: Start of the fit: share of good texts, accuracy of a rule; votes that count as seen at it; bounds.
-PRIOR, ACCURACY, SEEN, BOUNDS = 0.8, 0.9, 10.0, (0.55, 0.99)
+#: Share of good texts before any vote. Given, not fitted: rules that only vote bad do not determine it.
+PRIOR = 0.5
+#: Accuracy of a rule at the start; votes that count as seen at it; bounds.
+ACCURACY, SEEN, BOUNDS = 0.9, 10.0, (0.55, 0.99)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,12 +97,12 @@ def votes() -> dict[str, Column]:
 def _posterior(model: Column, pattern: Column) -> Column:
     """Probability of a good text given its votes."""
     log_odds = lambda p: F.log(p / (1.0 - p))
-    terms = F.zip_with(pattern, model["accuracy"], lambda v, a: v * log_odds(a))
-    return 1.0 / (1.0 + F.exp(-F.aggregate(terms, log_odds(model["prior"]), lambda s, t: s + t)))
+    terms = F.zip_with(pattern, model, lambda v, a: v * log_odds(a))
+    return 1.0 / (1.0 + F.exp(-F.aggregate(terms, log_odds(F.lit(PRIOR)), lambda s, t: s + t)))
 
 
 def _fitted(patterns: Column, n_rules: int, rounds: int) -> Column:
-    """prior and accuracies after so many rounds over array<struct<votes, n>>."""
+    """The accuracies after so many rounds over array<struct<votes, n>>."""
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     within = lambda x, low, high: F.least(F.lit(high), F.greatest(F.lit(low), x))
 
@@ -112,12 +114,9 @@ def _fitted(patterns: Column, n_rules: int, rounds: int) -> Column:
 
     def step(model: Column, _: Column) -> Column:
         weighed = F.transform(patterns, lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), _posterior(model, p["votes"]).alias("good")))
-        return let(weighed, lambda w: F.struct(
-            within((total(F.transform(w, lambda p: p["n"] * p["good"])) + SEEN * PRIOR) / (total(F.transform(w, lambda p: p["n"])) + SEEN), 0.01, 0.99).alias("prior"),
-            F.array(*[accuracy(w, j) for j in range(n_rules)]).alias("accuracy"),
-        ))
+        return let(weighed, lambda w: F.array(*[accuracy(w, j) for j in range(n_rules)]))
 
-    start = F.struct(F.lit(PRIOR).alias("prior"), F.array(*[F.lit(ACCURACY)] * n_rules).alias("accuracy"))
+    start = F.array(*[F.lit(ACCURACY)] * n_rules)
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
 
