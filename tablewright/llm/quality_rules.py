@@ -87,7 +87,7 @@ def votes() -> dict[str, Column]:
         "shouts": bad(shouts > 0.2),
         "upper_case": bad(upper > 0.3),
         "repeated_words": bad(again > 0.3),
-        "repeated_lines": bad(twice > 0.3),
+        "repeated_lines": bad(twice > 0.4),
         "line_ends": bad((ended < 0.1) & (n > 100)),
         "word_length": bad((mean < 2) | (mean > 14)),
         "prose": F.when((ended > 0.7) & (mean > 3) & (mean < 10) & (symbols < 0.02) & (shouts < 0.05) & (upper < 0.1) & (again < 0.1), 1).otherwise(0).cast("int"),

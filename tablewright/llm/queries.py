@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from tablewright.llm import mixing
 from tablewright.llm.licenses import license_scan
 from tablewright.llm.near_dup import near_duplicates
 from tablewright.llm.quality_rules import quality_votes
+from tablewright.llm.shared import shared_folder
+from tablewright.llm.token_output import token_digests
 from workload.base import read, register
 
 
@@ -28,3 +32,15 @@ def op7(spark, sf_dir):
 @register("op8_licenses")
 def op8(spark, sf_dir):
     return license_scan(read(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op9_token_output")
+def op9(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    return token_digests(read(spark, sf_dir, "documents"), tokenizer_path(), folder)
