@@ -8,6 +8,7 @@ from tablewright.llm import mixing
 from tablewright.llm.licenses import license_scan
 from tablewright.llm.near_dup import near_duplicates
 from tablewright.llm.quality_rules import quality_votes
+from tablewright.llm.repeats import remove_repeats
 from tablewright.llm.shared import shared_folder
 from tablewright.llm.token_output import token_digests
 from workload.base import read, register
@@ -44,3 +45,8 @@ def tokenizer_path() -> str:
 def op9(spark, sf_dir):
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     return token_digests(read(spark, sf_dir, "documents"), tokenizer_path(), folder)
+
+
+@register("op10_repeats")
+def op10(spark, sf_dir):
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
