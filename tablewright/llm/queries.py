@@ -5,11 +5,15 @@ from __future__ import annotations
 import uuid
 
 from tablewright.llm import mixing
+from tablewright.llm.decontaminate import benchmark_hits
+from tablewright.llm.knn_quality import neighbour_scores
 from tablewright.llm.licenses import license_scan
+from tablewright.llm.line_align import drop_aligned_lines
 from tablewright.llm.near_dup import near_duplicates
 from tablewright.llm.quality_rules import quality_votes
 from tablewright.llm.repeats import remove_repeats
 from tablewright.llm.shared import shared_folder
+from tablewright.llm.surrogates import replace_personal_data
 from tablewright.llm.token_output import token_digests
 from workload.base import read, register
 
@@ -50,3 +54,23 @@ def op9(spark, sf_dir):
 @register("op10_repeats")
 def op10(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op1_decontamination")
+def op1(spark, sf_dir):
+    return benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register("op6_quality_classifier")
+def op6(spark, sf_dir):
+    return neighbour_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register("op3_surrogates")
+def op3(spark, sf_dir):
+    return replace_personal_data(read(spark, sf_dir, "documents"))
+
+
+@register("op4_line_alignment")
+def op4(spark, sf_dir):
+    return drop_aligned_lines(read(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Texts are looked at in pieces of about so many bytes (one text is never divided).
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
