@@ -124,24 +124,52 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return ((sums > 1e-9).astype(np.uint64) << _BITS).sum(axis=-1, dtype=np.uint64)
 
 
+def _hits(items: Items, column: pa.Array) -> Iterator[tuple[int, tuple]]:
+    """(row, hit) of all hits in a column of texts."""
+    texts = W.words_of(column)
+    hashes = texts.hashes()
+    rolled, bounds = W.shingles(hashes, texts.first, items.k)
+    seen = np.concatenate(([0], np.cumsum(items.sieve[(rolled & np.uint64((1 << 20) - 1)).astype(np.int64)])))
+    for i in np.flatnonzero(seen[bounds[1:]] > seen[bounds[:-1]]).tolist():
+        for hit in items.search(hashes[texts.first[i] : texts.first[i + 1]]):
+            yield i, hit
+
+
+def _clean(items: Items, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.pieces(batches, text_col):
+            keep = np.ones(batch.num_rows, dtype=bool)
+            keep[[i for i, _ in _hits(items, W.column(batch, text_col))]] = False
+            yield batch.filter(pa.array(keep))
+    return run
+
+
 def _found(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches):
-            texts = W.words_of(W.column(batch, "text"))
-            hashes, ids = texts.hashes(), W.column(batch, "doc_id")
-            rolled, bounds = W.shingles(hashes, texts.first, items.k)
-            seen = np.concatenate(([0], np.cumsum(items.sieve[(rolled & np.uint64((1 << 20) - 1)).astype(np.int64)])))
-            rows = [
-                (ids[i].as_py(), *x)
-                for i in np.flatnonzero(seen[bounds[1:]] > seen[bounds[:-1]]).tolist()
-                for x in items.search(hashes[texts.first[i] : texts.first[i + 1]])
-            ]
+            ids = W.column(batch, "doc_id")
+            rows = [(ids[i].as_py(), *hit) for i, hit in _hits(items, W.column(batch, "text"))]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
     return run
 
 
+def _groups(items: DataFrame, words: int, similarity: float, item_id: str, item_text: str) -> Iterator[Items]:
+    """The items in groups of a bounded number of words, read one after the other."""
+    ids, held, size = [], [], 0
+    rows = items.select(items[item_id].cast("long").alias("i"), items[item_text].cast("string").alias("t")).dropna().distinct().orderBy("i", "t")
+    for row in rows.toLocalIterator():
+        if ids and size + len(row["t"]) // 2 > GROUP_WORDS:
+            yield Items(ids, held, words, similarity)
+            ids, held, size = [], [], 0
+        ids.append(row["i"])
+        held.append(row["t"])
+        size += len(row["t"]) // 2
+    if ids:
+        yield Items(ids, held, words, similarity)
+
+
 def benchmark_hits(
     docs: DataFrame, items: DataFrame, words: int = 5, similarity: float = 0.8,
     id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -157,33 +185,21 @@ def benchmark_hits(
     ship(docs.sparkSession)
     texts = ids_and_texts(docs, id_col, text_col)
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
-    out, ids, held, size = [], [], [], 0
+    out = docs.sparkSession.createDataFrame([], schema)
+    for n, group in enumerate(_groups(items, words, similarity, item_id, item_text)):
+        found = texts.mapInArrow(_found(group), schema)
+        out = out.unionByName(found) if n else found
+    return out
 
-    def search() -> None:
-        out.append(texts.mapInArrow(_found(Items(ids, held, words, similarity)), schema))
 
-    for row in items.select(items[item_id].cast("long").alias("i"), items[item_text].cast("string").alias("t")).dropna().distinct().orderBy("i", "t").toLocalIterator():
-        if ids and size + len(row["t"]) // 2 > GROUP_WORDS:
-            search()
-            ids, held, size = [], [], 0
-        ids.append(row["i"])
-        held.append(row["t"])
-        size += len(row["t"]) // 2
-    if ids:
-        search()
-    if not out:
-        return docs.sparkSession.createDataFrame([], schema)
-    both = out[0]
-    for more in out[1:]:
-        both = both.unionByName(more)
-    return both
-
-
-def contaminated_ids(hits: DataFrame) -> DataFrame:
-    return hits.select("doc_id").distinct()
-
-
-def drop_contaminated(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs without a hit, with all their columns."""
-    found = contaminated_ids(hits).withColumnRenamed("doc_id", "__hit").filter("__hit is not null")
-    return docs.join(found, docs[id_col] == F.col("__hit"), "left_anti")
+def without_benchmark(
+    docs: DataFrame, items: DataFrame, words: int = 5, similarity: float = 0.8,
+    text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows of docs whose text holds no item, with their columns; decided where they lie."""
+    ship(docs.sparkSession)
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    out = docs.toDF(*names)
+    for group in _groups(items, words, similarity, item_id, item_text):
+        out = out.mapInArrow(_clean(group, names[docs.columns.index(text_col)]), out.schema)
+    return out.toDF(*docs.columns)

@@ -101,11 +101,14 @@ def directions(rows: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     return np.ascontiguousarray(np.linalg.svd(basis.T @ rows, full_matrices=False)[2][:n].T)
 
 
-def _scored(idf: np.ndarray, axes: np.ndarray, known: np.ndarray, labels: np.ndarray, k: int, otherwise: float):
+def _scored(model: tuple, k: int, text_col: str = "text"):
+    """Adds the score to every row; all columns go through."""
+    idf, axes, known, labels, otherwise = model
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = min(k, len(known))
-        for batch in W.pieces(batches, size=W.PIECE // 2):
-            vectors = _unit(weighted(term_counts(W.column(batch, "text")), idf) @ axes)
+        for batch in W.pieces(batches, text_col, W.PIECE // 2):
+            vectors = _unit(weighted(term_counts(W.column(batch, text_col)), idf) @ axes)
             score = np.full(len(vectors), otherwise)
             for a in range(0, len(vectors), 256):
                 cosine = vectors[a : a + 256] @ known.T
@@ -114,7 +117,7 @@ def _scored(idf: np.ndarray, axes: np.ndarray, known: np.ndarray, labels: np.nda
                 total = weight.sum(axis=1)
                 some = total > 0
                 score[a : a + 256][some] = (weight * labels[at]).sum(axis=1)[some] / total[some]
-            yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), pa.array(np.clip(score, 0.0, 1.0))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(score, 0.0, 1.0))], [*batch.schema.names, "score"])
     return run
 
 
@@ -122,30 +125,28 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def neighbour_scores(
-    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-    per_class: int = PER_CLASS, neighbours: int = NEIGHBOURS,
-) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted, one row per row of docs.
+def fit(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS,
+) -> tuple:
+    """Idf, directions, vectors and labels of the sample, and the score of an empty text.
 
-    The model is fitted here: on `per_class` labelled texts of each class at most, those with
-    the smallest hashes of their id, none of them held out (crc32 of the id mod 5 is 0). Rows
-    of labels without id or label do not count, repeated ones once (an id with both labels
-    as 1). Missing, empty and blank texts, and all texts where no label is known, get the
-    share of label 1 among the labels used, 0.5 without any. Rows without an id are scored
-    like others. Other columns are not read; an empty table gives no rows.
+    The sample: `per_class` labelled texts of each class at most, those with the smallest
+    hashes of their id, none of them held out (crc32 of the id mod 5 is 0). Rows of labels
+    without id or label do not count, repeated ones once (an id with both labels as 1).
     """
     spark = docs.sparkSession
     ship(spark)
     texts = ids_and_texts(docs, id_col, text_col)
     usable = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).filter(
         "doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")).filter(~held_out(F.col("doc_id")))
+    # Only labels whose document is in the table; ids are joined without their texts.
+    usable = usable.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = None
     for label in (0, 1):
         some = usable.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     # 2 * per_class rows at most.
-    picked = spark.createDataFrame(chosen.collect(), chosen.schema)
+    picked = spark.createDataFrame(chosen.collect(), "doc_id long, label int")
     sample = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(
         _sparse, "doc_id long, label int, terms binary, counts binary").collect()
     sample.sort(key=lambda r: r["doc_id"])
@@ -153,16 +154,41 @@ def neighbour_scores(
     for row in texts.mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         frequency[row["term"] + 1] = row["n"]
     idf = np.log((1 + frequency[0]) / (1 + frequency[1:])).astype(np.float32) + np.float32(1)
+    if not sample:
+        return idf, np.zeros((TERMS, 1), np.float32), np.zeros((1, 1), np.float32), np.zeros(1), 0.5
     counts = np.zeros((len(sample), TERMS), dtype=np.float32)
     for i, row in enumerate(sample):
         counts[i, np.frombuffer(row["terms"], "<u2")] = np.frombuffer(row["counts"], "<f4")
     known = np.array([r["label"] for r in sample], dtype=np.float64)
-    share = float(known.mean()) if len(known) else 0.5
-    if len(sample):
-        rows = weighted(counts, idf)
-        axes = directions(rows, DIRECTIONS)
-        vectors = _unit(rows @ axes)
-    else:
-        axes, vectors, known = np.zeros((TERMS, 1), np.float32), np.zeros((1, 1), np.float32), np.zeros(1)
-    scored = texts.mapInArrow(_scored(idf, axes, vectors, known, neighbours, share), "doc_id long, score double")
+    rows = weighted(counts, idf)
+    axes = directions(rows, DIRECTIONS)
+    return idf, axes, _unit(rows @ axes), known, float(known.mean())
+
+
+def neighbour_scores(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+    per_class: int = PER_CLASS, neighbours: int = NEIGHBOURS,
+) -> DataFrame:
+    """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted, one row per row of docs.
+
+    The model is fitted here, see `fit`. Missing, empty and blank texts, and all texts where no
+    label is known, get the share of label 1 among the labels used, 0.5 without any. Rows
+    without an id are scored like others. Other columns are not read; an empty table gives no
+    rows.
+    """
+    model = fit(docs, labels, label_col, id_col, text_col, per_class)
+    scored = ids_and_texts(docs, id_col, text_col).mapInArrow(_scored(model, neighbours), "doc_id long, text string, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def good_documents(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+    per_class: int = PER_CLASS, neighbours: int = NEIGHBOURS,
+) -> DataFrame:
+    """The rows of docs that are predicted good, with their columns; scored where they lie, without a join."""
+    model = fit(docs, labels, label_col, id_col, text_col, per_class)
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    text = names[docs.columns.index(text_col)]
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in renamed.schema)}, score double"
+    return renamed.mapInArrow(_scored(model, neighbours, text), schema).filter(F.col("score") >= THRESHOLD).drop("score").toDF(*docs.columns)

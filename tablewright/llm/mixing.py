@@ -56,11 +56,59 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, cap: fl
     return leveled.withColumn("target", F.least(F.col("most"), F.coalesce(fits * F.col("weight"), F.col("most")))).drop("level", "most")
 
 
+def _sized(docs: DataFrame, quality: Column | None, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with __source, __size, __key and __tie."""
+    text = docs[text_col].cast("string")
+    return docs.withColumns({
+        "__source": docs[source_col].cast("string"), "__size": word_count(text),
+        "__key": sampling_key(docs[id_col], quality if quality is not None else symbol_weight(text), seed),
+        "__tie": F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))),
+    })
+
+
+def _interval() -> Column:
+    return F.floor(F.ceil(F.sqrt("rows")) * F.col("__key") / (F.col("__key") + F.col("mean_key")))
+
+
+def edges(sized: DataFrame, weights: tuple[float, ...], budget: float, cap: float) -> DataFrame:
+    """Per source: size, target, whole epochs, and up to which key the rest of the target reaches."""
+    sources = written(
+        targets(
+            sized.groupBy(F.col("__source").alias("source")).agg(
+                F.count("*").alias("rows"), F.sum("__size").alias("source_size"), F.avg("__key").alias("mean_key")),
+            weights, budget, cap,
+        ), "sources",
+    ).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    rows = sized.join(sources, F.col("__source").eqNullSafe(F.col("source"))).withColumn("interval", _interval())
+    so_far = Window.partitionBy("source").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
+    edge = written(
+        rows.groupBy("source", "interval", "rest").agg(F.sum("__size").alias("own_size"))
+        .withColumn("upto", F.sum("own_size").over(so_far))
+        .filter("upto >= rest").groupBy("source").agg(F.min(F.struct("interval", "upto", "own_size")).alias("e"))
+        .select(F.col("source").alias("own"), F.col("e.interval").alias("edge"), (F.col("e.upto") - F.col("e.own_size")).alias("before")), "edges")
+    in_edge = Window.partitionBy("source").orderBy("__key", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    last = written(
+        rows.join(edge, F.col("source").eqNullSafe(F.col("own"))).filter("interval = edge")
+        .withColumn("middle", F.col("before") + F.sum("__size").over(in_edge) - F.col("__size") / 2)
+        .filter("middle <= rest").groupBy("source").agg(F.max(F.struct("__key", "__tie")).alias("last"))
+        .select(F.col("source").alias("own"), "last"), "last")
+    both = sources.join(edge, F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    return written(both.join(last, F.col("source").eqNullSafe(F.col("own")), "left").drop("own"), "mix")
+
+
+def _placed(sized: DataFrame, limits: DataFrame) -> DataFrame:
+    limits = limits.select(*[F.col(c).alias("__own" if c == "source" else c) for c in limits.columns])
+    chosen = (F.col("interval") < F.col("edge")) | ((F.col("interval") == F.col("edge")) & (F.struct("__key", "__tie") <= F.col("last")))
+    copies = F.when(F.col("source_size") > 0, F.col("epochs") + F.when(chosen, 1).otherwise(0)).otherwise(0).cast("long")
+    return sized.join(limits, F.col("__source").eqNullSafe(F.col("__own"))).withColumn("interval", _interval()).withColumn("copies", copies)
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), budget: float = 1.0, cap: float = 3.0,
     quality: Column | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """id, size, source, source_size, target, epochs, copies and taken for every row of docs.
+    """doc_id, size, source, source_size, target, epochs, copies and taken for every row of docs.
 
     size: words of the text. epochs: whole passes over the source that fit its target. The
     rest of the target goes to the smallest sampling keys, prefix-summed; the document at the
@@ -69,47 +117,29 @@ def mix(
 
     Missing text: size 0. Missing source: a source of its own, last. Missing ids and repeated
     rows are rows like others; rows of one id have one key and are taken together. A source
-    without words has target 0 and copies 0. Empty tables give no rows.
+    without words has target 0 and copies 0. Other columns are not read; empty tables give no
+    rows.
     """
-    text = docs[text_col].cast("string")
     slim = written(
-        docs.select(
-            docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(text).alias("size"),
-            sampling_key(docs[id_col], quality if quality is not None else symbol_weight(text), seed).alias("key"),
-        ), "sizes",
-    )
-    sources = written(
-        targets(
-            slim.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"), F.avg("key").alias("mean_key")),
-            weights, budget, cap,
-        ), "sources",
-    ).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    named = sources.withColumnRenamed("source", "own")
-    rows = slim.join(named, F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn(
-        "interval", F.floor(F.ceil(F.sqrt("rows")) * F.col("key") / (F.col("key") + F.col("mean_key"))))
-    so_far = Window.partitionBy("source").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        rows.groupBy("source", "interval", "rest").agg(F.sum("size").alias("own_size"))
-        .withColumn("upto", F.sum("own_size").over(so_far))
-        .filter("upto >= rest").groupBy("source").agg(F.min(F.struct("interval", "upto", "own_size")).alias("e"))
-        .select(F.col("source").alias("own"), F.col("e.interval").alias("edge"), (F.col("e.upto") - F.col("e.own_size")).alias("before"))
-    )
-    edge = written(edge, "edges")
-    placed = rows.join(edge, F.col("source").eqNullSafe(F.col("own"))).drop("own")
-    in_edge = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        placed.filter("interval = edge").withColumn("middle", F.col("before") + F.sum("size").over(in_edge) - F.col("size") / 2)
-        .filter("middle <= rest").groupBy("source").agg(F.max(F.struct("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"))).alias("last"))
-        .select(F.col("source").alias("own"), "last")
-    )
-    chosen = (F.col("interval") < F.col("edge")) | (
-        (F.col("interval") == F.col("edge"))
-        & (F.struct("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id")) <= F.col("last"))
-    )
-    copies = F.when(F.col("source_size") > 0, F.col("epochs") + F.when(chosen, 1).otherwise(0)).otherwise(0).cast("long")
-    return placed.join(written(last, "last"), F.col("source").eqNullSafe(F.col("own")), "left").select(
-        "doc_id", "size", "source", "source_size", "target", "epochs", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+        _sized(docs, quality, seed, id_col, text_col, source_col).select(docs[id_col].cast("long").alias("doc_id"), "__source", "__size", "__key", "__tie"), "sizes")
+    return _placed(slim, edges(slim, weights, budget, cap)).select(
+        "doc_id", F.col("__size").alias("size"), F.col("__source").alias("source"), "source_size", "target", "epochs", "copies",
+        (F.col("__size") * F.col("copies")).alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), budget: float = 1.0, cap: float = 3.0,
+    quality: Column | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken, with the columns of docs.
+
+    Empty documents count with their source's epochs. The limits (one row per source) are
+    joined to the documents; Spark broadcasts them while its size limit allows.
+    """
+    sized = _sized(docs, quality, seed, id_col, text_col, source_col)
+    slim = written(sized.select("__source", "__size", "__key", "__tie"), "sizes")
+    placed = _placed(sized, edges(slim, weights, budget, cap))
+    return placed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = r"""

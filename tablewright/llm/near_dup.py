@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm import words as W
@@ -286,3 +286,14 @@ def near_duplicates(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when one document of each group is kept, with their columns.
+
+    Of repeated rows of one id a single one stays; rows without an id all stay.
+    """
+    gone = near_duplicates(docs, words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.hint("merge").join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
+    return left.withColumn("__nth", nth).filter(F.col(id_col).isNull() | (F.col("__nth") == 1)).drop("__nth")

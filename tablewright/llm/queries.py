@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 from tablewright.llm import mixing
 from tablewright.llm.decontaminate import benchmark_hits
 from tablewright.llm.knn_quality import neighbour_scores
@@ -74,3 +75,6 @@ def op3(spark, sf_dir):
 @register("op4_line_alignment")
 def op4(spark, sf_dir):
     return drop_aligned_lines(read(spark, sf_dir, "documents"))
+
+
+register("pipeline")(corpus_pipeline.run)

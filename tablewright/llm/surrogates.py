@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Found are mail addresses, telephone numbers, IPv4 addresses, payment cards (Luhn digit),
-account numbers (IBAN) and names behind a form of address. A surrogate is drawn from a keyed
+account numbers (IBAN), secrets behind a word like token, and names behind a form of address. A surrogate is drawn from a keyed
 hash of the type and the normal form of a value, so one value has one surrogate in the whole
 corpus. Digits become digits, letters become letters of the same case and script, separators
 stay, checksums hold again, and names keep script and gender.
@@ -46,6 +46,7 @@ _FINDERS = {
     "ip": re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w)"),
     "card": re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"),
     "phone": re.compile(r"(?<!\w)(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"),
+    "secret": re.compile(r"(?i:token|secret|password|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?([\w+/-]{12,})"),
     "name": re.compile(r"(?<!\w)(" + "|".join(ADDRESS) + r")\.? ([^\W\d_][\w'’-]+(?: [^\W\d_a-z][\w'’-]+)?)"),
 }
 
@@ -85,6 +86,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 normal = value.replace(" ", "")
                 if 15 <= len(normal) <= 34 and iban_ok(normal):
                     add(m.start(), m.end(), kind, normal)
+            elif kind == "secret":
+                add(m.start(1), m.end(1), kind, m[1])
             elif kind == "name":
                 first = m[2][0]
                 if first.isupper():
@@ -138,6 +141,10 @@ def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
         name, _, host = normal.rpartition("@")
         labels = host.split(".")
         return _like(name, draw) + "@" + ".".join([*(_like(x, draw) for x in labels[:-1]), labels[-1]])
+    if kind == "secret":
+        if set(normal) <= set("0123456789abcdef"):
+            return "".join("0123456789abcdef"[draw.below(16)] for _ in normal)
+        return _like(normal, draw)
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "phone":
@@ -164,7 +171,7 @@ def render(kind: str, original: str, replacement: str) -> str:
         return replacement.partition(":")[2]
     if kind == "mail":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, replacement, strict=True)) if len(original) == len(replacement) else replacement
-    if kind == "ip":
+    if kind in ("ip", "secret"):
         return replacement
     rest = iter(replacement)
     return "".join(next(rest) if c.isalnum() else c for c in original)
