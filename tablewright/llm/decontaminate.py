@@ -129,8 +129,9 @@ def _hits(items: Items, column: pa.Array) -> Iterator[tuple[int, tuple]]:
     texts = W.words_of(column)
     hashes = texts.hashes()
     rolled, bounds = W.shingles(hashes, texts.first, items.k)
-    seen = np.concatenate(([0], np.cumsum(items.sieve[(rolled & np.uint64((1 << 20) - 1)).astype(np.int64)])))
-    for i in np.flatnonzero(seen[bounds[1:]] > seen[bounds[:-1]]).tolist():
+    passed = np.flatnonzero(items.sieve[(rolled & np.uint64((1 << 20) - 1)).astype(np.int64)])
+    held = passed[np.isin(rolled[passed], items.known)]
+    for i in np.unique(np.searchsorted(bounds, held, side="right") - 1).tolist():
         for hit in items.search(hashes[texts.first[i] : texts.first[i + 1]]):
             yield i, hit
 

@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 SLOT_BITS = 11
 LITERAL_BITS = 18
 MAGIC = b"TIDS1\0"
