@@ -56,12 +56,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, cap: fl
     return leveled.withColumn("target", F.least(F.col("most"), F.coalesce(fits * F.col("weight"), F.col("most")))).drop("level", "most")
 
 
-def _sized(docs: DataFrame, quality: Column | None, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sized(docs: DataFrame, quality_col: str | None, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """docs with __source, __size, __key and __tie."""
     text = docs[text_col].cast("string")
     return docs.withColumns({
         "__source": docs[source_col].cast("string"), "__size": word_count(text),
-        "__key": sampling_key(docs[id_col], quality if quality is not None else symbol_weight(text), seed),
+        "__key": sampling_key(docs[id_col], docs[quality_col].cast("double") if quality_col else symbol_weight(text), seed),
         "__tie": F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))),
     })
 
@@ -106,7 +106,7 @@ def _placed(sized: DataFrame, limits: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), budget: float = 1.0, cap: float = 3.0,
-    quality: Column | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    quality_col: str | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """doc_id, size, source, source_size, target, epochs, copies and taken for every row of docs.
 
@@ -116,12 +116,13 @@ def mix(
     per source) is ordered in one task; everything else follows the session's partitions.
 
     Missing text: size 0. Missing source: a source of its own, last. Missing ids and repeated
-    rows are rows like others; rows of one id have one key and are taken together. A source
+    rows are rows like others; rows of one id have one key and are taken together. Quality
+    weights, positive numbers, come from a column if one is named, else from the text. A source
     without words has target 0 and copies 0. Other columns are not read; empty tables give no
     rows.
     """
     slim = written(
-        _sized(docs, quality, seed, id_col, text_col, source_col).select(docs[id_col].cast("long").alias("doc_id"), "__source", "__size", "__key", "__tie"), "sizes")
+        _sized(docs.select(*{id_col, text_col, source_col, quality_col} - {None}), quality_col, seed, id_col, text_col, source_col).select(F.col(id_col).cast("long").alias("doc_id"), "__source", "__size", "__key", "__tie"), "sizes")
     return _placed(slim, edges(slim, weights, budget, cap)).select(
         "doc_id", F.col("__size").alias("size"), F.col("__source").alias("source"), "source_size", "target", "epochs", "copies",
         (F.col("__size") * F.col("copies")).alias("taken"))
@@ -129,17 +130,21 @@ def mix(
 
 def mixed_documents(
     docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), budget: float = 1.0, cap: float = 3.0,
-    quality: Column | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    quality_col: str | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken, with the columns of docs.
 
     Empty documents count with their source's epochs. The limits (one row per source) are
     joined to the documents; Spark broadcasts them while its size limit allows.
     """
-    sized = _sized(docs, quality, seed, id_col, text_col, source_col)
+    # Own names for all columns, so that none clashes with those added here.
+    own = {c: f"__column_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.toDF(*own.values())
+    sized = _sized(renamed, own[quality_col] if quality_col else None, seed, own[id_col], own[text_col], own[source_col])
     slim = written(sized.select("__source", "__size", "__key", "__tie"), "sizes")
     placed = _placed(sized, edges(slim, weights, budget, cap))
-    return placed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return placed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+        *[F.col(name).alias(c) for c, name in own.items()])
 
 
 ORACLE = r"""

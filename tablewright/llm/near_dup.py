@@ -293,7 +293,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     Of repeated rows of one id a single one stays; rows without an id all stay.
     """
-    gone = near_duplicates(docs, words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.hint("merge").join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
-    return left.withColumn("__nth", nth).filter(F.col(id_col).isNull() | (F.col("__nth") == 1)).drop("__nth")
+    own = {c: f"__column_{i}" for i, c in enumerate(docs.columns)}
+    renamed, key, text = docs.toDF(*own.values()), own[id_col], own[text_col]
+    gone = near_duplicates(docs, words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = renamed.hint("merge").join(gone, F.col(key) == F.col("gone"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), text))
+    return left.withColumn("nth", nth).filter(F.col(key).isNull() | (F.col("nth") == 1)).select(*[F.col(name).alias(c) for c, name in own.items()])
