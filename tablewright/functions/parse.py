@@ -26,8 +26,6 @@ WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# No date is longer; longer texts are not looked into.
-DATE_LENGTH = 64
 
 
 def trimmed(c: Column) -> Column:
@@ -52,7 +50,7 @@ def to_number(c: Column) -> Column:
 def to_time(c: Column, date_format: str) -> Column:
     """Wall-clock timestamp of a text in one format, else NULL."""
     text = trimmed(c)
-    fits = (F.length(text) <= DATE_LENGTH) & text.rlike(_SHAPES[date_format])
+    fits = text.rlike(_SHAPES[date_format])
     if date_format == "iso":
         return F.when(fits, text.try_cast("timestamp_ntz"))
     return F.when(fits, F.try_to_date(text, date_format)).cast("timestamp_ntz")
@@ -61,7 +59,7 @@ def to_time(c: Column, date_format: str) -> Column:
 def to_time_any(c: Column) -> Column:
     """Wall-clock timestamp of a text in any recognised format, value by value."""
     text = trimmed(c)
-    shaped = (F.length(text) <= DATE_LENGTH) & text.rlike(_ANY_SHAPE)
+    shaped = text.rlike(_ANY_SHAPE)
     return F.when(shaped, F.coalesce(*[to_time(c, f) for f in DATE_FORMATS]))
 
 

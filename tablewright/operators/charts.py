@@ -1,4 +1,4 @@
-"""Data behind a chart: x and y columns, sorted, at most 500 points."""
+"""Data behind a chart: x and y columns, sorted; all points unless the chart has a limit."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tablewright.errors import ToolError
 from tablewright.functions import nulls
 from tablewright.operators import buckets
-from tablewright.operators.aggregates import exact_quantiles, sorted_and_limited
+from tablewright.operators.aggregates import aggregate, exact_quantiles, sorted_and_limited
 from tablewright.operators.predicates import check_columns, table_of
-from tablewright.specs import CHART_POINTS, Agg, Chart, ChartKind, GenerateVisual, Metric, Status
+from tablewright.specs import Agg, Chart, ChartKind, GenerateVisual, Metric, Status
 
 _VALUE_AGGREGATES = {
     "sum": nulls.sum_or_zero,
@@ -25,54 +25,52 @@ _VALUE_AGGREGATES = {
 }
 
 
-def _counts(df: DataFrame, x: str) -> DataFrame:
-    return df.filter(nulls.col(x).isNotNull()).groupBy(nulls.col(x)).agg(F.count(F.lit(1)).alias("count"))
+@dataclass(frozen=True)
+class _Rule:
+    """How a chart turns rows into points."""
+
+    needs_y: bool = False
+    #: Aggregations that need y; with any other, or without y, rows are counted. None: all do.
+    of_y: frozenset[str] | None = None
+    #: Keep rows as they are where no aggregation is named.
+    raw: bool = False
+    by_size: bool = False
+
+
+_RULES = {
+    ChartKind.line: _Rule(needs_y=True, raw=True),
+    ChartKind.area: _Rule(needs_y=True, raw=True),
+    ChartKind.bar: _Rule(of_y=frozenset({"sum", "mean", "avg", "min", "max", "median"}), raw=True, by_size=True),
+    ChartKind.pie: _Rule(of_y=frozenset({"sum"})),
+}
 
 
-def _values(df: DataFrame, x: str, y: str, aggregation: str | None) -> DataFrame:
-    """y per x: aggregated by name, or the rows as they are without an aggregation."""
-    if aggregation is None:
-        return df.select(nulls.col(x), nulls.col(y))
-    known = df.filter(nulls.col(x).isNotNull())
-    if aggregation in _VALUE_AGGREGATES:
-        return known.groupBy(nulls.col(x)).agg(_VALUE_AGGREGATES[aggregation](nulls.col(y)).alias(y))
+def _grouped(known: DataFrame, x: str, y: str, aggregation: str) -> DataFrame:
     if aggregation == "median":
-        from tablewright.operators.aggregates import aggregate
-
         return aggregate(known, [x], [Metric(y, Agg.median, y)])
-    if aggregation == "count":
-        return known.groupBy(nulls.col(x)).agg(F.count(nulls.col(y)).alias(y))
-    raise ToolError(f"Unsupported aggregation: {aggregation}")
-
-
-def line(df: DataFrame, c: Chart) -> DataFrame:
-    """y by x, sorted by x."""
-    if not c.y_column:
-        raise ToolError("A line chart needs y_column")
-    data = _values(df, c.x_column, c.y_column, c.aggregation)
-    return sorted_and_limited(
-        data, [(c.x_column, c.sort == "desc"), (c.y_column, False)], c.limit or CHART_POINTS
-    )
+    functions = _VALUE_AGGREGATES | {"count": F.count}
+    if aggregation not in functions:
+        raise ToolError(f"Unsupported aggregation: {aggregation}")
+    return known.groupBy(nulls.col(x)).agg(functions[aggregation](nulls.col(y)).alias(y))
 
 
-def bar(df: DataFrame, c: Chart) -> DataFrame:
-    """Row count or aggregated y per x, largest first."""
-    if c.aggregation == "count" or c.y_column is None:
-        data, y = _counts(df, c.x_column), "count"
+def grouped_points(df: DataFrame, c: Chart) -> DataFrame:
+    """Points of a line, area, bar or pie chart: y or row count per x, in the order of its rule."""
+    rule, x, y = _RULES[ChartKind(c.kind)], c.x_column, c.y_column
+    if rule.needs_y and not y:
+        raise ToolError(f"A chart of kind {ChartKind(c.kind)} needs y_column")
+    known = df.filter(nulls.col(x).isNotNull())
+    if rule.of_y is not None and (not y or c.aggregation == "count" or (c.aggregation not in rule.of_y and not rule.raw)):
+        data, value = known.groupBy(nulls.col(x)).agg(F.count(F.lit(1)).alias("count")), "count"
+    elif c.aggregation is None:
+        data, value = df.select(nulls.col(x), nulls.col(y)), y
     else:
-        data, y = _values(df, c.x_column, c.y_column, c.aggregation), c.y_column
-    return sorted_and_limited(
-        data, [(y, (c.sort or "desc") == "desc"), (c.x_column, False)], c.limit or CHART_POINTS
-    )
-
-
-def pie(df: DataFrame, c: Chart) -> DataFrame:
-    """Sum of y or row count per x, in key order."""
-    if c.aggregation == "sum" and c.y_column:
-        data = _values(df, c.x_column, c.y_column, "sum")
+        data, value = _grouped(known, x, y, c.aggregation), y
+    if rule.by_size:
+        order = [(value, c.sort != "asc"), (x, False)]
     else:
-        data = _counts(df, c.x_column)
-    return sorted_and_limited(data, [(c.x_column, False)], c.limit or CHART_POINTS)
+        order = [(x, rule.raw and c.sort == "desc")] + ([(value, False)] if rule.raw else [])
+    return sorted_and_limited(data, order, c.limit)
 
 
 def scatter(df: DataFrame, c: Chart) -> DataFrame:
@@ -80,21 +78,17 @@ def scatter(df: DataFrame, c: Chart) -> DataFrame:
     if not c.y_column:
         raise ToolError("A scatter chart needs y_column")
     points = nulls.without_nan(df.select(nulls.col(c.x_column), nulls.col(c.y_column))).dropna()
-    limit = c.limit or CHART_POINTS
+    limit = c.limit
     if c.sample_seed is not None:
-        return points.orderBy(F.rand(c.sample_seed)).limit(limit)
+        return sorted_and_limited(points.withColumn("__at", F.rand(c.sample_seed)), [("__at", False)], limit).drop("__at")
     sort = [(c.x_column, c.sort == "desc"), (c.y_column, False)] if c.sort else []
     return sorted_and_limited(points, sort, limit)
 
 
-def area(df: DataFrame, c: Chart) -> DataFrame:
-    return line(df, c)
-
-
 def table(df: DataFrame, c: Chart) -> DataFrame:
     columns = [c.x_column] + ([c.y_column] if c.y_column else [])
     sort = [(c.x_column, c.sort == "desc"), *[(x, False) for x in columns[1:]]] if c.sort else []
-    return sorted_and_limited(df.select(*[nulls.col(x) for x in columns]), sort, c.limit or CHART_POINTS)
+    return sorted_and_limited(df.select(*[nulls.col(x) for x in columns]), sort, c.limit)
 
 
 def histogram(df: DataFrame, c: Chart, bins: int = 10) -> DataFrame:
@@ -121,7 +115,7 @@ def box(df: DataFrame, c: Chart) -> DataFrame:
     five = exact_quantiles(known, [c.x_column], [c.y_column], [0.0, 0.25, 0.5, 0.75, 1.0])
     names = ("min", "q1", "median", "q3", "max")
     data = five.select(nulls.col(c.x_column), *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
-    return sorted_and_limited(data, [(c.x_column, False)], c.limit or CHART_POINTS)
+    return sorted_and_limited(data, [(c.x_column, False)], c.limit)
 
 
 def heatmap(df: DataFrame, c: Chart) -> DataFrame:
@@ -131,18 +125,15 @@ def heatmap(df: DataFrame, c: Chart) -> DataFrame:
     pair = [c.x_column, c.y_column]
     known = df.filter(nulls.col(pair[0]).isNotNull() & nulls.col(pair[1]).isNotNull())
     data = known.groupBy(*[nulls.col(p) for p in pair]).agg(F.count(F.lit(1)).alias("count"))
-    return sorted_and_limited(data, [(p, False) for p in pair], c.limit or CHART_POINTS)
+    return sorted_and_limited(data, [(p, False) for p in pair], c.limit)
 
 
 _BUILDERS = {
-    ChartKind.line: line,
-    ChartKind.bar: bar,
-    ChartKind.pie: pie,
+    **dict.fromkeys(_RULES, grouped_points),
     ChartKind.scatter: scatter,
     ChartKind.histogram: histogram,
     ChartKind.box: box,
     ChartKind.heatmap: heatmap,
-    ChartKind.area: area,
     ChartKind.table: table,
 }
 

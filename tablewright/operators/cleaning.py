@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -18,13 +19,18 @@ from tablewright.operators.predicates import _fits, constant
 from tablewright.specs import RUNNABLE, CleaningKind, CleaningStep, Status
 from tablewright.staging import stage
 
-# A mapping with more entries is joined instead of being spelled out in the expression.
+# A mapping with more entries is joined instead of being spelled out in the expression; the rows are the same.
 INLINE_MAPPING = 200
 
 
 def drop_rows(df: DataFrame, column: str) -> DataFrame:
     """Keep the rows in which the column has a value."""
-    return df.filter(nulls.col(column).isNotNull())
+    return df.filter(_present(df, column))
+
+
+def _present(df: DataFrame, column: str) -> Column:
+    """A value that is neither NULL nor NaN, as for `fill_missing`."""
+    return nulls.nan_to_null(nulls.col(column), df.schema[column].dataType).isNotNull()
 
 
 def fill_missing(df: DataFrame, column: str, fill_value="Unknown") -> DataFrame:
@@ -65,23 +71,22 @@ def parse_dates(df: DataFrame, column: str) -> DataFrame:
 def normalize_format(df: DataFrame, column: str, mapping: Mapping) -> DataFrame:
     """Exact replacement of values; values that are not in the mapping stay."""
     dtype = df.schema[column].dataType
-    entries = [(k, v) for k, v in mapping.items() if k is not None and _fits(k, dtype)]
+    entries = [(constant(k, dtype).cast(dtype), F.lit(v).cast(dtype)) for k, v in mapping.items() if k is not None and _fits(k, dtype)]
     if not entries:
         return df
+    c = nulls.col(column)
     if len(entries) <= INLINE_MAPPING:
-        c, out = nulls.col(column), None
+        out = F
         for old, new in entries:
-            hit = c == constant(old, dtype)
-            out = F.when(hit, F.lit(new).cast(dtype)) if out is None else out.when(hit, F.lit(new).cast(dtype))
+            out = out.when(c == old, new)
         return df.withColumn(column, out.otherwise(c))
-    table = df.sparkSession.createDataFrame(
-        [(str(k), None if v is None else str(v)) for k, v in entries], "__old string, __new string"
-    ).select(F.col("__old").cast(dtype).alias("__old"), F.col("__new").cast(dtype).alias("__new"), F.lit(True).alias("__hit"))
-    # The mapping is an argument, so the broadcast side is as small as that argument.
-    joined = df.join(F.broadcast(table), nulls.col(column) == F.col("__old"), "left")
-    return joined.withColumn(
-        column, F.when(F.col("__hit"), F.col("__new")).otherwise(nulls.col(column))
-    ).drop("__old", "__new", "__hit")
+    # The same literals as rows. Of keys that are equal in the column's type the first counts,
+    # as in the chain above, so the number of entries decides about the plan only.
+    rows = F.explode(F.array(*[F.struct(old.alias("old"), F.lit(i).alias("at"), new.alias("new")) for i, (old, new) in enumerate(entries)]))
+    old, hit = (f"__{part}_{uuid.uuid4().hex}" for part in ("old", "hit"))
+    first = df.sparkSession.range(1).select(rows.alias("e")).select("e.*").groupBy(F.col("old").alias(old)).agg(F.min(F.struct("at", "new")).alias(hit))
+    joined = df.join(first, c == F.col(old), "left")
+    return joined.withColumn(column, F.when(F.col(hit).isNotNull(), F.col(f"{hit}.new")).otherwise(c)).drop(old, hit)
 
 
 def replace_value(df: DataFrame, column: str, old, new) -> DataFrame:
@@ -328,6 +333,7 @@ def apply_cleaning(
 
 def _advance(t: _Table, sequence: int, step: CleaningStep, staged: bool, stretches: list) -> None:
     kind, column = CleaningKind(step.kind), step.column
+    step = _with_bounds(t.data, step)
     data = apply_step(t.data, step)
     if kind is CleaningKind.deduplicate:
         t.data = stage(data, "deduplicated") if staged else data
@@ -337,12 +343,12 @@ def _advance(t: _Table, sequence: int, step: CleaningStep, staged: bool, stretch
         return
     present = bool(column) and column in t.data.columns
     if present and kind is CleaningKind.drop_rows:
-        gone = nulls.col(column).isNull()
+        gone = ~_present(t.data, column)
         t.note(sequence, "removed", F.col("__alive") & gone)
         t.counting = t.counting.withColumn("__alive", F.col("__alive") & ~gone)
     elif present and kind in _CHANGES_VALUES:
         before = t.counting.withColumn("__old", nulls.col(column))
-        t.counting = _same_step(before, step, t.data)
+        t.counting = apply_step(before, step)
         changed = ~F.col("__old").cast("string").eqNullSafe(nulls.col(column).cast("string"))
         if data.schema[column].dataType == t.data.schema[column].dataType:
             changed = ~F.col("__old").eqNullSafe(nulls.col(column))
@@ -353,9 +359,12 @@ def _advance(t: _Table, sequence: int, step: CleaningStep, staged: bool, stretch
     t.data = data
 
 
-def _same_step(counting: DataFrame, step: CleaningStep, data: DataFrame) -> DataFrame:
-    """The step on the counting copy; computed bounds come from the rows that are left."""
-    if step.kind == CleaningKind.clip_outlier and not {"lower", "upper"} & set(step.parameters):
-        bounds = outlier_bounds(data, step.column, step.parameters.get("factor", 1.5))
-        return clip_outlier(counting, step.column, *bounds) if bounds else counting
-    return apply_step(counting, step)
+def _with_bounds(data: DataFrame, step: CleaningStep) -> CleaningStep:
+    """A clip step with its bounds computed once, for the table and for its counting copy."""
+    clips = step.kind == CleaningKind.clip_outlier and step.column in data.columns
+    if not clips or {"lower", "upper"} & set(step.parameters) or not isinstance(data.schema[step.column].dataType, nulls.NUMERIC):
+        return step
+    bounds = outlier_bounds(data, step.column, step.parameters.get("factor", 1.5))
+    if bounds is None:
+        return step
+    return replace(step, parameters={**step.parameters, "lower": bounds[0], "upper": bounds[1]})

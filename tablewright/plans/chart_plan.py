@@ -11,9 +11,7 @@ from tablewright.functions import ids, words
 from tablewright.plans.feature_plan import decide, summarize  # noqa: F401  the same decisions apply
 from tablewright.specs import Chart
 
-MAX_SUGGESTIONS = 8
 PIE_MAX_VALUES = 5
-COUNT_BARS = 20
 
 
 def _columns(profile: DataFrame, role: str, prefix: str) -> DataFrame:
@@ -49,8 +47,8 @@ def _row(rule: int, kind: str, x: Column, y: Column | None, first: Column, secon
     ]
 
 
-def suggest_charts(profile: DataFrame) -> DataFrame:
-    """At most eight charts per table: lines, bars, counts, pies, scatter plots, in that order."""
+def suggest_charts(profile: DataFrame, most: int | None = None, count_bars: int | None = None) -> DataFrame:
+    """Charts per table, `most` of them at most: lines, bars, counts, pies, scatter plots, in that order."""
     days = _columns(profile, "is_likely_date", "day")
     cats = _columns(profile, "is_likely_categorical", "cat")
     a = _columns(profile, "is_likely_metric", "a")
@@ -71,7 +69,7 @@ def suggest_charts(profile: DataFrame) -> DataFrame:
     counts = cats.select(*_row(
         3, "bar", cat, None, F.col("cat_at"), None,
         F.concat(F.lit("Count by "), title(cat)), fmt("Rows per %s", cat),
-        fmt("Which %s occurs most", cat), "count", "desc", COUNT_BARS,
+        fmt("Which %s occurs most", cat), "count", "desc", count_bars,
     ))
     pies = cats.filter(F.col("cat_unique") <= PIE_MAX_VALUES).select(*_row(
         4, "pie", cat, None, F.col("cat_at"), None,
@@ -88,7 +86,7 @@ def suggest_charts(profile: DataFrame) -> DataFrame:
     in_order = Window.partitionBy("table_name").orderBy("place")
     return (
         everything.withColumn("sequence", F.row_number().over(in_order))
-        .filter(F.col("sequence") <= MAX_SUGGESTIONS)
+        .filter(F.lit(True) if most is None else F.col("sequence") <= most)
         .drop("place")
     )
 

@@ -12,8 +12,6 @@ from tablewright.functions import ids, words
 from tablewright.operators.features import DATE_PARTS
 from tablewright.specs import Feature
 
-MAX_SUGGESTIONS = 8
-
 _LIST_PARAMETERS = {"parts"}
 
 
@@ -55,8 +53,8 @@ def _row(kind: str, name: Column, seed: Column, formula: Column, required: list[
     ]
 
 
-def suggest_features(profile: DataFrame) -> DataFrame:
-    """At most eight features per table, date parts first."""
+def suggest_features(profile: DataFrame, most: int | None = None) -> DataFrame:
+    """Features per table, `most` of them at most, date parts first."""
     text = F.concat
     day_name = F.col("column_name")
     moments = profile.filter(F.col("is_likely_date") | F.col("data_type").isin("date", "datetime"))
@@ -111,7 +109,7 @@ def suggest_features(profile: DataFrame) -> DataFrame:
     in_order = Window.partitionBy("table_name").orderBy("priority")
     return (
         everything.withColumn("sequence", F.row_number().over(in_order))
-        .filter(F.col("sequence") <= MAX_SUGGESTIONS)
+        .filter(F.lit(True) if most is None else F.col("sequence") <= most)
         .drop("priority")
     )
 

@@ -6,22 +6,49 @@ half-way leaves nothing visible behind.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.errors import ToolError
+
 
 def append(spark: SparkSession, path: str, schema: str, rows: Sequence[tuple]) -> None:
-    spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(path)
+    append_frame(spark.createDataFrame(list(rows), schema), path)
+
+
+def append_frame(df: DataFrame, path: str) -> None:
+    """Rows in a folder of their own, moved into place when whole: writers do not share files."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    draft = f"{path}/_draft-{name}"
+    df.coalesce(1).write.parquet(draft)  # a few rows of metadata
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (draft, f"{path}/rows-{name}"))
+    if not _files(spark, source).rename(source, target):
+        raise ToolError(f"Cannot write to {path}")
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All rows written so far; no rows when nothing was."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    """All rows written so far; no rows when nothing was. Other faults are errors."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    written = [f"{path}/{name}" for name, is_folder in child_names(spark, path) if is_folder and name.startswith("rows-")]
+    return spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Put a file of one's own into a folder; True if it is alone there.
+
+    Each writer looks after it has put its file, so of two at most one finds itself alone,
+    whether or not the store can create a file exclusively. Both may find company.
+    """
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{uuid.uuid4().hex}")
+    _files(spark, own).create(own, False).close()
+    return len(child_names(spark, path)) == 1
+
+
+def _files(spark: SparkSession, jvm_path):
+    return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from tablewright.errors import ToolError
 from tablewright.operators.charts import ChartResult, series_label
 from tablewright.sources import registry
+from tablewright.sources.tables import CSV_OPTIONS
 from tablewright.specs import PREVIEW_ROWS, RESULT_ROWS, Chart, ViewSource
 
 FORMATS = ("csv", "parquet", "json")
-LISTED = 10
-
 _VIEWS = (
     "view_id string, version_number int, name string, description string, source_type string, "
     "spec string, path string, format string, schema string, row_count bigint, column_count int, created_at timestamp"
@@ -36,20 +35,29 @@ def _spec_text(spec: Any) -> str:
     return json.dumps(asdict(spec) if is_dataclass(spec) else spec, default=str)
 
 
+# Text formats keep blanks, tell the empty text from a missing one, and microseconds.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+_CSV = CSV_OPTIONS | _TIMES | {
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quoteAll": True, "nullValue": "\\N", "emptyValue": "", "lineSep": "\n",
+}
+
+
 def _writer(df: DataFrame, fmt: str, path: str) -> None:
     if fmt not in FORMATS:
         raise ToolError(f"Unsupported format '{fmt}'. Allowed: {FORMATS}")
     w = df.write.mode("errorifexists")
-    {"csv": lambda: w.option("header", True).option("escape", '"').csv(path),
+    {"csv": lambda: w.options(**_CSV).csv(path),
      "parquet": lambda: w.parquet(path),
-     "json": lambda: w.option("ignoreNullFields", False).json(path)}[fmt]()
+     "json": lambda: w.options(**_TIMES, ignoreNullFields=False).json(path)}[fmt]()
 
 
 def _reader(spark: SparkSession, fmt: str, path: str, schema: str | None) -> DataFrame:
+    """Files written above if the schema is known, else files of another writer."""
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt == "csv":
-        return reader.csv(path, header=True, escape='"', multiLine=True, inferSchema=schema is None)
-    return reader.json(path) if fmt == "json" else reader.parquet(path)
+        options = {k: v for k, v in _CSV.items() if k != "lineSep"} if schema else CSV_OPTIONS
+        return reader.options(**options).csv(path, multiLine=True, inferSchema=schema is None)
+    return reader.options(**(_TIMES if schema else {})).json(path) if fmt == "json" else reader.parquet(path)
 
 
 @dataclass(frozen=True)
@@ -63,16 +71,16 @@ class TableOutput:
     format: str | None = None
 
 
-def table_output(df: DataFrame, folder: str | None = None, inline_rows: int = RESULT_ROWS) -> TableOutput:
-    """Preview and count of a result; more than `inline_rows` rows are also written as CSV."""
+def table_output(df: DataFrame, folder: str | None = None, inline_rows: int = RESULT_ROWS, fmt: str = "csv") -> TableOutput:
+    """Preview and count of a result; more than `inline_rows` rows are also written, and then read back."""
     head = df.take(inline_rows + 1)
     if len(head) <= inline_rows or folder is None:
         shown = df.sparkSession.createDataFrame(head[:PREVIEW_ROWS], df.schema)
         return TableOutput(df.columns, shown, len(head) if len(head) <= inline_rows else df.count())
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.csv"
-    _writer(df, "csv", path)
-    written = _reader(df.sparkSession, "csv", path, df.schema.toDDL())
-    return TableOutput(df.columns, written.limit(PREVIEW_ROWS), written.count(), path, "csv")
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.{fmt}"
+    _writer(df, fmt, path)
+    written = _reader(df.sparkSession, fmt, path, df.schema.toDDL())
+    return TableOutput(df.columns, written.limit(PREVIEW_ROWS), written.count(), path, fmt)
 
 
 class ResultStore:
@@ -86,9 +94,9 @@ class ResultStore:
 
     def save_view(
         self, df: DataFrame, name: str, version: int, spec: Any = None, description: str | None = None,
-        source: ViewSource | str = ViewSource.query, fmt: str = "csv",
+        source: ViewSource | str = ViewSource.query, fmt: str = "parquet",
     ) -> str:
-        """Write a result and its metadata; the id of the view."""
+        """Write a result and its metadata; the id of the view. CSV and JSON are for export: one task reads a file."""
         view_id = uuid.uuid4().hex
         path = f"{self.root}/views/{view_id}"
         _writer(df, fmt, path)
@@ -138,12 +146,12 @@ class ResultStore:
 
     def save_visual(
         self, chart: Chart, data: DataFrame, version: int, title: str = "", description: str | None = None,
-        fmt: str = "json",
+        fmt: str = "parquet",
     ) -> str:
         """Write the points of a chart and its metadata; the id of the visual."""
         visual_id = uuid.uuid4().hex
         path = f"{self.root}/visuals/{visual_id}"
-        _writer(data.coalesce(1), fmt, path)  # at most 500 points
+        _writer(data, fmt, path)
         x, y = data.columns[0], data.columns[-1]
         registry.append(
             self.spark, f"{self.root}/_visuals", _VISUALS,
@@ -192,12 +200,17 @@ def _append_removal(spark: SparkSession, path: str, schema: str, key: str, value
     registry.append(spark, path, schema, [tuple(known.get(n) for n in names)])
 
 
-def dataset_summary(profile: DataFrame, issues: DataFrame, views: DataFrame, visuals: DataFrame, version: int) -> DataFrame:
-    """One row per table of a version: size, columns with roles, issues, latest views and visuals."""
+def dataset_summary(
+    profile: DataFrame, issues: DataFrame, views: DataFrame, visuals: DataFrame, version: int, listed: int | None = 10, top_values: int | None = 5,
+) -> DataFrame:
+    """One row per table of a version: size, columns with roles, issues, latest views and visuals.
+
+    `listed` views and visuals and `top_values` values per column are shown, all with None.
+    """
     column = F.struct(
         "column_index", "column_name", "data_type", "null_percent", "unique_count", "is_likely_id",
         "is_likely_metric", "is_likely_categorical", "is_likely_date",
-        F.slice("top_values", 1, 5).alias("top_values"),
+        (F.col("top_values") if top_values is None else F.slice("top_values", 1, top_values)).alias("top_values"),
     )
     tables = profile.groupBy("table_name").agg(
         F.max("total_count").alias("row_count"),
@@ -208,8 +221,8 @@ def dataset_summary(profile: DataFrame, issues: DataFrame, views: DataFrame, vis
     tables = tables.join(found, "table_name", "left").withColumn(
         "quality_issue_count", F.coalesce("quality_issue_count", F.lit(0))
     )
-    latest_views = _latest(views, version, "saved_views", "view_id", "name", "source_type", "row_count", "column_count")
-    latest_visuals = _latest(visuals, version, "saved_visuals", "visual_id", "title", "chart_type")
+    latest_views = _latest(views, version, listed, "saved_views", "view_id", "name", "source_type", "row_count", "column_count")
+    latest_visuals = _latest(visuals, version, listed, "saved_visuals", "visual_id", "title", "chart_type")
     # The lists belong to the version: one row each, spread over its tables by a window.
     rows = (
         tables.withColumn("version_number", F.lit(version))
@@ -217,12 +230,12 @@ def dataset_summary(profile: DataFrame, issues: DataFrame, views: DataFrame, vis
         .unionByName(latest_visuals, allowMissingColumns=True)
     )
     whole = Window.partitionBy("version_number")
-    listed = {n: F.first(n, ignorenulls=True).over(whole) for n in ("saved_views", "saved_visuals")}
-    return rows.withColumns(listed).filter(F.col("table_name").isNotNull())
+    shown = {n: F.first(n, ignorenulls=True).over(whole) for n in ("saved_views", "saved_visuals")}
+    return rows.withColumns(shown).filter(F.col("table_name").isNotNull())
 
 
-def _latest(rows: DataFrame, version: int, output: str, *names: str) -> DataFrame:
+def _latest(rows: DataFrame, version: int, most: int | None, output: str, *names: str) -> DataFrame:
     newest = Window.partitionBy("version_number").orderBy(F.col("created_at").desc())
-    top = rows.filter(F.col("version_number") == version).withColumn("at", F.row_number().over(newest)).filter(F.col("at") <= LISTED)
+    top = rows.filter(F.col("version_number") == version).withColumn("at", F.row_number().over(newest)).filter(F.lit(True) if most is None else F.col("at") <= most)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", *names))), lambda s: F.struct(*[s[n].alias(n) for n in names]))
     return top.groupBy("version_number").agg(listed.alias(output))

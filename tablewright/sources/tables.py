@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,51 +27,58 @@ FORMATS = ("csv", "parquet", "json")
 
 
 def table_name(name: str) -> str:
-    """Safe identifier: lower case, other signs as single underscores, no leading digit."""
-    safe = re.sub(r"[^a-z0-9_]+", "_", name.strip().lower())
-    safe = re.sub(r"_+", "_", safe).strip("_")
-    if safe[:1].isdigit():
-        safe = "t_" + safe
-    return safe or "table"
+    """Safe identifier: the runs of letters a-z and digits, joined by underscores.
+
+    A leading digit gets `t_` before it, and a name without any such run is `table`.
+    """
+    joined = "_".join(re.findall("[a-z0-9]+", name.lower()))
+    return f"t_{joined}" if joined[:1].isdigit() else joined or "table"
 
 
 def unique_table_names(names: Iterable[str]) -> list[str]:
-    """Safe names in order; repeated ones get _1, _2 and so on."""
-    seen: dict[str, int] = {}
+    """Safe names in order, all different: the first free of name, name_1, name_2 and so on.
+
+    Names that are safe as they stand keep themselves before numbers are given out.
+    """
+    wanted = [table_name(n) for n in names]
+    free = set(wanted)  # names that some table has by right
+    taken: set[str] = set()
     out = []
-    for safe in map(table_name, names):
-        if safe in seen:
-            seen[safe] += 1
-            out.append(f"{safe}_{seen[safe]}")
-        else:
-            seen[safe] = 0
-            out.append(safe)
+    for safe in wanted:
+        numbered = (f"{safe}_{i}" for i in count(1))
+        chosen = safe if safe not in taken else next(n for n in numbered if n not in taken | free)
+        taken.add(chosen)
+        out.append(chosen)
     return out
 
 
+# What a CSV file means, for batch, stream and results: quotes inside quotes are doubled.
+CSV_OPTIONS = {"header": True, "escape": '"'}
+
+
 def read_table(
     spark: SparkSession,
     path: str,
     fmt: str = "csv",
     schema: T.StructType | str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """One file or folder of files.
 
     Without a schema the types of a CSV are found by a pass over all its values; give one
-    to save that pass. `multi_line=False` lets Spark split large CSV files, and is right
-    when no quoted value holds a line break.
+    to save that pass. Large CSV files are split; `multi_line=True` reads each file in one
+    task and is needed where quoted values hold line breaks.
     """
     df = _raw(spark, path, fmt, schema, multi_line)
     return _recognised(df, numbers=True) if fmt == "csv" and schema is None else df
 
 
-def _raw(spark, path: str, fmt: str, schema=None, multi_line: bool = True) -> DataFrame:
+def _raw(spark, path: str, fmt: str, schema=None, multi_line: bool = False) -> DataFrame:
     if fmt not in FORMATS:
         raise ToolError(f"Unsupported format '{fmt}'. Allowed: {FORMATS}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
-        return reader.csv(path, header=True, escape='"', multiLine=multi_line)
+        return reader.options(**CSV_OPTIONS).csv(path, multiLine=multi_line)
     return reader.json(path) if fmt == "json" else reader.parquet(path)
 
 
@@ -141,11 +149,11 @@ def _not_empty(sources: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     kept = {n: df for n, df in sources.items() if not df.isEmpty()}
     if not kept:
         raise ToolError("There is no table with rows")
-    return dict(zip(unique_table_names(kept), kept.values()))
+    return dict(zip(unique_table_names(kept), kept.values(), strict=True))
 
 
 def import_directory(
-    spark: SparkSession, path: str, fmt: str = "csv", normalise: bool = True, multi_line: bool = True
+    spark: SparkSession, path: str, fmt: str = "csv", normalise: bool = True, multi_line: bool = False
 ) -> dict[str, DataFrame]:
     """Every file or sub-folder of a folder as one table; numbers and dates of a CSV in one pass."""
     found = {}

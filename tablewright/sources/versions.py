@@ -2,11 +2,14 @@
 
     <root>/v1_original/<table>/   data, never overwritten
     <root>/_versions/             one row per finished version
+    <root>/_claims/               one folder per number a writer has taken or tried to take
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import random
+import time
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -76,8 +79,24 @@ class Dataset:
         return {t: self.spark.read.parquet(f"{v.path}/{t}") for t in v.tables}
 
     def next_number(self) -> int:
-        top = self.versions().agg(F.max("version_number")).first()[0]
-        return (top or 0) + 1
+        """The number after the last version or claim."""
+        top = self.versions().agg(F.max("version_number")).first()[0] or 0
+        claims = f"{self.root}/_claims"
+        claimed = registry.child_names(self.spark, claims) if registry.path_exists(self.spark, claims) else []
+        return max([top, *(int(name) for name, _ in claimed if name.isdigit())]) + 1
+
+    def _claimed(self, number: int | None, replace_unfinished: bool) -> int:
+        """A number that this writer alone has: it is claimed before any data is written."""
+        if number is not None:
+            mine = registry.claim(self.spark, f"{self.root}/_claims/{number}")
+            if not self.versions().filter(F.col("version_number") == number).isEmpty():
+                raise ToolError(f"Version {number} exists already")
+            if not mine and not replace_unfinished:
+                raise ToolError(f"Version {number} is being written already")
+            return number
+        while not registry.claim(self.spark, f"{self.root}/_claims/{(number := self.next_number())}"):
+            time.sleep(random.uniform(0.0, 1.0))  # so that two writers do not meet again
+        return number
 
     def write(
         self,
@@ -97,10 +116,8 @@ class Dataset:
         """
         if not tables:
             raise ToolError("A version needs at least one table")
-        number = self.next_number() if number is None else number
+        number = self._claimed(number, replace_unfinished)
         path = f"{self.root}/v{number}_{VersionType(kind)}"
-        if not self.versions().filter(F.col("version_number") == number).isEmpty():
-            raise ToolError(f"Version {number} exists already")
         if registry.path_exists(self.spark, path) and not replace_unfinished:
             raise ToolError(f"Folder exists already: {path}")
         mode = "overwrite" if replace_unfinished else "errorifexists"
@@ -147,7 +164,7 @@ class Dataset:
 
     def _log(self, name: str, rows: DataFrame, version: Version) -> None:
         numbered = rows.select(F.lit(version.number).alias("version_number"), "*")
-        numbered.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")  # one row per step
+        registry.append_frame(numbered, f"{self.root}/{name}")
 
     def cleaning_log(self) -> DataFrame:
         """One row per cleaning step of every cleaned version."""

@@ -9,7 +9,6 @@ from typing import Any
 
 PREVIEW_ROWS = 100
 RESULT_ROWS = 500
-CHART_POINTS = 500
 
 
 class VersionType(StrEnum):
@@ -144,7 +143,7 @@ class Metric:
 
 @dataclass(frozen=True)
 class PreviewTable:
-    """First rows of chosen columns. `limit=None` keeps every row, here and below."""
+    """First rows of chosen columns. `limit=None` keeps every row; below that is the default."""
 
     table: str
     columns: Sequence[str] = ()
@@ -158,7 +157,7 @@ class FilterTable:
     columns: Sequence[str] = ()
     sort_by: str | None = None
     sort_desc: bool = False
-    limit: int | None = RESULT_ROWS
+    limit: int | None = None
 
 
 @dataclass(frozen=True)
@@ -168,7 +167,7 @@ class AggregateTable:
     metrics: Sequence[Metric]
     sort_by: str | None = None
     sort_desc: bool = True
-    limit: int | None = RESULT_ROWS
+    limit: int | None = None
     date_trunc_period: Period | str | None = None
 
 
@@ -179,7 +178,7 @@ class SimpleJoin:
     key_left: str
     key_right: str
     output_columns: Sequence[str] = ()
-    limit: int | None = RESULT_ROWS
+    limit: int | None = None
 
 
 @dataclass(frozen=True)

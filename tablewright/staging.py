@@ -6,7 +6,6 @@ executors, lets later reads prune columns, and cuts the lineage behind it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -15,23 +14,13 @@ from contextlib import contextmanager
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.errors import ToolError
-
-_local_roots: dict[str, str] = {}
 _kept: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only for a local session."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ToolError("Set spark.checkpoint.dir to a folder every executor can reach.")
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="tablewright-")
-    return _local_roots[context.applicationId]
+    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staging").rstrip("/")
 
 
 def _new_path(spark: SparkSession, label: str) -> str:

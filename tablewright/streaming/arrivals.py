@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tablewright.sources.tables import normalise_table, table_name
+from tablewright.sources.tables import CSV_OPTIONS, normalise_table, table_name
 from tablewright.sources.versions import Dataset
 from tablewright.specs import VersionType
 
@@ -31,7 +31,8 @@ def import_arrivals(
     name = table_name(table)
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
-        source = f"{folder}#{batch_id}"
+        # A checkpoint counts its own batches, so it is part of what a version came from.
+        source = f"{folder} > {name} @ {checkpoint}#{batch_id}"
         versions = dataset.versions()
         if not versions.filter(F.col("source") == source).isEmpty() or batch.isEmpty():
             return
@@ -42,7 +43,7 @@ def import_arrivals(
 
     arriving = (
         spark.readStream.schema(schema)
-        .option("header", True)
+        .options(**CSV_OPTIONS)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
     )

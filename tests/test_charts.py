@@ -47,8 +47,8 @@ def test_pie(tables):
 def test_scatter(tables, spark):
     assert len(points(tables, "p", "scatter", "revenue", "cost")) == 5
     many = {"t": spark.range(2000).selectExpr("id x", "id y")}
-    assert len(points(many, "t", "scatter", "x", "y")) == 500
-    a, b = (points(many, "t", "scatter", "x", "y", sample_seed=s) for s in (1, 1))
+    assert len(points(many, "t", "scatter", "x", "y")) == 2000
+    a, b = (points(many, "t", "scatter", "x", "y", sample_seed=s, limit=500) for s in (1, 1))
     assert a == b and len(a) == 500 and max(x for x, _ in a) > 1500
 
 

@@ -93,3 +93,22 @@ def test_step_log(spark):
     df = spark.createDataFrame([(100.0,), (None,), (None,), (400.0,)], "revenue double")
     m = apply_cleaning({"t": df}, [CleaningStep("t", "drop_rows", "revenue")]).metrics().first()
     assert (m["rows_before"], m["rows_after"], m["rows_removed"], m["columns_changed"]) == (4, 2, 2, ["revenue"])
+
+
+def test_mapping_size_changes_nothing(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 2), (None, 3), (float("nan"), 4)], "v double, n int")
+    few = {"1": 10, "1.0": 20, 2: 1.5, 7: None}
+    many = few | {str(k): k for k in range(1000, 1500)}
+    got = [rows(apply_cleaning({"t": df}, [CleaningStep("t", "normalize_format", "v", parameters={"mapping": m})]).tables["t"].filter("n < 4")) for m in (few, many)]
+    assert got[0] == got[1] and len(got[0]) == 3
+
+
+def test_missing_number_is_dropped_like_it_is_filled(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double")
+    run = apply_cleaning({"t": df}, [CleaningStep("t", "drop_rows", "v")])
+    assert rows(run.tables["t"]) == [(1.0,)] and run.metrics().first()["rows_after"] == 1
+
+
+def test_long_padded_dates_are_read(spark):
+    df = spark.createDataFrame([(" " * 70 + "2024-01-02",)], "d string")
+    assert str(c.parse_dates(df, "d").first()[0]).startswith("2024-01-02")

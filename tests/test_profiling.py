@@ -189,7 +189,7 @@ def test_features(spark):
     df = spark.createDataFrame(
         [("2024-01-01", 10.0, 1, 5, "web"), ("2024-01-02", 20.0, 2, 6, "app")],
         "order_date string, revenue double, user_id int, orders int, channel string")
-    suggested = suggest_features(profile_table(df, "t").columns)
+    suggested = suggest_features(profile_table(df, "t").columns, most=8)
     got = [tuple(r) for r in suggested.orderBy("sequence").select("feature_name", "operation").collect()]
     assert got == [
         ("date_parts_order_date", "date_extract"), ("aov", "ratio"), ("arpu", "ratio"), ("running_revenue", "window"),
@@ -206,7 +206,7 @@ def test_features(spark):
         "date_parts_order_date": "success", "aov": "success", "arpu": "success", "running_revenue": "success",
         "running_revenue_by_channel": "success", "revenue_by_channel": "success"}
     many = spark.createDataFrame([tuple(range(12))], ", ".join(f"date_{i} int" for i in range(12)))
-    assert suggest_features(profile_table(many, "m").columns).count() == 8
+    assert suggest_features(profile_table(many, "m").columns, most=8).count() == 8
 
 
 def test_charts(spark):
@@ -214,7 +214,7 @@ def test_charts(spark):
         [(dt.date(2024, 1, d), r, float(c), "ns"[d % 2]) for d, r, c in ((1, 5, 1), (2, 6, 1), (3, 5, 2), (4, 6, 2))],
         "day date, revenue int, cost double, segment string")
     df = df.union(df)
-    suggested = suggest_charts(profile_table(df, "t").columns)
+    suggested = suggest_charts(profile_table(df, "t").columns, most=8, count_bars=20)
     got = [tuple(r) for r in suggested.orderBy("sequence").select("chart_type", "x_column", "y_column", "aggregation", "sort", "limit").collect()]
     assert got == [
         ("line", "day", "revenue", "sum", "asc", None), ("line", "day", "cost", "sum", "asc", None),

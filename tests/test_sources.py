@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright import Dataset, ResultStore, ToolError, chart_batch, import_directory, read_table
 from tablewright.sources import registry
@@ -44,12 +45,12 @@ def test_csv_directory(spark, tmp_path):
 def test_csv_types(spark, tmp_path):
     (tmp_path / "t.csv").write_text(
         'i,d,b,s,n,quoted,day\n1,1,True,x,NA,"two\nlines",2024-01-01\n007,NA,false,NA,,"a ""q""",x\n ,2.5,NULL,5,nan,z,2024-01-03\n')
-    typed = read_table(spark, str(tmp_path / "t.csv"))
+    typed = read_table(spark, str(tmp_path / "t.csv"), multi_line=True)
     assert [f.dataType.simpleString() for f in typed.schema] == ["bigint", "double", "boolean", "string", "string", "string", "string"]
     assert [tuple(r) for r in typed.collect()] == [
         (1, 1.0, True, "x", None, "two\nlines", "2024-01-01"), (7, None, False, None, None, 'a "q"', "x"),
         (None, 2.5, None, "5", None, "z", "2024-01-03")]
-    whole = import_directory(spark, str(tmp_path))["t"]
+    whole = import_directory(spark, str(tmp_path), multi_line=True)["t"]
     assert [f.dataType.simpleString() for f in whole.schema][-1] == "timestamp_ntz" and whole.schema["i"].dataType.simpleString() == "bigint"
 
 
@@ -189,3 +190,22 @@ def test_arrivals(spark, tmp_path):
     data = Dataset(spark, root)
     assert rows(data.versions(), "version_number", "parent_version", "row_count") == [(1, None, 2), (2, 1, 1)]
     assert rows(data.tables(2)["my_sales"]) == [(dt.datetime(2024, 1, 3), "C", 3)]
+
+
+def test_names_never_collide():
+    assert unique_table_names(["a", "a", "a_1"]) == ["a", "a_2", "a_1"]
+
+
+def test_two_writers_take_different_numbers(spark, tmp_path):
+    from tablewright.staging import side_by_side
+
+    data = Dataset(spark, f"{tmp_path}/data")
+    data.write({"t": spark.range(3)})
+    made = side_by_side(*[lambda: data.write({"t": spark.range(5)}, "cleaned", 1), lambda: data.write({"t": spark.range(7)}, "enriched", 1)])
+    assert sorted(v.number for v in made) == [2, 3] and data.versions().count() == 3
+
+
+def test_metadata_of_another_kind_is_an_error(spark, tmp_path):
+    spark.range(2).select(F.col("id").cast("string").alias("version_number")).write.parquet(f"{tmp_path}/data/_versions/rows-1")
+    with pytest.raises(Exception, match="version_number|PARQUET"):
+        Dataset(spark, f"{tmp_path}/data").versions().collect()

@@ -259,13 +259,13 @@ def suggest_cleaning_all(spark, sf):
 @register("suggest_features")
 def suggest_features_all(spark, sf):
     p = profile_tables(_all_tables(spark, sf), duplicates=False)
-    return suggest_features(p.columns).select("feature_id", "table_name", "sequence", "feature_name", "operation", "output_column")
+    return suggest_features(p.columns, most=8).select("feature_id", "table_name", "sequence", "feature_name", "operation", "output_column")
 
 
 @register("suggest_charts")
 def suggest_charts_all(spark, sf):
     p = profile_tables(_all_tables(spark, sf), duplicates=False)
-    return suggest_charts(p.columns).select(
+    return suggest_charts(p.columns, most=8, count_bars=20).select(
         "chart_id", "table_name", "sequence", "chart_type", "x_column", "y_column", "aggregation"
     )
 
@@ -277,7 +277,7 @@ def suggest_charts_all(spark, sf):
     ) AS v(sequence, feature_name, operation) WHERE (SELECT count(*) FROM orders) > 0""")
 def suggest_features_orders(spark, sf):
     p = profile_table(read(spark, sf, "orders"), "orders", duplicates=False)
-    return suggest_features(p.columns).select("sequence", "feature_name", "operation")
+    return suggest_features(p.columns, most=8).select("sequence", "feature_name", "operation")
 
 
 @register("suggest_charts_orders", """
@@ -289,7 +289,7 @@ def suggest_features_orders(spark, sf):
     ) AS v(sequence, chart_type, x_column, y_column) WHERE (SELECT count(*) FROM orders) > 0""")
 def suggest_charts_orders(spark, sf):
     p = profile_table(read(spark, sf, "orders"), "orders", duplicates=False)
-    return suggest_charts(p.columns).select("sequence", "chart_type", "x_column", "y_column")
+    return suggest_charts(p.columns, most=8, count_bars=20).select("sequence", "chart_type", "x_column", "y_column")
 
 
 @register("feature_decisions", """
@@ -297,7 +297,7 @@ def suggest_charts_orders(spark, sf):
            CAST(3 AS BIGINT) AS blocked, false AS can_execute FROM (SELECT count(*) FROM orders)""")
 def feature_decisions(spark, sf):
     p = profile_table(read(spark, sf, "orders"), "orders", duplicates=False)
-    suggested = suggest_features(p.columns)
+    suggested = suggest_features(p.columns, most=8)
     decisions = suggested.filter("sequence <= 2").select(
         "feature_id", F.when(F.col("sequence") == 1, "approve").otherwise("modify").alias("decision")
     )
@@ -310,7 +310,7 @@ def feature_decisions(spark, sf):
 def suggested_charts_drawn(spark, sf):
     """Approve two suggestions and draw them."""
     orders = read(spark, sf, "orders")
-    suggested = suggest_charts(profile_table(orders, "orders", duplicates=False).columns)
+    suggested = suggest_charts(profile_table(orders, "orders", duplicates=False).columns, most=8, count_bars=20)
     decisions = suggested.select("chart_id", F.when(F.col("sequence").isin(5, 8), "approve").otherwise("reject").alias("decision"))
     approved = chart_plan.to_charts(chart_plan.decide(suggested, decisions, "chart_id"))
     drawn = charts.chart_batch({"orders": orders}, approved)
@@ -326,7 +326,7 @@ def _orders(spark, sf):
 
 @register("chart_line", """
     SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS o_totalprice
-    FROM orders GROUP BY o_orderdate ORDER BY 1 LIMIT 500""")
+    FROM orders GROUP BY o_orderdate ORDER BY 1""")
 def chart_line(spark, sf):
     out = chart_data(_orders(spark, sf), Chart("orders", "line", "o_orderdate", "o_totalprice", "sum"))
     return texted(out).withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
@@ -334,7 +334,7 @@ def chart_line(spark, sf):
 
 @register("chart_line_raw", """
     SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_totalprice FROM orders
-    ORDER BY orders.o_orderdate, o_totalprice LIMIT 500""")
+    ORDER BY orders.o_orderdate, o_totalprice""")
 def chart_line_raw(spark, sf):
     return texted(chart_data({"orders": read(spark, sf, "orders")}, Chart("orders", "line", "o_orderdate", "o_totalprice")))
 
@@ -358,7 +358,7 @@ def chart_pie(spark, sf):
 
 
 @register("chart_scatter", """
-    SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey, o_totalprice LIMIT 500""")
+    SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey, o_totalprice""")
 def chart_scatter(spark, sf):
     return chart_data(
         {"orders": read(spark, sf, "orders")}, Chart("orders", "scatter", "o_orderkey", "o_totalprice", sort="asc")
@@ -373,7 +373,7 @@ def chart_visual(spark, sf):
 
 @register("chart_records", """
     SELECT '{"o_orderdate":"' || strftime(d, '%Y-%m-%dT00:00:00.000') || '","count":' || n || '}' AS record FROM (
-        SELECT o_orderdate AS d, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, d LIMIT 500)""")
+        SELECT o_orderdate AS d, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, d)""")
 def chart_records(spark, sf):
     return charts.records(chart_data(_orders(spark, sf), Chart("orders", "bar", "o_orderdate")))
 
@@ -409,6 +409,6 @@ def chart_area(spark, sf):
     return chart_data({"lineitem": read(spark, sf, "lineitem")}, Chart("lineitem", "area", "l_linenumber", "l_quantity", "sum"))
 
 
-@register("chart_table", "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 500")
+@register("chart_table", "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey")
 def chart_table(spark, sf):
     return chart_data({"supplier": read(spark, sf, "supplier")}, Chart("supplier", "table", "s_suppkey", "s_name", sort="asc"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright import Dataset, ResultStore, import_directory, profile_tables, run
 from tablewright.sources.results import dataset_summary, table_output
-from tablewright.sources.tables import normalise_table, table_info
+from tablewright.sources.tables import import_tables, normalise_table, table_info
 from tablewright.sources.texts import text_statistics
 from tablewright.specs import AggregateTable, Chart, CleaningStep, Feature, Metric
 from tablewright.operators.charts import chart_data
@@ -117,6 +117,36 @@ def large_result(spark, sf):
     return spark.read.schema("o_orderkey bigint, o_custkey bigint").csv(output.path, header=True)
 
 
+@register("result_formats", """
+    SELECT fmt, o_orderkey, note, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS moment FROM (SELECT unnest(['csv', 'json', 'parquet']) AS fmt), (
+        SELECT o_orderkey, o_orderdate + INTERVAL 1 MICROSECOND * (o_orderkey % 1000003) AS moment,
+               CASE o_orderkey % 6 WHEN 0 THEN '  padded ' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'say "hi", you'
+                                   WHEN 4 THEN 'two' || chr(10) || 'lines \\ "' ELSE o_orderstatus END AS note FROM orders)""")
+def result_formats(spark, sf):
+    """A saved view holds what was saved, whatever its format."""
+    store, key = ResultStore(spark, scratch(spark, "results")), F.col("o_orderkey") % 6
+    notes = {0: F.lit("  padded "), 1: F.lit(""), 2: F.lit(None), 3: F.lit('say "hi", you'), 4: F.lit('two\nlines \\ "'), 5: F.col("o_orderstatus")}
+    note = F.coalesce(*[F.when(key == k, v) for k, v in notes.items()])
+    orders = read(spark, sf, "orders").select(
+        "o_orderkey", note.alias("note"),
+        F.expr("timestamp_micros(unix_micros(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey % 1000003)").alias("moment"))
+    out = None
+    for fmt in ("csv", "json", "parquet"):
+        back = store.read_view(store.save_view(orders, fmt, 1, fmt=fmt)).withColumn("fmt", F.lit(fmt))
+        out = back if out is None else out.unionByName(back)
+    return out.withColumn("moment", F.date_format("moment", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@register("import_colliding_names", """
+    SELECT t AS table_name, CAST(count(*) AS BIGINT) AS row_count
+    FROM nation, (VALUES ('a', 0), ('a_2', 1), ('a_1', 2), ('t_1', 3), ('table', 4)) AS names(t, k) WHERE n_nationkey % 5 = k GROUP BY t""")
+def import_colliding_names(spark, sf):
+    """Names that become equal lose no table."""
+    nation = read(spark, sf, "nation")
+    tables = import_tables({n: nation.filter(F.col("n_nationkey") % 5 == k) for k, n in enumerate(("a", "A!", "a_1", "1", "?"))})
+    return table_info(tables).select("table_name", "row_count")
+
+
 @register("dataset_summary", """
     SELECT 'customer' AS table_name, CAST(count(*) AS BIGINT) AS row_count, CAST(5 AS BIGINT) AS column_count, CAST(1 AS INTEGER) AS views, CAST(1 AS INTEGER) AS visuals FROM customer UNION ALL
     SELECT 'orders', CAST(count(*) AS BIGINT), CAST(6 AS BIGINT), CAST(1 AS INTEGER), CAST(1 AS INTEGER) FROM orders""")
@@ -148,3 +178,18 @@ def import_stream(spark, sf):
         import_arrivals(spark, folder, schema, root, "Events", checkpoint).awaitTermination()
     data = Dataset(spark, root)
     return data.tables(1)["events"].union(data.tables(2)["events"])
+
+
+@register("import_stream_quoted", """
+    SELECT t AS place, event_id, 'say "' || event_type || '", ' || user_id AS note FROM events, (VALUES ('first'), ('second'), ('again')) AS names(t)""")
+def import_stream_quoted(spark, sf):
+    """Two tables, then a new checkpoint, take all files of one folder; quotes are read as the batch import reads them."""
+    folder, root = scratch(spark, "arriving"), scratch(spark, "dataset")
+    note = F.concat(F.lit('say "'), "event_type", F.lit('", '), F.col("user_id").cast("string"))
+    read(spark, sf, "events").select("event_id", note.alias("note")).write.option("header", True).option("escape", '"').csv(folder)
+    data, out = Dataset(spark, root), None
+    for place, table in (("first", "one"), ("second", "two"), ("again", "one")):
+        import_arrivals(spark, folder, "event_id bigint, note string", root, table, scratch(spark, "progress")).awaitTermination()
+        new = data.tables()[table].withColumn("place", F.lit(place))
+        out = new if out is None else out.unionByName(new)
+    return out
