@@ -59,38 +59,42 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, stretches: list[str]) -> list[list[int]]:
-        """Many short texts, some hundred in one call: a lone digit between them is one id."""
+    def _encoded(self, stretches: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Which stretches in which order, all their ids, and how many each has. Many short texts
+        go into one call: a lone digit between them is one id."""
         plain = [k for k, s in enumerate(stretches) if "0" not in s and "<" not in s]
-        out: list = [None] * len(stretches)
+        order, flat, sizes = [], [], []
+        rest = sorted(set(range(len(stretches))) - set(plain))
         if len(self.gap) == 1:
             groups = [plain[a : a + 200] for a in range(0, len(plain), 200)]
-            for group, ids in zip(groups, self._ids([" 0 ".join(stretches[k] for k in g) for g in groups]), strict=True):
-                ids = np.array(ids, dtype=np.int64)
-                cuts = np.flatnonzero(ids == self.gap[0])
+            for group, ids in zip(groups, self._ids([" 0 ".join([stretches[k] for k in g]) for g in groups]), strict=True):
+                ids = np.array(ids, dtype=np.uint16)
+                gap = ids == self.gap[0]
+                cuts = np.flatnonzero(gap)
                 if len(cuts) == len(group) - 1:
-                    for k, part in zip(group, np.split(ids, cuts), strict=True):
-                        out[k] = part
-                    for k in group[1:]:
-                        out[k] = out[k][1:]
-        rest = [k for k, x in enumerate(out) if x is None]
+                    order += group
+                    flat.append(ids[~gap])
+                    sizes.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
+                else:
+                    rest += group
+        else:
+            rest = list(range(len(stretches)))
         for k, ids in zip(rest, self._ids([stretches[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
+            order.append(k)
+            flat.append(np.array(ids, dtype=np.uint16))
+            sizes.append([len(ids)])
+        return order, np.concatenate(flat), np.concatenate(sizes).astype(np.int64)
 
     def _learn(self, hashes: list[int], stretches: list[str]) -> None:
-        if len(self.slot) + len(hashes) > REMEMBERED:
-            self._forget()
-        encoded = self._encoded(stretches)
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        order, ids, sizes = self._encoded(stretches)
         n, used = len(self.slot), int(self.bounds[len(self.slot)])
         while len(self.bounds) < n + len(sizes) + 1:
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        while len(self.ids) < used + sizes.sum():
+        while len(self.ids) < used + len(ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.bounds[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
-        self.ids[used : used + sizes.sum()] = np.concatenate([np.asarray(x, dtype=np.uint16) for x in encoded])
-        self.slot.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.ids[used : used + len(ids)] = ids
+        self.slot.update(zip([hashes[k] for k in order], range(n, n + len(order)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, an end id after each, and where each text's ids begin."""
@@ -118,7 +122,7 @@ class Encoder:
             new = list(range(len(keys)))
         if new:
             self._learn([keys[k] for k in new], [raw[begin[place[k]] : stop[place[k]]].decode("utf-8", "replace") for k in new])
-        slots = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))[inverse]
+        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[inverse]
         sizes = self.bounds[slots + 1] - self.bounds[slots]
         before = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.ids[np.arange(before[-1]) + np.repeat(self.bounds[slots] - before[:-1], sizes)]
