@@ -11,7 +11,10 @@ segment (order 0). How far each is trusted is learned in the block: for every pa
 confidences of the two contexts it counts which prediction came true, and these counts drive
 the arithmetic coder. If neither context is right, the id itself is coded by frequency.
 
-Carries are added to the digit before and settled once at the end of the block.
+Digits hold their carries until all are settled once at the end of the block.
+
+The three counts of a trust lie in one number of 64 bits, 16 bits each, so one product gives
+all sums of the first counts.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ _U = np.uint64
 _FULL, _LEAST, _DIGIT = _U((1 << 40) - 1), _U(1 << 24), _U(16)
 _LOW16, _ALL_ODD = _U(0xFFFF), _U(0x00007FFF7FFF7FFF)
 _ONES = _U(1 | 1 << 16 | 1 << 32)
+_BELOW = _U(1 << 16 | 1 << 32)
+#: Place of a count in the trust: by order 2 (first), order 1, neither; for hits of order 1 + 2 * order 2.
+_SHIFTS = np.array([32, 16, 0, 0], dtype=np.uint64)
 _START = _U(4 | 4 << 16 | 24 << 32)
 _STEP, _MOST = 24, 4000
 
@@ -45,31 +51,35 @@ def _frequencies(counts: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """Predictions of all blocks; tables are flat, one stretch per block."""
+    """Predictions of all blocks; row 0 of every pair is order 1, row 1 order 2; tables are flat,
+    one stretch per order and block."""
 
     def __init__(self, blocks: int):
         slots = 1 << SLOT_BITS
-        self.first = np.arange(blocks, dtype=np.int64) * slots
-        self.one = np.zeros(blocks * slots, dtype=np.uint32)
-        self.two = np.zeros(blocks * slots, dtype=np.uint32)
+        self.first = (np.arange(2 * blocks, dtype=np.int64) * slots).reshape(2, blocks)
+        self.cells = np.zeros(2 * blocks * slots, dtype=np.uint32)
         self.states = np.arange(blocks, dtype=np.int64) * 16
         self.trust = np.full(blocks * 16, _START, dtype=np.uint64)
 
     def look(self, k: int, last: np.ndarray, before: np.ndarray):
-        mask = (1 << SLOT_BITS) - 1
-        at1 = self.first[:k] + ((last * 40503 >> 4) & mask)
-        at2 = self.first[:k] + ((last * 40503 + before * 60493 >> 3) & mask)
-        one, two = self.one.take(at1, mode="clip"), self.two.take(at2, mode="clip")
-        state = self.states[:k] + ((two & 3) << 2 | one & 3)
-        return at1, at2, one, two, state, self.trust.take(state, mode="clip")
-
-    def learn(self, at1, at2, one, two, state, trust, symbol, hit1, hit2, ids) -> None:
-        fresh = ids << 2
-        self.one[at1] = np.where(hit1, one + ((one & 3) < 3), np.where(one & 3, one - 1, fresh))
-        self.two[at2] = np.where(hit2, two + ((two & 3) < 3), np.where(two & 3, two - 1, fresh))
-        trust = trust + (_U(_STEP) << (symbol << _U(4)))
-        full = ((trust & _LOW16) + (trust >> _DIGIT & _LOW16) + (trust >> _U(32))) > _MOST
-        if full.any():
+        """Where the predictions of k blocks lie, what they are, and how far they are trusted."""
+        at = np.empty((2, k), dtype=np.int64)
+        np.multiply(last, 40503, out=at[0])
+        np.add(at[0], before * 60493, out=at[1])
+        at[0] >>= 1
+        at >>= 3
+        at &= (1 << SLOT_BITS) - 1
+        at += self.first[:, :k]
+        cells = self.cells.take(at, mode="clip")
+        sure = cells & 3
+        state = self.states[:k] + (sure[1] << 2 | sure[0])
+        return at, cells, sure, state, self.trust.take(state, mode="clip")
+
+    def learn(self, at, cells, sure, hits, state, trust, total, shift, ids) -> None:
+        self.cells[at] = np.where(hits, cells + (sure < 3), np.where(sure, cells - 1, ids << 2))
+        trust = trust + (_U(_STEP) << shift)
+        full = total > _MOST - _STEP
+        if np.count_nonzero(full):
             trust = np.where(full, (trust >> _U(1) & _ALL_ODD) | _ONES, trust)
         self.trust[state] = trust
 
@@ -79,7 +89,7 @@ def _columns(ids: np.ndarray) -> tuple[np.ndarray, int, int]:
     blocks = max(1, -(-len(ids) // BLOCK))
     last = len(ids) - (blocks - 1) * BLOCK
     steps = BLOCK if blocks > 1 else last
-    padded = np.zeros(blocks * steps, dtype=np.int64)
+    padded = np.zeros(blocks * steps, dtype=ids.dtype)
     padded[: len(ids)] = ids
     return np.ascontiguousarray(padded.reshape(blocks, steps).T), blocks, last
 
@@ -91,7 +101,7 @@ def _count_table(counts: np.ndarray) -> bytes:
 
 def encode(ids: np.ndarray) -> bytes:
     """One segment: magic, sizes, frequency table, block lengths and checksums, block bytes."""
-    ids = np.asarray(ids, dtype=np.int64)
+    ids = np.asarray(ids)
     if not len(ids):
         return MAGIC + np.zeros(3, "<u4").tobytes()
     counts = np.bincount(ids)
@@ -105,33 +115,31 @@ def encode(ids: np.ndarray) -> bytes:
     last, before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
 
     def push(low, width, place):
-        """After low has grown: settle the carry, and put out a digit where the width is small."""
-        over = low > _FULL
-        if over.any():
-            flat[place[over] - blocks] += 1
-            low &= _FULL
-        small = np.flatnonzero(width < _LEAST)
+        """Put out a digit, with its carry if low has grown over it, where the width is small."""
+        small = (width < _LEAST).nonzero()[0]
         if len(small):
             chosen = low.take(small, mode="clip")
-            flat[place.take(small, mode="clip")] = chosen >> _U(24)
+            to = place.take(small, mode="clip")
+            flat[to] = chosen >> _U(24)
             low[small] = chosen << _DIGIT & _FULL
             width[small] = width.take(small, mode="clip") << _DIGIT
-            place[small] = place.take(small, mode="clip") + blocks
+            place[small] = to + blocks
 
-    for t, now in enumerate(table):
+    for t, row in enumerate(table):
         k = blocks if t < last_length else blocks - 1
-        now = now[:k]
-        at1, at2, one, two, state, trust = model.look(k, last[:k], before[:k])
-        hit2, hit1 = (two >> 2) == now, (one >> 2) == now
-        symbol = np.where(hit2, _U(0), np.where(hit1, _U(1), _U(2)))
-        a, b = trust & _LOW16, trust >> _DIGIT & _LOW16
-        total = a + b + (trust >> _U(32))
+        now = row[:k].astype(np.int64)
+        small_now = now.astype(np.uint32)
+        at, cells, sure, state, trust = model.look(k, last[:k], before[:k])
+        hits = (cells >> 2) == small_now
+        kind = hits[1].view(np.uint8) << 1 | hits[0].view(np.uint8)
+        shift = _SHIFTS.take(kind)
+        total = trust * _ONES >> _U(32) & _LOW16
         l, w, p = low[:k], width[:k], place[:k]
         part = (w / total).astype(np.uint64)
-        l += part * np.where(hit2, _U(0), np.where(hit1, a, a + b))
-        w[:] = part * (trust >> (symbol << _U(4)) & _LOW16)
+        l += part * (trust * _BELOW >> shift & _LOW16)
+        np.multiply(part, trust >> shift & _LOW16, out=w)
         push(l, w, p)
-        literal = np.flatnonzero(symbol == 2)
+        literal = (kind == 0).nonzero()[0]
         if len(literal):
             which = now.take(literal, mode="clip")
             part = width.take(literal, mode="clip") >> _U(LITERAL_BITS)
@@ -139,13 +147,11 @@ def encode(ids: np.ndarray) -> bytes:
             push(l2, w2, p2)
             push(l2, w2, p2)  # a rare id may narrow the width by two digits
             low[literal], width[literal], place[literal] = l2, w2, p2
-        model.learn(at1, at2, one, two, state, trust, symbol, hit1, hit2, now.astype(np.uint32))
+        model.learn(at, cells, sure, hits, state, trust, total, shift, small_now)
         before[:k] = last[:k]
         last[:k] = now
     # The width is 2 ** 24 at least, so one digit names a number inside.
-    low += _LEAST - _U(1)
-    flat[place[low > _FULL] - blocks] += 1
-    flat[place] = low >> _U(24) & _LOW16
+    flat[place] = low + (_LEAST - _U(1)) >> _U(24)
     place += blocks
     for row in range(len(digits) - 1, 0, -1):
         digits[row - 1] += digits[row] >> 16
@@ -201,40 +207,44 @@ def decode(data: bytes) -> np.ndarray:
         q = (x / by).astype(np.uint64)
         return q - (q * by > x)
 
-    def pull(which):
+    def pull():
         """Take in a digit where the width is small: 8 bits kept back and 8 of the next."""
-        small = which[width[which] < _LEAST]
+        small = (width < _LEAST).nonzero()[0]
         if len(small):
-            digit = flat[place[small]]
-            code[small] = code[small] << _DIGIT | tail[small] << _U(8) | digit >> _U(8)
+            to = place.take(small, mode="clip")
+            digit = flat.take(to, mode="clip")
+            code[small] = code.take(small, mode="clip") << _DIGIT | tail.take(small, mode="clip") << _U(8) | digit >> _U(8)
             tail[small] = digit & _U(0xFF)
-            width[small] <<= _DIGIT
-            place[small] += blocks
+            width[small] = width.take(small, mode="clip") << _DIGIT
+            place[small] = to + blocks
 
     for t in range(len(table)):
         k = blocks if t < last_length else blocks - 1
-        at1, at2, one, two, state, trust = model.look(k, last[:k], before[:k])
-        a, b = trust & _LOW16, trust >> _DIGIT & _LOW16
-        ab = a + b
-        part = (width[:k] / (ab + (trust >> _U(32)))).astype(np.uint64)
+        at, cells, sure, state, trust = model.look(k, last[:k], before[:k])
+        below = trust * _BELOW
+        a, ab = below >> _DIGIT & _LOW16, below >> _U(32) & _LOW16
+        total = ab + (trust >> _U(32))
+        part = (width[:k] / total).astype(np.uint64)
         aim = quotient(code[:k], part)
-        symbol = (aim >= a).astype(np.uint64) + (aim >= ab)
-        code[:k] -= part * np.where(symbol == 0, _U(0), np.where(symbol == 1, a, ab))
-        width[:k] = part * (trust >> (symbol << _U(4)) & _LOW16)
-        pull(lane[:k])
-        now = np.where(symbol == 0, two >> 2, one >> 2).astype(np.int64)
-        literal = np.flatnonzero(symbol == 2)
+        shift = ((aim >= a).view(np.uint8) + (aim >= ab)).astype(np.uint64) << _U(4)
+        code[:k] -= part * (below >> shift & _LOW16)
+        np.multiply(part, trust >> shift & _LOW16, out=width[:k])
+        pull()
+        guesses = cells >> 2
+        now = np.where(shift == 0, guesses[1], guesses[0])
+        literal = (shift == 32).nonzero()[0]
         if len(literal):
-            part = width[literal] >> _U(LITERAL_BITS)
-            aim = np.minimum(quotient(code[literal], part), _U((1 << LITERAL_BITS) - 1))
-            which = owner[aim.astype(np.int64)]
-            code[literal] -= part * cumulated[which]
-            width[literal] = part * frequency[which]
-            pull(literal)
-            pull(literal)
+            part = width.take(literal, mode="clip") >> _U(LITERAL_BITS)
+            left = code.take(literal, mode="clip")
+            aim = np.minimum(quotient(left, part), _U((1 << LITERAL_BITS) - 1))
+            which = owner.take(aim.astype(np.int64), mode="clip")
+            code[literal] = left - part * cumulated.take(which, mode="clip")
+            width[literal] = part * frequency.take(which, mode="clip")
+            pull()
+            pull()
             now[literal] = which
         table[t, :k] = now
-        model.learn(at1, at2, one, two, state, trust, symbol, (one >> 2) == now, (two >> 2) == now, now.astype(np.uint32))
+        model.learn(at, cells, sure, guesses == now, state, trust, total, shift, now)
         before[:k] = last[:k]
         last[:k] = now
     return np.ascontiguousarray(table.T).reshape(-1)[:n]
