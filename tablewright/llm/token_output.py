@@ -109,8 +109,7 @@ class Encoder:
         stop[at[:-1][cut]] = begin[at[1:][cut] - 1] = ends[cut] - 1
         first = at[found.first]
         hashes = W.range_hash(W.hash_prefix(data, lower=True), begin, stop)
-        tagged = np.concatenate(([0], np.cumsum(data == ord("<"))))
-        special = np.flatnonzero(tagged[stop] > tagged[begin])
+        special = np.unique(np.searchsorted(begin, np.flatnonzero(data == ord("<")), side="right") - 1)
         if len(special):  # special tokens are case-sensitive
             hashes[special] = ~W.range_hash(W.hash_prefix(data), begin[special], stop[special])
         distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -125,7 +124,9 @@ class Encoder:
         slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[inverse]
         sizes = self.bounds[slots + 1] - self.bounds[slots]
         before = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.ids[np.arange(before[-1]) + np.repeat(self.bounds[slots] - before[:-1], sizes)]
+        at = np.repeat(self.bounds[slots] - before[:-1], sizes)
+        at += np.arange(before[-1])
+        ids = self.ids.take(at, mode="clip")
         bounds = before[first]
         ends_at = bounds[1:] + np.arange(len(bounds) - 1)
         out = np.empty(len(ids) + len(ends_at), dtype=np.uint16)
