@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright import ToolError, run
 from tablewright.specs import (
@@ -196,3 +197,33 @@ def test_sql_keeps_views_of_the_session(tables, spark):
     run(tables, SqlQuery("SELECT * FROM sales")).collect()
     assert spark.table("sales").columns == ["id"]
     spark.catalog.dropTempView("sales")
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_join_spreads_a_hot_key(spark, hot):
+    """Half of the rows share one key, which may be missing: more than one task joins them."""
+    n = 200_000
+    key = F.when(F.col("id") % 2 == 0, F.lit(hot).cast("long")).otherwise(F.col("id") + 1_000)
+    left = spark.range(n, numPartitions=16).select(key.alias("k"), F.col("id").alias("a"))
+    right = spark.range(n).select((F.col("id") + 1_000).alias("k"), F.col("id").alias("b")).unionByName(
+        spark.range(2).select(F.lit(hot).cast("long").alias("k"), F.col("id").alias("b")))
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {name: spark.conf.get(name, None) for name in changed}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(name, value)
+        joined = run({"l": left, "r": right}, SimpleJoin("l", "r", "k", "k"))
+        mine = F.col("a") % 2 == 0
+        shared = joined.groupBy(F.spark_partition_id().alias("task")).agg(F.count_if(mine).alias("n")).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    sizes = [r["n"] for r in shared if r["n"]]
+    assert sum(sizes) == n  # two partners each
+    assert len(sizes) > 2 and max(sizes) < n / 2
