@@ -1,11 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Lines that stand in two documents or more lead to pairs: each later document is paired with
-the first document that holds the line, so a line in n documents makes n - 1 pairs however
-common it is: the rarer a line, the fewer documents it joins, and no line is too common to be
-looked at. Pairs are aligned by patience diff
-(lines that are unique on both sides, longest increasing run, then the gaps between), and
-aligned runs of lines with enough words are deleted from the later document.
+Lines that stand in two documents or more lead to pairs. A line with too few words for a block
+is hashed together with the lines behind it until there are enough: every block that can be
+deleted begins with such a rare line or run of lines, while a short common line alone leads
+nowhere. Each later document is paired with the first document that holds the line or run, so
+one in n documents makes n - 1 pairs, and none is too common to be looked at. Pairs are aligned
+by patience diff (lines that are unique on both sides, longest increasing run, then the gaps
+between), and aligned runs of lines with enough words are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -54,16 +55,27 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "t", "lines", "words"])
 
 
-def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each different line of a document."""
-    for batch in batches:
-        values, bounds = W.runs(W.column(batch, "lines"), np.uint64)
-        for i in range(batch.num_rows):
-            own = np.unique(values[bounds[i] : bounds[i + 1]])
-            own = own[own != 0]
-            row = pa.array(np.full(len(own), i))
+def line_keys(lines: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Different hashes of one text: for each line with a word, of the fewest lines from it on
+    that have `least` words together; none where the text ends before."""
+    so_far = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    begin = np.flatnonzero(lines)
+    end = np.searchsorted(so_far, so_far[begin] + max(least, 1))
+    begin, end = begin[end < len(so_far)], end[end < len(so_far)]
+    return np.unique(W.range_hash(W.hash_prefix(lines.view(np.uint8)), 8 * begin, 8 * end))
+
+
+def _line_keys(least: int):
+    """One row for each different line, or run of short lines, of a document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (lines, bounds), (words, _) = (W.runs(W.column(batch, c), k) for c, k in (("lines", np.uint64), ("words", "<i4")))
+            own = [line_keys(lines[a:b], words[a:b], least) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            keys = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own.view(np.int64)), W.column(batch, "doc_id").take(row), W.column(batch, "t").take(row)], ["line", "doc_id", "t"])
+                [pa.array(keys), W.column(batch, "doc_id").take(row), W.column(batch, "t").take(row)], ["line", "doc_id", "t"])
+    return run
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -153,7 +165,7 @@ def drop_aligned_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col:
     Earlier means a smaller id; rows of one id with different texts are ordered by a hash of
     the text, rows without an id come last. Rows equal in id and text are one document: all
     keep or lose the same lines. Lines are compared byte by byte; those without words are
-    aligned along but found no pair. A missing text stays missing with 0 lines, an empty one
+    aligned along, but no pair begins at one. A missing text stays missing with 0 lines, an empty one
     is one line. Other columns are not read; an empty table gives no rows.
     """
     ship(docs.sparkSession)
@@ -162,7 +174,7 @@ def drop_aligned_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col:
     ).withColumn("t", F.xxhash64("text"))
     lined = written(
         texts.mapInArrow(_line_rows, "doc_id long, t long, lines binary, words binary").dropDuplicates(["doc_id", "t"]), "lines")
-    keys = lined.mapInArrow(_line_keys, "line long, doc_id long, t long")
+    keys = lined.mapInArrow(_line_keys(block_words), "line long, doc_id long, t long")
     firsts = keys.groupBy("line").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.max(F.struct("doc_id", "t")).alias("last")).filter("first != last").select(
         "line", F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t"))
     pairs = keys.hint("merge").join(firsts, "line").filter("doc_id != first_id or t != first_t").select("doc_id", "t", "first_id", "first_t").distinct()

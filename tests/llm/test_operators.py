@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tablewright.llm import licenses, line_align, mixing, near_dup, range_coder, repeats, surrogates
+from tablewright.llm import decontaminate, licenses, line_align, mixing, near_dup, range_coder, repeats, surrogates
 from tablewright.llm.components import components
 from tablewright.llm.decontaminate import benchmark_hits, without_benchmark
 from tablewright.llm.knn_quality import good_documents, neighbour_scores
@@ -181,7 +181,7 @@ def test_encoder_equals_the_library():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-def test_hits_and_clean_rows(spark, odd, empty):
+def test_hits_and_clean_rows(spark, odd, empty, monkeypatch):
     item, other = prose(7, 40), prose(8, 30)
     near = item.split()
     near[20] = "different"
@@ -193,6 +193,8 @@ def test_hits_and_clean_rows(spark, odd, empty):
     found = {r[0] for r in got}
     clean = without_benchmark(docs, items)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(range(6)) - found
+    monkeypatch.setattr(decontaminate, "GROUP_ITEMS", 1)
+    assert rows(benchmark_hits(docs, items), "doc_id", "item_id", "first_word", "n_words") == got
     assert benchmark_hits(empty, items).count() == 0 and without_benchmark(odd, items.limit(0)).count() == len(ODD) + 2
 
 
@@ -263,6 +265,27 @@ def test_lines(spark, odd, empty):
     assert line_align.drop_aligned_lines(odd).count() == len(ODD) + 2 and line_align.drop_aligned_lines(empty).count() == 0
 
 
+def test_lines_in_earlier_documents_apart(spark):
+    # All lines of the block stand in earlier documents, but only alone; too short to go by themselves.
+    block = [prose(80 + i, 4) for i in range(5)]
+    texts = [*[f"{x}\nown {i}" for i, x in enumerate(block)], "\n".join(["one", *block, "two"]), "\n".join(["three", *block[:2], "", *block[2:], "four"]), "\n".join(block[1:3])]
+    got = rows(line_align.drop_aligned_lines(table(spark, texts)), "doc_id", "n_removed", "text")
+    assert got == [*[(i, 0, t) for i, t in enumerate(texts[:6])], (6, 5, "three\n\nfour"), (7, 2, "")]
+
+
+def test_line_keys_against_all_runs():
+    random = np.random.default_rng(4)
+    for _ in range(200):
+        words = random.integers(0, 6, random.integers(0, 12)).astype("<i4")
+        lines = np.where(words > 0, words + 10, 0).astype(np.uint64)
+        want = set()
+        for a in range(len(words)):
+            b = next((b for b in range(a + 1, len(words) + 1) if words[a:b].sum() >= 8), None)
+            if words[a] and b:
+                want.add(tuple(lines[a:b].tolist()))
+        assert len(line_align.line_keys(lines, words, 8)) == len(want)
+
+
 def test_surrogates(spark, odd, empty, monkeypatch):
     texts = ["Mail Ann.Bee@mail.example.com or +1 (437) 555-0689, card 4111 1111 1111 1111, host 10.0.0.1.", "ann.bee@MAIL.example.com; Mrs Anna Smith, Господин Иван Петров", "order 4111111111111112"]
     got = {r.doc_id: r for r in surrogates.replace_personal_data(table(spark, texts)).collect()}
