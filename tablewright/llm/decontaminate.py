@@ -27,8 +27,9 @@ from tablewright.llm.shared import ids_and_texts, ship
 #: At similarity 0.8 fingerprints differ in 10 of 64 bits on average (deviation 3).
 RADIUS = 23
 BLOCKS = 8
-#: Items are searched in groups of so many words at most; each group is one pass over the texts.
-GROUP_WORDS = 500_000
+#: Items are searched in groups of so many words and items at most; each group is one pass over
+#: the texts and about 60 MB on every worker.
+GROUP_WORDS, GROUP_ITEMS = 500_000, 10_000
 
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -157,11 +158,11 @@ def _found(items: Items):
 
 
 def _groups(items: DataFrame, words: int, similarity: float, item_id: str, item_text: str) -> Iterator[Items]:
-    """The items in groups of a bounded number of words, read one after the other."""
+    """The items in groups of bounded numbers of words and items, read one after the other."""
     ids, held, size = [], [], 0
     rows = items.select(items[item_id].cast("long").alias("i"), items[item_text].cast("string").alias("t")).dropna().distinct().orderBy("i", "t")
     for row in rows.toLocalIterator():
-        if ids and size + len(row["t"]) // 2 > GROUP_WORDS:
+        if ids and (size + len(row["t"]) // 2 > GROUP_WORDS or len(ids) == GROUP_ITEMS):
             yield Items(ids, held, words, similarity)
             ids, held, size = [], [], 0
         ids.append(row["i"])
