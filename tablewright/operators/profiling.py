@@ -76,10 +76,20 @@ def _lanes(field: T.StructField) -> tuple[Column, Column, Column]:
         # A long text is counted by digest; what it parses to is noted beside it.
         long = F.length(c) > ids.LONG_TEXT
         padded = F.when(long & parse.is_padded(c), F.lit(1).cast("bigint"))
-        return padded, F.when(long, parse.to_number(c)), ids.text_key(c)
+        return padded, F.when(long, parse.to_number(c)), F.when(long, _long_key(c)).otherwise(c)
     return F.when(c.isNotNull(), F.lit(1).cast("bigint")), no_d, no_t
 
 
+def _long_key(c: Column) -> Column:
+    """Stands for a long text: its start, for the order; its digest; its time, where it reads as one."""
+    time = parse.micros(parse.to_time_any(c)).cast("string")
+    return F.concat(F.substring(c, 1, ids.LONG_TEXT), F.sha2(c.cast("binary"), 256), F.coalesce(time, F.lit("")))
+
+
+def _time_of_key(key: Column) -> Column:
+    return F.substring(key, ids.LONG_TEXT + 64 + 1, 20).try_cast("bigint")
+
+
 def _cells(df: DataFrame) -> DataFrame:
     """(c, i, d, t): one row per cell, column number and value in its lane."""
     lanes = [p for no, f in enumerate(df.schema) for p in (F.lit(no), *_lanes(f))]
@@ -116,7 +126,7 @@ def _with_facts(counts: DataFrame, columns: _Columns) -> DataFrame:
     time = (
         F.when(columns.are("instant", "wallclock"), F.col("i"))
         .when(columns.are("day"), F.col("i") * F.lit(_DAY))
-        .when(columns.are("text") & ~token, parse.micros(parse.to_time_any(F.col("t"))))
+        .when(columns.are("text"), F.when(token, _time_of_key(F.col("t"))).otherwise(parse.micros(parse.to_time_any(F.col("t")))))
     )
     padded = columns.are("text") & F.when(token, F.col("i").isNotNull()).otherwise(parse.is_padded(F.col("t")))
     known = F.coalesce(F.col("i").cast("string"), F.col("d").cast("string"), F.col("t")).isNotNull()
@@ -177,40 +187,54 @@ def _shown(columns: _Columns) -> Column:
     )
 
 
+def _first(shown: DataFrame, *order: str) -> DataFrame:
+    """The most frequent values of each column, equal frequencies in the given order."""
+    best = Window.partitionBy("c").orderBy(F.col("n").desc(), *[F.col(o).asc() for o in order])
+    ranked = shown.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP_VALUES)
+    return ranked.select("c", "rank", "n", "start", "shown")
+
+
 def _top_values(df: DataFrame, counts: DataFrame, columns: _Columns) -> DataFrame:
     """Most frequent values of each column; equal frequencies in text order."""
-    best = Window.partitionBy("c").orderBy(F.col("n").desc(), F.col("shown").asc())
-    top = (
-        counts.withColumn("shown", _shown(columns))
-        .filter(F.col("shown").isNotNull())
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= TOP_VALUES)
-        .select("c", "rank", "shown")
-    )
-    if columns.numbers.get("text"):
-        top = _with_long_texts(df, small(top), columns)
+    shown = counts.withColumn("shown", _shown(columns)).filter(F.col("shown").isNotNull()).select(
+        "c", "n", "shown", F.substring("shown", 1, ids.LONG_TEXT).alias("start"))
+    top = small(_first(shown, "start", "shown"))
+    wanted = sorted({r["c"] for r in top.filter(columns.are("text") & ids.is_token(F.col("shown"))).select("c").collect()})
+    if wanted:
+        # A key tells the start of a text. Whole texts decide among all values that may still be among the first.
+        last = top.filter(F.col("c").isin(wanted)).groupBy("c").agg(F.max_by(F.struct("n", "start"), "rank").alias("last"))
+        more = F.col("n") > F.col("last.n")
+        tied = (F.col("n") == F.col("last.n")) & (F.col("start") <= F.col("last.start"))
+        with staged(shown.join(F.broadcast(last), "c").filter(more | tied).drop("last"), "top") as undecided:
+            whole = small(_first(_with_long_texts(df, undecided, wanted), "shown"))
+        top = top.filter(~F.col("c").isin(wanted)).unionByName(whole)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "shown")))  # at most five per column
     return top.groupBy("c").agg(F.transform(ranked, lambda s: s.shown).alias("top_values"))
 
 
-def _with_long_texts(df: DataFrame, top: DataFrame, columns: _Columns) -> DataFrame:
-    """Replace digests among the top values by the texts they stand for."""
-    tokens = top.filter(columns.are("text") & ids.is_token(F.col("shown"))).select("c", "shown").collect()
-    if not tokens:
-        return top
-    wanted = sorted({t["c"] for t in tokens})
+def _with_long_texts(df: DataFrame, values: DataFrame, wanted: list[int]) -> DataFrame:
+    """Replace the keys of long texts by the texts they stand for."""
+    keys = values.filter(ids.is_token(F.col("shown"))).select("c", "shown")
     lanes = [p for no in wanted for p in (F.lit(no), nulls.col(df.columns[no]))]
-    cells = df.select(F.stack(F.lit(len(wanted)), *lanes).alias("c", "text"))
+    cells = df.select(F.stack(F.lit(len(wanted)), *lanes).alias("c", "text")).filter(F.length("text") > ids.LONG_TEXT)
     originals = (
-        cells.filter(F.length("text") > ids.LONG_TEXT)
-        .withColumn("shown", ids.text_key(F.col("text")))
-        .filter(F.col("shown").isin([t["shown"] for t in tokens]))
+        cells.withColumn("shown", _long_key(F.col("text")))
+        .join(keys, ["c", "shown"], "left_semi")
         .groupBy("c", "shown")
         .agg(F.min("text").alias("text"))
     )
-    return top.join(originals, ["c", "shown"], "left").select(
-        "c", "rank", F.coalesce("text", "shown").alias("shown")
-    )
+    return values.join(originals, ["c", "shown"], "left").withColumn("shown", F.coalesce("text", "shown")).drop("text")
+
+
+def _with_whole_tops(df: DataFrame, joined: DataFrame, columns: _Columns) -> DataFrame:
+    """Top values with the long texts that their keys stand for."""
+    tops = joined.select("c", F.posexplode("top_values").alias("rank", "shown"))
+    wanted = sorted({r["c"] for r in tops.filter(columns.are("text") & ids.is_token(F.col("shown"))).select("c").collect()})
+    if not wanted:
+        return joined
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "shown")))
+    lists = _with_long_texts(df, tops, wanted).groupBy("c").agg(F.transform(ranked, lambda s: s.shown).alias("top_values"))
+    return small(joined.drop("top_values").join(lists, "c", "left"))
 
 
 def profile_columns(
@@ -228,7 +252,7 @@ def profile_columns(
     """
     columns = _Columns(df.schema)
     if approx:
-        joined = small(_sketched(_cells(df), columns))
+        joined = _with_whole_tops(df, small(_sketched(_cells(df), columns)), columns)
     else:
         with staged(value_counts(df), "values") as counts:
             joined = _exact(df, counts, columns, rows_per_range)

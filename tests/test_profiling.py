@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablewright import profile_table, profile_tables, suggest_charts, suggest_cleaning, suggest_features
 from tablewright.functions import ids
 from tablewright.operators.aggregates import duplicate_count
-from tablewright.operators.profiling import likely_columns
+from tablewright.operators.profiling import likely_columns, profile_columns
 from tablewright.plans import chart_plan, cleaning_plan, feature_plan
 from tests.conftest import rows
 
@@ -231,3 +231,17 @@ def test_many_tables(sales, spark):
     assert got["a"]["row_count"] == 5 and got["b"]["column_count"] == 1
     assert got["a"]["likely_metric_columns"] == ["revenue"] and got["b"]["likely_id_columns"] == ["id"]
     assert got["a"]["likely_date_columns"] == ["date"]
+
+
+def test_long_texts_follow_the_rules_of_short_ones(spark):
+    pad = " " * 80
+    texts = [f"{pad}2024-01-0{i}" for i in range(1, 6)]
+    df = spark.createDataFrame([(t, "same " * 20 + x) for t, x in zip(texts, "edcba", strict=True)], "d string, s string")
+    for approx in (False, True):
+        got = {r.column_name: r for r in profile_columns(df, "t", approx=approx).collect()}
+        assert (got["d"].data_type, got["d"].date_share, str(got["d"].min_date), got["d"].padded_count) == ("date", 1.0, "2024-01-01", 5)
+        assert sorted(got["s"].top_values) == ["same " * 20 + x for x in "abcde"]
+    many = spark.createDataFrame([(f"{'x' * 70}{i % 50:02d}{'y' * (i % 3)}",) for i in range(150)], "s string")
+    assert profile_columns(many, "t").first().top_values == sorted({r.s for r in many.collect()})[:5]
+    mixed = spark.createDataFrame([(v,) for v in ("z", "a" * 70, "m" * 65, "b", "y" * 64, "y" * 64 + "a", "c")], "s string")
+    assert profile_columns(mixed, "t").first().top_values == ["a" * 70, "b", "c", "m" * 65, "y" * 64]

@@ -49,22 +49,21 @@ _DATE = "date time created_at updated_at timestamp created updated at"
 
 
 def _profile_sql(table: str, columns: dict[str, str]) -> str:
-    """One SELECT per column; `columns` maps names to integer, float, text or time."""
+    """One SELECT per column; `columns` maps names to integer, float, text, time or day_text."""
     return " UNION ALL ".join(_column_sql(table, name, kind) for name, kind in columns.items())
 
 
 def _column_sql(table: str, c: str, kind: str) -> str:
     label = {
-        "integer": "'integer'", "float": "'float'", "time": "'datetime'",
+        "integer": "'integer'", "float": "'float'", "time": "'datetime'", "day_text": "'date'",
         "text": f"""CASE WHEN count({c}) = 0 THEN 'unknown'
                     WHEN count(DISTINCT {c}) <= 15 OR count(DISTINCT {c}) <= 0.05 * count(*) THEN 'categorical' ELSE 'string' END""",
     }[kind]
-    number, time = kind in ("integer", "float"), kind == "time"
-    shown = f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if time else f"CAST({c} AS VARCHAR)"
-    tie = "CASE WHEN length(v) <= 64 THEN v ELSE 'sha256:' || sha256(v) END"  # long texts rank by digest
+    number, time = kind in ("integer", "float"), kind in ("time", "day_text")
+    shown = f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if kind == "time" else f"CAST({c} AS VARCHAR)"
     num = lambda e, k=3: f"CAST(round({e}, {k}) AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
     raw = lambda e: f"CAST({e} AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
-    day = lambda e: f"strftime({e}, '%Y-%m-%d')" if time else "CAST(NULL AS VARCHAR)"
+    day = lambda e: f"trim({e})" if kind == "day_text" else f"strftime({e}, '%Y-%m-%d')" if time else "CAST(NULL AS VARCHAR)"
     metric = f"{number} AND {_has(c, _METRIC)}"
     return f"""
     SELECT '{c}' AS column_name, {label} AS data_type, CAST(count(*) AS BIGINT) AS total_count,
@@ -72,9 +71,9 @@ def _column_sql(table: str, c: str, kind: str) -> str:
            round((count(*) - count({c})) / count(*) * 100, 2) AS null_percent,
            CAST(count(DISTINCT {c}) AS BIGINT) AS unique_count,
            round(count(DISTINCT {c}) / count(*) * 100, 2) AS unique_percent,
-           (SELECT string_agg(v, '|' ORDER BY n DESC, {tie}) FROM (
+           (SELECT string_agg(v, '|' ORDER BY n DESC, v) FROM (
                 SELECT {shown} AS v, count(*) AS n FROM {table} WHERE {c} IS NOT NULL
-                GROUP BY 1 ORDER BY n DESC, {tie} LIMIT 5)) AS top_values,
+                GROUP BY 1 ORDER BY n DESC, v LIMIT 5)) AS top_values,
            {raw(f"min({c})")} AS num_min, {raw(f"max({c})")} AS num_max, {num(f"avg({c})")} AS num_mean,
            {num(f"median({c})", 5)} AS num_median, {num(f"stddev_samp({c})")} AS num_std,
            {num(f"quantile_cont({c}, 0.25)", 5)} AS num_q1, {num(f"quantile_cont({c}, 0.75)", 5)} AS num_q3,
@@ -122,6 +121,19 @@ def _profiles():
 _profiles()
 
 
+_LONG_SQL = """(SELECT repeat(' ', 70) || strftime(o_orderdate, '%Y-%m-%d') AS day_text, repeat('same start ', 9) || o_clerk AS remark
+                FROM (SELECT *, 'clerk ' || CAST(o_custkey % 40 AS VARCHAR) AS o_clerk FROM orders)) AS long_texts"""
+
+
+@register("profile_long_texts", _profile_sql(_LONG_SQL, {"day_text": "day_text", "remark": "text"}))
+def profile_long_texts(spark, sf):
+    """Dates behind 70 blanks, and long texts that only differ behind the place where keys end."""
+    long = read(spark, sf, "orders").select(
+        F.concat(F.lit(" " * 70), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day_text"),
+        F.concat(F.lit("same start " * 9 + "clerk "), (F.col("o_custkey") % 40).cast("string")).alias("remark"))
+    return _comparable(profile_table(long, "long_texts", duplicates=False).columns)
+
+
 @register("profile_approx")
 def profile_approx(spark, sf):
     return _comparable(profile_table(read(spark, sf, "lineitem"), "lineitem", duplicates=False, approx=True).columns)
