@@ -6,7 +6,7 @@ deleted begins with such a rare line or run of lines, while a short common line
 nowhere. Each later document is paired with the first document that holds the line or run, so
 one in n documents makes n - 1 pairs, and none is too common to be looked at. Pairs are aligned
 by patience diff (lines that are unique on both sides, longest increasing run, then the gaps
-between), and aligned runs of lines with enough words are deleted from the later document.
+between; a gap without such a line by its longest common subsequence), and aligned runs of lines with enough words are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -78,6 +78,41 @@ def _line_keys(least: int):
     return run
 
 
+def _common_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each beginning of b, in bit-parallel steps."""
+    masks: dict[int, int] = {}
+    for j, h in enumerate(b):
+        masks[h] = masks.get(h, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for h in a:
+        met = row & masks.get(h, 0)
+        row = (row + met | row - met) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence, in order; memory is linear in the lines."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            at = next((j for j in range(b0, b1) if b[j] == a[a0]), None)
+            if at is not None:
+                out.append((a0, at))
+            continue
+        half = (a0 + a1) // 2
+        ahead = _common_lengths(a[a0:half], b[b0:b1])
+        behind = _common_lengths(a[half:a1][::-1], b[b0:b1][::-1])[::-1]
+        cut = b0 + int(np.argmax(ahead + behind))
+        todo += [(a0, half, b0, cut), (half, a1, cut, b1)]
+    return sorted(out)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places (i, j) of equal lines, increasing in both. 0 stands for a line without words."""
     out: list[tuple[int, int]] = []
@@ -110,9 +145,13 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         while n >= 0:
             chain.append(pairs[n])
             n = back[n]
+        chain.reverse()
+        if not chain:
+            # All common lines repeat: an ordinary diff of them; between its places nothing is common.
+            i_at, j_at = ([k for k in range(lo, hi) if side[k] and side[k] in other] for side, lo, hi, other in ((a, a0, a1, once[1]), (b, b0, b1, once[0])))
+            chain = [(i_at[i], j_at[j]) for i, j in longest_common([a[k] for k in i_at], [b[k] for k in j_at])]
         if not chain:
             continue
-        chain.reverse()
         out.extend(chain)
         edges = [(a0 - 1, b0 - 1), *chain, (a1, b1)]
         todo.extend((i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges[:-1], edges[1:], strict=True))

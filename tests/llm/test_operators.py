@@ -273,6 +273,27 @@ def test_lines_in_earlier_documents_apart(spark):
     assert got == [*[(i, 0, t) for i, t in enumerate(texts[:6])], (6, 5, "three\n\nfour"), (7, 2, "")]
 
 
+def test_lines_that_all_repeat(spark):
+    line, short = prose(90, 9), prose(91, 4)
+    pairs = [(["a", line, line, "b"], ["c", line, line, "d"]), (["a", *[short] * 4, "b"], ["c", *[short] * 3, "d", "e"])]
+    for first, second in pairs:
+        got = rows(line_align.drop_aligned_lines(table(spark, ["\n".join(first), "\n".join(second)])), "doc_id", "text")
+        assert got[1] == (1, "\n".join(x for x in second if x not in first))
+
+
+def test_longest_common_subsequence():
+    random = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = (random.integers(1, 4, random.integers(0, 14)).tolist() for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = line_align.longest_common(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
+
+
 def test_line_keys_against_all_runs():
     random = np.random.default_rng(4)
     for _ in range(200):
