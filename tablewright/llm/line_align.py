@@ -1,16 +1,22 @@
 """Line deduplication by pairwise alignment.
 
+The result is that of aligning each document with every earlier one, without all those pairs.
 Lines that stand in two documents or more lead to pairs. A line with too few words for a block
-is hashed together with the lines behind it until there are enough: every block that can be
-deleted begins with such a rare line or run of lines, while a short common line alone leads
-nowhere. Each later document is paired with the first document that holds the line or run, so
-one in n documents makes n - 1 pairs, and none is too common to be looked at. Pairs are aligned
-by patience diff (lines that are unique on both sides, longest increasing run, then the gaps
+is hashed together with the lines behind or before it until there are enough (a window): every
+line that can be deleted lies in a window that an earlier document has, while a short common
+line alone leads nowhere. Each later document is paired with the first document that holds the
+window, so one in n documents makes n - 1 pairs, and none is too common to be looked at.
+A window of which that left a line is then paired with all its other earlier holders. Only
+lines that such a document shares with another matter there, so holders with the same sequence
+of these (and gaps) stand for each other and the first of them is aligned.
+
+Pairs are aligned by patience diff (lines that are unique on both sides, longest increasing run, then the gaps
 between; a gap without such a line by its longest common subsequence), and aligned runs of lines with enough words are deleted from the later document.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -55,29 +61,54 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "t", "lines", "words"])
 
 
+def _forward(words: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the fewest lines from each place on that have `least` words; none where the text ends before."""
+    so_far = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    end = np.searchsorted(so_far, so_far[begin] + max(least, 1))
+    return begin[end < len(so_far)], end[end < len(so_far)]
+
+
 def line_keys(lines: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
     """Different hashes of one text: for each line with a word, of the fewest lines from it on
     that have `least` words together; none where the text ends before."""
-    so_far = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
-    begin = np.flatnonzero(lines)
-    end = np.searchsorted(so_far, so_far[begin] + max(least, 1))
-    begin, end = begin[end < len(so_far)], end[end < len(so_far)]
+    begin, end = _forward(words, np.flatnonzero(lines), least)
     return np.unique(W.range_hash(W.hash_prefix(lines.view(np.uint8)), 8 * begin, 8 * end))
 
 
+def line_windows(lines: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of the shortest runs of `least` words that begin, or end, at each line.
+
+    A line in a common run of `least` words lies in a window that the other text has, too: the one
+    that ends at the line if the run holds it, else one from the first line of the run."""
+    begin, end = _forward(words, np.arange(len(words)), least)
+    so_far = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    last = np.flatnonzero(so_far[1:] >= max(least, 1)) + 1
+    first = np.searchsorted(so_far, so_far[last] - max(least, 1), side="right") - 1
+    begin, end = np.divmod(np.unique(np.concatenate((begin * len(so_far) + end, first * len(so_far) + last))), len(so_far))
+    return W.range_hash(W.hash_prefix(lines.view(np.uint8)), 8 * begin, 8 * end).view(np.int64), begin, end
+
+
 def _line_keys(least: int):
-    """One row for each different line, or run of short lines, of a document."""
+    """One row for each different window of a document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (lines, bounds), (words, _) = (W.runs(W.column(batch, c), k) for c, k in (("lines", np.uint64), ("words", "<i4")))
-            own = [line_keys(lines[a:b], words[a:b], least) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            own = [np.unique(line_windows(lines[a:b], words[a:b], least)[0]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
-            keys = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            keys = np.concatenate([np.zeros(0, np.int64), *own])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), W.column(batch, "doc_id").take(row), W.column(batch, "t").take(row)], ["line", "doc_id", "t"])
     return run
 
 
+def _kept_windows(lines: np.ndarray, words: np.ndarray, least: int, keys: list[int], gone: np.ndarray) -> list[int]:
+    """Those of the keys with a place in the text where not every line is among the gone ones."""
+    hashes, begin, end = line_windows(lines, words, least)
+    alive = np.concatenate(([0], np.cumsum(~gone)))
+    at = np.isin(hashes, np.array(keys, np.int64)) & (alive[end] > alive[begin])
+    return np.unique(hashes[at]).tolist()
+
+
 def _common_lengths(a: list[int], b: list[int]) -> np.ndarray:
     """Lengths of the longest common subsequences of a and each beginning of b, in bit-parallel steps."""
     masks: dict[int, int] = {}
@@ -172,18 +203,86 @@ def aligned_runs(a: list[int], b: list[int], words: list[int], least: int) -> li
     return out
 
 
+def _gone(n: int, places) -> np.ndarray:
+    gone = np.zeros(n, bool)
+    for raw in places or ():
+        gone[np.frombuffer(raw, "<i4")] = True
+    return gone
+
+
 def _aligned(least: int):
+    """Per pair: places of the later text that go, and windows in common of which something stays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x, xb), (y, yb), (n, nb) = (W.runs(W.column(batch, c), k) for c, k in (("x", np.uint64), ("y", np.uint64), ("words", "<i4")))
-            found = [
-                np.array(aligned_runs(x[xb[i] : xb[i + 1]].tolist(), y[yb[i] : yb[i + 1]].tolist(), n[nb[i] : nb[i + 1]].tolist(), least), "<i4").tobytes()
-                for i in range(batch.num_rows)
+            found, left = [], []
+            for i, keys in enumerate(W.column(batch, "keys").to_pylist()):
+                own, words = y[yb[i] : yb[i + 1]], n[nb[i] : nb[i + 1]]
+                found.append(np.array(aligned_runs(x[xb[i] : xb[i + 1]].tolist(), own.tolist(), words.tolist(), least), "<i4").tobytes())
+                left.append(_kept_windows(own, words, least, keys, _gone(len(own), [found[-1]])) if keys else [])
+            yield pa.RecordBatch.from_arrays(
+                [W.column(batch, "doc_id"), W.column(batch, "t"), pa.array(found, pa.binary()), pa.array(left, pa.list_(pa.int64()))],
+                ["doc_id", "t", "places", "left"])
+    return run
+
+
+def _open(least: int):
+    """Windows of a text that an earlier one has and of which no pair so far took all lines."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (y, yb), (n, nb) = (W.runs(W.column(batch, c), k) for c, k in (("y", np.uint64), ("words", "<i4")))
+            rows = zip(W.column(batch, "left").to_pylist(), W.column(batch, "places").to_pylist(), strict=True)
+            own = [
+                _kept_windows(y[yb[i] : yb[i + 1]], n[nb[i] : nb[i + 1]], least, [k for part in keys for k in part], _gone(yb[i + 1] - yb[i], places))
+                for i, (keys, places) in enumerate(rows)
             ]
-            yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), W.column(batch, "t"), pa.array(found, pa.binary())], ["doc_id", "t", "places"])
+            row = pa.array(np.repeat(np.arange(len(own)), [len(k) for k in own]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for part in own for k in part], pa.int64()), W.column(batch, "doc_id").take(row), W.column(batch, "t").take(row)],
+                ["line", "doc_id", "t"])
     return run
 
 
+def _different_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each different line with a word of a document."""
+    for batch in batches:
+        lines, bounds = W.runs(W.column(batch, "lines"), np.int64)
+        own = [np.setdiff1d(lines[a:b], [0]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.zeros(0, np.int64), *own])), *(W.column(batch, c).take(row) for c in ("doc_id", "t", "is_open"))],
+            ["h", "doc_id", "t", "is_open"])
+
+
+def shape(lines: list[int], shared: set[int]) -> list[int]:
+    """The lines with each stretch of lines that no partner has, and of wordless ones between such, as one -1.
+
+    Alignment with a text whose lines are all shared or in no other text depends on this alone."""
+    out: list[int] = []
+    blank: list[int] = []
+    for h in lines:
+        if not h:
+            blank.append(h)
+        elif h in shared:
+            out += [*blank, h]
+            blank = []
+        else:
+            if not out or out[-1] != -1:
+                out += [*blank, -1]
+            blank = []
+    return [*out, *blank]
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines, bounds = W.runs(W.column(batch, "lines"), np.int64)
+        own = [
+            hashlib.sha256(np.array(shape(lines[bounds[i] : bounds[i + 1]].tolist(), set(shared or ())), "<i8").tobytes()).digest()
+            for i, shared in enumerate(W.column(batch, "shared").to_pylist())
+        ]
+        yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), W.column(batch, "t"), pa.array(own, pa.binary())], ["doc_id", "t", "shape"])
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts, removed = [], [], []
@@ -198,6 +297,41 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_lines", "n_removed", "text"])
 
 
+def _align(pairs: DataFrame, lined: DataFrame, least: int, last: bool = False) -> DataFrame:
+    """One row per pair of documents of (line, doc_id, t, first_id, first_t); the last pass needs no windows."""
+    later = lined.select("doc_id", "t", F.col("lines").alias("y"), "words")
+    first = lined.select(F.col("doc_id").alias("first_id"), F.col("t").alias("first_t"), F.col("lines").alias("x"))
+    pair = ["doc_id", "t", "first_id", "first_t"]
+    once = pairs.select(*pair).distinct().withColumn("keys", F.array().cast("array<long>")) if last else pairs.groupBy(*pair).agg(F.collect_set("line").alias("keys"))
+    return once.hint("merge").join(later, ["doc_id", "t"]).hint("merge").join(first, ["first_id", "first_t"]).mapInArrow(
+        _aligned(least), "doc_id long, t long, places binary, left array<long>")
+
+
+def _open_windows(places: DataFrame, lined: DataFrame, least: int) -> DataFrame:
+    """line, doc_id, t of all windows of which the pairs with first holders left a line."""
+    left = places.filter(F.size("left") > 0).select("doc_id", "t").distinct()
+    per_text = places.join(left, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.collect_list("places").alias("places"), F.collect_list("left").alias("left"))
+    later = lined.select("doc_id", "t", F.col("lines").alias("y"), "words")
+    return written(per_text.join(later, ["doc_id", "t"]).mapInArrow(_open(least), "line long, doc_id long, t long"), "open")
+
+
+def _other_pairs(rest: DataFrame, keys: DataFrame, lined: DataFrame) -> DataFrame:
+    """Each open window with all its earlier holders; of holders that align alike with every such document, the first."""
+    holders = written(keys.join(rest.select("line").distinct(), "line", "left_semi"), "holders")
+    is_open = rest.select("doc_id", "t").distinct().withColumn("is_open", F.lit(True))
+    texts = written(
+        lined.join(holders.select("doc_id", "t").distinct(), ["doc_id", "t"]).join(is_open, ["doc_id", "t"], "left")
+        .select("doc_id", "t", "lines", F.coalesce("is_open", F.lit(False)).alias("is_open")), "holding")
+    lines = texts.mapInArrow(_different_lines, "h long, doc_id long, t long, is_open boolean")
+    shared = lines.groupBy("h").agg(F.count("*").alias("n"), F.max("is_open").alias("open")).filter("n > 1 and open").select("h")
+    own = lines.join(shared, "h").groupBy("doc_id", "t").agg(F.collect_list("h").alias("shared"))
+    shapes = written(texts.join(own, ["doc_id", "t"], "left").mapInArrow(_shapes, "doc_id long, t long, shape binary"), "shapes")
+    alike = shapes.groupBy("shape").agg(F.min(F.struct("doc_id", "t")).alias("first")).select(
+        F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t"))
+    firsts = holders.join(alike, ["doc_id", "t"]).select("line", F.col("doc_id").alias("first_id"), F.col("t").alias("first_t"))
+    return rest.hint("merge").join(firsts, "line").filter("struct(first_id, first_t) < struct(doc_id, t)")
+
+
 def drop_aligned_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and the cleaned text, one row per row of docs.
 
@@ -216,11 +350,12 @@ def drop_aligned_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col:
     keys = lined.mapInArrow(_line_keys(block_words), "line long, doc_id long, t long")
     firsts = keys.groupBy("line").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.max(F.struct("doc_id", "t")).alias("last")).filter("first != last").select(
         "line", F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t"))
-    pairs = keys.hint("merge").join(firsts, "line").filter("doc_id != first_id or t != first_t").select("doc_id", "t", "first_id", "first_t").distinct()
-    later = lined.select("doc_id", "t", F.col("lines").alias("y"), "words")
-    first = lined.select(F.col("doc_id").alias("first_id"), F.col("t").alias("first_t"), F.col("lines").alias("x"))
-    places = pairs.hint("merge").join(later, ["doc_id", "t"]).hint("merge").join(first, ["first_id", "first_t"]).mapInArrow(
-        _aligned(block_words), "doc_id long, t long, places binary")
+    pairs = keys.hint("merge").join(firsts, "line").filter("doc_id != first_id or t != first_t")
+    places = written(_align(pairs, lined, block_words), "aligned")
+    rest = _open_windows(places, lined, block_words)
+    if rest.take(1):
+        others = _other_pairs(rest, keys, lined)
+        places = places.unionByName(_align(others, lined, block_words, last=True))
     per_text = places.filter(F.octet_length("places") > 0).groupBy("doc_id", "t").agg(F.collect_list("places").alias("places"))
     joined = texts.hint("merge").join(per_text, ["doc_id", "t"], "left")
     return joined.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "places").mapInArrow(

@@ -281,6 +281,42 @@ def test_lines_that_all_repeat(spark):
         assert got[1] == (1, "\n".join(x for x in second if x not in first))
 
 
+def all_pairs(texts):
+    """Texts without the lines that alignment with any earlier text deletes."""
+    split_texts, out = [t.split("\n") for t in texts], []
+    codes = {}
+    for j, own in enumerate(split_texts):
+        b, words = [codes.setdefault(x, len(codes) + 1) if split(x) else 0 for x in own], [len(split(x)) for x in own]
+        gone = {p for i in range(j) for p in line_align.aligned_runs(
+            [codes[x] if split(x) else 0 for x in split_texts[i]], b, words, line_align.BLOCK_WORDS)}
+        out.append("\n".join(x for p, x in enumerate(own) if p not in gone))
+    return out
+
+
+def test_lines_against_all_pairs(spark):
+    x, y = prose(92, 9), prose(93, 10)
+    cases = [[f"{x}\nx\n{x}", f"a\n{x}\nb", f"c\n{x}\nd"], [f"{x}\n{y}", f"p\n{y}\n{x}\nq", f"r\n{y}\n{x}\ns", f"p\n{y}\n{x}\nq"]]
+    for texts in cases:
+        got = rows(line_align.drop_aligned_lines(table(spark, texts)), "doc_id", "text")
+        assert [r[1] for r in got] == all_pairs(texts)
+    assert got[2:] == [(2, "r\ns"), (3, "")]
+    random = np.random.default_rng(8)
+    pool = ["", "", *[prose(200 + i, 3) for i in range(5)], *[prose(210 + i, 9) for i in range(4)]]
+    texts = ["\n".join(random.choice([*pool, f"own {d}"], random.integers(1, 14))) for d in range(150)]
+    got = rows(line_align.drop_aligned_lines(table(spark, texts)), "doc_id", "text")
+    assert [r[1] for r in got] == all_pairs(texts)
+
+
+def test_shapes_align_alike():
+    random = np.random.default_rng(9)
+    for _ in range(500):
+        a, b = (random.integers(0, 5, random.integers(0, 12)).tolist() for _ in range(2))
+        both = set(a) & set(b)
+        a = [x if x in both or not x else 50 + i for i, x in enumerate(a)]
+        words = [3 * (x > 0) for x in b]
+        assert line_align.aligned_runs(a, b, words, 5) == line_align.aligned_runs(line_align.shape(a, both), b, words, 5)
+
+
 def test_longest_common_subsequence():
     random = np.random.default_rng(6)
     for _ in range(300):
