@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import words as W
-from tablewright.llm.shared import ids_and_texts, ship
+from tablewright.llm.shared import ids_and_texts, ship, written
 
 #: At similarity 0.8 fingerprints differ in 10 of 64 bits on average (deviation 3).
 RADIUS = 23
@@ -42,16 +42,15 @@ def _near_values(most: int) -> np.ndarray:
 class Items:
     """One group of benchmark items, ready for search."""
 
-    def __init__(self, ids: list, texts: list, k: int, percent: float):
+    def __init__(self, ids: list, texts: list, k: int, percent: float, n: int, holders: dict[int, int]):
+        """n: number of all items; holders: in how many of all items a shingle is, where in more than one."""
         found = W.words_of(pa.array(texts, pa.string()))
         self.k, self.percent = k, percent
         hashes, bounds = W.shingles(found.hashes(), found.first, k)
         sets = [Counter(hashes[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        holders = Counter(h for s in sets for h in s)
-        n = len(sets)
         #: A shingle weighs more the fewer items have it; any other weighs like one that a single item has.
         self.other = 1.0 + float(np.log(n or 1))
-        self.weight = {h: 1.0 + float(np.log(n / c)) for h, c in holders.items()}
+        self.weight = {h: 1.0 + float(np.log(n / holders.get(h, 1))) for s in sets for h in s}
         use = [i for i, s in enumerate(sets) if s]
         self.ids, self.sets = [ids[i] for i in use], [sets[i] for i in use]
         self.words = np.array([found.counts[i] for i in use], dtype=np.int64)
@@ -157,19 +156,44 @@ def _found(items: Items):
     return run
 
 
+def _shingled(words: int):
+    """Per item: shingle length (its own number of words where that is less) and different shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.pieces(batches, "t"):
+            found = W.words_of(W.column(batch, "t"))
+            hashes, length = found.hashes(), np.minimum(found.counts, words)
+            own = [
+                np.unique(W.shingles(hashes[a:b], np.array([0, b - a]), int(k))[0]).view(np.int64) if k else np.zeros(0, np.int64)
+                for a, b, k in zip(found.first[:-1], found.first[1:], length, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [W.column(batch, "i"), W.column(batch, "t"), pa.array(length, pa.int32()), pa.array([x.tolist() for x in own], pa.list_(pa.int64()))],
+                ["i", "t", "k", "shingles"])
+    return run
+
+
 def _groups(items: DataFrame, words: int, similarity: float, item_id: str, item_text: str) -> Iterator[Items]:
-    """The items in groups of bounded numbers of words and items, read one after the other."""
-    ids, held, size = [], [], 0
-    rows = items.select(items[item_id].cast("long").alias("i"), items[item_text].cast("string").alias("t")).dropna().distinct().orderBy("i", "t")
-    for row in rows.toLocalIterator():
-        if ids and (size + len(row["t"]) // 2 > GROUP_WORDS or len(ids) == GROUP_ITEMS):
-            yield Items(ids, held, words, similarity)
-            ids, held, size = [], [], 0
+    """The items in groups of bounded numbers of words and items and one length of shingles, read one after the other."""
+    rows = items.select(items[item_id].cast("long").alias("i"), items[item_text].cast("string").alias("t")).dropna().distinct()
+    rows = written(rows.mapInArrow(_shingled(words), "i long, t string, k int, shingles array<long>"), "items")
+    # What a shingle weighs depends on all items, so its holders are counted before there are groups.
+    held = rows.select("i", "t", "k", F.explode("shingles").alias("h"))
+    counts = held.groupBy("k", "h").agg(F.count("*").alias("c")).filter("c > 1")
+    common = held.join(counts, ["k", "h"]).groupBy("i", "t", "k").agg(F.collect_list(F.struct("h", "c")).alias("holders"))
+    known = written(rows.filter("k > 0").select("i", "t", "k").join(common, ["i", "t", "k"], "left"), "known")
+    n = rows.count()
+    ids, texts, size, holders, k = [], [], 0, {}, 0
+    for row in known.orderBy("k", "i", "t").toLocalIterator():
+        if ids and (row["k"] != k or size + len(row["t"]) // 2 > GROUP_WORDS or len(ids) == GROUP_ITEMS):
+            yield Items(ids, texts, k, similarity, n, holders)
+            ids, texts, size, holders = [], [], 0, {}
+        k = row["k"]
         ids.append(row["i"])
-        held.append(row["t"])
+        texts.append(row["t"])
         size += len(row["t"]) // 2
+        holders.update((x["h"] % (1 << 64), x["c"]) for x in row["holders"] or ())
     if ids:
-        yield Items(ids, held, words, similarity)
+        yield Items(ids, texts, k, similarity, n, holders)
 
 
 def benchmark_hits(
@@ -178,8 +202,8 @@ def benchmark_hits(
 ) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window of a text for each item in it.
 
-    Words are A-Z-lowered; a text or item with fewer than `words` words is one shingle. Items
-    are sent to the tasks in groups of a bounded number of words, each group a pass over the
+    Words are A-Z-lowered; an item with fewer than `words` words is one shingle, looked for among
+    all runs of as many words. What a shingle weighs comes from all items. Items are sent to the tasks in groups of a bounded number of words, each group a pass over the
     texts. Missing or blank texts and items have no hits. Of windows with equal similarity the
     first counts. Repeated rows are searched each; rows without an id report a missing one.
     Other columns are not read; without documents or items there are no rows.

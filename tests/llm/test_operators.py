@@ -198,6 +198,30 @@ def test_hits_and_clean_rows(spark, odd, empty, monkeypatch):
     assert benchmark_hits(empty, items).count() == 0 and without_benchmark(odd, items.limit(0)).count() == len(ODD) + 2
 
 
+def test_groups_of_items_that_share_shingles(spark, monkeypatch):
+    shared = prose(300, 12)
+    texts = [f"{shared} {prose(301 + i, 14)}" for i in range(12)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    near = []
+    for i, t in enumerate(texts):
+        for at in (3, 15, 24):
+            near.append(" ".join("different" if k == at else w for k, w in enumerate(t.split())))
+    docs, columns = table(spark, near), ("doc_id", "item_id", "first_word", "n_words", "similarity")
+    want = rows(benchmark_hits(docs, items, similarity=0.6), *columns)
+    assert want
+    for size in (1, 5):
+        monkeypatch.setattr(decontaminate, "GROUP_ITEMS", size)
+        got = rows(benchmark_hits(docs, items, similarity=0.6), *columns)
+        assert [r[:4] for r in got] == [r[:4] for r in want] and np.allclose([r[4] for r in got], [r[4] for r in want])
+
+
+def test_short_items_in_longer_texts(spark):
+    items = spark.createDataFrame([(1, "red fox"), (2, "one two three four"), (3, "fox")], "item_id long, text string")
+    docs = table(spark, ["The Red fox ran over all the hills", "zero one two three four five six", "one two three", "red"])
+    got = rows(benchmark_hits(docs, items), "doc_id", "item_id", "first_word", "n_words")
+    assert got == [(0, 1, 1, 2), (0, 3, 2, 1), (1, 2, 1, 4)] and rows(without_benchmark(docs, items), "doc_id") == [(2,), (3,)]
+
+
 def test_votes(spark, odd, empty):
     shout = " ".join(w.upper() + "!!" for w in prose(3, 120).split())
     signs = " ".join(w + "###" for w in prose(4, 120).split())
