@@ -4,7 +4,8 @@ Found are mail addresses, telephone numbers, IPv4 addresses, payment cards (Luhn
 account numbers (IBAN), secrets behind a word like token, and names behind a form of address. A surrogate is drawn from a keyed
 hash of the type and the normal form of a value, so one value has one surrogate in the whole
 corpus. Digits become digits, letters become letters of the same case and script, separators
-stay, checksums hold again, and names keep script and gender.
+stay, checksums hold again, and names keep script and gender. Names found behind a form of
+address are replaced wherever else they stand in the same text.
 
 All different values of the corpus are then compared with each other: a surrogate that two
 values share, or that is itself a value of the corpus, is drawn again for all but the first.
@@ -28,7 +29,8 @@ from tablewright.llm.shared import drop_written, ship, written
 #: Fixed lists: forms of address with the gender they tell, and given names by script and gender.
 ADDRESS = {
     "Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Господин": "m", "Κύριος": "m",
-    "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Госпожа": "f", "Κυρία": "f",
+    "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Госпожа": "f", "Κυρία": "f", "Dra": "f",
+    "Dr": "n", "Doctor": "n", "Prof": "n", "Professor": "n", "Доктор": "n", "Профессор": "n",
 }
 GIVEN = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leo", "Martin", "Noah", "Oscar", "Paul"),
@@ -38,7 +40,9 @@ GIVEN = {
     ("greek", "m"): ("Αλέξης", "Γιώργος", "Δημήτρης", "Ηλίας", "Κώστας", "Νίκος", "Πέτρος", "Στέφανος"),
     ("greek", "f"): ("Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ελένη", "Κατερίνα", "Μαρία", "Σοφία"),
 }
+GIVEN |= {(kind, "n"): GIVEN[kind, "m"] + GIVEN[kind, "f"] for kind in ("latin", "cyrillic", "greek")}
 _ALPHABET = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+_TITLES = "|".join(ADDRESS)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _FINDERS = {
     "mail": re.compile(r"(?<![\w.+-])[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+"),
@@ -47,7 +51,7 @@ _FINDERS = {
     "card": re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"),
     "phone": re.compile(r"(?<!\w)(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"),
     "secret": re.compile(r"(?i:token|secret|password|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?([\w+/-]{12,})"),
-    "name": re.compile(r"(?<!\w)(" + "|".join(ADDRESS) + r")\.? ([^\W\d_][\w'’-]+(?: [^\W\d_a-z][\w'’-]+)?)"),
+    "name": re.compile(rf"(?<!\w)((?:{_TITLES})(?:\.? (?:{_TITLES}))*)\.? (" + r"[^\W\d_][\w'’-]+(?: [^\W\d_a-z][\w'’-]+)?)"),
 }
 
 
@@ -67,6 +71,7 @@ def iban_ok(value: str) -> bool:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of all values, in order, without overlaps; the type listed first wins."""
     taken: list[tuple[int, int, str, str]] = []
+    named: list[tuple[str, list[tuple[int, str]]]] = []
 
     def add(a: int, b: int, kind: str, normal: str) -> None:
         if all(b <= x or a >= y for x, y, *_ in taken):
@@ -89,16 +94,52 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             elif kind == "secret":
                 add(m.start(1), m.end(1), kind, m[1])
             elif kind == "name":
-                first = m[2][0]
-                if first.isupper():
-                    add(m.start(2), m.end(2), kind, ADDRESS[m[1]] + ":" + m[2])
+                words = [(m.start(2) + w.start(), w[0]) for w in re.finditer(r"[^ ]+", m[2])]
+                words = [(a, re.sub(r"(?:['’]s)?['’-]*$", "", w)) for a, w in words[: 1 + (words[-1][1][0].isupper())]]
+                if words[0][1][:1].isupper():
+                    gender = next((g for t in re.findall(r"[^\W\d_]+", m[1]) if (g := ADDRESS[t]) != "n"), "n")
+                    named.append((gender, words))
             else:
                 normal = re.sub(r"\D", "", value)
                 if kind == "card" and luhn(normal) and len(set(normal)) > 1 or kind == "phone" and 7 <= len(normal) <= 15:
                     add(m.start(), m.end(), kind, normal)
+    for a, b, normal in _parts(text, named):
+        add(a, b, "name", normal)
     return sorted(taken)
 
 
+def _parts(text: str, named: list[tuple[str, list[tuple[int, str]]]]) -> list[tuple[int, int, str]]:
+    """(start, end, normal form) of each given ('gender:name') or family name (':name') of the names
+    behind a form of address, and of all further places of these in the text, with or without one."""
+    if not named:
+        return []
+    givens: dict[str, str] = {}
+    for gender, words in named:
+        if len(words) > 1 and givens.get(words[0][1].lower(), "n") == "n":
+            givens[words[0][1].lower()] = gender
+    families = {words[-1][1].lower() for _, words in named if len(words) > 1 or words[0][1].lower() not in givens}
+    out, own = [], set()
+    for _, words in named:
+        for k, (a, word) in enumerate(words):
+            # A name alone is a family name, as behind most forms of address, unless the text has it as a given one.
+            low = word.lower()
+            given = k + 1 < len(words) or len(words) == 1 and low not in families
+            out.append((a, a + len(word), f"{givens[low]}:{low}" if given else f":{low}"))
+            own.add(a)
+    names = sorted({text[a:b] for a, b, _ in out}, key=lambda n: (-len(n), n))
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, names)) + r")(?!\w)", text, re.IGNORECASE):
+        low = m[0].lower()
+        if m.start() in own or not m[0][0].isupper():
+            continue
+        # A name that is both is the family one unless a family name follows it.
+        follows = re.match(r" ([^\W\d_][\w'’-]*)", text[m.end() : m.end() + 60])
+        before_family = follows is not None and re.sub(r"(?:['’]s)?['’-]*$", "", follows[1]).lower() in families
+        given = low in givens and (low not in families or before_family)
+        if given or low in families:
+            out.append((m.start(), m.end(), f"{givens[low]}:{low}" if given else f":{low}"))
+    return out
+
+
 class _Draw:
     """A stream of choices from a keyed hash."""
 
@@ -158,17 +199,22 @@ def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
         check = 98 - int("".join(str(int(c, 36)) for c in body + normal[:2] + "00")) % 97
         return f"{normal[:2]}{check:02d}{body}"
     gender, _, name = normal.partition(":")
-    words = name.split(" ")
+    if not gender:
+        return ":" + _like(name, draw)
+    # Drawn again, a given name gets a second one, and so on: there are enough for all.
     names = GIVEN[script(name[0]), gender]
-    given = names[draw.below(len(names))]
-    # A name alone is a family name, as behind most forms of address.
-    return gender + ":" + (" ".join([given, *(_like(x, draw) for x in words[1:])]) if len(words) > 1 else _like(name, draw))
+    return gender + ":" + "-".join(names[draw.below(len(names))] for _ in range(1 + attempt))
 
 
 def render(kind: str, original: str, replacement: str) -> str:
     """The surrogate in the format of the original text: case, separators, grouping."""
     if kind == "name":
-        return replacement.partition(":")[2]
+        gender, _, name = replacement.partition(":")
+        if original.isupper():
+            return name.upper()
+        if gender:
+            return name
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(original, name, strict=True)) if len(original) == len(name) else name.title()
     if kind == "mail":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, replacement, strict=True)) if len(original) == len(replacement) else replacement
     if kind in ("ip", "secret"):
@@ -191,6 +237,15 @@ def _detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [W.column(batch, c).take(own) for c in ("doc_id", "t", "text")] + [pa.array(values, pa.list_(pa.string()))], ["doc_id", "t", "text", "values"])
 
 
+def _untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that `_detected` leaves out, as result rows."""
+    for batch in W.pieces(batches):
+        own = pa.array([i for i, text in enumerate(W.column(batch, "text").to_pylist()) if not text or not find(text)], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [W.column(batch, "doc_id").take(own), pa.array([0] * len(own), pa.int64()), pa.array([""] * len(own), pa.string()), W.column(batch, "text").take(own)],
+            ["doc_id", "n_found", "types", "text"])
+
+
 def _drawn(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,10 +292,11 @@ def assigned(values: DataFrame, key: bytes) -> DataFrame:
         now = written(now.join(bad.select("value"), "value", "left_anti").unionByName(redone), "surrogates")
 
 
-def replace_personal_data(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text", all_rows: bool = False) -> DataFrame:
     """doc_id, n_found, types and the new text of every row whose text holds personal data.
 
-    Rows without any are not returned: their text stays as it is. Missing and empty texts hold
+    Rows without any are returned, unchanged, with `all_rows` only. Given and family names have
+    their own surrogates, so full and short forms of a name agree; each counts as one. Missing and empty texts hold
     none. Repeated rows are replaced alike; rows without an id are replaced too. One value has
     the same surrogate everywhere, different values have different ones, and no surrogate is
     a value that the corpus holds. Other columns are not read; an empty table gives no rows.
@@ -252,5 +308,6 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogates", id_col: str
     held = found.select("t", F.explode("values").alias("value"))
     tries = assigned(held.select("value").distinct(), secret).filter("attempt > 0").select("value", "attempt")
     again = held.distinct().join(tries, "value").groupBy("t").agg(F.collect_list(F.struct("value", "attempt")).alias("tries"))
-    return found.select("doc_id", "t", "text").join(again, "t", "left").mapInArrow(
-        _replaced(secret), "doc_id long, n_found long, types string, text string")
+    schema = "doc_id long, n_found long, types string, text string"
+    out = found.select("doc_id", "t", "text").join(again, "t", "left").mapInArrow(_replaced(secret), schema)
+    return out.unionByName(texts.select("doc_id", "text").mapInArrow(_untouched, schema)) if all_rows else out

@@ -382,6 +382,22 @@ def test_surrogates(spark, odd, empty, monkeypatch):
     assert len({r.surrogate for r in done}) == 8
 
 
+def test_names_of_one_person_agree(spark, odd):
+    text = "Mr John Smith met Mrs Smith. Mr SMITH's car; John Smith left, Smith came, John too. Prof. Dr. Weber, Доктор Иванов пошёл. Weber and Иванов."
+    got = surrogates.replace_personal_data(table(spark, [text, "Dr Smith", "Nothing here.", None]), all_rows=True).collect()
+    by = {r.doc_id: r for r in got}
+    new = by[0].text
+    given, family = re.match(r"Mr ([\w-]+) (\w+) met", new).groups()
+    weber, ivanov = re.search(r"Prof\. Dr\. (\w+), Доктор (\w+) пошёл", new).groups()
+    assert new == (f"Mr {given} {family} met Mrs {family}. Mr {family.upper()}'s car; {given} {family} left, {family} came, {given} too. "
+                   f"Prof. Dr. {weber}, Доктор {ivanov} пошёл. {weber} and {ivanov}.")
+    assert not {"John", "Smith", "Weber", "Иванов"} & {given, family, weber, ivanov} and by[1].text == f"Dr {family}"
+    assert tuple(by[2]) == (2, 0, "", "Nothing here.") and tuple(by[3]) == (3, 0, "", None)
+    assert sorted(str(r.text) for r in surrogates.replace_personal_data(odd, all_rows=True).collect()) == sorted(str(t) for t in [*ODD, "null id", BASE])
+    many = spark.createDataFrame([(f"name\tm:given{i}",) for i in range(60)], "value string")
+    assert len({r.surrogate for r in surrogates.assigned(many, b"k").collect()}) == 60
+
+
 def test_stages_of_odd_rows(spark, odd, tmp_path):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
     items = spark.createDataFrame([(0, prose(77, 30))], "item_id long, text string")
