@@ -104,7 +104,8 @@ def parse(expression: str) -> tuple[set[str], bool | None, int]:
         elif token in LINKING:
             values.append((set(), True))
         else:
-            label, free = IDENTIFIERS.get(re.sub(r"-only$|-or-later$|\+$", "", token), (None, False))
+            name = re.sub(r"-only$|-or-later$|\+$", "", token)
+            label, free = IDENTIFIERS.get(name, (name, False))
             values.append(({label} if label else set(), free))
     return (*values[0], count)
 

@@ -305,6 +305,12 @@ def test_lines_that_all_repeat(spark):
         assert got[1] == (1, "\n".join(x for x in second if x not in first))
 
 
+def test_identifiers_outside_the_table():
+    for name in ("Zlib", "EPL-2.0", "BSL-1.0", "CC-BY-SA-4.0"):
+        assert licenses.scan(f"SPDX-License-Identifier: {name}\n")[5] == name.lower()
+    assert licenses.parse("GPL-2.0-only WITH Classpath-exception-2.0")[0] == {"gpl-2"}
+
+
 def all_pairs(texts):
     """Texts without the lines that alignment with any earlier text deletes."""
     split_texts, out = [t.split("\n") for t in texts], []
