@@ -110,7 +110,7 @@ def filter_contains(spark, sf):
 def filter_sort_limit(spark, sf):
     spec = FilterTable(
         "orders", [Filter("o_orderstatus", "eq", "F"), Filter("o_totalprice", "gte", 1000)],
-        ["o_orderkey", "o_totalprice", "o_orderdate"], "o_orderdate", True,
+        ["o_orderkey", "o_totalprice", "o_orderdate"], "o_orderdate", True, limit=500,
     )
     return texted(run({"orders": read(spark, sf, "orders")}, spec))
 
