@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import corpus_pipeline
-from tablewright.llm import mixing
+from tablewright.llm import collocations, mixing, ranked_search, url_filter
 from tablewright.llm.decontaminate import benchmark_hits
 from tablewright.llm.knn_quality import neighbour_scores
 from tablewright.llm.licenses import license_scan
@@ -77,4 +77,19 @@ def op4(spark, sf_dir):
     return drop_aligned_lines(read(spark, sf_dir, "documents"))
 
 
+@register("op11_url_filter", url_filter.ORACLE)
+def op11(spark, sf_dir):
+    return url_filter.url_verdicts(read(spark, sf_dir, "pages"))
+
+
+@register("op12_collocations", collocations.ORACLE)
+def op12(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@register("op13_ranked_search", ranked_search.ORACLE)
+def op13(spark, sf_dir):
+    return ranked_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 register("pipeline")(corpus_pipeline.run)
