@@ -116,15 +116,30 @@ def _sketched(cells_log2: int):
         for piece in _pieces(batches, cells_log2):
             cells, n = np.unique(np.concatenate(piece.runs()), return_counts=True)
             counts[cells] = np.minimum(counts[cells] + n, 255)
-        yield from _chunks(counts, np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1)), "counts")
+        yield from _chunks(counts)
     return run
 
 
-def _chunks(rows: np.ndarray, wanted: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
-    rows = rows.reshape(-1, CHUNK) if name == "counts" else rows
-    for part in np.array_split(wanted, max(1, len(wanted) // 256)):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.int32()), pa.array([rows[k].tobytes() for k in part], pa.binary())], ["chunk", name])
+def _chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Chunks with a count: all their cells, or places (two bytes) and counts of those in use where that is shorter."""
+    used = np.flatnonzero(counts)
+    bounds = np.searchsorted(used, np.arange(0, len(counts) + 1, CHUNK))
+    place, count = (used % CHUNK).astype("<u2"), counts[used]
+    full = np.flatnonzero(np.diff(bounds))
+    for part in np.array_split(full, max(1, len(full) // 256)):
+        packed = [
+            place[a:b].tobytes() + count[a:b].tobytes() if 3 * (b - a) < CHUNK else counts[k * CHUNK : (k + 1) * CHUNK].tobytes()
+            for k, a, b in zip(part.tolist(), bounds[part].tolist(), bounds[part + 1].tolist(), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
+    """Places and counts of a chunk as `_chunks` wrote it; a list of places is never as long as a chunk."""
+    if len(packed) == CHUNK:
+        return slice(None), np.frombuffer(packed, np.uint8)
+    n = len(packed) // 3
+    return np.frombuffer(packed, "<u2", n), np.frombuffer(packed, np.uint8, n, 2 * n)
 
 
 def _summed(threshold: int):
@@ -132,9 +147,10 @@ def _summed(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(W.column(batch, "chunk").to_pylist(), W.column(batch, "counts").to_pylist(), strict=True):
+            for chunk, packed in zip(W.column(batch, "chunk").to_pylist(), W.column(batch, "counts"), strict=True):
                 total = sums.setdefault(chunk, np.zeros(CHUNK, dtype=np.uint8))
-                total[:] = np.minimum(total.astype(np.uint16) + np.frombuffer(counts, np.uint8), 255)
+                place, counts = _unpacked(packed.as_py())
+                total[place] = np.minimum(total[place].astype(np.uint16) + counts, 255)
         for chunk, total in sums.items():
             bits = np.packbits(total >= min(threshold, 255), bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([bits], pa.binary())], ["chunk", "bits"])
