@@ -210,10 +210,13 @@ def phrase_counts(
     allowed = _allowed(texts, threshold, cells_log2)
     found = texts.mapInArrow(_counted(allowed, cells_log2), "lang string, k int, phrase string, n long")
     edges = written(found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")), "edges")
-    sizes = F.when(F.col("k") > 1, F.sequence(F.lit(2), F.greatest("k", F.lit(2)))).otherwise(F.array("k"))
-    flow = edges.select("lang", "phrase", "n", F.explode(sizes).alias("k"))
-    flow = flow.select("lang", "k", F.when(F.col("k") > 1, _part(F.col("phrase"), F.col("k"))).otherwise(F.col("phrase")).alias("phrase"), "n")
-    counts = flow.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    # The flow through a node: all edges that leave it, and what ends there.
+    flow = edges.filter(F.col("k") == LONGEST)
+    counts = edges.filter(F.col("k") < 2).unionByName(flow)
+    for k in range(LONGEST - 1, 1, -1):
+        onward = flow.select("lang", F.lit(k).alias("k"), _part(F.col("phrase"), F.lit(k)).alias("phrase"), "n")
+        flow = edges.filter(F.col("k") == k).unionByName(onward).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+        counts = counts.unionByName(flow)
     out = written(counts.filter((F.col("k") == 0) | (F.col("n") >= threshold)), "phrases")
     drop_written(edges)
     return out
