@@ -10,10 +10,9 @@ from pyspark.sql import types as T
 
 from tablewright.errors import ToolError
 from tablewright.functions import ids, nulls, parse, words
-from tablewright.operators import ordering
+from tablewright.operators import quantiles
 from tablewright.operators.predicates import check_columns, table_of
 from tablewright.specs import Agg, AggregateTable, Metric, Period
-from tablewright.staging import stage
 
 _TRUNC = {
     Period.day: "day",
@@ -74,70 +73,26 @@ def exact_quantiles(
     keys: Sequence[str],
     columns: Sequence[str],
     probabilities: Sequence[float],
-    rows_per_range: int = ordering.ROWS_PER_RANGE,
+    gathered: int = quantiles.GATHERED,
 ) -> DataFrame:
     """Interpolated quantiles per group: keys, column index `metric`, one `q{i}` per probability.
 
-    Built from counts per distinct value and running sums over them, so a group of any
-    size and any number of distinct values is spread over many tasks. Groups without a
-    value do not appear.
+    Counts narrow down where the wanted ranks lie (see `quantiles`), so the values of a group
+    are neither sorted nor moved, whatever its size. Groups without a value do not appear.
     """
-    lanes = [p for i, c in enumerate(columns) for p in (F.lit(i), nulls.col(c).cast("double"))]
-    long = df.select(
-        *[nulls.col(k) for k in keys],
-        F.stack(F.lit(len(columns)), *lanes).alias("metric", "value"),
-    ).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy(*[nulls.col(k) for k in keys], "metric", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return weighted_quantiles(stage(counts, "quantile"), [*keys, "metric"], probabilities, rows_per_range)
-
-
-def weighted_quantiles(
-    counts: DataFrame,
-    keys: Sequence[str],
-    probabilities: Sequence[float],
-    rows_per_range: int = ordering.ROWS_PER_RANGE,
-) -> DataFrame:
-    """Quantiles from distinct `value`s with counts `n`; one row per group of `keys`."""
-    ranked = ordering.prefix_sums(
-        counts, ["value"], {"__upto": F.col("n")}, keys, tie=(), totals=True, rows_per_range=rows_per_range
-    )
-    position = [(F.col("__upto_total") - 1) * F.lit(float(p)) for p in probabilities]
-
-    def covers(place: Column) -> Column:
-        return (F.col("__upto") - F.col("n") <= place) & (place < F.col("__upto"))
-
-    low = [covers(F.floor(p)) for p in position]
-    high = [covers(F.ceil(p)) for p in position]
-    wanted = F.lit(False)
-    for hit in [*low, *high]:
-        wanted = wanted | hit
-    picked = ranked.filter(wanted).groupBy(*[nulls.col(k) for k in keys]).agg(
-        *[F.max(F.when(h, F.col("value"))).alias(f"low{i}") for i, h in enumerate(low)],
-        *[F.max(F.when(h, F.col("value"))).alias(f"high{i}") for i, h in enumerate(high)],
-        F.max("__upto_total").alias("__total"),
-    )
-    steps = [(F.col("__total") - 1) * F.lit(float(p)) for p in probabilities]
-    return picked.select(
-        *[nulls.col(k) for k in keys],
-        *[
-            (F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (s - F.floor(s))).alias(f"q{i}")
-            for i, s in enumerate(steps)
-        ],
-    )
+    return quantiles.quantiles(df, keys, [nulls.col(c) for c in columns], probabilities, gathered)
 
 
 def _with_medians(
-    df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric], rows_per_range: int
+    df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric], gathered: int
 ) -> DataFrame:
     """Plain aggregates joined with exact medians on the group keys."""
     exact = [m for m in metrics if Agg(m.aggregation) is Agg.median and not m.approx]
     plain = [_simple(m) for m in metrics if m not in exact]
     rows = F.count(F.lit(1)).alias("__rows")
     columns = list(dict.fromkeys(m.column for m in exact))
-    quantiles = exact_quantiles(df, keys, columns, [0.5], rows_per_range)
-    wide = quantiles.groupBy(*[nulls.col(k) for k in keys]).agg(
+    medians = exact_quantiles(df, keys, columns, [0.5], gathered)
+    wide = medians.groupBy(*[nulls.col(k) for k in keys]).agg(
         *[
             F.max(F.when(F.col("metric") == columns.index(m.column), F.col("q0"))).alias(m.output)
             for m in exact
@@ -155,17 +110,17 @@ def aggregate(
     df: DataFrame,
     keys: Sequence[str],
     metrics: Sequence[Metric],
-    rows_per_range: int = ordering.ROWS_PER_RANGE,
+    gathered: int = quantiles.GATHERED,
 ) -> DataFrame:
     """One row per group of non-null keys; one row in all without keys."""
     for k in keys:
         df = df.filter(nulls.col(k).isNotNull())
     if any(Agg(m.aggregation) is Agg.median and not m.approx for m in metrics):
         if keys:
-            out = _with_medians(df, keys, metrics, rows_per_range)
+            out = _with_medians(df, keys, metrics, gathered)
         else:
             one_group = df.withColumn(_ALL, F.lit(0))
-            out = _with_medians(one_group, [_ALL], metrics, rows_per_range)
+            out = _with_medians(one_group, [_ALL], metrics, gathered)
     else:
         out = df.groupBy(*[nulls.col(k) for k in keys]).agg(*[_simple(m) for m in metrics])
     return out.select(*[nulls.col(k) for k in keys], *[nulls.col(m.output) for m in metrics])
@@ -183,7 +138,7 @@ def sorted_and_limited(
 
 
 def aggregate_table(
-    tables, spec: AggregateTable, rows_per_range: int = ordering.ROWS_PER_RANGE
+    tables, spec: AggregateTable, gathered: int = quantiles.GATHERED
 ) -> DataFrame:
     df = table_of(tables, spec.table)
     keys = list(spec.group_by)
@@ -197,7 +152,7 @@ def aggregate_table(
     outputs = keys + [m.output for m in spec.metrics]
     if spec.sort_by and spec.sort_by not in outputs:
         raise ToolError(f"sort_by column '{spec.sort_by}' not in the result: {outputs}")
-    result = aggregate(df, keys, spec.metrics, rows_per_range)
+    result = aggregate(df, keys, spec.metrics, gathered)
     sort = [(spec.sort_by, spec.sort_desc)] if spec.sort_by else []
     sort += [(k, False) for k in keys if k != spec.sort_by]
     return sorted_and_limited(result, sort, spec.limit)
@@ -225,14 +180,14 @@ def aggregate_named(
     aggregation: str,
     output: str,
     order_by: str | None = None,
-    rows_per_range: int = ordering.ROWS_PER_RANGE,
+    gathered: int = quantiles.GATHERED,
 ) -> DataFrame:
     """One aggregate of one column per key. `first` and `last` need an order column."""
     df = df.filter(nulls.col(key).isNotNull())
     c = nulls.col(value)
     if aggregation == "median":
         metric = Metric(value, Agg.median, output)
-        return aggregate(df, [key], [metric], rows_per_range)
+        return aggregate(df, [key], [metric], gathered)
     if aggregation in ("first", "last"):
         if order_by is None:
             raise ToolError(f"Aggregation '{aggregation}' needs an order_by column")

@@ -3,19 +3,22 @@
 A window without partitions, or with one huge partition, puts its rows into one task.
 Here the order is cut into ranges first:
 
-1. a small random sample of the order columns gives the cut points (the sample only
-   places the cuts, every row is kept);
-2. a row's range is a pure function of its own values, so a lost task recomputes the
-   same range and nothing has to be cached;
-3. sums per range, and per group where a group crosses a cut, are at most two rows per
-   cut and are broadcast as offsets;
+1. a small random sample of the order columns, written to the shared folder, gives the cut
+   points (the sample only places the cuts, every row is kept);
+2. a row finds its range by binary search: among all cuts where these are few, else first
+   among coarse cuts (about the square root of their number) and then among the cuts of its
+   coarse part, which a join on the part brings along. The keys stay in Spark; the driver sees
+   how many there are. A row's range is a pure function of its own values, so a lost task
+   computes the same one again;
+3. sums per range, and per group where a group crosses a cut, are at most two rows per cut.
+   What came before each is summed up a tree, so that no task sees more than FAN of them at once;
 4. one shuffle sends each range to its own task, which sorts it and adds the offset.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,18 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import nulls
+from tablewright.staging import stage
 
 ROWS_PER_RANGE = 500_000
-MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 32
+#: So many cuts are searched at once, and so many sums of ranges added up in one task.
+FAN = 256
+#: Tables of cuts and of offsets are broadcast up to these sizes, beyond them joined by a shuffle.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 50_000
+#: Rows of one coarse part that a task joins with its cuts.
+ROWS_PER_SALT = 2_000_000
 
-_RANGE, _KEY, _COPIES = "__range", "__key", "__copies"
-_JSON = {
-    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "dateFormat": "yyyy-MM-dd",
-    "allowNonNumericNumbers": "true",
-}
+_RANGE, _KEY, _COPIES, _PART, _CUTS, _BASE, _SALT = "__range", "__key", "__copies", "__part", "__cuts", "__base", "__salt"
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,8 @@ class Ranged:
 
     frame: DataFrame
     count: int
-    cuts: Column | None
+    rows: int
+    cuts: DataFrame | None
     partition: tuple[str, ...]
     order: tuple[Column, ...]
 
@@ -63,10 +67,6 @@ def _key_struct(columns: Sequence[tuple[str, Column]]) -> Column:
     return F.struct(*parts)
 
 
-def _nullable(dtype: T.DataType) -> T.DataType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in dtype.fields])
-
-
 def _hash_of_rest(df: DataFrame, used: set[str]) -> list[tuple[str, Column]]:
     """One number from all other columns, so that only equal rows stay tied."""
     rest = [f.name for f in df.schema if f.name not in used and nulls.is_scalar(f.dataType)]
@@ -77,14 +77,83 @@ def _hash_of_rest(df: DataFrame, used: set[str]) -> list[tuple[str, Column]]:
     return [("", F.xxhash64(*parts))]
 
 
-def _sampled_keys(df: DataFrame, key: Column, rows: int, ranges: int) -> list[str]:
-    """Sampled keys in order, as JSON text; a few dozen per range reach the driver."""
+def _every(keys: Column, step: int) -> Column:
+    """Every step-th of some collected keys, in order."""
+    return F.filter(F.sort_array(keys), lambda _, i: (i > 0) & (i % step == 0))
+
+
+def _found(frame: DataFrame, cuts: Column, output: str, most: int) -> DataFrame:
+    """Binary search, one projection per halving: the number of cuts (at most `most`) not above the key."""
+    frame = frame.withColumn(output, F.lit(0))
+    step = 1 << max(0, most.bit_length() - 1)
+    while step and most:
+        reached = F.get(cuts, nulls.col(output) + F.lit(step - 1)) <= nulls.col(_KEY)
+        frame = frame.withColumn(output, nulls.col(output) + F.when(reached, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return frame
+
+
+@dataclass(frozen=True)
+class _Tree:
+    """Cuts in order, in two levels where there are many: coarse ones, and the cuts of each coarse part."""
+
+    parts: DataFrame
+    coarse: DataFrame | None
+    cuts: int
+    most: int
+    size: int
+    heavy: bool
+    count: int
+
+    def place(self, df: DataFrame, key: Column, rows: int) -> DataFrame:
+        """The table with the number of each row's range."""
+        frame = df.withColumn(_KEY, key)
+        if self.coarse is None:
+            frame = _found(frame.withColumn(_CUTS, self.parts.select(_CUTS).scalar()), nulls.col(_CUTS), _RANGE, self.most)
+            return frame.drop(_KEY, _CUTS)
+        frame = _found(frame.withColumn(_CUTS, self.coarse.select(_CUTS).scalar()), nulls.col(_CUTS), _PART, self.cuts)
+        frame, on, parts = frame.drop(_CUTS), [_PART], self.parts
+        if self.size <= BROADCAST_BYTES:
+            parts = F.broadcast(parts)
+        else:
+            salts = max(1, math.ceil(rows / (self.cuts + 1) / ROWS_PER_SALT))
+            parts = parts.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            frame = frame.withColumn(_SALT, F.pmod(F.xxhash64(_KEY), F.lit(salts)).cast("int"))
+            on = [_PART, _SALT]
+        frame = _found(frame.join(parts, on), nulls.col(_CUTS), "__place", self.most)
+        frame = frame.withColumn(_RANGE, nulls.col(_BASE) + nulls.col("__place"))
+        return frame.select(*[nulls.col(c) for c in df.columns], nulls.col(_RANGE))
+
+
+def _tree(df: DataFrame, key: Column, rows: int, ranges: int) -> _Tree:
+    """Cuts between `ranges` ranges of about equal size, from a sample of the keys."""
+    spark = df.sparkSession
     fraction = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    return [
-        r[0]
-        for r in df.select(key.alias("k")).sample(fraction, seed=7)
-        .orderBy("k").select(F.to_json("k", _JSON)).collect()
-    ]
+    sample = stage(df.select(key.alias(_KEY)).sample(fraction, seed=7), "sample")
+    parts = 0 if ranges <= FAN else math.isqrt(ranges)
+    coarse = None
+    every = max(1, round(rows * fraction / ranges))
+    if parts:
+        few = sample.sample(min(1.0, parts / ranges), seed=11)
+        picked = _every(F.collect_list(_KEY), max(1, round(every * ranges * min(1.0, parts / ranges) / parts)))
+        coarse = stage(few.agg(F.array_distinct(picked).alias(_CUTS)), "cuts")
+        n = coarse.select(F.size(_CUTS)).first()[0]
+        sample = _found(sample.withColumn(_CUTS, coarse.select(_CUTS).scalar()), nulls.col(_CUTS), _PART, n).select(_PART, _KEY)
+        cuts = sample.groupBy(_PART).agg(_every(F.collect_list(_KEY), every).alias("__all"))
+        # A part that the sample missed has no cuts of its own.
+        cuts = spark.range(n + 1).select(F.col("id").cast("int").alias(_PART)).join(cuts, _PART, "left")
+    else:
+        n = 0
+        cuts = sample.agg(_every(F.collect_list(_KEY), every).alias("__all")).select(F.lit(0).alias(_PART), "__all")
+    cuts = cuts.select(_PART, "__all", F.coalesce(F.array_distinct("__all"), F.slice("__all", 1, 0)).alias(_CUTS))
+    # The number of ranges before each part; a row per coarse cut.
+    earlier = Window.partitionBy(F.floor(F.col(_PART) / F.lit(1 << 30))).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.greatest(F.size(_CUTS), F.lit(0))
+    cuts = cuts.select(_PART, "__all", _CUTS, F.coalesce(F.sum(known + 1).over(earlier), F.lit(0)).cast("int").alias(_BASE))
+    cuts = stage(cuts.withColumn("__lost", F.greatest(F.size("__all"), F.lit(0)) - known).drop("__all"), "cuts")
+    total, most, lost, size = cuts.agg(
+        F.sum(known), F.max(known), F.sum("__lost"), F.sum(F.coalesce(F.length(F.to_json(_CUTS)), F.lit(0)))).first()
+    return _Tree(cuts.drop("__lost"), coarse, n, most, size, bool(lost), total + n + 1)
 
 
 def ranged(
@@ -106,51 +175,69 @@ def ranged(
     key = _key_struct(columns)
     sort = tuple(c.asc_nulls_last() for _, c in (named + rest)[len(partition):])
     rows = df.count()
-    ranges = max(1, min(MAX_RANGES, math.ceil(rows / rows_per_range)))
+    ranges = max(1, math.ceil(rows / rows_per_range))
     if ranges == 1:
         single = df.withColumn(_RANGE, F.lit(0))
-        return Ranged(single, 1, None, tuple(partition), sort), False
-
-    sampled = _sampled_keys(df, key, rows, ranges)
-    cuts = [sampled[len(sampled) * i // ranges] for i in range(1, ranges)] if sampled else []
-    heavy = len(set(cuts)) < len(cuts)
-    cuts = list(dict.fromkeys(cuts))
-    key_type = _nullable(df.select(key.alias("k")).schema["k"].dataType)
-    array = F.from_json(F.lit("[" + ",".join(cuts) + "]"), T.ArrayType(key_type, True), _JSON)
-
-    # Binary search, one projection per halving: the number of cuts not above the key.
-    frame = df.withColumn(_KEY, key).withColumn(_RANGE, F.lit(0))
-    step = 1 << max(0, len(cuts).bit_length() - 1)
-    while step and cuts:
-        reached = F.get(array, nulls.col(_RANGE) + F.lit(step - 1)) <= nulls.col(_KEY)
-        frame = frame.withColumn(
-            _RANGE, nulls.col(_RANGE) + F.when(reached, F.lit(step)).otherwise(F.lit(0))
-        )
-        step //= 2
-    return Ranged(frame.drop(_KEY), len(cuts) + 1, array, tuple(partition), sort), heavy
+        return Ranged(single, 1, rows, None, tuple(partition), sort), False
+    tree = _tree(df, key, rows, ranges)
+    cuts = tree.parts.select(_CUTS) if tree.coarse is None else tree.parts.select(_CUTS).unionByName(tree.coarse.select(_CUTS))
+    return Ranged(tree.place(df, key, rows), tree.count, rows, cuts, tuple(partition), sort), tree.heavy
+
+
+def _some(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast where a count has shown that it is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _crossing_groups(r: Ranged) -> DataFrame:
     """Groups that a cut falls into: at most one per cut."""
-    session = r.frame.sparkSession
-    cut = session.range(1).select(F.explode(r.cuts).alias("c"))
-    return cut.select(*[F.col(f"c.v{i}").alias(p) for i, p in enumerate(r.partition)]).distinct()
+    keys = r.cuts.select(F.explode(_CUTS).alias("c"))
+    names = [F.col(f"c.v{i}").alias(p) for i, p in enumerate(r.partition)]
+    return keys.select(*names).distinct()
 
 
-def _offsets(r: Ranged, sums: Mapping[str, Column]) -> DataFrame:
+def before(
+    table: DataFrame, keys: Sequence[str], index: str, names: Sequence[str], count: int,
+    over: Callable[[Column], Column], fold: Callable[[Column, Column], Column], both: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """keys, index, `__before_<name>`: values of earlier rows of a group, put together up a tree.
+
+    `index` counts from 0 to `count` - 1. FAN neighbours share a parent; a row takes what its
+    earlier siblings hold (`over` a window) and what came before its parent (`both` of the two),
+    and a parent holds the `fold` of its children.
+    """
+    group = [nulls.col(k) for k in keys]
+    parent = F.floor(nulls.col(index) / F.lit(FAN)).cast("bigint")
+    earlier = Window.partitionBy(*group, parent).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    out = table.select(*group, index, *[over(nulls.col(n)).over(earlier).alias(f"__before_{n}") for n in names])
+    if count <= FAN:
+        return out
+    up = f"{index}_up"
+    parents = table.groupBy(*group, parent.alias(up)).agg(*[fold(nulls.col(n), nulls.col(index)).alias(n) for n in names])
+    above = before(parents, keys, up, names, math.ceil(count / FAN), over, fold, both)
+    above = above.withColumnsRenamed({f"__before_{n}": f"__above_{n}" for n in names})
+    out = out.withColumn(up, parent).join(above, [up, *keys], "left")
+    return out.select(
+        *group, index, *[both(nulls.col(f"__before_{n}"), nulls.col(f"__above_{n}")).alias(f"__before_{n}") for n in names])
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
+def _offsets(r: Ranged, sums: Mapping[str, Column], totals: bool) -> DataFrame:
     """What came before each range, and the group total, for groups that cross a cut."""
     keys = [nulls.col(_RANGE), *[nulls.col(p) for p in r.partition]]
     frame = r.frame
     if r.partition:
-        frame = frame.join(F.broadcast(_crossing_groups(r)), list(r.partition), "left_semi")
+        frame = frame.join(_some(_crossing_groups(r), r.count), list(r.partition), "left_semi")
     per_range = frame.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    group = Window.partitionBy(*[nulls.col(p) for p in r.partition])
-    before = group.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    return per_range.select(
-        *keys,
-        *[F.sum(nulls.col(n)).over(before).alias(f"__before_{n}") for n in sums],
-        *[F.sum(nulls.col(n)).over(group).alias(f"__all_{n}") for n in sums],
-    )
+    out = before(per_range, r.partition, _RANGE, list(sums), r.count, F.sum, lambda c, _: F.sum(c), _added)
+    if totals:
+        group = Window.partitionBy(*[nulls.col(p) for p in r.partition])
+        everything = per_range.select(*keys, *[F.sum(nulls.col(n)).over(group).alias(f"__all_{n}") for n in sums])
+        out = out.join(everything, [_RANGE, *r.partition])
+    return out
 
 
 def _with_prefix(r: Ranged, sums: Mapping[str, Column], totals: bool) -> DataFrame:
@@ -164,7 +251,7 @@ def _with_prefix(r: Ranged, sums: Mapping[str, Column], totals: bool) -> DataFra
     if r.cuts is None:
         return out.drop(_RANGE)
     names = out.columns
-    out = out.join(F.broadcast(_offsets(r, sums)), [_RANGE, *r.partition], "left")
+    out = out.join(_some(_offsets(r, sums, totals), 2 * r.count), [_RANGE, *r.partition], "left")
     final = []
     for n in names:
         if n == _RANGE:
@@ -172,8 +259,7 @@ def _with_prefix(r: Ranged, sums: Mapping[str, Column], totals: bool) -> DataFra
         c = nulls.col(n)
         if n in sums:
             # A running sum without a value yet is NULL and takes over what came before.
-            before = nulls.col(f"__before_{n}")
-            c = F.coalesce(c + before, c, before)
+            c = _added(c, nulls.col(f"__before_{n}"))
         elif totals and n.endswith("_total") and n[: -len("_total")] in sums:
             c = F.coalesce(nulls.col(f"__all_{n[: -len('_total')]}"), c)
         final.append(c.alias(n))
@@ -195,12 +281,18 @@ def prefix_sums(
     does. `totals` adds `<name>_total`, the sum over the whole partition. Rows whose
     partition is NULL come out with sums of their own range only; callers drop them.
     """
+    return _prefix_sums(df, order, sums, partition, tie, totals, rows_per_range)[0]
+
+
+def _prefix_sums(df, order, sums, partition, tie, totals, rows_per_range) -> tuple[DataFrame, int]:
+    """The result and the number of its rows."""
     r, heavy = ranged(df, order, partition, tie, rows_per_range)
+    rows = r.rows
     if heavy:  # many rows share the order columns: cut between them as well
         r, heavy = ranged(df, order, partition, tie, rows_per_range, cut_by_hash=True)
     if heavy:  # many rows are equal altogether
-        return _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range)
-    return _with_prefix(r, sums, totals)
+        return _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range), rows
+    return _with_prefix(r, sums, totals), rows
 
 
 def _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range) -> DataFrame:
@@ -274,10 +366,10 @@ def lagged(
     needs another. With `fill` a gap first takes the last value before it; the filled
     value is returned as `<output>_base`.
     """
-    numbered = row_numbers(df, [sort], "__rn", tie, rows_per_range)
+    numbered, rows = _prefix_sums(df, [sort], {"__rn": F.lit(1).cast("bigint")}, (), tie, False, rows_per_range)
     source = nulls.col(value)
     if fill:
-        numbered = _filled(numbered, value, "__filled", rows_per_range)
+        numbered = _filled(numbered, value, "__filled", rows, rows_per_range)
         source = nulls.col("__filled")
     shift = abs(periods)
     block = max(rows_per_range, shift)
@@ -297,20 +389,23 @@ def lagged(
     return out.select(*[nulls.col(c) for c in df.columns], F.col("__lag").alias(output), *extra)
 
 
-def _filled(numbered: DataFrame, value: str, output: str, rows_per_range: int) -> DataFrame:
-    """Last value at or before each row number, carried across blocks of any length."""
+def _filled(numbered: DataFrame, value: str, output: str, rows: int, rows_per_range: int) -> DataFrame:
+    """Last value at or before each row number, carried across blocks of any length.
+
+    A block's last value is carried on up and down the tree of blocks, so a gap may span any number of them.
+    """
     block = F.floor((F.col("__rn") - 1) / F.lit(rows_per_range)).cast("bigint")
     numbered = numbered.withColumn("__block", block)
-    # One row per block, so the ordered window below sees rows / rows_per_range rows.
     known_at = F.when(nulls.col(value).isNotNull(), F.col("__rn"))
-    last_of = numbered.groupBy("__block").agg(F.max_by(nulls.col(value), known_at).alias("__own"))
-    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    before = last_of.select("__block", F.last("__own", ignorenulls=True).over(earlier).alias("__last"))
+    last_of = numbered.groupBy("__block").agg(F.max_by(nulls.col(value), known_at).alias("__last"))
+    earlier = before(
+        last_of, (), "__block", ["__last"], math.ceil(rows / rows_per_range),
+        lambda c: F.last(c, ignorenulls=True), lambda c, i: F.max_by(c, F.when(c.isNotNull(), i)), F.coalesce)
     w = Window.partitionBy("__block").orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)
     local = F.last(nulls.col(value), ignorenulls=True).over(w)
     return (
         numbered.withColumn("__local", local)
-        .join(before, "__block", "left")
-        .withColumn(output, F.coalesce(F.col("__local"), F.col("__last")))
-        .drop("__local", "__last", "__block")
+        .join(earlier, "__block", "left")
+        .withColumn(output, F.coalesce(F.col("__local"), F.col("__before___last")))
+        .drop("__local", "__before___last", "__block")
     )

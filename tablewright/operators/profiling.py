@@ -1,10 +1,11 @@
 """Column statistics and quality issues of tables.
 
-A table is read once. Every cell becomes (column, value) in one of three typed lanes and
-equal pairs are counted, map-side first. All statistics follow from that table of
-distinct values and counts, which is written to the shared folder: distinct counts and
-top values directly, text is parsed once per distinct value, quantiles come from
-running sums of the counts. Nothing is gathered per column into one task.
+One aggregate over the table, without a shuffle of values, gives all that adds up: counts of
+present, numeric, dated and padded cells, extremes, means and spreads. Exact quantiles narrow down
+their ranks by counts (`quantiles`). Only distinct counts and top values need the values themselves:
+cells become (column, value) pairs in typed lanes, equal pairs are counted map-side first, and both
+come from one shuffle of these counts. Long texts take part as their start and 128 bits of hash.
+Nothing is gathered per column into one task.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import ids, nulls, parse, words
-from tablewright.operators import ordering
-from tablewright.operators.aggregates import duplicate_count, weighted_quantiles
-from tablewright.staging import side_by_side, small, staged
+from tablewright.operators.aggregates import duplicate_count
+from tablewright.operators.quantiles import GATHERED, quantiles
+from tablewright.staging import held, side_by_side, small
 
 TOP_VALUES = 5
 SAMPLE_VALUES = 3
@@ -56,7 +57,7 @@ def _kind(dtype: T.DataType) -> tuple[str, str]:
 
 
 def _lanes(field: T.StructField) -> tuple[Column, Column, Column]:
-    """(bigint, double, text) of one cell; exactly the lanes its type needs are filled."""
+    """(bigint, double, text) of one cell; a value fills the lanes its type needs, a missing one none."""
     c = nulls.col(field.name)
     no_i, no_d, no_t = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
     kind, _ = _kind(field.dataType)
@@ -72,33 +73,25 @@ def _lanes(field: T.StructField) -> tuple[Column, Column, Column]:
         return F.unix_micros(c), no_d, no_t
     if kind == "wallclock":
         return parse.micros(c), no_d, no_t
-    if kind == "text":
-        # A long text is counted by digest; what it parses to is noted beside it.
-        long = F.length(c) > ids.LONG_TEXT
-        padded = F.when(long & parse.is_padded(c), F.lit(1).cast("bigint"))
-        return padded, F.when(long, parse.to_number(c)), F.when(long, _long_key(c)).otherwise(c)
-    return F.when(c.isNotNull(), F.lit(1).cast("bigint")), no_d, no_t
+    long = F.length(c) > ids.LONG_TEXT
+    return F.when(long, F.xxhash64(c)), no_d, F.when(long, _long_key(c)).otherwise(c)
 
 
 def _long_key(c: Column) -> Column:
-    """Stands for a long text: its start, for the order; its digest; its time, where it reads as one."""
-    time = parse.micros(parse.to_time_any(c)).cast("string")
-    return F.concat(F.substring(c, 1, ids.LONG_TEXT), F.sha2(c.cast("binary"), 256), F.coalesce(time, F.lit("")))
-
-
-def _time_of_key(key: Column) -> Column:
-    return F.substring(key, ids.LONG_TEXT + 64 + 1, 20).try_cast("bigint")
+    """Stands for a long text, beside a hash of it: its start, for the order, and another hash."""
+    return F.concat(F.substring(c, 1, ids.LONG_TEXT), F.lpad(F.hex(F.xxhash64(c, F.lit(1))), 16, "0"))
 
 
-def _cells(df: DataFrame) -> DataFrame:
-    """(c, i, d, t): one row per cell, column number and value in its lane."""
-    lanes = [p for no, f in enumerate(df.schema) for p in (F.lit(no), *_lanes(f))]
-    return df.select(F.stack(F.lit(len(df.columns)), *lanes).alias("c", "i", "d", "t"))
+def _cells(df: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """(c, i, d, t): one row per present cell of some columns, column number and value in its lane."""
+    lanes = [p for no in numbers for p in (F.lit(no), *_lanes(df.schema[no]))]
+    cells = df.select(F.stack(F.lit(len(numbers)), *lanes).alias("c", "i", "d", "t"))
+    return cells.filter(F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull())
 
 
-def value_counts(df: DataFrame) -> DataFrame:
+def value_counts(df: DataFrame, numbers: Sequence[int]) -> DataFrame:
     """(c, i, d, t, n): a cell value and the number of rows that have it."""
-    return _cells(df).groupBy("c", "i", "d", "t").agg(F.count(F.lit(1)).alias("n"))
+    return _cells(df, numbers).groupBy("c", "i", "d", "t").agg(F.count(F.lit(1)).alias("n"))
 
 
 class _Columns:
@@ -114,63 +107,60 @@ class _Columns:
         return F.col("c").isin(wanted) if wanted else F.lit(False)
 
 
-def _with_facts(counts: DataFrame, columns: _Columns) -> DataFrame:
-    """Number, point in time and padding of each distinct value."""
-    token = ids.is_token(F.col("t"))
-    number = (
-        F.when(columns.are("integer"), F.col("i").cast("double"))
-        .when(columns.are("float"), F.col("d"))
-        .when(columns.are("decimal"), F.col("t").try_cast("double"))
-        .when(columns.are("text"), F.when(token, F.col("d")).otherwise(parse.to_number(F.col("t"))))
-    )
-    time = (
-        F.when(columns.are("instant", "wallclock"), F.col("i"))
-        .when(columns.are("day"), F.col("i") * F.lit(_DAY))
-        .when(columns.are("text"), F.when(token, _time_of_key(F.col("t"))).otherwise(parse.micros(parse.to_time_any(F.col("t")))))
-    )
-    padded = columns.are("text") & F.when(token, F.col("i").isNotNull()).otherwise(parse.is_padded(F.col("t")))
-    known = F.coalesce(F.col("i").cast("string"), F.col("d").cast("string"), F.col("t")).isNotNull()
-    return counts.select("c", "i", "d", "t", "n", known.alias("known"), number.alias("x"), time.alias("at"), padded.alias("padded"))
-
-
-def _summary_parts() -> list[Column]:
-    """Aggregates over (value, n) pairs that hold for counted and for single cells."""
-
-    def rows(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    number, time = F.col("x").isNotNull(), F.col("at").isNotNull()
-    return [
-        F.sum("n").alias("total"),
-        rows(F.col("known")).alias("present"),
-        rows(number).alias("numeric_rows"),
-        rows(time).alias("date_rows"),
-        rows(time & ~number).alias("date_only_rows"),
-        rows(F.col("padded")).alias("padded_rows"),
-        F.min("x").alias("num_min"),
-        F.max("x").alias("num_max"),
-        F.try_divide(F.sum(F.col("x") * F.col("n")), rows(number).cast("double")).alias("num_mean"),
-        F.min("at").alias("first_at"),
-        F.max("at").alias("last_at"),
-    ]
-
-
-def _summary(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("c").agg(
-        *_summary_parts(), F.count_if("known").alias("unique"), F.count_distinct("at").alias("date_unique")
-    )
+#: What one aggregate over the table tells about a column: names and types.
+_SCALARS = {
+    "total": "bigint", "present": "bigint", "numeric_rows": "bigint", "date_rows": "bigint", "date_only_rows": "bigint",
+    "padded_rows": "bigint", "num_min": "double", "num_max": "double", "num_mean": "double", "num_std": "double",
+    "first_at": "bigint", "last_at": "bigint",
+}
+_SKETCHES = {
+    "unique": "bigint", "date_unique": "bigint", "num_q1": "double", "num_median": "double", "num_q3": "double", "top_values": "array<string>",
+}
 
 
-def _spread(numbers: DataFrame, summary: DataFrame) -> DataFrame:
-    """Sample standard deviation around the known mean, NULL for a single value."""
-    mean = F.broadcast(summary.select("c", "num_mean", "numeric_rows"))  # one row per column
-    deviation = F.col("value") - F.col("num_mean")
-    return (
-        numbers.join(mean, "c")
-        .groupBy("c")
-        .agg(F.sum(deviation * deviation * F.col("n")).alias("s"), F.max("numeric_rows").alias("k"))
-        .select("c", F.sqrt(F.try_divide(F.col("s"), (F.col("k") - 1).cast("double"))).alias("num_std"))
-    )
+def _read(field: T.StructField) -> dict[str, Column]:
+    """A cell as what it may be: present value, number `x`, point in time `at`, padded text."""
+    c = nulls.col(field.name)
+    kind, _ = _kind(field.dataType)
+    if kind == "text":
+        return {"v": c, "x": parse.to_number(c), "at": parse.micros(parse.to_time_any(c)), "padded": parse.is_padded(c)}
+    if kind in ("integer", "float", "decimal"):
+        number = nulls.nan_to_null(c, field.dataType).cast("double")
+        return {"v": number, "x": number}
+    if kind in ("day", "instant", "wallclock"):
+        return {"v": c, "at": _lanes(field)[0] * F.lit(_DAY if kind == "day" else 1)}
+    return {"v": c}
+
+
+def _scalars(df: DataFrame, approx: bool) -> DataFrame:
+    """One row per column: what adds up over its cells, with `approx` also sketches of its values."""
+    readings = [_read(f) for f in df.schema]
+    read = df.select(*[c.alias(f"{name}{no}") for no, r in enumerate(readings) for name, c in r.items()])
+    parts = []
+    for no, r in enumerate(readings):
+        v, x, at, padded = (F.col(f"{name}{no}") if name in r else F.lit(None).cast(t) for name, t in (
+            ("v", "int"), ("x", "double"), ("at", "bigint"), ("padded", "boolean")))
+        own = [
+            F.count(F.lit(1)), F.count(v), F.count(x), F.count(at), F.count_if(at.isNotNull() & x.isNull()), F.count_if(padded),
+            F.min(x), F.max(x), F.avg(x), F.stddev_samp(x), F.min(at), F.max(at),
+        ]
+        if approx:
+            quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
+            kind, _ = _kind(df.schema[no].dataType)
+            shown = v if kind == "text" else F.lit(None).cast("string") if kind == "nested" else _as_text(df.schema[no].dataType, v)
+            own += [
+                F.approx_count_distinct(shown), F.approx_count_distinct(at), *[F.get(quartiles, F.lit(i)) for i in range(3)],
+                F.transform(F.call_function("approx_top_k", shown, F.lit(TOP_VALUES)), lambda e: e.item),
+            ]
+        parts.append(F.struct(F.lit(no).alias("c"), *[p.alias(n) for n, p in zip([*_SCALARS, *(_SKETCHES if approx else ())], own)]))
+    row = read.agg(*[p.alias(f"s{no}") for no, p in enumerate(parts)]).first()
+    types = _SCALARS | (_SKETCHES if approx else {})
+    schema = "c int, " + ", ".join(f"{n} {t}" for n, t in types.items())
+    return df.sparkSession.createDataFrame([tuple(s) for s in row], schema, verifySchema=False)
+
+
+def _as_text(dtype: T.DataType, c: Column) -> Column:
+    return c.cast("timestamp_ntz").cast("string") if isinstance(dtype, T.TimestampNTZType) else c.cast("string")
 
 
 def _shown(columns: _Columns) -> Column:
@@ -194,68 +184,86 @@ def _first(shown: DataFrame, *order: str) -> DataFrame:
     return ranked.select("c", "rank", "n", "start", "shown")
 
 
-def _top_values(df: DataFrame, counts: DataFrame, columns: _Columns) -> DataFrame:
-    """Most frequent values of each column; equal frequencies in text order."""
-    shown = counts.withColumn("shown", _shown(columns)).filter(F.col("shown").isNotNull()).select(
-        "c", "n", "shown", F.substring("shown", 1, ids.LONG_TEXT).alias("start"))
-    top = small(_first(shown, "start", "shown"))
+def _values(df: DataFrame, columns: _Columns) -> tuple[DataFrame, DataFrame]:
+    """Distinct counts (c, unique), and the most frequent values (c, top_values) with equal frequencies in text order."""
+    numbers = [no for no, f in enumerate(df.schema) if _kind(f.dataType)[0] != "nested"]
+    if not numbers:
+        none = df.sparkSession.createDataFrame
+        return none([], "c int, unique bigint"), none([], "c int, top_values array<string>")
+    counts = value_counts(df, numbers)
+    shown = _with_start(counts, columns)
+    # Both read the same shuffle of counts, in one job.
+    unique = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    nothing = F.lit(None).cast("string")
+    both = small(unique.select("c", F.lit(0).alias("rank"), "n", nothing.alias("start"), nothing.alias("shown"))
+                 .unionByName(_first(shown, "start", "shown")))
+    top = both.filter("rank > 0")
     wanted = sorted({r["c"] for r in top.filter(columns.are("text") & ids.is_token(F.col("shown"))).select("c").collect()})
     if wanted:
         # A key tells the start of a text. Whole texts decide among all values that may still be among the first.
         last = top.filter(F.col("c").isin(wanted)).groupBy("c").agg(F.max_by(F.struct("n", "start"), "rank").alias("last"))
         more = F.col("n") > F.col("last.n")
         tied = (F.col("n") == F.col("last.n")) & (F.col("start") <= F.col("last.start"))
-        with staged(shown.join(F.broadcast(last), "c").filter(more | tied).drop("last"), "top") as undecided:
-            whole = small(_first(_with_long_texts(df, undecided, wanted), "shown"))
+        own = _with_start(value_counts(df, wanted), columns)  # one row per column beside it
+        undecided, _ = held(own.join(F.broadcast(small(last)), "c").filter(more | tied).drop("last"), "top")
+        whole = small(_first(_with_long_texts(df, undecided, wanted), "shown"))
         top = top.filter(~F.col("c").isin(wanted)).unionByName(whole)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "shown")))  # at most five per column
-    return top.groupBy("c").agg(F.transform(ranked, lambda s: s.shown).alias("top_values"))
+    lists = top.groupBy("c").agg(F.transform(ranked, lambda s: s.shown).alias("top_values"))
+    return both.filter("rank = 0").select("c", F.col("n").alias("unique")), lists
 
 
-def _with_long_texts(df: DataFrame, values: DataFrame, wanted: list[int]) -> DataFrame:
+def _with_start(counts: DataFrame, columns: _Columns) -> DataFrame:
+    shown = counts.withColumn("shown", _shown(columns))
+    return shown.select("c", "i", "n", "shown", F.substring("shown", 1, ids.LONG_TEXT).alias("start"))
+
+
+def _with_long_texts(df: DataFrame, values: DataFrame, wanted: Sequence[int]) -> DataFrame:
     """Replace the keys of long texts by the texts they stand for."""
-    keys = values.filter(ids.is_token(F.col("shown"))).select("c", "shown")
     lanes = [p for no in wanted for p in (F.lit(no), nulls.col(df.columns[no]))]
     cells = df.select(F.stack(F.lit(len(wanted)), *lanes).alias("c", "text")).filter(F.length("text") > ids.LONG_TEXT)
-    originals = (
-        cells.withColumn("shown", _long_key(F.col("text")))
-        .join(keys, ["c", "shown"], "left_semi")
-        .groupBy("c", "shown")
-        .agg(F.min("text").alias("text"))
-    )
-    return values.join(originals, ["c", "shown"], "left").withColumn("shown", F.coalesce("text", "shown")).drop("text")
+    cells = cells.select("c", F.xxhash64("text").alias("i"), _long_key(F.col("text")).alias("shown"), "text")
+    # One key is one text, so any copy of it will do.
+    originals = cells.join(values.select("c", "i", "shown"), ["c", "i", "shown"], "left_semi").dropDuplicates(["c", "i", "shown"])
+    return values.join(originals, ["c", "i", "shown"], "left").withColumn("shown", F.coalesce("text", "shown")).drop("text")
 
 
-def _with_whole_tops(df: DataFrame, joined: DataFrame, columns: _Columns) -> DataFrame:
-    """Top values with the long texts that their keys stand for."""
-    tops = joined.select("c", F.posexplode("top_values").alias("rank", "shown"))
-    wanted = sorted({r["c"] for r in tops.filter(columns.are("text") & ids.is_token(F.col("shown"))).select("c").collect()})
-    if not wanted:
-        return joined
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "shown")))
-    lists = _with_long_texts(df, tops, wanted).groupBy("c").agg(F.transform(ranked, lambda s: s.shown).alias("top_values"))
-    return small(joined.drop("top_values").join(lists, "c", "left"))
+def _moments(df: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Distinct points in time of columns whose texts, or some of them, read as dates."""
+    texts = [r["c"] for r in scalars.filter("date_rows > 0").select("c").collect() if _kind(df.schema[r["c"]].dataType)[0] == "text"]
+    if not texts:
+        return df.sparkSession.createDataFrame([], "c int, date_unique bigint")
+    lanes = [p for no in texts for p in (F.lit(no), _read(df.schema[no])["at"])]
+    at = df.select(F.stack(F.lit(len(texts)), *lanes).alias("c", "at")).filter(F.col("at").isNotNull())
+    return small(at.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("date_unique")))
+
+
+def _quartiles(df: DataFrame, scalars: DataFrame, gathered: int) -> DataFrame:
+    """Exact quartiles of numbers, and of texts that mostly read as numbers."""
+    counts = {r["c"]: r["numeric_rows"] / r["present"] for r in scalars.filter("numeric_rows > 0").collect()}
+    numbers = [no for no, share in sorted(counts.items()) if _kind(df.schema[no].dataType)[0] != "text" or share >= words.TEXT_SHARE]
+    if not numbers:
+        return df.sparkSession.createDataFrame([], "c int, num_q1 double, num_median double, num_q3 double")
+    found = quantiles(df, [], [_read(df.schema[no])["x"] for no in numbers], [0.25, 0.5, 0.75], gathered)
+    column = F.get(F.array(*[F.lit(no) for no in numbers]), F.col("metric"))
+    return small(found.select(column.alias("c"), F.col("q0").alias("num_q1"), F.col("q1").alias("num_median"), F.col("q2").alias("num_q3")))
 
 
 def profile_columns(
     df: DataFrame,
     table_name: str,
     strict_date_words: bool = False,
-    rows_per_range: int = ordering.ROWS_PER_RANGE,
+    gathered: int = GATHERED,
     approx: bool = False,
 ) -> DataFrame:
     """One row per column: counts, inferred type, summaries, top values and likely roles.
 
     Runs the jobs now; what comes back are as many rows as the table has columns. With
-    `approx` one pass without a shuffle of values estimates distinct counts, quantiles
+    `approx` one aggregate without any shuffle of values estimates distinct counts, quantiles
     and top values; everything else stays exact.
     """
     columns = _Columns(df.schema)
-    if approx:
-        joined = _with_whole_tops(df, small(_sketched(_cells(df), columns)), columns)
-    else:
-        with staged(value_counts(df), "values") as counts:
-            joined = _exact(df, counts, columns, rows_per_range)
+    joined = _scalars(df, True) if approx else _exact(df, columns, gathered)
     meta = df.sparkSession.createDataFrame(
         [(no, f.name, *_kind(f.dataType)) for no, f in enumerate(df.schema)],
         "c int, column_name string, kind string, label string",
@@ -263,47 +271,18 @@ def profile_columns(
     return small(_labelled(meta.join(F.broadcast(joined), "c", "left"), table_name, strict_date_words))
 
 
-def _exact(df: DataFrame, counts: DataFrame, columns: _Columns, rows_per_range: int) -> DataFrame:
-    """Statistics from value counts; every part has one row per column of the table."""
-    facts = _with_facts(counts, columns)
-    summary = small(_summary(facts))
-    numeric = summary.filter(
-        columns.are("integer", "float", "decimal")
-        | (columns.are("text") & (F.col("numeric_rows") >= F.col("present") * F.lit(words.TEXT_SHARE)))
-    ).select("c")
-    numbers = facts.filter(F.col("x").isNotNull()).join(F.broadcast(numeric), "c", "left_semi")
-    numbers = numbers.select("c", F.col("x").alias("value"), "n")
-    spread, quantiles, top = side_by_side(
-        lambda: small(_spread(numbers, summary)),
-        lambda: small(weighted_quantiles(numbers, ["c"], [0.25, 0.5, 0.75], rows_per_range)),
-        lambda: small(_top_values(df, counts, columns)),
-    )
-    quantiles = quantiles.select(
-        "c", F.col("q0").alias("num_q1"), F.col("q1").alias("num_median"), F.col("q2").alias("num_q3")
-    )
-    for part in (spread, quantiles, top):
-        summary = summary.join(F.broadcast(part), "c", "left")
-    return small(summary)
-
-
-def _sketched(cells: DataFrame, columns: _Columns) -> DataFrame:
-    """The same statistics from one aggregate per column, combined before the shuffle."""
-    facts = _with_facts(cells.withColumn("n", F.lit(1).cast("bigint")), columns)
-    facts = facts.withColumn("shown", _shown(columns))
-    quartiles = F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000)
-    row = facts.groupBy("c").agg(
-        *_summary_parts(),
-        F.approx_count_distinct("at").alias("date_unique"),
-        F.when(F.count("shown") > 0, F.approx_count_distinct("shown")).otherwise(0).alias("unique"),
-        F.stddev_samp("x").alias("num_std"),
-        quartiles.alias("q"),
-        F.expr(f"approx_top_k(shown, {TOP_VALUES})").alias("k"),
-    )
-    return row.select(
-        "*",
-        F.get("q", F.lit(0)).alias("num_q1"), F.get("q", F.lit(1)).alias("num_median"), F.get("q", F.lit(2)).alias("num_q3"),
-        F.transform("k", lambda e: e.item).alias("top_values"),
-    ).drop("q", "k")
+def _exact(df: DataFrame, columns: _Columns, gathered: int) -> DataFrame:
+    """All statistics, one row per column; what does not depend on each other runs at the same time."""
+
+    def sums() -> tuple[DataFrame, DataFrame, DataFrame]:
+        scalars = _scalars(df, False)
+        return scalars, *side_by_side(lambda: _quartiles(df, scalars, gathered), lambda: _moments(df, scalars))
+
+    (scalars, quartiles, moments), (unique, top) = side_by_side(sums, lambda: _values(df, columns))
+    out = scalars
+    for part in (quartiles, moments, unique, top):
+        out = out.join(F.broadcast(part), "c", "left")  # one row per column
+    return out.withColumn("date_unique", F.coalesce("date_unique", F.when(F.col("date_rows") > 0, F.col("unique"))))
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -465,12 +444,12 @@ def profile_table(
     table_name: str,
     duplicates: bool = True,
     strict_date_words: bool = False,
-    rows_per_range: int = ordering.ROWS_PER_RANGE,
+    gathered: int = GATHERED,
     approx: bool = False,
 ) -> Profile:
     """Profile and issues of one table; `duplicates=False` saves the shuffle of whole rows."""
     columns, copies = side_by_side(
-        lambda: profile_columns(df, table_name, strict_date_words, rows_per_range, approx),
+        lambda: profile_columns(df, table_name, strict_date_words, gathered, approx),
         lambda: small(duplicate_issue(df, table_name)) if duplicates else None,
     )
     issues = column_issues(columns)

@@ -13,6 +13,10 @@ from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
+
+#: Rows of an intermediate table up to which the driver keeps it.
+KEPT = 20_000
 
 _kept: dict[str, list[str]] = {}
 
@@ -35,9 +39,12 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write the table once and return a scan of what was written.
 
-    The result may be read at any later time, so its files stay until `tidy` is called.
+    The result may be read at any later time, so its files stay until `tidy` is called or the
+    driver ends.
     """
     path = _new_path(df.sparkSession, label)
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    _files(df.sparkSession, target).deleteOnExit(target)
     _kept.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return _written(df, path)
 
@@ -50,9 +57,13 @@ def tidy(spark: SparkSession) -> int:
     return len(paths)
 
 
+def _files(spark: SparkSession, target):
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    _files(spark, target).delete(target, True)
 
 
 @contextmanager
@@ -73,6 +84,16 @@ def small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema, verifySchema=False)
 
 
+def held(df: DataFrame, label: str, most: int = KEPT) -> tuple[DataFrame, bool]:
+    """A computed table to read again: kept by the driver up to `most` rows, and marked for
+    broadcast, else written to the shared folder; and which of the two.
+    """
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return stage(df, label), False
+    return broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
+
+
 def side_by_side(*jobs):
     """Run independent Spark actions at the same time; their results in order."""
     with ThreadPoolExecutor(max_workers=min(len(jobs), 4) or 1) as pool:

@@ -100,7 +100,7 @@ def test_period_change(spark):
 
 def test_exact_quantiles(skewed):
     known = skewed.filter("g is not null")
-    got = exact_quantiles(known, ["g"], ["v"], [0.0, 0.25, 0.5, 1.0], rows_per_range=150)
+    got = exact_quantiles(known, ["g"], ["v"], [0.0, 0.25, 0.5, 1.0], gathered=15)
     want = known.groupBy("g").agg(*[F.percentile("v", p).alias(f"q{i}") for i, p in enumerate((0.0, 0.25, 0.5, 1.0))])
     assert rows(got, "g", "q0", "q1", "q2", "q3") == rows(want)
 
@@ -123,3 +123,53 @@ def test_strings_decimals_and_timestamps_as_order(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "a int, b int")
     assert ordering.running_total(df, "b", "a", "c", rows_per_range=1).count() == 0
+
+
+def test_ten_thousand_ranges(spark):
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("k"), (F.col("id") % 3).alias("g"))
+    r, heavy = ordering.ranged(df, ["k"], rows_per_range=6)
+    assert not heavy and 9_000 < r.count < 11_000
+    out = ordering.row_numbers(df, ["k"], "n", rows_per_range=6)
+    assert out.filter("n <> k + 1").count() == 0 and out.count() == 60_000
+    grouped = ordering.running_total(df.withColumn("one", F.lit(1)), "one", "k", "n", "g", rows_per_range=6)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    assert grouped.join(want, ["k", "g", "n"]).count() == 60_000
+
+
+@pytest.mark.parametrize("most", [1 << 30, 1000])
+def test_wide_text_keys_stay_in_spark(spark, monkeypatch, most):
+    """10 kB of order key a row; cuts are broadcast or joined, never part of the plan."""
+    monkeypatch.setattr(ordering, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(ordering, "ROWS_PER_SALT", 20)
+    df = spark.range(3000).select("id", F.concat(F.lpad((F.col("id") * 7919 % 3000).cast("string"), 5, "0"), F.repeat(F.lit("wide key "), 1100)).alias("s"))
+    df = df.withColumn("s", F.concat(F.lit("the same start of every key "), "s"))
+    out = ordering.row_numbers(df, ["s"], "n", ["id"], rows_per_range=5)
+    assert "the same start" not in plan(out).replace("concat(the same start of every key ", "")
+    assert out.filter(F.col("n") != F.col("id") * 7919 % 3000 + 1).count() == 0 and out.count() == 3000
+
+
+@pytest.mark.parametrize("fan", [2, 5])
+def test_offsets_up_a_tree(skewed, monkeypatch, fan):
+    monkeypatch.setattr(ordering, "FAN", fan)
+    out = ordering.running_total(skewed, "v", "day", "e", "g", ["id"], 60)
+    expected = _plain(skewed, ["g"]).withColumn("e", F.when(F.col("g").isNotNull(), F.col("e")))
+    assert rows(out, "id", "e") == rows(expected, "id", "e")
+    out = ordering.running_total(skewed, "v", "day", "e", tie=["id"], rows_per_range=60)
+    assert rows(out, "id", "e") == rows(_plain(skewed, []), "id", "e")
+
+
+@pytest.mark.parametrize("fan", [3, 256])
+def test_a_gap_over_many_blocks_is_filled(spark, monkeypatch, fan):
+    monkeypatch.setattr(ordering, "FAN", fan)
+    df = spark.range(2000).select("id", F.when(F.col("id").isin(0, 5, 1203), F.col("id").cast("double")).alias("v"))
+    out = ordering.lagged(df, "v", "id", 1, "p", [], True, rows_per_range=20)
+    assert rows(out.filter("id > 0"), "id", "p") == [(i, 0.0 if i <= 5 else 5.0 if i <= 1203 else 1203.0) for i in range(1, 2000)]
+
+
+def test_no_window_or_sort_in_a_single_task(skewed):
+    for out in (
+        ordering.running_total(skewed, "v", "day", "e", tie=["id"], rows_per_range=50),
+        ordering.lagged(skewed, "v", "day", 1, "p", ["id"], True, rows_per_range=50),
+    ):
+        assert "SinglePartition" not in plan(out)

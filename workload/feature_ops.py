@@ -104,7 +104,7 @@ def _named():
         def query(spark, sf):
             place = F.struct("l_orderkey", "l_partkey", "l_linenumber")
             line = read(spark, sf, "lineitem").withColumn("place", place)
-            out = aggregates.aggregate_named(line, "l_quantity", "l_suppkey", name, "v", "place", rows_per_range=5000)
+            out = aggregates.aggregate_named(line, "l_quantity", "l_suppkey", name, "v", "place", gathered=10)
             return out.select("l_suppkey", rounded("v")) if name in ("mean", "std", "var") else out
         return query
 
@@ -189,6 +189,14 @@ def row_numbers(spark, sf):
     return out.select("event_id", "n")
 
 
+@register("row_numbers_by_text", """
+    SELECT doc_id, CAST(row_number() OVER (ORDER BY text, doc_id) AS BIGINT) AS n FROM documents""")
+def row_numbers_by_text(spark, sf):
+    """Texts of any length as order: cuts in two levels, found in Spark."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return ordering.row_numbers(docs, ["text"], "n", tie=["doc_id"], rows_per_range=3).select("doc_id", "n")
+
+
 @register("period_change", """
     SELECT o_orderkey, round((o_totalprice - p) / nullif(p, 0), 6) AS change FROM (
         SELECT *, lag(o_totalprice, 3) OVER (ORDER BY o_orderdate, o_orderkey) AS p FROM orders)""")

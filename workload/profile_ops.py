@@ -110,7 +110,7 @@ def _profiles():
             df = read(spark, sf, table)
             if table == "events":
                 df = df.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
-            return _comparable(profile_table(df.select(*columns), table, duplicates=False, rows_per_range=100_000).columns)
+            return _comparable(profile_table(df.select(*columns), table, duplicates=False).columns)
         return query
 
     for table, columns in _PROFILED.items():

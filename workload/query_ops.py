@@ -167,7 +167,7 @@ def _aggregates():
     def build(name):
         def query(spark, sf):
             spec = AggregateTable("lineitem", ["l_returnflag"], [Metric("l_quantity", name, "v")], limit=None)
-            out = aggregate_table({"lineitem": read(spark, sf, "lineitem")}, spec, rows_per_range=20)
+            out = aggregate_table({"lineitem": read(spark, sf, "lineitem")}, spec, gathered=20)
             return out.select("l_returnflag", rounded("v")) if name == "avg" else out
         return query
 
@@ -188,7 +188,7 @@ def agg_median_prices(spark, sf):
         [Metric("l_extendedprice", "median", "price"), Metric("l_discount", "median", "discount"),
          Metric("l_orderkey", "count", "n")], limit=None,
     )
-    return aggregate_table({"lineitem": read(spark, sf, "lineitem")}, spec, rows_per_range=50_000)
+    return aggregate_table({"lineitem": read(spark, sf, "lineitem")}, spec)
 
 
 @register("agg_median_global", "SELECT median(o_totalprice) AS median_price, max(o_totalprice) AS max_price FROM orders")
@@ -196,7 +196,7 @@ def agg_median_global(spark, sf):
     spec = AggregateTable(
         "orders", [], [Metric("o_totalprice", "median", "median_price"), Metric("o_totalprice", "max", "max_price")]
     )
-    return aggregate_table({"orders": read(spark, sf, "orders")}, spec, rows_per_range=5000)
+    return aggregate_table({"orders": read(spark, sf, "orders")}, spec)
 
 
 @register("agg_median_approx")
@@ -247,7 +247,7 @@ def agg_all_null_group(spark, sf):
         "lineitem", ["flag"],
         [Metric("q", "sum", "total"), Metric("q", "count", "n"), Metric("q", "avg", "mean"), Metric("q", "median", "middle")],
     )
-    return aggregate_table({"lineitem": line}, spec, rows_per_range=20)
+    return aggregate_table({"lineitem": line}, spec, gathered=20)
 
 
 @register("topn_long", """
