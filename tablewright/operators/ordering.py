@@ -129,22 +129,22 @@ def _tree(df: DataFrame, key: Column, rows: int, ranges: int) -> _Tree:
     """Cuts between `ranges` ranges of about equal size, from a sample of the keys."""
     spark = df.sparkSession
     fraction = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    sample = stage(df.select(key.alias(_KEY)).sample(fraction, seed=7), "sample")
-    parts = 0 if ranges <= FAN else math.isqrt(ranges)
-    coarse = None
+    sample = df.select(key.alias(_KEY)).sample(fraction, seed=7)
     every = max(1, round(rows * fraction / ranges))
-    if parts:
-        few = sample.sample(min(1.0, parts / ranges), seed=11)
-        picked = _every(F.collect_list(_KEY), max(1, round(every * ranges * min(1.0, parts / ranges) / parts)))
-        coarse = stage(few.agg(F.array_distinct(picked).alias(_CUTS)), "cuts")
+    coarse, n = None, 0
+    if ranges <= FAN:
+        cuts = sample.agg(_every(F.collect_list(_KEY), every).alias("__all")).select(F.lit(0).alias(_PART), "__all")
+    else:
+        parts = math.isqrt(ranges)
+        share = min(1.0, parts / ranges)
+        sample = stage(sample, "sample")
+        picked = _every(F.collect_list(_KEY), max(1, round(every * ranges * share / parts)))
+        coarse = stage(sample.sample(share, seed=11).agg(F.array_distinct(picked).alias(_CUTS)), "cuts")
         n = coarse.select(F.size(_CUTS)).first()[0]
         sample = _found(sample.withColumn(_CUTS, coarse.select(_CUTS).scalar()), nulls.col(_CUTS), _PART, n).select(_PART, _KEY)
         cuts = sample.groupBy(_PART).agg(_every(F.collect_list(_KEY), every).alias("__all"))
         # A part that the sample missed has no cuts of its own.
         cuts = spark.range(n + 1).select(F.col("id").cast("int").alias(_PART)).join(cuts, _PART, "left")
-    else:
-        n = 0
-        cuts = sample.agg(_every(F.collect_list(_KEY), every).alias("__all")).select(F.lit(0).alias(_PART), "__all")
     cuts = cuts.select(_PART, "__all", F.coalesce(F.array_distinct("__all"), F.slice("__all", 1, 0)).alias(_CUTS))
     # The number of ranges before each part; a row per coarse cut.
     earlier = Window.partitionBy(F.floor(F.col(_PART) / F.lit(1 << 30))).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)

@@ -102,6 +102,9 @@ class _Columns:
         for no, f in enumerate(schema):
             self.numbers.setdefault(_kind(f.dataType)[0], []).append(no)
 
+    def text(self, number: int) -> bool:
+        return number in self.numbers.get("text", [])
+
     def are(self, *kinds: str) -> Column:
         wanted = [no for k in kinds for no in self.numbers.get(k, [])]
         return F.col("c").isin(wanted) if wanted else F.lit(False)
@@ -132,8 +135,8 @@ def _read(field: T.StructField) -> dict[str, Column]:
     return {"v": c}
 
 
-def _scalars(df: DataFrame, approx: bool) -> DataFrame:
-    """One row per column: what adds up over its cells, with `approx` also sketches of its values."""
+def _scalars(df: DataFrame, approx: bool) -> list[dict]:
+    """For each column what adds up over its cells, with `approx` also sketches of its values."""
     readings = [_read(f) for f in df.schema]
     read = df.select(*[c.alias(f"{name}{no}") for no, r in enumerate(readings) for name, c in r.items()])
     parts = []
@@ -152,11 +155,9 @@ def _scalars(df: DataFrame, approx: bool) -> DataFrame:
                 F.approx_count_distinct(shown), F.approx_count_distinct(at), *[F.get(quartiles, F.lit(i)) for i in range(3)],
                 F.transform(F.call_function("approx_top_k", shown, F.lit(TOP_VALUES)), lambda e: e.item),
             ]
-        parts.append(F.struct(F.lit(no).alias("c"), *[p.alias(n) for n, p in zip([*_SCALARS, *(_SKETCHES if approx else ())], own)]))
+        parts.append(F.struct(*[p.alias(n) for n, p in zip([*_SCALARS, *(_SKETCHES if approx else ())], own)]))
     row = read.agg(*[p.alias(f"s{no}") for no, p in enumerate(parts)]).first()
-    types = _SCALARS | (_SKETCHES if approx else {})
-    schema = "c int, " + ", ".join(f"{n} {t}" for n, t in types.items())
-    return df.sparkSession.createDataFrame([tuple(s) for s in row], schema, verifySchema=False)
+    return [{"c": no, **s.asDict()} for no, s in enumerate(row)]
 
 
 def _as_text(dtype: T.DataType, c: Column) -> Column:
@@ -184,33 +185,34 @@ def _first(shown: DataFrame, *order: str) -> DataFrame:
     return ranked.select("c", "rank", "n", "start", "shown")
 
 
-def _values(df: DataFrame, columns: _Columns) -> tuple[DataFrame, DataFrame]:
-    """Distinct counts (c, unique), and the most frequent values (c, top_values) with equal frequencies in text order."""
+def _values(df: DataFrame, columns: _Columns) -> dict[int, dict]:
+    """For each column its number of distinct values and the most frequent ones, equal frequencies in text order."""
     numbers = [no for no, f in enumerate(df.schema) if _kind(f.dataType)[0] != "nested"]
     if not numbers:
-        none = df.sparkSession.createDataFrame
-        return none([], "c int, unique bigint"), none([], "c int, top_values array<string>")
+        return {}
     counts = value_counts(df, numbers)
     shown = _with_start(counts, columns)
-    # Both read the same shuffle of counts, in one job.
+    # Both read the same shuffle of counts, in one job. At most five values a column, and its number of them.
     unique = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     nothing = F.lit(None).cast("string")
-    both = small(unique.select("c", F.lit(0).alias("rank"), "n", nothing.alias("start"), nothing.alias("shown"))
-                 .unionByName(_first(shown, "start", "shown")))
-    top = both.filter("rank > 0")
-    wanted = sorted({r["c"] for r in top.filter(columns.are("text") & ids.is_token(F.col("shown"))).select("c").collect()})
+    rows = unique.select("c", F.lit(0).alias("rank"), "n", nothing.alias("start"), nothing.alias("shown")).unionByName(
+        _first(shown, "start", "shown")).collect()
+    tops: dict[int, list] = {}
+    for r in sorted(r for r in rows if r["rank"] > 0):
+        tops.setdefault(r["c"], []).append(r)
+    wanted = [c for c, top in tops.items() if columns.text(c) and any(len(r["shown"]) > ids.LONG_TEXT for r in top)]
     if wanted:
         # A key tells the start of a text. Whole texts decide among all values that may still be among the first.
-        last = top.filter(F.col("c").isin(wanted)).groupBy("c").agg(F.max_by(F.struct("n", "start"), "rank").alias("last"))
-        more = F.col("n") > F.col("last.n")
-        tied = (F.col("n") == F.col("last.n")) & (F.col("start") <= F.col("last.start"))
-        own = _with_start(value_counts(df, wanted), columns)  # one row per column beside it
-        undecided, _ = held(own.join(F.broadcast(small(last)), "c").filter(more | tied).drop("last"), "top")
-        whole = small(_first(_with_long_texts(df, undecided, wanted), "shown"))
-        top = top.filter(~F.col("c").isin(wanted)).unionByName(whole)
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "shown")))  # at most five per column
-    lists = top.groupBy("c").agg(F.transform(ranked, lambda s: s.shown).alias("top_values"))
-    return both.filter("rank = 0").select("c", F.col("n").alias("unique")), lists
+        last = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(tops[c][-1]["n"]).alias("n"), F.lit(tops[c][-1]["start"]).alias("start")) for c in wanted])
+        own = _with_start(value_counts(df, wanted), columns)
+        last = F.filter(last, lambda e: e.c == F.col("c"))[0]
+        open_ = (F.col("n") > last.n) | ((F.col("n") == last.n) & (F.col("start") <= last.start))
+        undecided, _ = held(own.filter(open_), "top")
+        for c in wanted:
+            tops[c] = []
+        for r in sorted(_first(_with_long_texts(df, undecided, wanted), "shown").collect()):
+            tops[r["c"]].append(r)
+    return {r["c"]: {"unique": r["n"], "top_values": [t["shown"] for t in tops.get(r["c"], [])]} for r in rows if r["rank"] == 0}
 
 
 def _with_start(counts: DataFrame, columns: _Columns) -> DataFrame:
@@ -228,25 +230,23 @@ def _with_long_texts(df: DataFrame, values: DataFrame, wanted: Sequence[int]) ->
     return values.join(originals, ["c", "i", "shown"], "left").withColumn("shown", F.coalesce("text", "shown")).drop("text")
 
 
-def _moments(df: DataFrame, scalars: DataFrame) -> DataFrame:
+def _moments(df: DataFrame, scalars: Sequence[dict]) -> dict[int, dict]:
     """Distinct points in time of columns whose texts, or some of them, read as dates."""
-    texts = [r["c"] for r in scalars.filter("date_rows > 0").select("c").collect() if _kind(df.schema[r["c"]].dataType)[0] == "text"]
+    texts = [s["c"] for s in scalars if s["date_rows"] and _kind(df.schema[s["c"]].dataType)[0] == "text"]
     if not texts:
-        return df.sparkSession.createDataFrame([], "c int, date_unique bigint")
+        return {}
     lanes = [p for no in texts for p in (F.lit(no), _read(df.schema[no])["at"])]
     at = df.select(F.stack(F.lit(len(texts)), *lanes).alias("c", "at")).filter(F.col("at").isNotNull())
-    return small(at.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("date_unique")))
+    rows = at.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("date_unique")).collect()
+    return {r["c"]: {"date_unique": r["date_unique"]} for r in rows}
 
 
-def _quartiles(df: DataFrame, scalars: DataFrame, gathered: int) -> DataFrame:
-    """Exact quartiles of numbers, and of texts that mostly read as numbers."""
-    counts = {r["c"]: r["numeric_rows"] / r["present"] for r in scalars.filter("numeric_rows > 0").collect()}
-    numbers = [no for no, share in sorted(counts.items()) if _kind(df.schema[no].dataType)[0] != "text" or share >= words.TEXT_SHARE]
+def _quartiles(df: DataFrame, numbers: Sequence[int], gathered: int) -> dict[int, dict]:
+    """Exact quartiles of some columns."""
     if not numbers:
-        return df.sparkSession.createDataFrame([], "c int, num_q1 double, num_median double, num_q3 double")
-    found = quantiles(df, [], [_read(df.schema[no])["x"] for no in numbers], [0.25, 0.5, 0.75], gathered)
-    column = F.get(F.array(*[F.lit(no) for no in numbers]), F.col("metric"))
-    return small(found.select(column.alias("c"), F.col("q0").alias("num_q1"), F.col("q1").alias("num_median"), F.col("q2").alias("num_q3")))
+        return {}
+    rows = quantiles(df, [], [_read(df.schema[no])["x"] for no in numbers], [0.25, 0.5, 0.75], gathered).collect()
+    return {numbers[r["metric"]]: {"num_q1": r["q0"], "num_median": r["q1"], "num_q3": r["q2"]} for r in rows}
 
 
 def profile_columns(
@@ -262,27 +262,37 @@ def profile_columns(
     `approx` one aggregate without any shuffle of values estimates distinct counts, quantiles
     and top values; everything else stays exact.
     """
-    columns = _Columns(df.schema)
-    joined = _scalars(df, True) if approx else _exact(df, columns, gathered)
-    meta = df.sparkSession.createDataFrame(
-        [(no, f.name, *_kind(f.dataType)) for no, f in enumerate(df.schema)],
-        "c int, column_name string, kind string, label string",
-    )
-    return small(_labelled(meta.join(F.broadcast(joined), "c", "left"), table_name, strict_date_words))
-
-
-def _exact(df: DataFrame, columns: _Columns, gathered: int) -> DataFrame:
-    """All statistics, one row per column; what does not depend on each other runs at the same time."""
-
-    def sums() -> tuple[DataFrame, DataFrame, DataFrame]:
+    if not df.columns:
+        facts = []
+    else:
+        facts = _scalars(df, True) if approx else _exact(df, gathered)
+    types = {"c": "int", "column_name": "string", "kind": "string", "label": "string", **_SCALARS, **_SKETCHES}
+    rows = [
+        tuple((f | dict(zip(("column_name", "kind", "label"), (df.columns[f["c"]], *_kind(df.schema[f["c"]].dataType))))).get(n) for n in types)
+        for f in facts
+    ]
+    known = df.sparkSession.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in types.items()), verifySchema=False)
+    return small(_labelled(known, table_name, strict_date_words))
+
+
+def _exact(df: DataFrame, gathered: int) -> list[dict]:
+    """All statistics of each column; what does not depend on each other runs at the same time."""
+    kinds = [_kind(f.dataType)[0] for f in df.schema]
+    typed = [no for no, k in enumerate(kinds) if k in ("integer", "float", "decimal")]
+
+    def sums() -> tuple[list[dict], dict, dict]:
         scalars = _scalars(df, False)
-        return scalars, *side_by_side(lambda: _quartiles(df, scalars, gathered), lambda: _moments(df, scalars))
-
-    (scalars, quartiles, moments), (unique, top) = side_by_side(sums, lambda: _values(df, columns))
-    out = scalars
-    for part in (quartiles, moments, unique, top):
-        out = out.join(F.broadcast(part), "c", "left")  # one row per column
-    return out.withColumn("date_unique", F.coalesce("date_unique", F.when(F.col("date_rows") > 0, F.col("unique"))))
+        texts = [s["c"] for s in scalars if kinds[s["c"]] == "text" and s["present"] and s["numeric_rows"] / s["present"] >= words.TEXT_SHARE]
+        return scalars, *side_by_side(lambda: _quartiles(df, texts, gathered), lambda: _moments(df, scalars))
+
+    (facts, *more), quartiles, values = side_by_side(
+        sums, lambda: _quartiles(df, typed, gathered), lambda: _values(df, _Columns(df.schema)))
+    for f in facts:
+        for part in (*more, quartiles, values):
+            f.update(part.get(f["c"], {}))
+        if f["date_rows"]:
+            f.setdefault("date_unique", f.get("unique"))
+    return facts
 
 
 def _percent(part: Column, whole: Column) -> Column:

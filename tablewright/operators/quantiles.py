@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ GATHERED = 4096
 #: Slots into which an opened slot is divided.
 SLOTS = 65_536
 
-_STEPS_PER_DOUBLING, _MIDDLE, _BEYOND = 16, 20_000, 2_000
+_STEPS_PER_DOUBLING, _MIDDLE, _BEYOND = 32, 50_000, 2_000
 
 
 def _slot_of(value: Column) -> Column:
@@ -80,8 +81,11 @@ def quantiles(
                         for side, rank in (("low", F.floor(place)), ("high", F.ceil(place)))]
     inside = lambda rank: (F.col("__start") <= rank) & (rank < F.col("__start") + F.col("__n"))
     while True:
-        opened, _ = held(slots, "slots")
-        sizes = [n for n in opened.filter("__low < __high").agg(F.min("__n"), F.max("__n")).first() if n is not None]
+        opened, rows = held(slots, "slots")
+        if rows is None:
+            sizes = [n for n in opened.filter("__low < __high").agg(F.min("__n"), F.max("__n")).first() if n is not None]
+        else:
+            sizes = pc.filter(rows["__n"], pc.less(rows["__low"], rows["__high"])).to_pylist()
         parts.append(opened.filter("__low = __high").select(*columns, "__total", *picked(lambda r: F.when(inside(r), F.col("__low")))))
         if any(n <= gathered for n in sizes):
             few = opened.filter(f"__low < __high AND __n <= {int(gathered)}")
@@ -92,8 +96,8 @@ def quantiles(
             break
         many = opened.filter(f"__low < __high AND __n > {int(gathered)}").drop("__n")
         between = (F.col("__value") - F.col("__low")) / (F.col("__high") - F.col("__low"))
-        rows = _opened(long, many, group).withColumn("__slot", F.floor(between * F.lit(SLOTS - 1)).cast("int"))
-        counts = rows.groupBy(*columns, "__start", "__total", "__slot").agg(*count)
+        inner = _opened(long, many, group).withColumn("__slot", F.floor(between * F.lit(SLOTS - 1)).cast("int"))
+        counts = inner.groupBy(*columns, "__start", "__total", "__slot").agg(*count)
         slots = _wanted(counts, group, ["__start"], probabilities)
     union = parts[0]
     for part in parts[1:]:

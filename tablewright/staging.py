@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
@@ -84,14 +85,14 @@ def small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema, verifySchema=False)
 
 
-def held(df: DataFrame, label: str, most: int = KEPT) -> tuple[DataFrame, bool]:
+def held(df: DataFrame, label: str, most: int = KEPT) -> tuple[DataFrame, pa.Table | None]:
     """A computed table to read again: kept by the driver up to `most` rows, and marked for
-    broadcast, else written to the shared folder; and which of the two.
+    broadcast, else written to the shared folder. The rows themselves come with the former.
     """
     rows = df.limit(most + 1).toArrow()
     if rows.num_rows > most:
-        return stage(df, label), False
-    return broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
+        return stage(df, label), None
+    return broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
 
 
 def side_by_side(*jobs):
