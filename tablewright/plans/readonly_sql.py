@@ -26,27 +26,35 @@ def _items(seq) -> Iterator:
         yield seq.apply(i)
 
 
-def _walk(plan) -> Iterator:
-    """Every logical node, also below common table expressions and sub-queries."""
-    todo = [plan]
+def _walk(plan, known: frozenset[str]) -> Iterator[tuple]:
+    """Every logical node, also of sub-queries and common table expressions, with the table names it may use.
+
+    A name that a WITH defines is known to the definitions after it and to the query of that WITH only.
+    """
+    todo = [(plan, known)]
     while todo:
-        node = todo.pop()
-        yield node
-        todo.extend(_items(node.children()))
-        for inner in _items(node.innerChildren()):
-            if hasattr(inner, "children"):
-                todo.append(inner)
+        node, names = todo.pop()
+        yield node, names
         for expression in _items(node.expressions()):
-            yield from _expressions(expression, todo)
-
-
-def _expressions(expression, todo: list) -> Iterator:
+            for e in _expressions(expression):
+                yield e, names
+                if _name(e) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+                    todo.append((e.plan(), names))
+        if _name(node) == "UnresolvedWith":
+            for pair in _items(node.cteRelations()):
+                own = pair._1().lower()
+                todo.append((pair._2(), names | {own} if node.allowRecursion() else names))
+                names = names | {own}
+        else:
+            todo.extend((inner, names) for inner in _items(node.innerChildren()) if hasattr(inner, "children"))
+        todo.extend((child, names) for child in _items(node.children()))
+
+
+def _expressions(expression) -> Iterator:
     stack = [expression]
     while stack:
         e = stack.pop()
         yield e
-        if _name(e) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-            todo.append(e.plan())
         stack.extend(_items(e.children()))
 
 
@@ -62,14 +70,12 @@ def check_read_only(spark: SparkSession, sql: str, tables: Mapping[str, DataFram
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as error:  # the JVM parser reports through several exception types
         raise ToolError(f"Query does not parse: {_first_line(error)}") from error
-    known = {t.lower() for t in tables}
-    relations = []
-    for node in _walk(plan):
+    for node, known in _walk(plan, frozenset(t.lower() for t in tables)):
         name = _name(node)
-        if name == "UnresolvedWith":
-            known |= {pair._1().lower() for pair in _items(node.cteRelations())}
-        elif name == "UnresolvedRelation":
-            relations.append([part for part in _items(node.multipartIdentifier())])
+        if name == "UnresolvedRelation":
+            parts = list(_items(node.multipartIdentifier()))
+            if len(parts) != 1 or parts[0].lower() not in known:
+                raise ToolError(f"Table '{'.'.join(parts)}' not found. Available: {sorted(tables)}")
         elif name in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
             parts = node.nameParts() if name == "UnresolvedFunction" else node.name()
             last = list(_items(parts))[-1].lower()
@@ -77,9 +83,6 @@ def check_read_only(spark: SparkSession, sql: str, tables: Mapping[str, DataFram
                 raise ToolError(f"Function not allowed: {last}")
         elif any(word in name for word in _QUERY_ROOTS_REFUSED) or name == "ScriptTransformation":
             raise ToolError(f"Only queries are allowed, found {name}")
-    for parts in relations:
-        if len(parts) != 1 or parts[0].lower() not in known:
-            raise ToolError(f"Table '{'.'.join(parts)}' not found. Available: {sorted(tables)}")
 
 
 def run_sql(tables: Mapping[str, DataFrame], sql: str) -> DataFrame:
@@ -88,27 +91,17 @@ def run_sql(tables: Mapping[str, DataFrame], sql: str) -> DataFrame:
         raise ToolError("No tables to query")
     spark = next(iter(tables.values())).sparkSession
     check_read_only(spark, sql, tables)
-    saved = {}
+    # The views live in a copy of the session that nothing else sees. Analysis binds the plan to
+    # the tables, so the result belongs to the caller's session like any other.
+    of_rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    own = spark._jsparkSession.cloneSession()
     try:
-        # Analysis binds the plan to the tables, so the views are only needed for it.
         for name, df in tables.items():
-            if spark.catalog.tableExists(name) and _is_temporary(spark, name):
-                saved[name] = spark.table(name)
-            df.createOrReplaceTempView(name)
-        result = spark.sql(sql)
-        result.schema  # noqa: B018  analysis errors surface here
-        return result
+            of_rows(own, df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
+        analysed = own.sql(sql).queryExecution().analyzed()
+        return DataFrame(of_rows(spark._jsparkSession, analysed), spark)
     except PySparkException as error:
         raise ToolError(f"Query failed: {_first_line(error)}") from error
-    finally:
-        for name in tables:
-            spark.catalog.dropTempView(name)
-        for name, df in saved.items():
-            df.createOrReplaceTempView(name)
-
-
-def _is_temporary(spark: SparkSession, name: str) -> bool:
-    return spark.catalog.getTable(name).isTemporary
 
 
 def _first_line(error: Exception) -> str:

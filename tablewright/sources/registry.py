@@ -20,14 +20,35 @@ def append(spark: SparkSession, path: str, schema: str, rows: Sequence[tuple]) -
 
 def append_frame(df: DataFrame, path: str) -> None:
     """Rows in a folder of their own, moved into place when whole: writers do not share files."""
-    spark, name = df.sparkSession, uuid.uuid4().hex
-    draft = f"{path}/_draft-{name}"
-    df.coalesce(1).write.parquet(draft)  # a few rows of metadata
-    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (draft, f"{path}/rows-{name}"))
-    if not _files(spark, source).rename(source, target):
+    if not put(df, path, f"rows-{uuid.uuid4().hex}"):
         raise ToolError(f"Cannot write to {path}")
 
 
+def put(df: DataFrame, path: str, name: str) -> bool:
+    """Rows under a name that nothing has yet; False where another writer was first.
+
+    The rows are written aside and their folder is moved to the name. A folder can't take the
+    place of one that holds files, so of many writers one alone finds its file there afterwards.
+    That needs a store that moves a folder in one step, as HDFS and local disks do.
+    """
+    spark, target = df.sparkSession, f"{path}/{name}"
+    if path_exists(spark, target):
+        return False
+    draft = f"_draft-{uuid.uuid4().hex}"
+    df.coalesce(1).write.parquet(f"{path}/{draft}")  # a few rows of metadata
+    own = next(n for n, _ in child_names(spark, f"{path}/{draft}") if n.startswith("part-"))
+    source, goal = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}/{draft}", target))
+    files = _files(spark, source)
+    if not path_exists(spark, target):
+        files.rename(source, goal)
+    if path_exists(spark, f"{target}/{own}"):
+        return True
+    # Readers pass over the name of a draft, wherever the move has left it.
+    for left in (f"{path}/{draft}", f"{target}/{draft}"):
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(left), True)
+    return False
+
+
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All rows written so far; no rows when nothing was. Other faults are errors."""
     if not path_exists(spark, path):
@@ -36,17 +57,6 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
 
 
-def claim(spark: SparkSession, path: str) -> bool:
-    """Put a file of one's own into a folder; True if it is alone there.
-
-    Each writer looks after it has put its file, so of two at most one finds itself alone,
-    whether or not the store can create a file exclusively. Both may find company.
-    """
-    own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{uuid.uuid4().hex}")
-    _files(spark, own).create(own, False).close()
-    return len(child_names(spark, path)) == 1
-
-
 def _files(spark: SparkSession, jvm_path):
     return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 

@@ -1,15 +1,16 @@
 """Immutable versions of a dataset: a folder of Parquet tables and one row of metadata.
 
-    <root>/v1_original/<table>/   data, never overwritten
-    <root>/_versions/             one row per finished version
-    <root>/_claims/               one folder per number a writer has taken or tried to take
+    <root>/v1_original_<token>/<table>/   data, written once, under a name no other attempt has
+    <root>/_versions/rows-<number>/       the log: one row per finished version
+
+Data is written first, then its row is put under the next free number; a writer that finds the
+number taken tries the one after. So numbers have no gaps, and a failed attempt takes none.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import random
-import time
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -79,24 +80,13 @@ class Dataset:
         return {t: self.spark.read.parquet(f"{v.path}/{t}") for t in v.tables}
 
     def next_number(self) -> int:
-        """The number after the last version or claim."""
-        top = self.versions().agg(F.max("version_number")).first()[0] or 0
-        claims = f"{self.root}/_claims"
-        claimed = registry.child_names(self.spark, claims) if registry.path_exists(self.spark, claims) else []
-        return max([top, *(int(name) for name, _ in claimed if name.isdigit())]) + 1
-
-    def _claimed(self, number: int | None, replace_unfinished: bool) -> int:
-        """A number that this writer alone has: it is claimed before any data is written."""
-        if number is not None:
-            mine = registry.claim(self.spark, f"{self.root}/_claims/{number}")
-            if not self.versions().filter(F.col("version_number") == number).isEmpty():
-                raise ToolError(f"Version {number} exists already")
-            if not mine and not replace_unfinished:
-                raise ToolError(f"Version {number} is being written already")
-            return number
-        while not registry.claim(self.spark, f"{self.root}/_claims/{(number := self.next_number())}"):
-            time.sleep(random.uniform(0.0, 1.0))  # so that two writers do not meet again
-        return number
+        """The number after the last version."""
+        log = f"{self.root}/_versions"
+        names = registry.child_names(self.spark, log) if registry.path_exists(self.spark, log) else []
+        numbers = [n.removeprefix("rows-") for n, _ in names if n.startswith("rows-")]
+        if all(n.isdigit() for n in numbers):
+            return max(map(int, numbers), default=0) + 1
+        return (self.versions().agg(F.max("version_number")).first()[0] or 0) + 1
 
     def write(
         self,
@@ -109,30 +99,38 @@ class Dataset:
     ) -> Version:
         """Write all tables as a new version.
 
-        A folder that is there already is an error, unless `replace_unfinished` allows to
-        overwrite what a failed attempt of the same version left behind. Row counts are
-        read from the footers of the written files, so repeated tasks cannot distort them.
-        NaN is written as NULL.
+        A folder `v<number>_<kind>` that another tool left there is an error, unless
+        `replace_unfinished` says that it may be passed over. Row counts are read from the
+        footers of the written files, so repeated tasks cannot distort them. NaN is written as NULL.
         """
         if not tables:
             raise ToolError("A version needs at least one table")
-        number = self._claimed(number, replace_unfinished)
-        path = f"{self.root}/v{number}_{VersionType(kind)}"
+        kind = str(VersionType(kind))
+        expected = number or self.next_number()
+        if number is not None and not self.versions().filter(F.col("version_number") == number).isEmpty():
+            raise ToolError(f"Version {number} exists already")
+        path = f"{self.root}/v{expected}_{kind}"
         if registry.path_exists(self.spark, path) and not replace_unfinished:
             raise ToolError(f"Folder exists already: {path}")
-        mode = "overwrite" if replace_unfinished else "errorifexists"
+        path = f"{path}_{uuid.uuid4().hex[:12]}"
         side_by_side(*[
-            lambda name=name, df=df: nulls.without_nan(df).write.mode(mode).parquet(f"{path}/{name}")
+            lambda name=name, df=df: nulls.without_nan(df).write.mode("errorifexists").parquet(f"{path}/{name}")
             for name, df in tables.items()
         ])
         written = {n: self.spark.read.parquet(f"{path}/{n}") for n in tables}
         info = [(r["table_name"], r["row_count"], r["column_count"]) for r in table_info(written).collect()]
-        registry.append(
-            self.spark, f"{self.root}/_versions", _SCHEMA,
-            [(number, parent, str(VersionType(kind)), path, info, sum(i[1] for i in info),
-              max(i[2] for i in info), source, dt.datetime.now(dt.timezone.utc))],
-        )
-        return Version(number, str(VersionType(kind)), path, tuple(tables), parent)
+        taken = self._put(number, parent, kind, path, info, source)
+        return Version(taken, kind, path, tuple(tables), parent)
+
+    def _put(self, number: int | None, parent: int | None, kind: str, path: str, info: list[tuple], source: str | None) -> int:
+        """Log a version under the given number, else under the next one that is free."""
+        while True:
+            wanted = number or self.next_number()
+            row = (wanted, parent, kind, path, info, sum(i[1] for i in info), max(i[2] for i in info), source, dt.datetime.now(dt.timezone.utc))
+            if registry.put(self.spark.createDataFrame([row], _SCHEMA), f"{self.root}/_versions", f"rows-{wanted:08d}"):
+                return wanted
+            if number is not None:
+                raise ToolError(f"Version {number} exists already")
 
     def copy(self, number: int, kind: VersionType | str = VersionType.enriched) -> Version:
         """A new version with the tables of an older one."""

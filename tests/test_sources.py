@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +206,26 @@ def test_two_writers_take_different_numbers(spark, tmp_path):
     assert sorted(v.number for v in made) == [2, 3] and data.versions().count() == 3
 
 
+def test_eight_writers_take_consecutive_numbers(spark, tmp_path):
+    data = Dataset(spark, f"{tmp_path}/data")
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: data.write({"t": spark.range(i + 1)}, "cleaned" if i % 2 else "original"), range(8)))
+    assert sorted(v.number for v in made) == list(range(1, 9))
+    assert rows(data.versions(), "version_number") == [(i,) for i in range(1, 9)]
+    assert all(data.tables(v.number)["t"].count() == i + 1 for i, v in enumerate(made))
+
+
+def test_a_failed_attempt_takes_no_number(spark, tmp_path):
+    data = Dataset(spark, f"{tmp_path}/data")
+    data.write({"t": spark.range(1)})
+    with pytest.raises(Exception, match="refuse"):
+        data.write({"t": spark.range(3).select(F.raise_error(F.lit("refuse")).cast("int").alias("x"))})
+    assert data.write({"t": spark.range(2)}).number == 2
+    with pytest.raises(ToolError, match="exists"):
+        data._put(2, None, "original", "nowhere", [("t", 1, 1)], None)
+    assert data.versions().count() == 2
+
+
 def test_metadata_of_another_kind_is_an_error(spark, tmp_path):
     spark.range(2).select(F.col("id").cast("string").alias("version_number")).write.parquet(f"{tmp_path}/data/_versions/rows-1")
     with pytest.raises(Exception, match="version_number|PARQUET"):
