@@ -74,13 +74,19 @@ def grouped_points(df: DataFrame, c: Chart) -> DataFrame:
 
 
 def scatter(df: DataFrame, c: Chart) -> DataFrame:
-    """Points with both values: sorted by x if asked, a random choice with a seed, else the first."""
+    """Points with both values: sorted by x if asked, a choice drawn with a seed, else the first.
+
+    The choice are the points with the least keyed hashes, so it depends on the seed and the points alone,
+    not on how often or in how many parts the table is read. Equal points have equal hashes and stand together.
+    """
     if not c.y_column:
         raise ToolError("A scatter chart needs y_column")
     points = nulls.without_nan(df.select(nulls.col(c.x_column), nulls.col(c.y_column))).dropna()
     limit = c.limit
     if c.sample_seed is not None:
-        return sorted_and_limited(points.withColumn("__at", F.rand(c.sample_seed)), [("__at", False)], limit).drop("__at")
+        parts = [F.lit(str(c.sample_seed)), *[nulls.col(n).cast("string") for n in (c.x_column, c.y_column)]]
+        drawn = points.withColumn("__at", F.md5(F.concat_ws("|", *parts).cast("binary")))
+        return sorted_and_limited(drawn, [("__at", False)], limit).drop("__at")
     sort = [(c.x_column, c.sort == "desc"), (c.y_column, False)] if c.sort else []
     return sorted_and_limited(points, sort, limit)
 

@@ -10,7 +10,7 @@ Nothing is gathered per column into one task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,7 +49,7 @@ _KINDS: list[tuple[tuple[type, ...], str, str]] = [
 ]
 
 
-def _kind(dtype: T.DataType) -> tuple[str, str]:
+def kind_of(dtype: T.DataType) -> tuple[str, str]:
     for types, kind, label in _KINDS:
         if isinstance(dtype, types):
             return kind, label
@@ -60,7 +60,7 @@ def _lanes(field: T.StructField) -> tuple[Column, Column, Column]:
     """(bigint, double, text) of one cell; a value fills the lanes its type needs, a missing one none."""
     c = nulls.col(field.name)
     no_i, no_d, no_t = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
-    kind, _ = _kind(field.dataType)
+    kind, _ = kind_of(field.dataType)
     if kind in ("boolean", "integer"):
         return c.cast("bigint"), no_d, no_t
     if kind == "float":
@@ -100,7 +100,7 @@ class _Columns:
     def __init__(self, schema: T.StructType):
         self.numbers: dict[str, list[int]] = {}
         for no, f in enumerate(schema):
-            self.numbers.setdefault(_kind(f.dataType)[0], []).append(no)
+            self.numbers.setdefault(kind_of(f.dataType)[0], []).append(no)
 
     def text(self, number: int) -> bool:
         return number in self.numbers.get("text", [])
@@ -111,7 +111,7 @@ class _Columns:
 
 
 #: What one aggregate over the table tells about a column: names and types.
-_SCALARS = {
+SCALARS = {
     "total": "bigint", "present": "bigint", "numeric_rows": "bigint", "date_rows": "bigint", "date_only_rows": "bigint",
     "padded_rows": "bigint", "num_min": "double", "num_max": "double", "num_mean": "double", "num_std": "double",
     "first_at": "bigint", "last_at": "bigint",
@@ -124,7 +124,7 @@ _SKETCHES = {
 def _read(field: T.StructField) -> dict[str, Column]:
     """A cell as what it may be: present value, number `x`, point in time `at`, padded text."""
     c = nulls.col(field.name)
-    kind, _ = _kind(field.dataType)
+    kind, _ = kind_of(field.dataType)
     if kind == "text":
         return {"v": c, "x": parse.to_number(c), "at": parse.micros(parse.to_time_any(c)), "padded": parse.is_padded(c)}
     if kind in ("integer", "float", "decimal"):
@@ -135,31 +135,38 @@ def _read(field: T.StructField) -> dict[str, Column]:
     return {"v": c}
 
 
-def _scalars(df: DataFrame, approx: bool) -> list[dict]:
-    """For each column what adds up over its cells, with `approx` also sketches of its values."""
+def scalars(df: DataFrame, more: Callable[..., dict[str, Column]] | None = None) -> list[dict]:
+    """For each column what adds up over its cells, from one aggregate.
+
+    `more` adds aggregates of a column's kind, value, number, point in time and text.
+    """
     readings = [_read(f) for f in df.schema]
     read = df.select(*[c.alias(f"{name}{no}") for no, r in enumerate(readings) for name, c in r.items()])
     parts = []
     for no, r in enumerate(readings):
         v, x, at, padded = (F.col(f"{name}{no}") if name in r else F.lit(None).cast(t) for name, t in (
             ("v", "int"), ("x", "double"), ("at", "bigint"), ("padded", "boolean")))
-        own = [
+        own = dict(zip(SCALARS, (
             F.count(F.lit(1)), F.count(v), F.count(x), F.count(at), F.count_if(at.isNotNull() & x.isNull()), F.count_if(padded),
             F.min(x), F.max(x), F.avg(x), F.stddev_samp(x), F.min(at), F.max(at),
-        ]
-        if approx:
-            quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
-            kind, _ = _kind(df.schema[no].dataType)
+        )))
+        if more is not None:
+            kind, _ = kind_of(df.schema[no].dataType)
             shown = v if kind == "text" else F.lit(None).cast("string") if kind == "nested" else _as_text(df.schema[no].dataType, v)
-            own += [
-                F.approx_count_distinct(shown), F.approx_count_distinct(at), *[F.get(quartiles, F.lit(i)) for i in range(3)],
-                F.transform(F.call_function("approx_top_k", shown, F.lit(TOP_VALUES)), lambda e: e.item),
-            ]
-        parts.append(F.struct(*[p.alias(n) for n, p in zip([*_SCALARS, *(_SKETCHES if approx else ())], own)]))
+            own |= more(kind, v, x, at, shown)
+        parts.append(F.struct(*[p.alias(n) for n, p in own.items()]))
     row = read.agg(*[p.alias(f"s{no}") for no, p in enumerate(parts)]).first()
     return [{"c": no, **s.asDict()} for no, s in enumerate(row)]
 
 
+def _estimates(kind: str, v: Column, x: Column, at: Column, shown: Column) -> dict[str, Column]:
+    """Distinct counts, quartiles and top values without a shuffle of values."""
+    quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
+    top = F.transform(F.call_function("approx_top_k", shown, F.lit(TOP_VALUES)), lambda e: e.item)
+    return dict(zip(_SKETCHES, (
+        F.approx_count_distinct(shown), F.approx_count_distinct(at), *[F.get(quartiles, F.lit(i)) for i in range(3)], top)))
+
+
 def _as_text(dtype: T.DataType, c: Column) -> Column:
     return c.cast("timestamp_ntz").cast("string") if isinstance(dtype, T.TimestampNTZType) else c.cast("string")
 
@@ -187,7 +194,7 @@ def _first(shown: DataFrame, *order: str) -> DataFrame:
 
 def _values(df: DataFrame, columns: _Columns) -> dict[int, dict]:
     """For each column its number of distinct values and the most frequent ones, equal frequencies in text order."""
-    numbers = [no for no, f in enumerate(df.schema) if _kind(f.dataType)[0] != "nested"]
+    numbers = [no for no, f in enumerate(df.schema) if kind_of(f.dataType)[0] != "nested"]
     if not numbers:
         return {}
     counts = value_counts(df, numbers)
@@ -230,9 +237,9 @@ def _with_long_texts(df: DataFrame, values: DataFrame, wanted: Sequence[int]) ->
     return values.join(originals, ["c", "i", "shown"], "left").withColumn("shown", F.coalesce("text", "shown")).drop("text")
 
 
-def _moments(df: DataFrame, scalars: Sequence[dict]) -> dict[int, dict]:
+def _moments(df: DataFrame, facts: Sequence[dict]) -> dict[int, dict]:
     """Distinct points in time of columns whose texts, or some of them, read as dates."""
-    texts = [s["c"] for s in scalars if s["date_rows"] and _kind(df.schema[s["c"]].dataType)[0] == "text"]
+    texts = [s["c"] for s in facts if s["date_rows"] and kind_of(df.schema[s["c"]].dataType)[0] == "text"]
     if not texts:
         return {}
     lanes = [p for no in texts for p in (F.lit(no), _read(df.schema[no])["at"])]
@@ -265,25 +272,25 @@ def profile_columns(
     if not df.columns:
         facts = []
     else:
-        facts = _scalars(df, True) if approx else _exact(df, gathered)
-    types = {"c": "int", "column_name": "string", "kind": "string", "label": "string", **_SCALARS, **_SKETCHES}
+        facts = scalars(df, _estimates) if approx else _exact(df, gathered)
+    types = {"c": "int", "column_name": "string", "kind": "string", "label": "string", **SCALARS, **_SKETCHES}
     rows = [
-        tuple((f | dict(zip(("column_name", "kind", "label"), (df.columns[f["c"]], *_kind(df.schema[f["c"]].dataType))))).get(n) for n in types)
+        tuple((f | dict(zip(("column_name", "kind", "label"), (df.columns[f["c"]], *kind_of(df.schema[f["c"]].dataType))))).get(n) for n in types)
         for f in facts
     ]
     known = df.sparkSession.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in types.items()), verifySchema=False)
-    return small(_labelled(known, table_name, strict_date_words))
+    return small(labelled(known, table_name, strict_date_words))
 
 
 def _exact(df: DataFrame, gathered: int) -> list[dict]:
     """All statistics of each column; what does not depend on each other runs at the same time."""
-    kinds = [_kind(f.dataType)[0] for f in df.schema]
+    kinds = [kind_of(f.dataType)[0] for f in df.schema]
     typed = [no for no, k in enumerate(kinds) if k in ("integer", "float", "decimal")]
 
     def sums() -> tuple[list[dict], dict, dict]:
-        scalars = _scalars(df, False)
-        texts = [s["c"] for s in scalars if kinds[s["c"]] == "text" and s["present"] and s["numeric_rows"] / s["present"] >= words.TEXT_SHARE]
-        return scalars, *side_by_side(lambda: _quartiles(df, texts, gathered), lambda: _moments(df, scalars))
+        found = scalars(df)
+        texts = [s["c"] for s in found if kinds[s["c"]] == "text" and s["present"] and s["numeric_rows"] / s["present"] >= words.TEXT_SHARE]
+        return found, *side_by_side(lambda: _quartiles(df, texts, gathered), lambda: _moments(df, found))
 
     (facts, *more), quartiles, values = side_by_side(
         sums, lambda: _quartiles(df, typed, gathered), lambda: _values(df, _Columns(df.schema)))
@@ -299,7 +306,7 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.round(part / F.greatest(whole, F.lit(1)).cast("double") * 100, 2)
 
 
-def _labelled(joined: DataFrame, table_name: str, strict: bool) -> DataFrame:
+def labelled(joined: DataFrame, table_name: str, strict: bool) -> DataFrame:
     def known(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
 

@@ -82,13 +82,47 @@ def _raw(spark, path: str, fmt: str, schema=None, multi_line: bool = False) -> D
     return reader.json(path) if fmt == "json" else reader.parquet(path)
 
 
-def normalise_table(df: DataFrame) -> DataFrame:
+def normalise_table(df: DataFrame, kept: Mapping[str, str] | None = None) -> DataFrame:
     """NaN and blank text become NULL; text columns that mostly read as dates become timestamps.
 
     One pass counts, for every text column, how many values each date format reads. The
-    best format is used for the column when it reads at least half of the values.
+    best format is used for the column when it reads at least half of the values. `kept`
+    says how columns are to be read instead, as `date_readings` found it for an earlier part.
     """
-    return _recognised(df, dates=True)
+    return _recognised(df, dates=True) if kept is None else _read_as(df, kept)
+
+
+def date_readings(df: DataFrame) -> dict[str, str]:
+    """How each text column is read: a date format, or `filled` for text that stays text."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    hits = _hits(df, {n: _readings(_filled(n), False, True) for n in texts}) if texts else {}
+    return {n: _best_reading(h) for n, h in hits.items()}
+
+
+def _read_as(df: DataFrame, kept: Mapping[str, str]) -> DataFrame:
+    df = nulls.without_nan(df)
+    texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return df.select(*[
+        (_readings(_filled(n), False, True)[kept.get(n, "filled")] if n in texts else nulls.col(n)).alias(n) for n in df.columns])
+
+
+def _filled(name: str) -> Column:
+    return F.when(parse.trimmed(nulls.col(name)) != "", nulls.col(name))
+
+
+def _readings(c: Column, numbers: bool, dates: bool) -> dict[str, Column]:
+    found = {"filled": c}
+    if numbers:
+        found |= {"bigint": c.try_cast("bigint"), "double": parse.to_number(c), "boolean": _boolean(c)}
+    if dates:
+        found |= {f: parse.to_time(c, f) for f in parse.DATE_FORMATS}
+    return found
+
+
+def _hits(df: DataFrame, read: Mapping[str, Mapping[str, Column]]) -> dict[str, dict[str, int]]:
+    """How many values of each column each reading accepts, from one aggregate."""
+    counts = df.agg(*[F.count(c).alias(f"{i}.{kind}") for i, n in enumerate(read) for kind, c in read[n].items()]).first()
+    return {n: {kind: counts[f"{i}.{kind}"] for kind in read[n]} for i, n in enumerate(read)}
 
 
 def _recognised(df: DataFrame, numbers: bool = False, dates: bool = False) -> DataFrame:
@@ -102,24 +136,8 @@ def _recognised(df: DataFrame, numbers: bool = False, dates: bool = False) -> Da
         return df
     if numbers:
         df = df.withColumns({n: F.when(~nulls.col(n).isin(*MISSING_WORDS), nulls.col(n)) for n in texts})
-    filled = {n: F.when(parse.trimmed(nulls.col(n)) != "", nulls.col(n)) for n in texts}
-
-    def readings(c: Column) -> dict[str, Column]:
-        found = {"filled": c}
-        if numbers:
-            found |= {"bigint": c.try_cast("bigint"), "double": parse.to_number(c), "boolean": _boolean(c)}
-        if dates:
-            found |= {f: parse.to_time(c, f) for f in parse.DATE_FORMATS}
-        return found
-
-    read = {n: readings(c) for n, c in filled.items()}
-    counts = df.agg(
-        *[F.count(c).alias(f"{i}.{kind}") for i, n in enumerate(texts) for kind, c in read[n].items()]
-    ).first()
-    out = {}
-    for i, n in enumerate(texts):
-        hits = {kind: counts[f"{i}.{kind}"] for kind in read[n]}
-        out[n] = read[n][_best_reading(hits)]
+    read = {n: _readings(_filled(n), numbers, dates) for n in texts}
+    out = {n: read[n][_best_reading(hits)] for n, hits in _hits(df, read).items()}
     return df.select(*[(out[n] if n in out else nulls.col(n)).alias(n) for n in df.columns])
 
 

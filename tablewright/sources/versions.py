@@ -2,6 +2,7 @@
 
     <root>/v1_original_<token>/<table>/   data, written once, under a name no other attempt has
     <root>/_versions/rows-<number>/       the log: one row per finished version
+    <root>/_sketches/                     column sketches of versions that were sketched
 
 Data is written first, then its row is put under the next free number; a writer that finds the
 number taken tries the one after. So numbers have no gaps, and a failed attempt takes none.
@@ -13,12 +14,14 @@ import datetime as dt
 import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.errors import ToolError
 from tablewright.functions import nulls
+from tablewright.operators import sketches
 from tablewright.operators.cleaning import CleaningRun, apply_cleaning
 from tablewright.operators.features import FeatureRun, apply_features
 from tablewright.sources import registry
@@ -136,6 +139,55 @@ class Dataset:
         """A new version with the tables of an older one."""
         return self.write(self.tables(number), kind, parent=number)
 
+    def extend(self, added: Mapping[str, DataFrame], number: int | None = None, kind: VersionType | str = VersionType.original) -> Version:
+        """A new version with rows added to tables of an older one, and tables it did not have.
+
+        Its sketches are those of the older version merged with those of the added rows; tables are
+        sketched as a whole only where the older version has no sketch yet.
+        """
+        parent = self.get(number)
+        old = self.tables(parent.number)
+        known = self.sketches(parent.number)
+        tables = {n: old[n].unionByName(added[n], allowMissingColumns=True) if n in added else old[n] for n in old}
+        version = self.write({**tables, **{n: df for n, df in added.items() if n not in old}}, kind, parent.number)
+        parts = {}
+        for name in version.tables:
+            merged = [known.get(name) or sketches.sketch_columns(old[name])] if name in old else []
+            merged += [sketches.sketch_columns(added[name])] if name in added else []
+            parts[name] = sketches.merge_sketches(*merged) if len(merged) > 1 else merged[0]
+        self._keep_sketches(version.number, parts)
+        return version
+
+    def sketch(self, number: int | None = None) -> None:
+        """Keep sketches of all columns of a version; one pass over each table."""
+        version = self.get(number)
+        tables = self.tables(version.number)
+        parts = side_by_side(*[lambda df=df: sketches.sketch_columns(df) for df in tables.values()])
+        self._keep_sketches(version.number, dict(zip(tables, parts)))
+
+    def _keep_sketches(self, number: int, parts: Mapping[str, DataFrame]) -> None:
+        rows = [df.select(F.lit(number).alias("version_number"), F.lit(name).alias("table_name"), "*") for name, df in parts.items()]
+        registry.append_frame(reduce(DataFrame.unionByName, rows), f"{self.root}/_sketches")
+
+    def sketches(self, number: int | None = None) -> dict[str, DataFrame]:
+        """The kept sketches of a version by table; none where it was not sketched."""
+        version = self.get(number)
+        schema = f"version_number int, table_name string, {sketches.SCHEMA}"
+        rows = registry.read(self.spark, f"{self.root}/_sketches", schema).filter(F.col("version_number") == version.number)
+        have = {r[0] for r in rows.select("table_name").distinct().collect()}
+        # A version that was sketched twice has equal rows twice.
+        return {
+            n: rows.filter(F.col("table_name") == n).drop("version_number", "table_name").dropDuplicates(["column_name", "kind", "label"])
+            for n in version.tables if n in have
+        }
+
+    def sketched_profile(self, number: int | None = None) -> DataFrame:
+        """The profile of a version from its sketches alone; no table is read."""
+        parts = self.sketches(number)
+        if not parts:
+            raise ToolError("The version has no sketches")
+        return reduce(DataFrame.unionByName, [sketches.sketched_profile(df, name) for name, df in parts.items()])
+
     def clean(
         self, steps: Iterable[CleaningStep], number: int | None = None, log: bool = True
     ) -> tuple[Version, CleaningRun]:

@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +186,9 @@ def test_sql(tables, spark):
      "WITH t AS (SELECT 1) INSERT INTO sales SELECT * FROM t", "DESCRIBE sales", "SELECT * FROM parquet.`/tmp/x`",
      "SELECT * FROM elsewhere", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT nope FROM sales", "SELECT FROM WHERE",
      "SELECT * FROM sales WHERE units IN (SELECT x FROM other.place)", "FROM sales SELECT *", "CREATE VIEW v AS SELECT 1",
+     "WITH z AS (WITH hidden AS (SELECT 1 AS q) SELECT * FROM hidden) SELECT * FROM hidden",
+     "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS q) SELECT * FROM a", "WITH a AS (SELECT * FROM a) SELECT * FROM a",
+     "SELECT (WITH h AS (SELECT 1 AS q) SELECT max(q) FROM h) AS m FROM h",
      "SELECT TRANSFORM(units) USING 'cat' AS (u) FROM sales", "EXPLAIN SELECT 1", "SELECT * FROM VALUES (1) AS v(a) JOIN elsewhere e ON true"],
 )
 def test_sql_refused(tables, sql):
@@ -192,6 +196,32 @@ def test_sql_refused(tables, sql):
         run(tables, SqlQuery(sql)).collect()
 
 
+def test_sql_names_are_known_where_they_are_defined(tables, spark):
+    spark.range(42, 43).createOrReplaceTempView("hidden")
+    with pytest.raises(ToolError, match="hidden"):
+        run(tables, SqlQuery("WITH z AS (WITH hidden AS (SELECT 1 AS q) SELECT * FROM hidden) SELECT * FROM hidden"))
+    inner = "WITH z AS (WITH hidden AS (SELECT 1 AS q) SELECT * FROM hidden), y AS (SELECT q + 1 AS q FROM z) SELECT y.q FROM y JOIN z ON y.q > z.q"
+    assert rows(run(tables, SqlQuery(inner))) == [(2,)]
+    counted = "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT max(n) AS n FROM r"
+    assert rows(run(tables, SqlQuery(counted))) == [(4,)]
+    spark.catalog.dropTempView("hidden")
+
+
+def test_sql_of_two_threads(spark):
+    def total(k):
+        return [run({"t": spark.range(k)}, SqlQuery("SELECT count(*) AS n FROM t")).first()["n"] for _ in range(5)]
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(total, (10, 20, 30, 40))) == [[k] * 5 for k in (10, 20, 30, 40)]
+    assert not spark.catalog.tableExists("t")
+
+
+def test_sql_results_join_with_other_tables(tables, spark):
+    out = run(tables, SqlQuery("SELECT channel, sum(units) AS n FROM sales GROUP BY 1"))
+    assert out.join(spark.createDataFrame([("online", 1)], "channel string, k int"), "channel").count() == 1
+    assert out.sparkSession is spark
+
+
 def test_sql_keeps_views_of_the_session(tables, spark):
     spark.range(3).createOrReplaceTempView("sales")
     run(tables, SqlQuery("SELECT * FROM sales")).collect()

@@ -193,6 +193,19 @@ def test_arrivals(spark, tmp_path):
     assert rows(data.tables(2)["my_sales"]) == [(dt.datetime(2024, 1, 3), "C", 3)]
 
 
+def test_batches_of_one_table_agree(spark, tmp_path):
+    folder, root, progress = (str(tmp_path / n) for n in ("in", "data", "progress"))
+    (tmp_path / "in").mkdir()
+    for name, lines in (("1.csv", ["2024-01-01,x,1", "2024-01-02,2024-01-02,2"]), ("2.csv", ["later,2024-01-01,3", "unknown,2024-01-02,4", "2024-02-01,,5"])):
+        (tmp_path / "in" / name).write_text("day,note,units\n" + "\n".join(lines) + "\n")
+        import_arrivals(spark, folder, "day string, note string, units int", root, "t", progress).awaitTermination()
+    data = Dataset(spark, root)
+    first, second = data.tables(1)["t"], data.tables(2)["t"]
+    assert first.schema == second.schema
+    assert [f.dataType.simpleString() for f in second.schema] == ["timestamp_ntz", "timestamp_ntz", "int"]
+    assert rows(second) == [(None, dt.datetime(2024, 1, 1), 3), (None, dt.datetime(2024, 1, 2), 4), (dt.datetime(2024, 2, 1), None, 5)]
+
+
 def test_names_never_collide():
     assert unique_table_names(["a", "a", "a_1"]) == ["a", "a_2", "a_1"]
 

@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright import chart_data, profile_table, profile_tables, run, suggest_charts, suggest_cleaning, suggest_features
+from tablewright import Dataset, chart_data, profile_table, profile_tables, run, suggest_charts, suggest_cleaning, suggest_features
 from tablewright.operators import charts
 from tablewright.operators.aggregates import duplicate_count
 from tablewright.operators.profiling import likely_columns
 from tablewright.plans import chart_plan, cleaning_plan, feature_plan
 from tablewright.specs import Chart, GenerateVisual
-from workload.base import money, read, register, texted
+from workload.base import money, read, register, scratch, texted
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -139,6 +139,62 @@ def profile_approx(spark, sf):
     return _comparable(profile_table(read(spark, sf, "lineitem"), "lineitem", duplicates=False, approx=True).columns)
 
 
+@register("profile_of_added_rows", """
+    SELECT c AS column_name, CAST(count(*) AS BIGINT) AS total_count, CAST(0 AS BIGINT) AS null_count,
+           CAST(min(x) AS DOUBLE) AS num_min, CAST(max(x) AS DOUBLE) AS num_max, round(avg(x), 3) AS num_mean,
+           round(stddev_samp(x), 3) AS num_std, true AS distinct_within, true AS median_within
+    FROM (SELECT 'o_orderkey' AS c, CAST(o_orderkey AS DOUBLE) AS x FROM orders UNION ALL
+          SELECT 'o_custkey', o_custkey FROM orders UNION ALL SELECT 'o_totalprice', o_totalprice FROM orders) GROUP BY c""")
+def profile_of_added_rows(spark, sf):
+    """A version in two parts, profiled from merged sketches; estimates within 3 % of the distinct values and 2 % of the ranks."""
+    numbers = ("o_orderkey", "o_custkey", "o_totalprice")
+    orders = read(spark, sf, "orders")
+    data = Dataset(spark, scratch(spark, "dataset"))
+    data.write({"orders": orders.filter("o_orderkey % 4 <> 0")})
+    data.sketch()
+    data.extend({"orders": orders.filter("o_orderkey % 4 = 0")})
+    found = data.sketched_profile().filter(F.col("column_name").isin(*numbers))
+    exact = profile_table(orders, "orders", duplicates=False).columns.select("column_name", F.col("unique_count").alias("exact"))
+    median = {r["column_name"]: r["num_median"] for r in found.collect()}
+    ranks = orders.agg(*[F.avg((F.col(n) <= median[n]).cast("int")).alias(n) for n in numbers]).first().asDict()
+    rank = F.create_map(*[F.lit(v) for n in numbers for v in (n, ranks[n])])[F.col("column_name")]
+    return found.join(exact, "column_name").select(
+        "column_name", "total_count", "null_count", "num_min", "num_max", F.round("num_mean", 3).alias("num_mean"), F.round("num_std", 3).alias("num_std"),
+        (F.abs(F.col("unique_count") - F.col("exact")) <= 0.03 * F.col("exact")).alias("distinct_within"),
+        (F.abs(rank - 0.5) <= 0.02).alias("median_within"))
+
+
+@register("profile_samples", f"""
+    SELECT c AS column_name, string_agg(v, '|' ORDER BY n DESC, v) AS sample_values FROM (
+        SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v) AS k FROM (
+            {" UNION ALL ".join(f"SELECT '{c}' AS c, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY 2" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))}))
+    WHERE k <= 3 GROUP BY 1""")
+def profile_samples(spark, sf):
+    customer = read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return profile_table(customer, "customer", duplicates=False).columns.select("column_name", F.concat_ws("|", "sample_values").alias("sample_values"))
+
+
+@register("likely_columns_orders", """
+    SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS row_count, CAST(6 AS BIGINT) AS column_count,
+           'o_orderkey' || CASE WHEN round(count(DISTINCT o_custkey) / count(*) * 100, 2) >= 90 THEN ',o_custkey' ELSE '' END AS likely_id_columns,
+           'o_totalprice' AS likely_metric_columns, 'o_orderstatus,o_orderpriority' AS likely_categorical_columns,
+           'o_orderstatus,o_orderdate' AS likely_date_columns FROM orders""")
+def likely_columns_orders(spark, sf):
+    out = likely_columns(profile_table(read(spark, sf, "orders"), "orders", duplicates=False).columns)
+    return out.select("table_name", "row_count", "column_count", *[
+        F.concat_ws(",", f"likely_{k}_columns").alias(f"likely_{k}_columns") for k in ("id", "metric", "categorical", "date")])
+
+
+@register("suggest_for_other_gaps", """
+    SELECT 'remark' AS column_name, 'ignore_issue' AS operation, false AS requires_approval, CAST(count(*) AS BIGINT) AS rows_before
+    FROM orders HAVING count(*) FILTER (o_orderkey % 3 = 0) > 0""")
+def suggest_for_other_gaps(spark, sf):
+    """Gaps in a column that is no measure, key, date or category are left alone."""
+    orders = read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("free words "), "o_orderkey")).alias("remark"))
+    p = profile_table(orders, "orders")
+    return suggest_cleaning(p.columns, p.issues).select("column_name", "operation", "requires_approval", "rows_before")
+
+
 def _dirty(spark, sf):
     """Orders as they might come in: numbers and dates as text, gaps, padding, urgent ones twice."""
     key = F.col("o_orderkey")
@@ -377,6 +433,13 @@ def chart_scatter(spark, sf):
     )
 
 
+@register("chart_scatter_sample", """
+    SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7|' || o_orderkey || '|' || o_custkey) LIMIT 200""")
+def chart_scatter_sample(spark, sf):
+    chart = Chart("orders", "scatter", "o_orderkey", "o_custkey", sample_seed=7, limit=200)
+    return chart_data({"orders": read(spark, sf, "orders")}, chart)
+
+
 @register("chart_visual", "SELECT o_orderstatus, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY 1")
 def chart_visual(spark, sf):
     out = run({"orders": read(spark, sf, "orders")}, GenerateVisual("orders", "bar", "o_orderstatus", "o_totalprice", "avg"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright import run
+from tablewright import ToolError, run
 from tablewright.functions import nulls
 from tablewright.operators.aggregates import aggregate_table
+from tablewright.sources.tables import preview
 from tablewright.specs import (
     AggregateTable, Filter, FilterTable, Metric, PreviewTable, SimpleJoin, SqlQuery, TopN, TopNWide,
 )
@@ -58,6 +59,27 @@ def preview_orders(spark, sf):
     return texted(run({"orders": orders}, PreviewTable("orders", ["o_orderkey", "o_orderstatus", "o_orderdate"])))
 
 
+@register("preview_table", f"""
+    SELECT o_orderkey, o_totalprice, strftime(o_orderdate, {_TS}) AS o_orderdate FROM orders ORDER BY o_orderkey LIMIT 50""")
+def preview_table(spark, sf):
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate").orderBy("o_orderkey")
+    return texted(preview({"orders": orders}, "orders", 50))
+
+
+@register("unknown_columns", """
+    SELECT 'Unknown column(s) in ''nation'': [''n_size'']. Available: [''n_nationkey'', ''n_name'', ''n_regionkey'']' AS error,
+           CAST(count(*) AS BIGINT) AS rows_kept FROM nation""")
+def unknown_columns(spark, sf):
+    """What a request for a column that is not there says, beside the rows of one that is."""
+    nation = {"nation": read(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")}
+    try:
+        run(nation, FilterTable("nation", [Filter("n_size", "gt", 1)]))
+        error = None
+    except ToolError as refused:
+        error = str(refused)
+    return run(nation, FilterTable("nation", [Filter("n_regionkey", "gte", 0)])).agg(F.lit(error).alias("error"), F.count(F.lit(1)).alias("rows_kept"))
+
+
 _LINE = "l_orderkey, l_linenumber, l_quantity, nullif(l_returnflag, 'N') AS flag"
 # name: (column, operator, value, the condition in SQL over the columns above)
 _FILTERS = {
