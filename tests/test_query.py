@@ -257,3 +257,30 @@ def test_join_spreads_a_hot_key(spark, hot):
     sizes = [r["n"] for r in shared if r["n"]]
     assert sum(sizes) == n  # two partners each
     assert len(sizes) > 2 and max(sizes) < n / 2
+
+
+@pytest.mark.parametrize(("hot", "sides"), [(None, 1), (7, 1), (7, 2), (None, 2)])
+def test_a_hot_key_is_split_without_adaptive_execution(spark, hot, sides):
+    """A third of a million rows, or of both sides, under one key that may be missing; copies of rows among them."""
+    n = 300_000
+    key = F.when(F.col("id") % 3 == 0, F.lit(hot).cast("long")).otherwise(F.col("id") + 1000)
+    left = spark.range(n, numPartitions=8).select(key.alias("k"), (F.col("id") % 5).alias("a"))
+    right = spark.range(n, numPartitions=8).select((F.col("id") + 1000).alias("k"), F.col("id").alias("b"))
+    few = spark.range(40_000 if sides == 2 else 3).select(F.lit(hot).cast("long").alias("k"), F.col("id").alias("b"))
+    right = right.filter(F.lit(sides == 1) | (F.col("b") % 4 == 0)).unionByName(few)
+    if sides == 2:  # both hot: few enough pairs to count
+        left = left.filter((F.col("k") > 1000) | (F.rand(1) < 0.002) if hot else F.col("k").isNotNull() | (F.rand(1) < 0.002))
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name, None) for name in changed}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(name, value)
+        out = run({"l": left, "r": right}, SimpleJoin("l", "r", "k", "k", limit=None))
+        got = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        want = left.join(right, left["k"].eqNullSafe(right["k"])).count()
+        assert sum(r["count"] for r in got) == want
+        assert out.columns == ["k", "a", "b"] and out.groupBy("k", "a", "b").count().agg(F.sum("count")).first()[0] == want
+        assert max(r["count"] for r in got) < 0.4 * want and len(got) == 8
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
