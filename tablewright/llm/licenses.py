@@ -48,16 +48,37 @@ IDENTIFIERS = {
 #: Exceptions that lift the conditions for works that only link to the licensed one.
 LINKING = {"classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "font-exception-2.0"}
 
+#: Words that say that nothing is stated.
+NOTHING = {"noassertion", "none"}
+
 _EXPRESSION = re.compile(r"spdx[^0-9a-z\n]+license[^0-9a-z\n]+identifier[ \t]*:?[ \t]*([^\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[0-9A-Za-z.+-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
+def _stem(token: str) -> str:
+    return re.sub(r"-only$|-or-later$|\+$", "", token)
+
+
+def _is_name(token: str, before: str | None, alone: bool) -> bool:
+    """Whether a word names a licence, or behind `with` an exception.
+
+    Unknown licences have the form of an identifier (a digit, a hyphen, a reference of one's own) or
+    are all that stands on the line.
+    """
+    if before == "with":
+        return token in LINKING or "exception" in token
+    if token in NOTHING or token in LINKING:
+        return False
+    return _stem(token) in IDENTIFIERS or any(c.isdigit() for c in token) or "-" in token.strip("-") or alone
+
+
 def parse(expression: str) -> tuple[set[str], bool | None, int]:
     """Labels, free use and length of the longest leading expression; (set(), None, 0) without one.
 
     Free use: all parts of an `and`, any part of an `or`; an exception for linking makes its
-    licence free. Reading stops at the first token that can't continue the expression.
+    licence free. Reading stops at the first token that can't continue the expression; brackets
+    still open there are closed.
     """
     tokens, depth, wants, count = [], 0, True, 0
     for match in _TOKEN.finditer(expression):
@@ -70,7 +91,7 @@ def parse(expression: str) -> tuple[set[str], bool | None, int]:
             depth -= 1
         elif token in _RANK and not wants:
             wants = True
-        elif token not in _RANK and token not in "()" and wants:
+        elif token not in _RANK and token not in "()" and wants and _is_name(token, tokens[-1] if tokens else None, expression.strip() == match[0]):
             wants = False
         else:
             break
@@ -78,8 +99,9 @@ def parse(expression: str) -> tuple[set[str], bool | None, int]:
         count = match.end()
     while tokens and (tokens[-1] in _RANK or tokens[-1] == "("):
         depth -= tokens.pop() == "("
-    if not tokens or depth:
+    if not tokens:
         return set(), None, 0
+    tokens += [")"] * depth
     output, waiting = [], []
     for token in tokens:
         if token == "(":
@@ -101,10 +123,10 @@ def parse(expression: str) -> tuple[set[str], bool | None, int]:
             b, a = values.pop(), values.pop()
             free = a[1] and b[1] if token == "and" else a[1] or b[1]
             values.append((a[0] if token == "with" else a[0] | b[0], free))
-        elif token in LINKING:
-            values.append((set(), True))
+        elif token in LINKING or "exception" in token:
+            values.append((set(), token in LINKING))
         else:
-            name = re.sub(r"-only$|-or-later$|\+$", "", token)
+            name = _stem(token)
             label, free = IDENTIFIERS.get(name, (name, False))
             values.append(({label} if label else set(), free))
     return (*values[0], count)

@@ -272,7 +272,7 @@ def test_licenses(spark, odd, empty):
     r = licenses.license_scan(table(spark, [text])).first()
     assert (r.n_base, r.first_word, r.base_labels, r.labels, r.free_use) == (3, 0, "cc-by-nc,mit", "apache-2,cc-by-nc,gpl-2,mit", True)
     assert licenses.parse("MIT AND GPL-3.0")[1] is False and licenses.parse("MIT OR GPL-3.0)")[:2] == ({"mit", "gpl-3"}, True)
-    assert licenses.parse("AND") == (set(), None, 0) and licenses.parse("(MIT")[2] == 0
+    assert licenses.parse("AND") == (set(), None, 0) and licenses.parse("(MIT")[:2] == ({"mit"}, True)
     got = licenses.license_scan(odd).collect()
     assert len(got) == len(ODD) + 2 and {(r.n_base, r.labels, r.score) for r in got} == {(0, "", 0.0)}
     assert licenses.license_scan(empty).count() == 0
@@ -375,12 +375,12 @@ def test_line_keys_against_all_runs():
 
 def test_surrogates(spark, odd, empty, monkeypatch):
     texts = ["Mail Ann.Bee@mail.example.com or +1 (437) 555-0689, card 4111 1111 1111 1111, host 10.0.0.1.", "ann.bee@MAIL.example.com; Mrs Anna Smith, Господин Иван Петров", "order 4111111111111112"]
-    got = {r.doc_id: r for r in surrogates.replace_personal_data(table(spark, texts)).collect()}
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(table(spark, texts), "k").collect()}
     assert set(got) == {0, 1} and got[0].types == "card,ip,mail,phone" and got[1].types == "mail,name"
     before, after = surrogates.find(texts[0]), surrogates.find(got[0].text)
     assert [x[2] for x in before] == [x[2] for x in after] and not {x[3] for x in before} & {x[3] for x in after}
     assert got[0].text.startswith("Mail ") and after[0][3] == surrogates.find(got[1].text)[0][3]
-    assert surrogates.replace_personal_data(odd).count() == 0 and surrogates.replace_personal_data(empty).count() == 0
+    assert surrogates.replace_personal_data(odd, "k").count() == 0 and surrogates.replace_personal_data(empty, "k").count() == 0
     # A narrow space of surrogates has to be drawn again until all differ.
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, normal, key, attempt=0: str((int(normal) + attempt * 7) // 2 + 100))
     values = spark.createDataFrame([(f"phone\t{i}",) for i in range(8)], "value string")
@@ -390,7 +390,7 @@ def test_surrogates(spark, odd, empty, monkeypatch):
 
 def test_names_of_one_person_agree(spark, odd):
     text = "Mr John Smith met Mrs Smith. Mr SMITH's car; John Smith left, Smith came, John too. Prof. Dr. Weber, Доктор Иванов пошёл. Weber and Иванов."
-    got = surrogates.replace_personal_data(table(spark, [text, "Dr Smith", "Nothing here.", None]), all_rows=True).collect()
+    got = surrogates.replace_personal_data(table(spark, [text, "Dr Smith", "Nothing here.", None]), "k", all_rows=True).collect()
     by = {r.doc_id: r for r in got}
     new = by[0].text
     given, family = re.match(r"Mr ([\w-]+) (\w+) met", new).groups()
@@ -399,7 +399,7 @@ def test_names_of_one_person_agree(spark, odd):
                    f"Prof. Dr. {weber}, Доктор {ivanov} пошёл. {weber} and {ivanov}.")
     assert not {"John", "Smith", "Weber", "Иванов"} & {given, family, weber, ivanov} and by[1].text == f"Dr {family}"
     assert tuple(by[2]) == (2, 0, "", "Nothing here.") and tuple(by[3]) == (3, 0, "", None)
-    assert sorted(str(r.text) for r in surrogates.replace_personal_data(odd, all_rows=True).collect()) == sorted(str(t) for t in [*ODD, "null id", BASE])
+    assert sorted(str(r.text) for r in surrogates.replace_personal_data(odd, "k", all_rows=True).collect()) == sorted(str(t) for t in [*ODD, "null id", BASE])
     many = spark.createDataFrame([(f"name\tm:given{i}",) for i in range(60)], "value string")
     assert len({r.surrogate for r in surrogates.assigned(many, b"k").collect()}) == 60
 
@@ -413,3 +413,41 @@ def test_stages_of_odd_rows(spark, odd, tmp_path):
         assert stage(spark, odd, str(tmp_path)).columns == odd.columns, name
         assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
+
+
+@pytest.mark.parametrize(("tag", "labels"), [
+    ("see the LICENSE file", ""), ("MIT and more words follow", "mit"), ("NOASSERTION", ""), ("NONE", ""), ("MIT WITH GPL-3.0", "mit"),
+    ("(MIT OR Apache-2.0", "apache-2,mit"), ("((MIT OR (Apache-2.0 AND", "apache-2,mit"), ("Zlib", "zlib"), ("LicenseRef-own", "licenseref-own"),
+    ("MIT AND Zlib-1", "mit,zlib-1"), ("MIT WITH Some-exception", "mit"), ("GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT", "gpl-2,mit"),
+    ("Classpath-exception-2.0", ""), ("OR MIT", ""), (") MIT", ""), ("", ""),
+])
+def test_labels_behind_a_tag(tag, labels):
+    assert licenses.scan(f"x\nSPDX-License-Identifier: {tag}\nmore MIT text")[5] == labels
+
+
+def test_surrogates_of_a_full_space_end(spark):
+    """All 676 names of two letters, and most short telephone numbers: distinct surrogates, none of them a value."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [f"name\t:{a}{b}" for a in letters for b in letters] + [f"phone\t1{n:06d}" for n in range(0, 3000)]
+    done = surrogates.assigned(spark.createDataFrame([(v,) for v in values], "value string"), b"k").collect()
+    assert len({r.surrogate for r in done}) == len(values) and not {r.surrogate for r in done} & set(values)
+
+
+def test_longer_surrogates_are_rendered_whole():
+    for kind, original, normal in (("phone", "+1 555-0100", "15550100"), ("card", "4111 1111 1111 1111", "4111111111111111"), ("name", "Wu", ":wu"), ("ip", "10.0.0.1", "10.0.0.1")):
+        for attempt in (0, 1, 4):
+            new = surrogates.surrogate(kind, normal, b"k", attempt)
+            shown = surrogates.render(kind, original, new)
+            assert re.sub(r"[^0-9A-Za-z]", "", shown).lower() == re.sub(r"[^0-9a-z]", "", new)
+            if kind == "card":
+                assert surrogates.luhn(new)
+
+
+def test_every_script_is_kept():
+    import unicodedata
+
+    for text in ("李雷@例子.cn", "Ωμέγα@σ.gr", "иван@почта.рф", "ジョン@れい.jp", "anne@x.fr", "가나@다.kr"):
+        new = surrogates.surrogate("mail", text.lower(), b"k")
+        for a, b in zip(text, new, strict=True):
+            if a.isalpha():
+                assert unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0]
