@@ -69,7 +69,7 @@ def op6(spark, sf_dir):
 
 @register("op3_surrogates")
 def op3(spark, sf_dir):
-    return replace_personal_data(read(spark, sf_dir, "documents"), all_rows=True)
+    return replace_personal_data(read(spark, sf_dir, "documents"), "key of the registered query", all_rows=True)
 
 
 @register("op4_line_alignment")

@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -159,6 +161,18 @@ def script(c: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"
 
 
+@cache
+def _letters(c: str) -> str:
+    """Letters of the script of c: an alphabet, else the letters of its kind near it."""
+    if (own := script(c)) != "latin" or c <= "\u024f":
+        return _ALPHABET[own]
+    def kind(x: str) -> tuple[str, str]:
+        return unicodedata.category(x), unicodedata.name(x, " ").split(" ")[0]
+
+    first, own = ord(c) & ~0xFF, kind(c.lower())
+    return "".join(x for x in map(chr, range(first, first + 256)) if kind(x) == own and x.lower() == x and len(x.upper()) == 1) or c
+
+
 def _like(text: str, draw: _Draw) -> str:
     """Digits for digits (no leading zero put in), letters for letters of the same case and script."""
     out = []
@@ -167,7 +181,7 @@ def _like(text: str, draw: _Draw) -> str:
             new_number = i == 0 or not text[i - 1].isdecimal()
             out.append(str(draw.below(10)) if not new_number or c == "0" else str(1 + draw.below(9)))
         elif c.isalpha():
-            letters = _ALPHABET[script(c)]
+            letters = _letters(c)
             letter = letters[draw.below(len(letters))]
             out.append(letter.upper() if c.isupper() else letter)
         else:
@@ -176,31 +190,36 @@ def _like(text: str, draw: _Draw) -> str:
 
 
 def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate's own normal form."""
-    draw = _Draw(key, kind, normal, attempt)
+    """The surrogate's own normal form.
+
+    Drawn again and again, it grows by a character (an address by a group) each time, so that
+    there are surrogates enough however many values share a short form.
+    """
+    draw, more = _Draw(key, kind, normal, attempt), max(0, attempt - 1)
     if kind == "mail":
         name, _, host = normal.rpartition("@")
+        name += (name[-1:] if name[-1:].isalpha() else "a") * more
         labels = host.split(".")
         return _like(name, draw) + "@" + ".".join([*(_like(x, draw) for x in labels[:-1]), labels[-1]])
     if kind == "secret":
         if set(normal) <= set("0123456789abcdef"):
-            return "".join("0123456789abcdef"[draw.below(16)] for _ in normal)
-        return _like(normal, draw)
+            return "".join("0123456789abcdef"[draw.below(16)] for _ in normal + "0" * more)
+        return _like(normal + "a" * more, draw)
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return ".".join(str(1 + draw.below(254)) for _ in range(4 + more))
     if kind == "phone":
         keep = max(1, len(normal) - 10)  # the country's digits
-        return normal[:keep] + _like(normal[keep:], draw)
+        return normal[:keep] + _like(normal[keep:] + "1" * more, draw)
     if kind == "card":
-        body = normal[0] + "".join(str(draw.below(10)) for _ in normal[1:-1])
+        body = normal[0] + "".join(str(draw.below(10)) for _ in normal[1:-1] + "0" * more)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
     if kind == "iban":
-        body = "".join(str(draw.below(10)) if c.isdigit() else _ALPHABET["latin"][draw.below(26)].upper() for c in normal[4:])
+        body = "".join(str(draw.below(10)) if c.isdigit() else _ALPHABET["latin"][draw.below(26)].upper() for c in normal[4:] + "0" * more)
         check = 98 - int("".join(str(int(c, 36)) for c in body + normal[:2] + "00")) % 97
         return f"{normal[:2]}{check:02d}{body}"
     gender, _, name = normal.partition(":")
     if not gender:
-        return ":" + _like(name, draw)
+        return ":" + _like(name + (name[-1] if name[-1].isalpha() else "a") * more, draw)
     # Drawn again, a given name gets a second one, and so on: there are enough for all.
     names = GIVEN[script(name[0]), gender]
     return gender + ":" + "-".join(names[draw.below(len(names))] for _ in range(1 + attempt))
@@ -220,7 +239,7 @@ def render(kind: str, original: str, replacement: str) -> str:
     if kind in ("ip", "secret"):
         return replacement
     rest = iter(replacement)
-    return "".join(next(rest) if c.isalnum() else c for c in original)
+    return "".join([*(next(rest) if c.isalnum() else c for c in original), *rest])
 
 
 def _detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,17 +308,19 @@ def assigned(values: DataFrame, key: bytes) -> DataFrame:
             drop_written(bad)
             return now
         redone = bad.toDF("value", "attempt").mapInArrow(_drawn(key), "value string, attempt int, surrogate string")
-        now = written(now.join(bad.select("value"), "value", "left_anti").unionByName(redone), "surrogates")
+        before, now = now, written(now.join(bad.select("value"), "value", "left_anti").unionByName(redone), "surrogates")
+        drop_written(before)
+        drop_written(bad)
 
 
-def replace_personal_data(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text", all_rows: bool = False) -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", all_rows: bool = False) -> DataFrame:
     """doc_id, n_found, types and the new text of every row whose text holds personal data.
 
     Rows without any are returned, unchanged, with `all_rows` only. Given and family names have
     their own surrogates, so full and short forms of a name agree; each counts as one. Missing and empty texts hold
     none. Repeated rows are replaced alike; rows without an id are replaced too. One value has
     the same surrogate everywhere, different values have different ones, and no surrogate is
-    a value that the corpus holds. Other columns are not read; an empty table gives no rows.
+    a value that the corpus holds; whoever has the key can draw the same ones, so keep it. Other columns are not read; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     secret = key.encode()
