@@ -1,11 +1,11 @@
 """Quality by weak supervision: rules vote or abstain, and expectation-maximisation weighs them.
 
-Every rule says good (1), bad (-1) or nothing (0) about a text. Texts with the same votes are
-counted together (at most 3 to the number of rules patterns), and the model is fitted on
-these counts: before any vote a text is as likely good as bad, a rule that votes is right with its own
-accuracy, and abstaining says nothing. Most rules only vote bad, since a text that keeps one
-rule is not good for that (bad texts often break a single one). The fit is one SQL expression over the patterns, so neither the rows nor the fit
-leave the engine, and no Python runs on executors.
+Every rule says good (1), bad (-1) or nothing (0) about a text, from its own evidence alone. Texts
+with the same votes are counted together (at most 3 to the number of rules patterns), and the model is
+fitted on these counts: the share of good texts, and for each rule how often it votes good or bad on
+good texts and on bad ones. So a bad vote that good texts get as well weighs little, and several good
+votes can outweigh it. The fit is one SQL expression over the patterns, so neither the rows nor the
+fit leave the engine, and no Python runs on executors.
 """
 
 from __future__ import annotations
@@ -20,10 +20,17 @@ from tablewright.llm.shared import ids_and_texts, written
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 30
-#: Share of good texts before any vote. Given, not fitted: rules that only vote bad do not determine it.
-PRIOR = 0.5
-#: Accuracy of a rule at the start; votes that count as seen at it; bounds.
-ACCURACY, SEEN, BOUNDS = 0.9, 10.0, (0.55, 0.99)
+#: Before any fit: how often a rule votes bad, abstains or votes good on good texts and on bad ones, and
+#: the share of good texts; texts that each outcome counts as seen beside those of the corpus; bounds of the share.
+ON_GOOD, ON_BAD, SHARE = (0.05, 0.25, 0.7), (0.35, 0.4, 0.25), 0.5
+SEEN, BOUNDS = 1.0, (0.05, 0.95)
+#: Fixed list: common words of the languages that the rules know.
+STOP_WORDS = tuple(sorted(set((
+    "the of and to in a is that it for on with as was at by not this but from "
+    "de la que el en y los se del las un por con no una su para es al lo "
+    "le les des et est du dans qui sur pas il au ne ce elle ou une "
+    "der die und das den von zu mit sich ein eine ist im dem nicht als auf für"
+).split())))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,7 +65,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     length = F.length("text")
     without = lambda signs: length - F.length(F.translate("text", signs, ""))
-    per_word = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
+    is_stop = lambda w: F.lower(F.translate(w, ".,;:!?", "")).isin(*STOP_WORDS)
+    per_word = let(words, lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"),
+        F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), F.size(F.filter(w, is_stop)).cast("long").alias("n_stop"),
+        F.size(F.filter(w, lambda x: x.rlike(r"^\p{L}+[.,;:!?]?$"))).cast("long").alias("n_plain"),
+    ))
     per_line = let(lines, lambda x: F.struct(
         F.size(x).cast("long").alias("n_lines"),
         (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -73,50 +85,64 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def votes() -> dict[str, Column]:
-    """The rules: vote 1 (good), -1 (bad) or 0 (abstains) from the columns of `features`."""
-    n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    """The rules: vote 1 (good), -1 (bad) or 0 (abstains) from the columns of `features`; each looks at one thing."""
+    n, chars, lines = (F.greatest(c, F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
 
-    def bad(broken: Column) -> Column:
-        return F.when(broken, -1).otherwise(0).cast("int")
+    def vote(bad: Column, good: Column = F.lit(False)) -> Column:
+        return F.when(bad, -1).when(good, 1).otherwise(0).cast("int")
 
     symbols, shouts, upper = F.col("n_symbols") / n, F.col("n_shouts") / n, F.col("n_upper") / chars
-    again, twice, ended = F.col("n_repeat_words") / n, F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), F.col("n_ended") / F.greatest("n_lines", F.lit(1))
-    mean = F.col("word_chars") / n
+    again, twice, ended = F.col("n_repeat_words") / n, F.col("n_dup_lines") / lines, F.col("n_ended") / lines
+    mean, variety, stop, plain = F.col("word_chars") / n, F.col("n_distinct") / n, F.col("n_stop") / n, F.col("n_plain") / n
     return {
-        "symbols": bad(symbols > 0.15),
-        "shouts": bad(shouts > 0.2),
-        "upper_case": bad(upper > 0.3),
-        "repeated_words": bad(again > 0.3),
-        "repeated_lines": bad(twice > 0.4),
-        "line_ends": bad((ended < 0.1) & (n > 100)),
-        "word_length": bad((mean < 2) | (mean > 14)),
-        "prose": F.when((ended > 0.7) & (mean > 3) & (mean < 10) & (symbols < 0.02) & (shouts < 0.05) & (upper < 0.1) & (again < 0.1), 1).otherwise(0).cast("int"),
+        "symbols": vote(symbols > 0.15),
+        "shouts": vote(shouts > 0.2),
+        "upper_case": vote(upper > 0.3),
+        "repeated_words": vote(again > 0.3),
+        "repeated_lines": vote(twice > 0.4),
+        "line_ends": vote((ended < 0.1) & (n > 100), ended > 0.7),
+        "word_length": vote((mean < 2) | (mean > 14), (mean > 3.5) & (mean < 8)),
+        "variety": vote((variety < 0.2) & (n > 50), variety > 0.5),
+        "stop_words": vote((stop < 0.1) & (n > 50), (stop > 0.15) & (stop < 0.6)),
+        "plain_words": vote(plain < 0.6, plain > 0.9),
     }
 
 
+# A model is one array: the share of good texts, then for each rule six probabilities, those of a bad
+# vote, none and a good vote on good texts and the same three on bad ones.
+
+
 def _posterior(model: Column, pattern: Column) -> Column:
     """Probability of a good text given its votes."""
-    log_odds = lambda p: F.log(p / (1.0 - p))
-    terms = F.zip_with(pattern, model, lambda v, a: v * log_odds(a))
-    return 1.0 / (1.0 + F.exp(-F.aggregate(terms, log_odds(F.lit(PRIOR)), lambda s, t: s + t)))
+    chance = lambda j, v, bad: F.get(model, j * 6 + v + 2 + 3 * bad)
+    odds = F.transform(pattern, lambda v, j: F.log(chance(j, v, 0) / chance(j, v, 1)))
+    share = F.get(model, F.lit(0))
+    return 1.0 / (1.0 + F.exp(-F.aggregate(odds, F.log(share / (1.0 - share)), lambda s, t: s + t)))
 
 
 def _fitted(patterns: Column, n_rules: int, rounds: int) -> Column:
-    """The accuracies after so many rounds over array<struct<votes, n>>."""
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    within = lambda x, low, high: F.least(F.lit(high), F.greatest(F.lit(low), x))
+    """The model after so many rounds over array<struct<votes, n>>."""
+
+    def total(weighed: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(weighed, F.lit(0.0), lambda s, p: s + of(p))
+
+    def probability(weighed: Column, sums: Column, k: Column) -> Column:
+        rule, outcome, is_good = F.floor(k / 6).cast("int"), (k % 3) - 1, k % 6 < 3
+        seen = total(weighed, lambda p: F.when(F.get(p["votes"], rule) == outcome, F.when(is_good, p["g"]).otherwise(p["b"])).otherwise(0.0))
+        return (seen + SEEN) / (F.when(is_good, sums["g"]).otherwise(sums["b"]) + 3 * SEEN)
 
-    def accuracy(weighed: Column, j: int) -> Column:
-        vote = lambda p: F.get(p["votes"], F.lit(j))
-        right = total(F.transform(weighed, lambda p: p["n"] * F.when(vote(p) == 1, p["good"]).when(vote(p) == -1, 1.0 - p["good"]).otherwise(0.0)))
-        voted = total(F.transform(weighed, lambda p: F.when(vote(p) != 0, p["n"]).otherwise(0.0)))
-        return within((right + SEEN * ACCURACY) / (voted + SEEN), *BOUNDS)
+    def renewed(weighed: Column) -> Column:
+        sums = F.struct(total(weighed, lambda p: p["g"]).alias("g"), total(weighed, lambda p: p["b"]).alias("b"))
+        return let(sums, lambda t: F.concat(
+            F.array(F.least(F.lit(BOUNDS[1]), F.greatest(F.lit(BOUNDS[0]), t["g"] / F.greatest(t["g"] + t["b"], F.lit(1.0))))),
+            F.transform(F.sequence(F.lit(0), F.lit(6 * n_rules - 1)), lambda k: probability(weighed, t, k))))
 
     def step(model: Column, _: Column) -> Column:
-        weighed = F.transform(patterns, lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), _posterior(model, p["votes"]).alias("good")))
-        return let(weighed, lambda w: F.array(*[accuracy(w, j) for j in range(n_rules)]))
+        judged = F.transform(patterns, lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), _posterior(model, p["votes"]).alias("good")))
+        weighed = F.transform(judged, lambda p: F.struct(p["votes"].alias("votes"), (p["n"] * p["good"]).alias("g"), (p["n"] * (1.0 - p["good"])).alias("b")))
+        return let(weighed, renewed)
 
-    start = F.array(*[F.lit(ACCURACY)] * n_rules)
+    start = F.array(F.lit(SHARE), *[F.lit(p) for _ in range(n_rules) for p in (*ON_GOOD, *ON_BAD)])
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
 

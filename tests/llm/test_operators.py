@@ -238,6 +238,47 @@ def test_votes(spark, odd, empty):
     assert quality_votes(empty).count() == 0
 
 
+def fitted_by_hand(patterns, rounds):
+    """Share of good texts and outcome probabilities per rule, in plain Python."""
+    from tablewright.llm import quality_rules as Q
+
+    rules = len(next(iter(patterns)))
+    share, chance = Q.SHARE, [[list(Q.ON_GOOD), list(Q.ON_BAD)] for _ in range(rules)]
+
+    def good(votes):
+        odds = np.log(share / (1 - share)) + sum(np.log(chance[j][0][v + 1] / chance[j][1][v + 1]) for j, v in enumerate(votes))
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(rounds):
+        weights = {p: (n * good(p), n * (1 - good(p))) for p, n in patterns.items()}
+        sums = [sum(w[c] for w in weights.values()) for c in (0, 1)]
+        chance = [[[(sum(w[c] for p, w in weights.items() if p[j] == v) + Q.SEEN) / (sums[c] + 3 * Q.SEEN) for v in (-1, 0, 1)] for c in (0, 1)] for j in range(rules)]
+        share = min(Q.BOUNDS[1], max(Q.BOUNDS[0], sums[0] / max(sum(sums), 1.0)))
+    return {p: good(p) for p in patterns}
+
+
+def test_votes_are_weighed(spark):
+    """A corpus of good prose and junk: one bad vote among good ones is outvoted, a text without bad votes is not always kept."""
+    from tablewright.llm.quality_rules import STOP_WORDS
+
+    random = np.random.default_rng(11)
+    nouns = ["".join(random.choice(list("abcdefghilmnoprstuv"), 6)) for _ in range(400)]
+    sentence = lambda n: " ".join(random.choice(STOP_WORDS if random.random() < 0.3 else nouns) for _ in range(n)).capitalize() + "."
+    good = [" ".join(sentence(12) for _ in range(10)) for _ in range(150)]
+    junk = ["#$ %& " + " ".join(random.choice(["buy##", "$$now", "win!!!", "100%"]) for _ in range(120)) for _ in range(30)]
+    outvoted = " ".join(sentence(12) for _ in range(10)).replace(".", "!!!!")
+    unsure = "\n".join(" ".join(random.choice(nouns[:60]) + str(k) for k in range(9)) for _ in range(12))
+    got = quality_votes(table(spark, [*good, *junk, outvoted, unsure])).collect()
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].kept for i in range(150)) and not any(by[i].kept for i in range(150, 180))
+    assert -1 in by[180].votes and by[180].kept
+    want = fitted_by_hand(Counter(tuple(r.votes) for r in got), 30)
+    assert all(abs(r.good - want[tuple(r.votes)]) < 1e-9 for r in got)
+    few = {p: n for p, n in Counter(tuple(r.votes) for r in got).items()}
+    weak = tuple([0] * 10)
+    assert fitted_by_hand({**few, weak: 40}, 30)[weak] < 0.5  # no bad vote, and yet no good text
+
+
 def test_mix(spark, odd, empty):
     texts = [prose(i, 5 + i % 60) for i in range(400)]
     docs = table(spark, texts, sources=["abc"[0 if i < 250 else 1 + i % 2] if i % 50 else None for i in range(400)])
