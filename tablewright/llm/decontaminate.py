@@ -6,8 +6,9 @@ that differ in at most RADIUS bits differ in at most RADIUS // 8 bits of some bl
 looking up each block with all values that near finds every item within the radius. What is
 found is decided by the weighted Jaccard similarity of the shingles themselves.
 
-Only windows around shingles of an item that could still reach the similarity (enough of the
-item's weight lies in the text) are fingerprinted: the others would be refused by the check.
+Texts that hold too little of every item's weight for the similarity are passed over: all their
+windows would be refused by the check. In any other text each window of each item length is
+fingerprinted and looked up among all items of that length, whichever shingles it holds.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BLOCKS = 8
 #: Items are searched in groups of so many words and items at most; each group is one pass over
 #: the texts and about 60 MB on every worker.
 GROUP_WORDS, GROUP_ITEMS = 500_000, 10_000
+#: Windows that are fingerprinted and looked up at a time.
+WINDOWS = 2048
 
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -64,17 +67,23 @@ class Items:
         self.sieve[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.prints = np.array([self._print(s) for s in self.sets], dtype=np.uint64)
         masks = _near_values(RADIUS // BLOCKS)
-        #: For every block and value: which items are near in that block.
-        self.table = np.zeros((BLOCKS, 256, len(use)), dtype=bool)
-        for b in range(BLOCKS):
-            values = (self.prints >> np.uint64(8 * b) & np.uint64(255)).astype(np.uint8)
-            for i, v in enumerate(values):
-                self.table[b, v ^ masks, i] = True
+        #: Items by the number of their shingles; for every block and value, which of them are near in that block.
+        sizes = np.maximum(1, self.words - k + 1)
+        self.index: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for size in np.unique(sizes).tolist():
+            members = np.flatnonzero(sizes == size)
+            table = np.zeros((BLOCKS, 256, len(members)), dtype=bool)
+            for b in range(BLOCKS):
+                values = (self.prints[members] >> np.uint64(8 * b) & np.uint64(255)).astype(np.uint8)
+                for i, v in enumerate(values):
+                    table[b, v ^ masks, i] = True
+            self.index.append((size, members, table))
+        self.keys = [np.array(list(s), dtype=np.uint64) for s in self.sets]
 
     def _print(self, shingles: Counter) -> int:
         keys = np.array(list(shingles), dtype=np.uint64)
-        weights = np.array([self.weight[h] * c for h, c in shingles.items()])
-        return int(_pack(_signs(keys) .T @ weights)[()])
+        weights = _whole(np.array([self.weight[h] for h in shingles])) * np.array(list(shingles.values()), dtype=np.int32)
+        return int(_pack((_signs(keys) * weights[:, None]).sum(axis=0, dtype=np.int32)))
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard of the shingles of a window and an item, with counts."""
@@ -89,39 +98,63 @@ class Items:
         hit = hit[np.isin(hashes[hit], self.known)] if len(hit) else hit
         if not len(hit):
             return []
-        at: dict[int, list[int]] = {}
-        for j, h in zip(hit.tolist(), hashes[hit].tolist(), strict=True):
+        there: dict[int, float] = {}
+        for h in set(hashes[hit].tolist()):
             for i in self.places[h]:
-                at.setdefault(i, []).append(j)
-        out, sums = [], None
-        for i, near in sorted(at.items()):
-            there = {int(hashes[j]) for j in near}
-            if sum(self.weight[h] * self.sets[i][h] for h in there) < self.percent * self.mass[i] - 1e-9:
-                continue
-            if sums is None:
-                weights = np.array([self.weight.get(h, self.other) for h in hashes.tolist()])
-                sums = np.concatenate((np.zeros((1, 64)), np.cumsum(_signs(hashes) * weights[:, None], axis=0)))
-            size = max(1, int(self.words[i]) - self.k + 1)
-            most = max(0, len(hashes) - size)
-            starts = np.unique(np.clip(np.concatenate([np.arange(j - size + 1, j + 1) for j in near]), 0, most))
-            prints = _pack(sums[np.minimum(starts + size, len(hashes))] - sums[starts])
-            found = np.zeros(len(starts), dtype=bool)
-            for b in range(BLOCKS):
-                found |= self.table[b, (prints >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64), i]
-            found &= np.bitwise_count(prints ^ self.prints[i]) <= RADIUS
-            best = max(((self.similarity(hashes[s : s + size], i), -s) for s in starts[found].tolist()), default=(0.0, 0))
-            if best[0] >= self.percent - 1e-12:
-                out.append((self.ids[i], -best[1], min(int(self.words[i]), len(words)), best[0]))
-        return out
+                there[i] = there.get(i, 0.0) + self.weight[h] * self.sets[i][h]
+        if not any(held >= self.percent * self.mass[i] - 1e-9 for i, held in there.items()):
+            return []
+        weights = np.array([self.weight.get(h, self.other) for h in hashes.tolist()])
+        # Sums may wrap around; the difference over a window is small and right all the same.
+        sums = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
+        np.cumsum(_signs(hashes) * _whole(weights)[:, None], axis=0, dtype=np.int32, out=sums[1:])
+        out = []
+        for size, members, table in self.index:
+            near: list[list[np.ndarray]] = [[] for _ in members]
+            for a in range(0, max(0, len(hashes) - size) + 1, WINDOWS):
+                starts, found = self._near(sums, a, size, members, table)
+                for m in np.flatnonzero(found.any(axis=0)).tolist():
+                    near[m].append(starts[found[:, m]])
+            for m, starts in enumerate(near):
+                # The check of what was found: first whether the text has enough of the item at all, then window by window.
+                if starts and there.get(int(members[m]), 0.0) >= self.percent * self.mass[members[m]] - 1e-9:
+                    best = self._best(hashes, weights, np.concatenate(starts), size, int(members[m]))
+                    if best[0] >= self.percent - 1e-12:
+                        out.append((int(members[m]), -best[1], best[0]))
+        return [(self.ids[i], first, min(int(self.words[i]), len(words)), similarity) for i, first, similarity in sorted(out)]
+
+    def _near(self, sums: np.ndarray, a: int, size: int, members: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Some windows from place a on, and which items of this size have a fingerprint within the radius."""
+        starts = np.arange(a, min(a + WINDOWS, max(0, len(sums) - 1 - size) + 1))
+        last = min(size, len(sums) - 1)
+        prints = _pack(sums[a + last : a + last + len(starts)] - sums[a : a + len(starts)])
+        found = np.zeros((len(starts), len(members)), dtype=bool)
+        for b in range(BLOCKS):
+            found |= table[b, (prints >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64)]
+        row, item = np.nonzero(found)
+        found[row, item] = np.bitwise_count(prints[row] ^ self.prints[members[item]]) <= RADIUS
+        return starts, found
+
+    def _best(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int, item: int) -> tuple[float, int]:
+        """The highest similarity of the windows with an item, and minus the first place that has it."""
+        own = np.concatenate(([0.0], np.cumsum(weights * np.isin(hashes, self.keys[item]))))
+        # What a window can have in common with the item is no more than its shingles that the item has.
+        able = starts[own[np.minimum(starts + size, len(hashes))] - own[starts] >= self.percent * self.mass[item] - 1e-6]
+        return max(((self.similarity(hashes[s : s + size], item), -s) for s in able.tolist()), default=(0.0, 0))
+
+
+def _whole(weights: np.ndarray) -> np.ndarray:
+    """Weights as whole numbers, so that equal windows have equal sums wherever they stand."""
+    return np.rint(weights * 1024).astype(np.int32)
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes[:, None] >> _BITS & np.uint64(1)).astype(np.float64) * 2 - 1)
+    return (hashes[:, None] >> _BITS & np.uint64(1)).astype(np.int32) * 2 - 1
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
     """Fingerprints from bit sums (last axis)."""
-    return ((sums > 1e-9).astype(np.uint64) << _BITS).sum(axis=-1, dtype=np.uint64)
+    return np.packbits(sums > 0, axis=-1, bitorder="little").view("<u8")[..., 0]
 
 
 def _hits(items: Items, column: pa.Array) -> Iterator[tuple[int, tuple]]:

@@ -492,3 +492,46 @@ def test_every_script_is_kept():
         for a, b in zip(text, new, strict=True):
             if a.isalpha():
                 assert unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0]
+
+
+def near_windows(texts, items, percent, k=5):
+    """Best window per text and item over all windows, by the similarity of shingles weighted over all items."""
+    sets = {i: Counter(zip(*[split(low(t))[j:] for j in range(k)], strict=False)) for i, t in items}
+    df = Counter(x for s in sets.values() for x in s)
+    n = len(items)
+    weight = lambda x: 1 + np.log(n / df[x]) if x in df else 1 + np.log(n)
+    out = []
+    for d, text in enumerate(texts):
+        words = split(low(text))
+        for i, item in items:
+            size, best = len(split(item)), (0.0, 0)
+            for a in range(max(1, len(words) - size + 1)):
+                own = Counter(zip(*[words[a : a + size][j:] for j in range(k)], strict=False))
+                common = sum(min(c, sets[i][x]) * weight(x) for x, c in own.items() if x in sets[i])
+                both = sum(c * weight(x) for x, c in own.items()) + sum(c * weight(x) for x, c in sets[i].items()) - common
+                best = max(best, (common / both, -a))
+            if best[0] >= percent - 1e-12:
+                out.append((d, i, -best[1], min(size, len(words))))
+    return sorted(out)
+
+
+def test_hits_are_those_of_all_windows(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    items = [(i, prose(400 + i, 60 + 3 * (i % 5))) for i in range(25)]
+    items += [(25, items[0][1] + " and more words at the end"), (26, " ".join(items[1][1].split()[:52] + prose(9, 6).split()))]
+    texts = []
+    for i, t in items:
+        for changed in (0, 1, 2):
+            words = t.split()
+            for at in random.choice(len(words), changed, replace=False):
+                words[at] = f"other{at}"
+            texts.append(f"{prose(600 + i, 15)} {' '.join(words)} {prose(700 + i, int(random.integers(0, 40)))}")
+    texts += [prose(5, 200), "", items[3][1], " ".join(items[4][1].split()[:50])]
+    want = near_windows(texts, items, 0.8)
+    table_of_items = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: rows(benchmark_hits(table(spark, texts), table_of_items), "doc_id", "item_id", "first_word", "n_words")
+    assert found() == want and len(want) > 40
+    # Without its index the search finds nothing: what names the items are their fingerprints.
+    monkeypatch.setattr(decontaminate.Items, "_near", lambda self, sums, a, size, members, table: (np.zeros(1, int), np.zeros((1, len(members)), bool)))
+    it = decontaminate.Items([i for i, _ in items], [t for _, t in items], 5, 0.8, len(items), {})
+    assert not list(decontaminate._hits(it, pa.array(texts)))
