@@ -27,6 +27,8 @@ BLOCK = 2048
 SLOT_BITS = 11
 LITERAL_BITS = 18
 MAGIC = b"TIDS1\0"
+#: Steps between two looks at how many digits there are; a step puts out three at most.
+AHEAD = 32
 
 _U = np.uint64
 _FULL, _LEAST, _DIGIT = _U((1 << 40) - 1), _U(1 << 24), _U(16)
@@ -110,7 +112,8 @@ def encode(ids: np.ndarray) -> bytes:
     table, blocks, last_length = _columns(ids)
     model = _Model(blocks)
     low, width = np.zeros(blocks, np.uint64), np.full(blocks, _FULL + _U(1), np.uint64)
-    digits = np.zeros((3 * len(table) + 5, blocks), dtype=np.uint32)
+    # Rows of digits, one column per block; more rows are added when the fullest block needs them.
+    digits = np.zeros((len(table) // 2 + 4 * AHEAD, blocks), dtype=np.uint32)
     flat, place = digits.reshape(-1), np.arange(blocks, dtype=np.int64) + blocks
     last, before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
 
@@ -126,6 +129,9 @@ def encode(ids: np.ndarray) -> bytes:
             place[small] = to + blocks
 
     for t, row in enumerate(table):
+        if t % AHEAD == 0 and (needed := int(place.max()) // blocks + 3 * AHEAD + 2) > len(digits):
+            digits = np.concatenate((digits, np.zeros((needed + len(digits) // 4 - len(digits), blocks), dtype=np.uint32)))
+            flat = digits.reshape(-1)
         k = blocks if t < last_length else blocks - 1
         now = row[:k].astype(np.int64)
         small_now = now.astype(np.uint32)
@@ -153,10 +159,12 @@ def encode(ids: np.ndarray) -> bytes:
     # The width is 2 ** 24 at least, so one digit names a number inside.
     flat[place] = low + (_LEAST - _U(1)) >> _U(24)
     place += blocks
-    for row in range(len(digits) - 1, 0, -1):
-        digits[row - 1] += digits[row] >> 16
+    del model, table
     lengths = place // blocks - 1
-    columns = np.ascontiguousarray((digits[1:] & 0xFFFF).astype("<u2").T)
+    for row in range(int(lengths.max()), 0, -1):
+        digits[row - 1] += digits[row] >> 16
+    columns = np.ascontiguousarray(digits[1 : int(lengths.max()) + 1].astype("<u2").T)
+    del digits, flat
     bodies = [columns[i, : lengths[i]].tobytes() for i in range(blocks)]
     counted = _count_table(counts)
     return b"".join([

@@ -38,6 +38,22 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = W.is_separator(b".,;:!?")
 
 
+#: Fixed value: runs of letters, single digits and runs of other characters, as the tokenizer file has it.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_at_letters(tokenizer) -> bool:
+    """Whether a stretch of ASCII letters reaches the model in one piece, in lower case and otherwise unchanged."""
+    import json
+
+    steps = json.loads(tokenizer.to_str())
+    parts = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = parts[0].get("pattern", {}).get("Regex") == _SPLIT and parts[0].get("invert") and parts[0].get("behavior") == "Removed"
+    rest = [p["type"] == "ByteLevel" and not p["use_regex"] and not p["add_prefix_space"] for p in parts[1:]]
+    normal = [n["type"] for n in (steps.get("normalizer") or {}).get("normalizers", [])]
+    return bool(split and rest == [True] and normal == ["NFC", "Replace", "Lowercase"] and steps["model"]["type"] == "BPE")
+
+
 class Encoder:
     """Ids of many texts at once; equal to encoding each text with the library."""
 
@@ -48,13 +64,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         self.gap = self._ids(["0"])[0]
+        self.whole_words = _splits_at_letters(self.tokenizer)
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        # Hashes of known stretches in order, and the place of each one's bounds.
+        self.known, self.slot = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.bounds = np.zeros(1 << 16, dtype=np.int64)
-        self.ids = np.zeros(1 << 18, dtype=np.uint16)
+        self.ids = np.zeros(1 << 18, dtype=self.dtype)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,13 +81,21 @@ class Encoder:
     def _encoded(self, stretches: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Which stretches in which order, all their ids, and how many each has. Many short texts
         go into one call: a lone digit between them is one id."""
-        plain = [k for k, s in enumerate(stretches) if "0" not in s and "<" not in s]
         order, flat, sizes = [], [], []
-        rest = sorted(set(range(len(stretches))) - set(plain))
+        if self.whole_words:
+            # Letters alone pass the steps before the model as they are.
+            order = [k for k, s in enumerate(stretches) if s.isascii() and s.isalpha()]
+            tokenize = self.tokenizer.model.tokenize
+            found = [[t.id for t in tokenize(stretches[k].lower())] for k in order]
+            flat = [np.array([i for ids in found for i in ids], dtype=self.dtype)]
+            sizes = [np.array([len(ids) for ids in found], dtype=np.int64)]
+        done = set(order)
+        plain = [k for k, s in enumerate(stretches) if k not in done and "0" not in s and "<" not in s]
+        rest = sorted(set(range(len(stretches))) - done - set(plain))
         if len(self.gap) == 1:
             groups = [plain[a : a + 200] for a in range(0, len(plain), 200)]
             for group, ids in zip(groups, self._ids([" 0 ".join([stretches[k] for k in g]) for g in groups]), strict=True):
-                ids = np.array(ids, dtype=np.uint16)
+                ids = np.array(ids, dtype=self.dtype)
                 gap = ids == self.gap[0]
                 cuts = np.flatnonzero(gap)
                 if len(cuts) == len(group) - 1:
@@ -78,23 +105,27 @@ class Encoder:
                 else:
                     rest += group
         else:
-            rest = list(range(len(stretches)))
+            rest = sorted(set(range(len(stretches))) - done)
         for k, ids in zip(rest, self._ids([stretches[k] for k in rest]), strict=True):
             order.append(k)
-            flat.append(np.array(ids, dtype=np.uint16))
+            flat.append(np.array(ids, dtype=self.dtype))
             sizes.append([len(ids)])
         return order, np.concatenate(flat), np.concatenate(sizes).astype(np.int64)
 
-    def _learn(self, hashes: list[int], stretches: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, stretches: list[str]) -> None:
+        """Remember stretches under their hashes, which are in order."""
         order, ids, sizes = self._encoded(stretches)
-        n, used = len(self.slot), int(self.bounds[len(self.slot)])
+        n, used = len(self.known), int(self.bounds[len(self.known)])
         while len(self.bounds) < n + len(sizes) + 1:
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
         while len(self.ids) < used + len(ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.bounds[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
         self.ids[used : used + len(ids)] = ids
-        self.slot.update(zip([hashes[k] for k in order], range(n, n + len(order)), strict=True))
+        slots = np.empty(len(order), dtype=np.int64)
+        slots[order] = np.arange(n, n + len(order))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, slots)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, an end id after each, and where each text's ids begin."""
@@ -113,15 +144,16 @@ class Encoder:
         if len(special):  # special tokens are case-sensitive
             hashes[special] = ~W.range_hash(W.hash_prefix(data), begin[special], stop[special])
         distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.slot]
         raw = data.tobytes()
-        if new and len(self.slot) + len(new) > REMEMBERED:
+        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(self.known) + len(new) > REMEMBERED:
             self._forget()
-            new = list(range(len(keys)))
-        if new:
-            self._learn([keys[k] for k in new], [raw[begin[place[k]] : stop[place[k]]].decode("utf-8", "replace") for k in new])
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[inverse]
+            new = np.arange(len(distinct))
+        if len(new):
+            where = place[new]
+            self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[where].tolist(), stop[where].tolist(), strict=True)])
+        slots = self.slot[np.searchsorted(self.known, distinct)][inverse]
         sizes = self.bounds[slots + 1] - self.bounds[slots]
         before = np.concatenate(([0], np.cumsum(sizes)))
         at = np.repeat(self.bounds[slots] - before[:-1], sizes)
@@ -129,7 +161,7 @@ class Encoder:
         ids = self.ids.take(at, mode="clip")
         bounds = before[first]
         ends_at = bounds[1:] + np.arange(len(bounds) - 1)
-        out = np.empty(len(ids) + len(ends_at), dtype=np.uint16)
+        out = np.empty(len(ids) + len(ends_at), dtype=self.dtype)
         own = np.ones(len(out), dtype=bool)
         own[ends_at] = False
         out[own], out[ends_at] = ids, END
@@ -174,9 +206,14 @@ def _packed(path: str):
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments of all documents in ascending id order (rows without an id first)."""
+    """Segments of all documents in ascending id order (rows without an id first).
+
+    Rows of one id, or without one, are ordered by a hash of the text and then the text, so that reruns
+    agree and many of them are dealt to several tasks.
+    """
     ship(docs.sparkSession)
-    ordered = ids_and_texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    texts = ids_and_texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    ordered = texts.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return ordered.mapInArrow(_packed(tokenizer_path), _SEGMENTS)
 
 
@@ -229,7 +266,7 @@ def token_digests(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
     """Write the segments to the folder, read them back, one row per row of docs.
 
     Missing and empty texts have the end id alone. Rows without an id come first; rows of one
-    id stand next to each other in any order, each with its own ids. Other columns are not
+    id stand next to each other in the order of a hash of their texts, each with its own ids. Other columns are not
     read. An empty table gives no segments and no rows.
     """
     encode_documents(docs, tokenizer_path, id_col, text_col).write.parquet(folder)
