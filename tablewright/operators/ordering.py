@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.functions import nulls
 from tablewright.staging import stage
