@@ -12,7 +12,8 @@ Here the order is cut into ranges first:
    computes the same one again;
 3. sums per range, and per group where a group crosses a cut, are at most two rows per cut.
    What came before each is summed up a tree, so that no task sees more than FAN of them at once;
-4. one shuffle sends each range to its own task, which sorts it and adds the offset.
+4. one shuffle sends each range to one task, which sorts it and adds the offset; where ranges
+   are many and short, neighbours share a task.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 50_000
 ROWS_PER_SALT = 2_000_000
 
 _RANGE, _KEY, _COPIES, _PART, _CUTS, _BASE, _SALT = "__range", "__key", "__copies", "__part", "__cuts", "__base", "__salt"
+_TASK = "__task"
 
 
 @dataclass(frozen=True)
@@ -51,11 +53,18 @@ class Ranged:
     order: tuple[Column, ...]
 
     def shuffled(self) -> DataFrame:
-        return self.frame.repartitionById(self.count, nulls.col(_RANGE))
+        """Neighbouring ranges share a task where they are many and short: a task costs more than a few rows."""
+        spark = self.frame.sparkSession
+        tasks = max(math.ceil(self.rows / ROWS_PER_RANGE), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        each = math.ceil(self.count / min(self.count, tasks))
+        frame = self.frame.withColumn(_TASK, F.floor(nulls.col(_RANGE) / F.lit(each)).cast("int"))
+        return frame.repartitionById(math.ceil(self.count / each), nulls.col(_TASK))
+
+    def keys(self) -> list[Column]:
+        return [nulls.col(_TASK), nulls.col(_RANGE), *[nulls.col(p) for p in self.partition]]
 
     def window(self):
-        keys = [nulls.col(_RANGE), *[nulls.col(p) for p in self.partition]]
-        return Window.partitionBy(*keys).orderBy(*self.order)
+        return Window.partitionBy(*self.keys()).orderBy(*self.order)
 
 
 def _key_struct(columns: Sequence[tuple[str, Column]]) -> Column:
@@ -241,12 +250,13 @@ def _offsets(r: Ranged, sums: Mapping[str, Column], totals: bool) -> DataFrame:
 
 def _with_prefix(r: Ranged, sums: Mapping[str, Column], totals: bool) -> DataFrame:
     running = r.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(_RANGE, *[nulls.col(p) for p in r.partition])
+    everything = Window.partitionBy(*r.keys())
     out = r.shuffled().select(
         "*",
         *[F.sum(c).over(running).alias(n) for n, c in sums.items()],
         *([F.sum(c).over(everything).alias(f"{n}_total") for n, c in sums.items()] if totals else []),
     )
+    out = out.drop(_TASK)
     if r.cuts is None:
         return out.drop(_RANGE)
     names = out.columns
