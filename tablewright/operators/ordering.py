@@ -85,9 +85,17 @@ def _hash_of_rest(df: DataFrame, used: set[str]) -> list[tuple[str, Column]]:
     return [("", F.xxhash64(*parts))]
 
 
-def _every(keys: Column, step: int) -> Column:
-    """Every step-th of some collected keys, in order."""
-    return F.filter(F.sort_array(keys), lambda _, i: (i > 0) & (i % step == 0))
+def _every(sample: DataFrame, part: str, step: int) -> DataFrame:
+    """part, `__cuts` and `__all`: every step-th key of each part in order, equal ones once, and how many with repeats.
+
+    Equal keys are counted first, so that a frequent one is a single row in its part.
+    """
+    up_to = F.sum("n").over(Window.partitionBy(part).orderBy(_KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = sample.groupBy(part, _KEY).agg(F.count(F.lit(1)).alias("n")).withColumn("end", up_to)
+    # Keys stand at places 0, 1, ...; the cuts are the places step, 2 * step, ...
+    hit = F.floor((F.col("end") - 1) / F.lit(step)) - F.floor(F.greatest(F.col("end") - F.col("n") - 1, F.lit(0)) / F.lit(step))
+    return counted.withColumn("hit", hit).groupBy(part).agg(
+        F.sort_array(F.collect_list(F.when(F.col("hit") > 0, nulls.col(_KEY)))).alias(_CUTS), F.sum("hit").alias("__all"))
 
 
 def _found(frame: DataFrame, cuts: Column, output: str, most: int) -> DataFrame:
@@ -140,25 +148,27 @@ def _tree(df: DataFrame, key: Column, rows: int, ranges: int) -> _Tree:
     sample = df.select(key.alias(_KEY)).sample(fraction, seed=7)
     every = max(1, round(rows * fraction / ranges))
     coarse, n = None, 0
+    # Even without a row in the sample there is one part.
+    first_part = spark.range(1).select(F.lit(0).alias(_PART))
     if ranges <= FAN:
-        cuts = sample.agg(_every(F.collect_list(_KEY), every).alias("__all")).select(F.lit(0).alias(_PART), "__all")
+        cuts = _every(sample.withColumn(_PART, F.lit(0)), _PART, every)
+        cuts = first_part.join(cuts, _PART, "left")
     else:
         parts = math.isqrt(ranges)
         share = min(1.0, parts / ranges)
         sample = stage(sample, "sample")
-        picked = _every(F.collect_list(_KEY), max(1, round(every * ranges * share / parts)))
-        coarse = stage(sample.sample(share, seed=11).agg(F.array_distinct(picked).alias(_CUTS)), "cuts")
-        n = coarse.select(F.size(_CUTS)).first()[0]
+        picked = _every(sample.sample(share, seed=11).withColumn(_PART, F.lit(0)), _PART, max(1, round(every * ranges * share / parts)))
+        coarse = stage(first_part.join(picked, _PART, "left").select(_CUTS), "cuts")
+        n = coarse.select(F.greatest(F.size(_CUTS), F.lit(0))).first()[0]
         sample = _found(sample.withColumn(_CUTS, coarse.select(_CUTS).scalar()), nulls.col(_CUTS), _PART, n).select(_PART, _KEY)
-        cuts = sample.groupBy(_PART).agg(_every(F.collect_list(_KEY), every).alias("__all"))
         # A part that the sample missed has no cuts of its own.
-        cuts = spark.range(n + 1).select(F.col("id").cast("int").alias(_PART)).join(cuts, _PART, "left")
-    cuts = cuts.select(_PART, "__all", F.coalesce(F.array_distinct("__all"), F.slice("__all", 1, 0)).alias(_CUTS))
+        cuts = spark.range(n + 1).select(F.col("id").cast("int").alias(_PART)).join(_every(sample, _PART, every), _PART, "left")
+    cuts = cuts.select(_PART, F.coalesce("__all", F.lit(0)).alias("__all"), _CUTS)
     # The number of ranges before each part; a row per coarse cut.
     earlier = Window.partitionBy(F.floor(F.col(_PART) / F.lit(1 << 30))).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     known = F.greatest(F.size(_CUTS), F.lit(0))
     cuts = cuts.select(_PART, "__all", _CUTS, F.coalesce(F.sum(known + 1).over(earlier), F.lit(0)).cast("int").alias(_BASE))
-    cuts = stage(cuts.withColumn("__lost", F.greatest(F.size("__all"), F.lit(0)) - known).drop("__all"), "cuts")
+    cuts = stage(cuts.withColumn("__lost", F.col("__all") - known).drop("__all"), "cuts")
     total, most, lost, size = cuts.agg(
         F.sum(known), F.max(known), F.sum("__lost"), F.sum(F.coalesce(F.length(F.to_json(_CUTS)), F.lit(0)))).first()
     return _Tree(cuts.drop("__lost"), coarse, n, most, size, bool(lost), total + n + 1)
@@ -300,11 +310,11 @@ def _prefix_sums(df, order, sums, partition, tie, totals, rows_per_range) -> tup
     if heavy:  # many rows share the order columns: cut between them as well
         r, heavy = ranged(df, order, partition, tie, rows_per_range, cut_by_hash=True)
     if heavy:  # many rows are equal altogether
-        return _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range), rows
+        return _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range, rows), rows
     return _with_prefix(r, sums, totals), rows
 
 
-def _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range) -> DataFrame:
+def _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range, rows) -> DataFrame:
     """The same for a table in which copies of one row would fill a range.
 
     Equal rows are counted first (combined before the shuffle), the distinct rows are
@@ -319,7 +329,8 @@ def _prefix_of_copies(df, order, sums, partition, tie, totals, rows_per_range) -
     chunk = F.lit(ROWS_PER_RANGE)
     starts = F.sequence(F.lit(0).cast("bigint"), nulls.col(_COPIES) - 1, chunk.cast("bigint"))
     out = out.withColumn("__start", F.explode(starts))
-    out = out.repartition(*[nulls.col(c) for c in order], "__start")
+    # So small are these rows that by their keys a single task would get them all, and write out every copy.
+    out = out.repartition(math.ceil(rows / ROWS_PER_RANGE))
     last = F.least(nulls.col("__start") + chunk, nulls.col(_COPIES))
     out = out.withColumn("__nth", F.explode(F.sequence(nulls.col("__start") + 1, last)))
     rest = nulls.col(_COPIES) - nulls.col("__nth")
