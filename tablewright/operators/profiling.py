@@ -1,6 +1,6 @@
 """Column statistics and quality issues of tables.
 
-One aggregate over the table, without a shuffle of values, gives all that adds up: counts of
+One job of aggregates over the table, a few columns each and without a shuffle of values, gives all that adds up: counts of
 present, numeric, dated and padded cells, extremes, means and spreads. Exact quantiles narrow down
 their ranks by counts (`quantiles`). Only distinct counts and top values need the values themselves:
 cells become (column, value) pairs in typed lanes, equal pairs are counted map-side first, and both
@@ -135,28 +135,59 @@ def _read(field: T.StructField) -> dict[str, Column]:
     return {"v": c}
 
 
+#: So many fields, of aggregates side by side, at most: generated code of more is too long to be compiled, and
+#: Spark interprets aggregates of more than 100 of them.
+_FIELDS = 40
+
+
+def _sums(r: dict[str, Column], cell: Callable[[str], Column]) -> dict[str, Column]:
+    """The aggregates of one column, without those that its type leaves empty."""
+    none = {n: F.lit(0 if n.endswith("rows") else None).cast(t) for n, t in SCALARS.items()}
+    own = {"total": F.count(F.lit(1)), "present": F.count(cell("v"))}
+    if "x" in r:
+        x = cell("x")
+        own |= {"numeric_rows": F.count(x), "num_min": F.min(x), "num_max": F.max(x), "num_mean": F.avg(x), "num_std": F.stddev_samp(x)}
+    if "at" in r:
+        at = cell("at")
+        only = at.isNotNull() & cell("x").isNull() if "x" in r else at.isNotNull()
+        own |= {"date_rows": F.count(at), "date_only_rows": F.count_if(only), "first_at": F.min(at), "last_at": F.max(at)}
+    if "padded" in r:
+        own |= {"padded_rows": F.count_if(cell("padded"))}
+    return none | own
+
+
+def _summed(df: DataFrame, more: Callable[..., dict[str, Column]] | None = None) -> DataFrame:
+    """`s`, what adds up over the cells of a few columns: a row for each few columns, an entry for each column."""
+    readings = [_read(f) for f in df.schema]
+    width = [2 + 7 * ("x" in r) + 4 * ("at" in r) + ("padded" in r) for r in readings]
+    chunks: list[list[int]] = [[]]
+    for no in range(len(readings)):
+        if sum(width[n] for n in chunks[-1]) + width[no] > _FIELDS and chunks[-1]:
+            chunks.append([])
+        chunks[-1].append(no)
+    rows = []
+    for chunk in chunks:
+        read = df.select(*[c.alias(f"{name}{no}") for no in chunk for name, c in readings[no].items()])
+        parts = []
+        for no in chunk:
+            r, types = readings[no], {"v": "int", "x": "double", "at": "bigint"}
+            own = _sums(r, lambda name, no=no: F.col(f"{name}{no}"))
+            if more is not None:
+                kind, _ = kind_of(df.schema[no].dataType)
+                v, x, at = (F.col(f"{name}{no}") if name in r else F.lit(None).cast(t) for name, t in types.items())
+                shown = v if kind == "text" else F.lit(None).cast("string") if kind == "nested" else _as_text(df.schema[no].dataType, v)
+                own |= more(kind, v, x, at, shown)
+            parts.append(F.struct(F.lit(no).alias("c"), *[p.alias(n) for n, p in own.items()]))
+        rows.append(read.agg(F.array(*parts).alias("s")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def scalars(df: DataFrame, more: Callable[..., dict[str, Column]] | None = None) -> list[dict]:
-    """For each column what adds up over its cells, from one aggregate.
+    """For each column what adds up over its cells, from one job; each cell is read once.
 
     `more` adds aggregates of a column's kind, value, number, point in time and text.
     """
-    readings = [_read(f) for f in df.schema]
-    read = df.select(*[c.alias(f"{name}{no}") for no, r in enumerate(readings) for name, c in r.items()])
-    parts = []
-    for no, r in enumerate(readings):
-        v, x, at, padded = (F.col(f"{name}{no}") if name in r else F.lit(None).cast(t) for name, t in (
-            ("v", "int"), ("x", "double"), ("at", "bigint"), ("padded", "boolean")))
-        own = dict(zip(SCALARS, (
-            F.count(F.lit(1)), F.count(v), F.count(x), F.count(at), F.count_if(at.isNotNull() & x.isNull()), F.count_if(padded),
-            F.min(x), F.max(x), F.avg(x), F.stddev_samp(x), F.min(at), F.max(at),
-        )))
-        if more is not None:
-            kind, _ = kind_of(df.schema[no].dataType)
-            shown = v if kind == "text" else F.lit(None).cast("string") if kind == "nested" else _as_text(df.schema[no].dataType, v)
-            own |= more(kind, v, x, at, shown)
-        parts.append(F.struct(*[p.alias(n) for n, p in own.items()]))
-    row = read.agg(*[p.alias(f"s{no}") for no, p in enumerate(parts)]).first()
-    return [{"c": no, **s.asDict()} for no, s in enumerate(row)]
+    return sorted((s.asDict() for row in _summed(df, more).collect() for s in row["s"]), key=lambda s: s["c"])
 
 
 def _estimates(kind: str, v: Column, x: Column, at: Column, shown: Column) -> dict[str, Column]:
@@ -192,18 +223,25 @@ def _first(shown: DataFrame, *order: str) -> DataFrame:
     return ranked.select("c", "rank", "n", "start", "shown")
 
 
+def _uniques_and_tops(df: DataFrame, numbers: Sequence[int], columns: _Columns) -> DataFrame:
+    """At most five values a column, and as rank 0 its number of distinct ones.
+
+    Both read the same shuffle of counts; without a look at n Spark would count and shuffle the values once
+    more for the number of them.
+    """
+    counts = value_counts(df, numbers)
+    unique = counts.filter("n > 0").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    nothing = F.lit(None).cast("string")
+    return unique.select("c", F.lit(0).alias("rank"), "n", nothing.alias("start"), nothing.alias("shown")).unionByName(
+        _first(_with_start(counts, columns), "start", "shown"))
+
+
 def _values(df: DataFrame, columns: _Columns) -> dict[int, dict]:
     """For each column its number of distinct values and the most frequent ones, equal frequencies in text order."""
     numbers = [no for no, f in enumerate(df.schema) if kind_of(f.dataType)[0] != "nested"]
     if not numbers:
         return {}
-    counts = value_counts(df, numbers)
-    shown = _with_start(counts, columns)
-    # Both read the same shuffle of counts, in one job. At most five values a column, and its number of them.
-    unique = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    nothing = F.lit(None).cast("string")
-    rows = unique.select("c", F.lit(0).alias("rank"), "n", nothing.alias("start"), nothing.alias("shown")).unionByName(
-        _first(shown, "start", "shown")).collect()
+    rows = _uniques_and_tops(df, numbers, columns).collect()
     tops: dict[int, list] = {}
     for r in sorted(r for r in rows if r["rank"] > 0):
         tops.setdefault(r["c"], []).append(r)
