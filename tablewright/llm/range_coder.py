@@ -96,6 +96,15 @@ def _columns(ids: np.ndarray) -> tuple[np.ndarray, int, int]:
     return np.ascontiguousarray(padded.reshape(blocks, steps).T), blocks, last
 
 
+def _counts(ids: np.ndarray) -> np.ndarray:
+    """How often each id occurs; a stretch at a time, as counting widens what it counts."""
+    counts = np.zeros(int(ids.max()) + 1, dtype=np.int64)
+    for a in range(0, len(ids), 1 << 18):
+        part = np.bincount(ids[a : a + (1 << 18)])
+        counts[: len(part)] += part
+    return counts
+
+
 def _count_table(counts: np.ndarray) -> bytes:
     present = np.flatnonzero(counts)
     return zlib.compress(np.diff(present, prepend=0).astype("<u4").tobytes() + counts[present].astype("<u4").tobytes(), 6)
@@ -106,7 +115,7 @@ def encode(ids: np.ndarray) -> bytes:
     ids = np.asarray(ids)
     if not len(ids):
         return MAGIC + np.zeros(3, "<u4").tobytes()
-    counts = np.bincount(ids)
+    counts = _counts(ids)
     frequency = _frequencies(counts).astype(np.uint64)
     cumulated = np.concatenate((np.zeros(1, np.uint64), np.cumsum(frequency)))[:-1]
     table, blocks, last_length = _columns(ids)
@@ -174,13 +183,13 @@ def encode(ids: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """The ids of one segment; ValueError where the data is not whole."""
+    """The ids of one segment, 4 bytes each; ValueError where the data is not whole."""
     if data[: len(MAGIC)] != MAGIC or len(data) < len(MAGIC) + 12:
         raise ValueError("not a segment of token ids")
     at = len(MAGIC) + 12
     n, blocks, size = np.frombuffer(data, "<u4", 3, len(MAGIC)).tolist()
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     raw = np.frombuffer(zlib.decompress(data[at : at + size]), "<u4")
     counts = np.zeros(int(raw[: len(raw) // 2].sum()) + 1, dtype=np.int64)
     counts[np.cumsum(raw[: len(raw) // 2].astype(np.int64))] = raw[len(raw) // 2 :]
@@ -191,23 +200,24 @@ def decode(data: bytes) -> np.ndarray:
     if bounds[-1] != len(data):
         raise ValueError("a segment of token ids is cut off")
     # At most three digits more are looked at than a block has.
-    columns = np.zeros((blocks, int(lengths.max()) + 4), dtype=np.uint64)
+    columns = np.zeros((blocks, int(lengths.max()) + 4), dtype=np.uint16)
     for i in range(blocks):
         body = data[bounds[i] : bounds[i + 1]]
         if zlib.crc32(body) != sums[i]:
             raise ValueError(f"block {i} does not match its checksum")
         columns[i, : lengths[i]] = np.frombuffer(body, "<u2")
     flat = np.ascontiguousarray(columns.T).reshape(-1)
+    del columns
     frequency = _frequencies(counts).astype(np.uint64)
     cumulated = np.concatenate((np.zeros(1, np.uint64), np.cumsum(frequency)))[:-1]
     owner = np.repeat(np.arange(len(counts)), frequency.astype(np.int64))
     last_length = n - (blocks - 1) * BLOCK
-    table = np.zeros((BLOCK if blocks > 1 else last_length, blocks), dtype=np.int64)
+    table = np.zeros((BLOCK if blocks > 1 else last_length, blocks), dtype=np.uint32)
     model = _Model(blocks)
     lane = np.arange(blocks, dtype=np.int64)
-    code = flat[lane] << _U(24) | flat[lane + blocks] << _U(8)
-    code |= flat[lane + 2 * blocks] >> _U(8)
-    tail = flat[lane + 2 * blocks] & _U(0xFF)  # bits that are already read but not in the code
+    top, middle, bottom = flat[: 3 * blocks].astype(np.uint64).reshape(3, blocks)
+    code = top << _U(24) | middle << _U(8) | bottom >> _U(8)
+    tail = bottom & _U(0xFF)  # bits that are already read but not in the code
     width, place = np.full(blocks, _FULL + _U(1), np.uint64), lane + 3 * blocks
     last, before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
 
@@ -220,7 +230,7 @@ def decode(data: bytes) -> np.ndarray:
         small = (width < _LEAST).nonzero()[0]
         if len(small):
             to = place.take(small, mode="clip")
-            digit = flat.take(to, mode="clip")
+            digit = flat.take(to, mode="clip").astype(np.uint64)
             code[small] = code.take(small, mode="clip") << _DIGIT | tail.take(small, mode="clip") << _U(8) | digit >> _U(8)
             tail[small] = digit & _U(0xFF)
             width[small] = width.take(small, mode="clip") << _DIGIT
@@ -255,4 +265,5 @@ def decode(data: bytes) -> np.ndarray:
         model.learn(at, cells, sure, guesses == now, state, trust, total, shift, now)
         before[:k] = last[:k]
         last[:k] = now
+    del model, flat
     return np.ascontiguousarray(table.T).reshape(-1)[:n]

@@ -30,8 +30,8 @@ END = 2
 SEGMENT = 6_000_000
 #: Distinct stretches that a Python worker remembers at most; then it starts anew.
 REMEMBERED = 800_000
-#: Texts are encoded in pieces of about so many bytes.
-PIECE = 4 << 20
+#: Texts are encoded in pieces of about so many bytes: the arrays of a piece take some 60 times as much.
+PIECE = 1_000_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -223,7 +223,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             get = lambda name: W.column(batch, name)[row].as_py()  # noqa: B023, E731
             names, lengths = np.frombuffer(get("doc_ids"), "<i8"), np.frombuffer(get("lengths"), "<i8")
             missing = np.unpackbits(np.frombuffer(get("missing_ids"), np.uint8), count=len(names)).astype(bool)
-            ids = range_coder.decode(get("data")).astype("<u4")
+            ids = range_coder.decode(get("data")).astype("<u4", copy=False)
             if len(ids) != lengths.sum():
                 raise ValueError("the directory of a segment does not match its ids")
             bounds = np.concatenate(([0], np.cumsum(lengths)))

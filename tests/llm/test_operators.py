@@ -152,6 +152,28 @@ def test_range_coder_notices_damage():
         range_coder.decode(bytes(data))
 
 
+def test_token_memory(monkeypatch):
+    # MB of arrays that a worker holds at once: 43 for a million ids read back and 156 for 3 MB of text before.
+    import tracemalloc
+
+    from tablewright.llm import token_output, words
+
+    ids = (np.arange(1_000_000) * 7919 % 40_009).astype(np.uint16)
+    data = range_coder.encode(ids)
+    texts = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([prose(i, 1500) for i in range(400)])], ["doc_id", "text"])
+    monkeypatch.setattr(words, "_powers", [])
+    packed = token_output._packed(tokenizer_path())
+    peaks = []
+    for work in (lambda: range_coder.decode(data), lambda: list(packed(iter([texts])))):
+        tracemalloc.start()
+        result = work()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        if len(peaks) == 1:
+            assert (result == ids).all()
+    assert peaks[0] < 25 and peaks[1] < 80
+
+
 def test_token_digests(spark, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
