@@ -6,9 +6,11 @@ is hashed together with the lines behind or before it until there are enough (a
 line that can be deleted lies in a window that an earlier document has, while a short common
 line alone leads nowhere. Each later document is paired with the first document that holds the
 window, so one in n documents makes n - 1 pairs, and none is too common to be looked at.
-A window of which that left a line is then paired with all its other earlier holders. Only
-lines that such a document shares with another matter there, so holders with the same sequence
-of these (and gaps) stand for each other and the first of them is aligned.
+A window of which that left a line, mostly one that the document has more often or in another
+order with a second common line, is paired with two other holders that have it as often: the
+first, and the earlier one with the fewest different lines. What these leave, too, is paired
+with all its other earlier holders. Only lines that such a document shares with another matter there, so holders
+with the same sequence of these (and gaps) stand for each other and the first of them is aligned.
 
 Pairs are aligned by patience diff (lines that are unique on both sides, longest increasing run, then the gaps
 between; a gap without such a line by its longest common subsequence), and aligned runs of lines with enough words are deleted from the later document.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm import words as W
@@ -89,15 +91,17 @@ def line_windows(lines: np.ndarray, words: np.ndarray, least: int) -> tuple[np.n
 
 
 def _line_keys(least: int):
-    """One row for each different window of a document."""
+    """One row for each different window of a document, with its number of places and the document's of different lines."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (lines, bounds), (words, _) = (W.runs(W.column(batch, c), k) for c, k in (("lines", np.uint64), ("words", "<i4")))
-            own = [np.unique(line_windows(lines[a:b], words[a:b], least)[0]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
-            keys = np.concatenate([np.zeros(0, np.int64), *own])
+            own = [np.unique(line_windows(lines[a:b], words[a:b], least)[0], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x, _ in own]))
+            keys, often = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in own)]) for k in (0, 1))
+            sizes = pa.array([len(np.unique(lines[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), W.column(batch, "doc_id").take(row), W.column(batch, "t").take(row)], ["line", "doc_id", "t"])
+                [pa.array(keys), W.column(batch, "doc_id").take(row), W.column(batch, "t").take(row), pa.array(often), sizes.take(row)],
+                ["line", "doc_id", "t", "often", "size"])
     return run
 
 
@@ -301,6 +305,18 @@ def _align(pairs: DataFrame, lined: DataFrame, least: int, last: bool = False) -
     """One row per pair of documents of (line, doc_id, t, first_id, first_t); the last pass needs no windows."""
     later = lined.select("doc_id", "t", F.col("lines").alias("y"), "words")
     first = lined.select(F.col("doc_id").alias("first_id"), F.col("t").alias("first_t"), F.col("lines").alias("x"))
+    return _joined(pairs, later, first, least, last)
+
+
+def _align_some(pairs: DataFrame, lined: DataFrame, least: int, last: bool = False) -> DataFrame:
+    """The same for pairs, written before, of few of the documents: the others are passed over before the shuffle."""
+    later = lined.select("doc_id", "t", F.col("lines").alias("y"), "words").join(pairs.select("doc_id", "t"), ["doc_id", "t"], "left_semi")
+    first = lined.select(F.col("doc_id").alias("first_id"), F.col("t").alias("first_t"), F.col("lines").alias("x")).join(
+        pairs.select("first_id", "first_t"), ["first_id", "first_t"], "left_semi")
+    return _joined(pairs, later, first, least, last)
+
+
+def _joined(pairs: DataFrame, later: DataFrame, first: DataFrame, least: int, last: bool) -> DataFrame:
     pair = ["doc_id", "t", "first_id", "first_t"]
     once = pairs.select(*pair).distinct().withColumn("keys", F.array().cast("array<long>")) if last else pairs.groupBy(*pair).agg(F.collect_set("line").alias("keys"))
     return once.hint("merge").join(later, ["doc_id", "t"]).hint("merge").join(first, ["first_id", "first_t"]).mapInArrow(
@@ -315,9 +331,25 @@ def _open_windows(places: DataFrame, lined: DataFrame, least: int) -> DataFrame:
     return written(per_text.join(later, ["doc_id", "t"]).mapInArrow(_open(least), "line long, doc_id long, t long"), "open")
 
 
+def _as_often(rest: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each open window with the first document that has it at least as often, and the earlier such one with the fewest different lines.
+
+    Per window and number of places, only the first document of a size counts, and only if no smaller one is earlier."""
+    own = keys.join(rest, ["line", "doc_id", "t"], "left_semi").select("line", "doc_id", "t", "often")
+    firsts = keys.join(rest.select("line"), "line", "left_semi").groupBy("line", "often", "size").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    often = own.select("line", "often").distinct()
+    sizes = often.join(firsts.withColumnRenamed("often", "has"), "line").filter("has >= often").groupBy("line", "often", "size").agg(F.min("first").alias("first"))
+    smaller = Window.partitionBy("line", "often").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    front = sizes.withColumn("before", F.min("first").over(smaller)).filter("before is null or first < before").drop("before")
+    both = own.hint("merge").join(front, ["line", "often"]).filter("first < struct(doc_id, t)").groupBy("line", "doc_id", "t").agg(
+        F.min("first").alias("a"), F.min(F.struct("size", "first")).alias("b"))
+    return both.select("line", "doc_id", "t", F.explode(F.array_distinct(F.array("a", "b.first"))).alias("first")).select(
+        "line", "doc_id", "t", F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t"))
+
+
 def _other_pairs(rest: DataFrame, keys: DataFrame, lined: DataFrame) -> DataFrame:
     """Each open window with all its earlier holders; of holders that align alike with every such document, the first."""
-    holders = written(keys.join(rest.select("line").distinct(), "line", "left_semi"), "holders")
+    holders = written(keys.select("line", "doc_id", "t").join(rest.select("line").distinct(), "line", "left_semi"), "holders")
     is_open = rest.select("doc_id", "t").distinct().withColumn("is_open", F.lit(True))
     texts = written(
         lined.join(holders.select("doc_id", "t").distinct(), ["doc_id", "t"]).join(is_open, ["doc_id", "t"], "left")
@@ -347,15 +379,19 @@ def drop_aligned_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col:
     ).withColumn("t", F.xxhash64("text"))
     lined = written(
         texts.mapInArrow(_line_rows, "doc_id long, t long, lines binary, words binary").dropDuplicates(["doc_id", "t"]), "lines")
-    keys = lined.mapInArrow(_line_keys(block_words), "line long, doc_id long, t long")
+    keys = written(lined.mapInArrow(_line_keys(block_words), "line long, doc_id long, t long, often long, size long"), "windows")
     firsts = keys.groupBy("line").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.max(F.struct("doc_id", "t")).alias("last")).filter("first != last").select(
         "line", F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t"))
-    pairs = keys.hint("merge").join(firsts, "line").filter("doc_id != first_id or t != first_t")
+    pairs = keys.drop("often", "size").hint("merge").join(firsts, "line").filter("doc_id != first_id or t != first_t")
     places = written(_align(pairs, lined, block_words), "aligned")
     rest = _open_windows(places, lined, block_words)
     if rest.take(1):
-        others = _other_pairs(rest, keys, lined)
-        places = places.unionByName(_align(others, lined, block_words, last=True))
+        more = written(_align_some(written(_as_often(rest, keys), "as-often"), lined, block_words), "aligned")
+        places = places.unionByName(more)
+        rest = _open_windows(places.join(rest.select("doc_id", "t").distinct(), ["doc_id", "t"], "left_semi"), lined, block_words)
+    if rest.take(1):
+        others = written(_other_pairs(rest, keys, lined).select("doc_id", "t", "first_id", "first_t").distinct(), "others")
+        places = places.unionByName(_align_some(others, lined, block_words, last=True))
     per_text = places.filter(F.octet_length("places") > 0).groupBy("doc_id", "t").agg(F.collect_list("places").alias("places"))
     joined = texts.hint("merge").join(per_text, ["doc_id", "t"], "left")
     return joined.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "places").mapInArrow(

@@ -400,6 +400,21 @@ def test_lines_against_all_pairs(spark):
     assert [r[1] for r in got] == all_pairs(texts)
 
 
+def test_lines_of_many_documents_make_few_pairs(spark, monkeypatch):
+    # A common line, once or twice, before or behind another common one; every text also shares a line with one more.
+    pairs, other = [], line_align._other_pairs
+    monkeypatch.setattr(line_align, "_other_pairs", lambda *a: pairs.append(other(*a).count()) or other(*a))
+    line, footer, random = prose(94, 9), prose(95, 4), np.random.default_rng(10)
+    kinds = [[line, 0, 1, 2, footer], [line, 0, 1, 2, line], [footer, 0, 1, line], [0, 1, line, 2], [line, 0, footer, line, 1]]
+    texts = []
+    for d in range(120):
+        own = [f"own {d} a", prose(300 + d // 2, 4), f"own {d} b"]
+        texts.append("\n".join(x if isinstance(x, str) else own[x] for x in kinds[random.integers(0, 5) if d > 2 else 0]))
+    got = rows(line_align.drop_aligned_lines(table(spark, texts)), "doc_id", "text")
+    assert [r[1] for r in got] == all_pairs(texts)
+    assert sum(pairs) < len(texts)  # 1,606 where a text met all earlier holders of its line
+
+
 def test_shapes_align_alike():
     random = np.random.default_rng(9)
     for _ in range(500):
