@@ -7,13 +7,16 @@ Here the order is cut into ranges first:
    points (the sample only places the cuts, every row is kept);
 2. a row finds its range by binary search: among all cuts where these are few, else first
    among coarse cuts (about the square root of their number) and then among the cuts of its
-   coarse part, which a join on the part brings along. The keys stay in Spark; the driver sees
-   how many there are. A row's range is a pure function of its own values, so a lost task
-   computes the same one again;
+   coarse part, which a broadcast brings along. Where the cuts are too large for that, each
+   part's rows and cuts are sorted together and the cuts before a row are counted, so that no
+   row and no task holds the cuts of a part. A cut keeps no more of a text than tells it from
+   the key before it. The keys stay in Spark; the driver sees how many there are. A row's range
+   is a pure function of its own values, so a lost task computes the same one again;
 3. sums per range, and per group where a group crosses a cut, are at most two rows per cut.
    What came before each is summed up a tree, so that no task sees more than FAN of them at once;
 4. one shuffle sends each range to one task, which sorts it and adds the offset; where ranges
-   are many and short, neighbours share a task.
+   are many and short, neighbours share a task. Coarse parts that were dealt out to be sorted
+   with their cuts stay where they are, unless they are too large for a task.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import nulls
 from tablewright.staging import stage
@@ -32,13 +36,15 @@ ROWS_PER_RANGE = 500_000
 SAMPLES_PER_RANGE = 32
 #: So many cuts are searched at once, and so many sums of ranges added up in one task.
 FAN = 256
-#: Tables of cuts and of offsets are broadcast up to these sizes, beyond them joined by a shuffle.
+#: Tables of cuts and of offsets are broadcast up to these sizes, beyond them shuffled.
 BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 50_000
-#: Rows of one coarse part that a task joins with its cuts.
+#: Rows of one coarse part that a task sorts with its cuts.
 ROWS_PER_SALT = 2_000_000
+#: So many characters of a text a cut keeps, the first that tell it from the key before it.
+STARTS = (16, 64, 512, 4096)
 
 _RANGE, _KEY, _COPIES, _PART, _CUTS, _BASE, _SALT = "__range", "__key", "__copies", "__part", "__cuts", "__base", "__salt"
-_TASK = "__task"
+_TASK, _HASH, _CUT = "__task", "__hash", "__cut"
 
 
 @dataclass(frozen=True)
@@ -54,6 +60,8 @@ class Ranged:
 
     def shuffled(self) -> DataFrame:
         """Neighbouring ranges share a task where they are many and short: a task costs more than a few rows."""
+        if _TASK in self.frame.columns:
+            return self.frame
         spark = self.frame.sparkSession
         tasks = max(math.ceil(self.rows / ROWS_PER_RANGE), int(spark.conf.get("spark.sql.shuffle.partitions")))
         each = math.ceil(self.count / min(self.count, tasks))
@@ -85,16 +93,42 @@ def _hash_of_rest(df: DataFrame, used: set[str]) -> list[tuple[str, Column]]:
     return [("", F.xxhash64(*parts))]
 
 
-def _every(sample: DataFrame, part: str, step: int) -> DataFrame:
-    """part, `__cuts` and `__all`: every step-th key of each part in order, equal ones once, and how many with repeats.
+def _short(key: T.StructType, last: str) -> Column:
+    """A key that sorts after the one before it and not after its own, with the start of the text that tells them apart."""
+    parts, same = [], F.lit(True)
+    for f in key.fields:
+        now, was = F.col(f"{_KEY}.{f.name}"), F.col(f"{last}.{f.name}")
+        value = now
+        if f.dataType == T.StringType():
+            for k in reversed(STARTS):
+                start = F.substring(now, 1, k)
+                value = F.when(start > was, start).otherwise(value)
+            # Where a column further up differs, any text up to its own will do.
+            value = F.when(same, value).otherwise(F.when(now.isNotNull(), F.lit("")))
+        parts.append(value.alias(f.name))
+        same = same & now.eqNullSafe(was)
+    return F.when(F.col(last).isNull(), F.col(_KEY)).otherwise(F.struct(*parts))
+
+
+def _hits(sample: DataFrame, part: str, step: int) -> DataFrame:
+    """part, shortened key and `hit` of each key: how many of the places step, 2 * step, ... of its part it takes.
 
     Equal keys are counted first, so that a frequent one is a single row in its part.
     """
-    up_to = F.sum("n").over(Window.partitionBy(part).orderBy(_KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = sample.groupBy(part, _KEY).agg(F.count(F.lit(1)).alias("n")).withColumn("end", up_to)
+    in_order = Window.partitionBy(part).orderBy(_KEY)
+    up_to = F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = sample.groupBy(part, _KEY).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select("*", up_to.alias("end"), F.lag(_KEY).over(in_order).alias("last"))
     # Keys stand at places 0, 1, ...; the cuts are the places step, 2 * step, ...
     hit = F.floor((F.col("end") - 1) / F.lit(step)) - F.floor(F.greatest(F.col("end") - F.col("n") - 1, F.lit(0)) / F.lit(step))
-    return counted.withColumn("hit", hit).groupBy(part).agg(
+    key = sample.schema[_KEY].dataType
+    short = _short(key, "last") if isinstance(key, T.StructType) else F.col(_KEY)
+    return counted.select(part, short.alias(_KEY), hit.alias("hit"))
+
+
+def _every(sample: DataFrame, part: str, step: int) -> DataFrame:
+    """part, `__cuts` and `__all`: every step-th key of each part in order, equal ones once, and how many with repeats."""
+    return _hits(sample, part, step).groupBy(part).agg(
         F.sort_array(F.collect_list(F.when(F.col("hit") > 0, nulls.col(_KEY)))).alias(_CUTS), F.sum("hit").alias("__all"))
 
 
@@ -113,33 +147,53 @@ def _found(frame: DataFrame, cuts: Column, output: str, most: int) -> DataFrame:
 class _Tree:
     """Cuts in order, in two levels where there are many: coarse ones, and the cuts of each coarse part."""
 
-    parts: DataFrame
-    coarse: DataFrame | None
-    cuts: int
+    top: DataFrame
+    tops: int
+    cuts: DataFrame | None
+    parts: DataFrame | None
     most: int
     size: int
     heavy: bool
     count: int
 
-    def place(self, df: DataFrame, key: Column, rows: int) -> DataFrame:
-        """The table with the number of each row's range."""
-        frame = df.withColumn(_KEY, key)
-        if self.coarse is None:
-            frame = _found(frame.withColumn(_CUTS, self.parts.select(_CUTS).scalar()), nulls.col(_CUTS), _RANGE, self.most)
-            return frame.drop(_KEY, _CUTS)
-        frame = _found(frame.withColumn(_CUTS, self.coarse.select(_CUTS).scalar()), nulls.col(_CUTS), _PART, self.cuts)
-        frame, on, parts = frame.drop(_CUTS), [_PART], self.parts
-        if self.size <= BROADCAST_BYTES:
-            parts = F.broadcast(parts)
-        else:
-            salts = max(1, math.ceil(rows / (self.cuts + 1) / ROWS_PER_SALT))
-            parts = parts.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            frame = frame.withColumn(_SALT, F.pmod(F.xxhash64(_KEY), F.lit(salts)).cast("int"))
-            on = [_PART, _SALT]
-        frame = _found(frame.join(parts, on), nulls.col(_CUTS), "__place", self.most)
+    def keys(self) -> DataFrame:
+        """All cuts, a row each."""
+        top = self.top.select(F.explode(_CUTS).alias(_KEY))
+        return top if self.cuts is None else top.unionByName(self.cuts.select(_KEY))
+
+    def place(self, df: DataFrame, columns: Sequence[tuple[str, Column]], rows: int) -> DataFrame:
+        """The table with the number of each row's range, and with the task of rows that were dealt out for it."""
+        frame = df.withColumn(_KEY, _key_struct(columns)).withColumn(_CUTS, self.top.select(_CUTS).scalar())
+        if self.cuts is None:
+            return _found(frame, nulls.col(_CUTS), _RANGE, self.tops).drop(_KEY, _CUTS)
+        frame = _found(frame, nulls.col(_CUTS), _PART, self.tops).drop(_CUTS)
+        if self.size > BROADCAST_BYTES:
+            return self._sorted(frame, df.columns, columns, rows)
+        cuts = self.cuts.groupBy(_PART).agg(F.sort_array(F.collect_list(_KEY)).alias(_CUTS))
+        parts = F.broadcast(stage(self.parts.select(_PART, _BASE).join(cuts, _PART, "left"), "cuts"))
+        frame = _found(frame.join(parts, _PART), nulls.col(_CUTS), "__place", self.most)
         frame = frame.withColumn(_RANGE, nulls.col(_BASE) + nulls.col("__place"))
         return frame.select(*[nulls.col(c) for c in df.columns], nulls.col(_RANGE))
 
+    def _sorted(self, frame: DataFrame, names: Sequence[str], columns: Sequence[tuple[str, Column]], rows: int) -> DataFrame:
+        """The same by sorting rows and cuts of a part together; a cut stands before the rows that are equal to it."""
+        salts = max(1, math.ceil(rows / (self.tops + 1) / ROWS_PER_SALT))
+        frame = frame.withColumns({_HASH: c for n, c in columns if not n})
+        frame = frame.withColumns({_SALT: F.pmod(F.xxhash64(_KEY), F.lit(salts)).cast("int"), _CUT: F.lit(None).cast("int")}).drop(_KEY)
+        order = {n or _HASH: F.col(f"{_KEY}.v{i}") for i, (n, _) in enumerate(columns)}
+        own = {_PART: nulls.col(_PART), _SALT: nulls.col(_SALT), _CUT: F.lit(1)}
+        cuts = self.cuts.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
+            *[(order | own).get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in frame.schema])
+        # The salt is known to be 0 where there is one, so that the rows are dealt by their part alone.
+        on = [_PART, _SALT] if salts > 1 else [_PART]
+        w = Window.partitionBy(*on).orderBy(*[nulls.col(n).asc_nulls_last() for n in order], nulls.col(_CUT).asc_nulls_last())
+        earlier = F.count(_CUT).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        frame = frame.unionByName(cuts).withColumn("__place", earlier).filter(nulls.col(_CUT).isNull())
+        frame = frame.join(_some(self.parts.select(_PART, _BASE), self.tops + 1), _PART)
+        frame = frame.withColumn(_RANGE, (nulls.col(_BASE) + nulls.col("__place")).cast("int"))
+        task = [nulls.col(_PART).alias(_TASK)] if salts == 1 and rows / (self.tops + 1) <= ROWS_PER_RANGE else []
+        return frame.select(*[nulls.col(n) for n in names], nulls.col(_RANGE), *task)
+
 
 def _tree(df: DataFrame, key: Column, rows: int, ranges: int) -> _Tree:
     """Cuts between `ranges` ranges of about equal size, from a sample of the keys."""
@@ -147,31 +201,30 @@ def _tree(df: DataFrame, key: Column, rows: int, ranges: int) -> _Tree:
     fraction = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
     sample = df.select(key.alias(_KEY)).sample(fraction, seed=7)
     every = max(1, round(rows * fraction / ranges))
-    coarse, n = None, 0
+    parts = 1 if ranges <= FAN else math.isqrt(ranges)
+    share = 1.0 if ranges <= FAN else parts / ranges
+    picked, step = (sample, every) if parts == 1 else (sample.sample(share, seed=11), max(1, round(every * ranges * share / parts)))
     # Even without a row in the sample there is one part.
     first_part = spark.range(1).select(F.lit(0).alias(_PART))
-    if ranges <= FAN:
-        cuts = _every(sample.withColumn(_PART, F.lit(0)), _PART, every)
-        cuts = first_part.join(cuts, _PART, "left")
-    else:
-        parts = math.isqrt(ranges)
-        share = min(1.0, parts / ranges)
-        sample = stage(sample, "sample")
-        picked = _every(sample.sample(share, seed=11).withColumn(_PART, F.lit(0)), _PART, max(1, round(every * ranges * share / parts)))
-        coarse = stage(first_part.join(picked, _PART, "left").select(_CUTS), "cuts")
-        n = coarse.select(F.greatest(F.size(_CUTS), F.lit(0))).first()[0]
-        sample = _found(sample.withColumn(_CUTS, coarse.select(_CUTS).scalar()), nulls.col(_CUTS), _PART, n).select(_PART, _KEY)
-        # A part that the sample missed has no cuts of its own.
-        cuts = spark.range(n + 1).select(F.col("id").cast("int").alias(_PART)).join(_every(sample, _PART, every), _PART, "left")
-    cuts = cuts.select(_PART, F.coalesce("__all", F.lit(0)).alias("__all"), _CUTS)
+    top = first_part.join(_every(picked.withColumn(_PART, F.lit(0)), _PART, step), _PART, "left")
+    top = stage(top.select(_CUTS, F.coalesce("__all", F.lit(0)).alias("__all")), "cuts")
+    n, hits = top.select(F.greatest(F.size(_CUTS), F.lit(0)), "__all").first()
+    if parts == 1:
+        return _Tree(top, n, None, None, n, 0, hits > n, n + 1)
+    sample = _found(sample.withColumn(_CUTS, top.select(_CUTS).scalar()), nulls.col(_CUTS), _PART, n).select(_PART, _KEY)
+    if hits == n:
+        # No key is so frequent that it had to be counted before it is sent to its part.
+        sample = sample.repartition(nulls.col(_PART))
+    cuts = stage(_hits(sample, _PART, every).filter("hit > 0"), "cuts")
+    sizes = cuts.groupBy(_PART).agg(
+        F.count(F.lit(1)).alias("known"), F.sum("hit").alias("__all"), F.sum(F.length(F.to_json(_KEY)) + 1).alias("size"))
+    # A part that the sample missed has no cuts of its own.
+    sizes = spark.range(n + 1).select(F.col("id").cast("int").alias(_PART)).join(sizes, _PART, "left").na.fill(0)
     # The number of ranges before each part; a row per coarse cut.
     earlier = Window.partitionBy(F.floor(F.col(_PART) / F.lit(1 << 30))).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    known = F.greatest(F.size(_CUTS), F.lit(0))
-    cuts = cuts.select(_PART, "__all", _CUTS, F.coalesce(F.sum(known + 1).over(earlier), F.lit(0)).cast("int").alias(_BASE))
-    cuts = stage(cuts.withColumn("__lost", F.col("__all") - known).drop("__all"), "cuts")
-    total, most, lost, size = cuts.agg(
-        F.sum(known), F.max(known), F.sum("__lost"), F.sum(F.coalesce(F.length(F.to_json(_CUTS)), F.lit(0)))).first()
-    return _Tree(cuts.drop("__lost"), coarse, n, most, size, bool(lost), total + n + 1)
+    sizes = stage(sizes.withColumn(_BASE, F.coalesce(F.sum(F.col("known") + 1).over(earlier), F.lit(0)).cast("int")), "cuts")
+    total, most, lost, size = sizes.agg(F.sum("known"), F.max("known"), F.sum(F.col("__all") - F.col("known")), F.sum("size")).first()
+    return _Tree(top, n, cuts.select(_PART, _KEY), sizes, most, size, bool(lost), total + n + 1)
 
 
 def ranged(
@@ -198,8 +251,7 @@ def ranged(
         single = df.withColumn(_RANGE, F.lit(0))
         return Ranged(single, 1, rows, None, tuple(partition), sort), False
     tree = _tree(df, key, rows, ranges)
-    cuts = tree.parts.select(_CUTS) if tree.coarse is None else tree.parts.select(_CUTS).unionByName(tree.coarse.select(_CUTS))
-    return Ranged(tree.place(df, key, rows), tree.count, rows, cuts, tuple(partition), sort), tree.heavy
+    return Ranged(tree.place(df, columns, rows), tree.count, rows, tree.keys(), tuple(partition), sort), tree.heavy
 
 
 def _some(df: DataFrame, rows: int) -> DataFrame:
@@ -209,9 +261,8 @@ def _some(df: DataFrame, rows: int) -> DataFrame:
 
 def _crossing_groups(r: Ranged) -> DataFrame:
     """Groups that a cut falls into: at most one per cut."""
-    keys = r.cuts.select(F.explode(_CUTS).alias("c"))
-    names = [F.col(f"c.v{i}").alias(p) for i, p in enumerate(r.partition)]
-    return keys.select(*names).distinct()
+    names = [F.col(f"{_KEY}.v{i}").alias(p) for i, p in enumerate(r.partition)]
+    return r.cuts.select(*names).distinct()
 
 
 def before(
